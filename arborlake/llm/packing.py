@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
+#: Marks that the vocabulary splits from letters before them.
+MARKS = b".,;:!?|#*%&$()\"+=-"
 LONGEST_CACHED = 48
+COMMON_WORDS = 20_000
 
 
 def default_tokenizer() -> str:
@@ -25,46 +30,105 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Encodes a text as the concatenation of its blank-separated words' ids.
 
-    The vocabulary drops white space before it splits, so no token and no
-    normalisation reaches over an ASCII blank, and a word's ids can be kept.
+    This holds for vocabularies that drop white space and lower-case before
+    they split, and take letters apart from marks, as word_bpe_49k does: no
+    token and no normalisation reaches over an ASCII blank, an ASCII word's
+    case does not matter, and marks at its end have ids of their own. Ids are
+    kept by word, in a bounded memo that the tasks of a worker share.
     """
 
+    END_OF_WORD = "</w>"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith(self.END_OF_WORD)]] = True
         self.ids: dict[bytes, bytes] = {}
+        self.common: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        words = [t.encode().split() if t else [] for t in texts]
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
+        words = [self._words(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(words))
+        got = list(map(self.common.get, flat))
+        missed = [i for i, x in enumerate(got) if x is None]
+        new = {flat[i] for i in missed}.difference(self.ids)
+        if new:
+            self._learn(new)
         known = self.ids
-        new = list({w for ws in words for w in ws if w not in known})
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for i in missed:
+            got[i] = known[flat[i]]
+        if not self.common and len(flat) > 50_000:  # words of the first texts: a memo that fits the processor's cache
+            self.common = {w: known[w] for w, _ in Counter(flat).most_common(COMMON_WORDS)}
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del known[w]
-        return out
+        ends = list(accumulate(map(len, words), initial=0))
+        return [b"".join(got[i:j]) for i, j in pairwise(ends)]
+
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        """Blank-separated words, A-Z lower-cased unless that could matter: before combining marks (U+0300 on), in special tokens."""
+        raw = text.encode()
+        return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Keeps the ids of ``new`` words: those of what is left without marks at its end, then the marks'."""
+        known = self.ids
+        parts = [(w, base, w[len(base) :]) for w in new if b"<|" not in w for base in (w.rstrip(MARKS),)]
+        for w in new.difference([w for w, _, _ in parts]):  # may be a special token
+            known[w] = self._pack(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
+        known[b""] = b""
+        fresh = [x for x in {x for _, base, tail in parts for x in (base, tail)} if x not in known]
+        texts = [x.decode() for x in fresh]
+        plain = [x for x in texts if x.isalpha()]
+        for lo in range(0, len(plain), 500):  # one call for many words: each is one run of letters and ends in one end-of-word token
+            part = plain[lo : lo + 500]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.nonzero(self.ends[ids])[0] + 1)
+            if len(ends) == len(part):
+                flat = ids.tobytes()
+                known.update([(x.encode(), flat[i:j]) for x, i, j in zip(part, [0, *ends.tolist()], ends.tolist(), strict=False)])
+        rest = [x for x in fresh if x not in known]
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), strict=True):
+            known[x] = self._pack(e.ids)
+        known.update([(w, known[base] + known[tail]) for w, base, tail in parts if tail])
+        for x in fresh:
+            if len(x) > LONGEST_CACHED and x not in new:
+                del known[x]
+
+    @staticmethod
+    def _pack(ids) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder for a vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        words = encoder(tokenizer_path)
         tail, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     ids += tail
                     for k, at in enumerate(range(0, len(ids), step)):
                         own = ids[at : at + step]
