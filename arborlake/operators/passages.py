@@ -30,5 +30,5 @@ def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     if short:
         listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["item"]).alias("item")) for r in short])
         hits = F.filter(listed, lambda x: F.contains(F.col("text"), x["item"]))
-        met = met.unionByName(texts.select("doc_id", F.explode(hits)["item_id"].alias("item_id")))
+        met = met.unionByName(texts.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", F.col("hit.item_id").alias("item_id")))
     return met.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("hits"))

@@ -59,7 +59,7 @@ def change_templates(hunks: DataFrame, sources: DataFrame, keys: list[str]) -> t
             for r in b.to_dict("records"):
                 found, reason = mine_change(r["before_source"], r["after_source"], r["content"], r["b_start"], r["a_start"])
                 rows.append({n: r[n] for n in names} | {"reason": reason} | (template_row(found) if found else {}))
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     mined = materialise(joined.mapInPandas(run, schema), "changes")
     return mined.where("reason = 'ok'").drop("reason"), mined.where("reason <> 'ok'").select(*names, "reason")
@@ -164,7 +164,7 @@ def mine(templates: DataFrame, least: float = 0.5, most: int = 2000) -> DataFram
         forest.mine(least)
         forest.compress()
         name = lambda k: None if k is None else f"{first['action']}:{first['block']}:{first['part']}:{k}"
-        return pd.DataFrame([{"template_id": name(k), "parent_id": name(n["parent"]), "action": n["t"].action, "instances": n["n"], **{s: dump_tree(getattr(n["t"], s)) for s in SIDES}, "places": json.dumps([n["t"].before_places, n["t"].after_places])} for k, n in forest.nodes.items()])
+        return pd.DataFrame([{"template_id": name(k), "parent_id": name(n["parent"]), "action": n["t"].action, "instances": n["n"], **{s: dump_tree(getattr(n["t"], s)) for s in SIDES}, "places": json.dumps([n["t"].before_places, n["t"].after_places])} for k, n in forest.nodes.items()], dtype=object)
 
     return dealt.groupBy("action", "block", "part").applyInPandas(run, schema)
 

@@ -93,7 +93,7 @@ def patches(cases: DataFrame, forest: DataFrame, groups: int = 10, per_group: in
                 if _fits(r["source"], list(r["lines"]), r):
                     t = load_tree(r["before"])
                     rows.append({k: r[k] for k in ("case", "template_id", "parent_id", "action", "instances", "before", "after", "source", "lines")} | {"ratio": abstract_ratio(t) if t is not None else 0.0})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
     fit = pairs.select("case", "source", F.col("lines").cast("array<int>").alias("lines"), "template_id", "parent_id", "action", "instances", "before", "after", "before_context", "after_context").mapInPandas(choose, schema)
     parents = fit.select("case", F.col("parent_id").alias("template_id")).where("template_id is not null").distinct()
@@ -108,7 +108,7 @@ def patches(cases: DataFrame, forest: DataFrame, groups: int = 10, per_group: in
             for r in b.astype(object).where(b.notna(), None).to_dict("records"):
                 for k, text in enumerate(apply_template(r["source"], r["action"], load_tree(r["before"]), load_tree(r["after"]), list(r["lines"]), most_patches=per_template)):
                     rows.append((r["case"], r["template_id"], r["action"], int(r["g"]), int(r["r"]), k, text))
-            yield pd.DataFrame(rows, columns=["case", "template_id", "action", "grp", "r", "k", "source"])
+            yield pd.DataFrame(rows, columns=["case", "template_id", "action", "grp", "r", "k", "source"], dtype=object)
 
     made = ranked.mapInPandas(write, "case string, template_id string, action string, grp int, r int, k int, source string")
     order = Window.partitionBy("case").orderBy("grp", "r", "template_id", "k")
@@ -140,7 +140,7 @@ def candidates(found: DataFrame, model: Callable[[list[dict]], list[list[str]]]
             for (r, _), answers in zip(asked, model([p for _, p in asked]), strict=True):
                 filled = {text for a in answers if (text := fill(r["source"], a)) is not None}
                 rows += [(r["case"], r["rank"], text, "model") for text in sorted(filled)]
-            yield pd.DataFrame(rows, columns=["case", "rank", "candidate", "origin"])
+            yield pd.DataFrame(rows, columns=["case", "rank", "candidate", "origin"], dtype=object)
 
     return todo.select("case", "rank", "source").mapInPandas(run, "case string, rank int, candidate string, origin string").distinct()
 

@@ -64,10 +64,10 @@ def inner_sum_having(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, coalesce(u.status, o_orderstatus) AS o_orderstatus FROM orders LEFT JOIN (
-  SELECT l_orderkey, arg_max(l_linestatus || l_returnflag, l_linenumber * 1000000000 + l_partkey) AS status FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) u ON o_orderkey = l_orderkey""")
+  SELECT l_orderkey, arg_max(l_linestatus || l_returnflag, l_linenumber::BIGINT * 1000000000 + l_partkey) AS status FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) u ON o_orderkey = l_orderkey""")
 def last_wins_update(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    updates = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_linestatus", "l_returnflag").alias("status"), (F.col("l_linenumber") * 1000000000 + F.col("l_partkey")).alias("at"))
+    updates = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.concat("l_linestatus", "l_returnflag").alias("status"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("at"))
     return rel.last_wins_update(orders.withColumnRenamed("o_orderstatus", "status"), updates, ["o_orderkey"], "status", F.col("at")).withColumnRenamed("status", "o_orderstatus")
 
 
@@ -77,9 +77,9 @@ def semi_in_metadata(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_not_in_base(spark, sf_dir):
-    with_orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    with_orders = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(with_orders, "c_custkey", "left_anti")
 
 
@@ -177,7 +177,7 @@ LANGS = ("de", "en", "es", "fr")
 
 @query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in LANGS) + " FROM documents GROUP BY source")
 def sim_matrix_pivot(spark, sf_dir):
-    counted = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", list(LANGS)).agg(F.count("*"))
+    counted = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", list(LANGS)).agg(F.count(F.lit(1)))
     return counted.na.fill(0)
 
 

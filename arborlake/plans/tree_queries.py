@@ -65,10 +65,10 @@ def tree_match(spark, sf_dir):
 
 @query
 def anti_unify(spark, sf_dir):
-    parsed = trees.with_tree(_changes(spark).select("case", "after_source"), "after_source").select(F.regexp_extract("case", "^[a-z]+", 0).alias("kind"), "case", F.col("tree")["nodes"].alias("t"))
-    pairs = parsed.alias("x").join(parsed.alias("y"), "kind").where("x.case < y.case")
-    general = pairs.select("kind", F.inline(trees.tree_generalise(F.col("x.t"), F.col("y.t"))))
-    return general.select("kind", "dfs", "last", "type", "value")
+    parsed = trees.with_tree(_changes(spark).select("case", "after_source"), "after_source").select(F.regexp_extract("case", "^[a-z]+", 0).alias("change"), "case", F.col("tree")["nodes"].alias("t"))
+    pairs = parsed.alias("x").join(parsed.alias("y"), "change").where("x.case < y.case")
+    general = pairs.select("change", F.inline(trees.tree_generalise(F.col("x.t"), F.col("y.t"))))
+    return general.select("change", "dfs", "last", "type", "value")
 
 
 def _forest(spark):

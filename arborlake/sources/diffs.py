@@ -79,7 +79,7 @@ def hunks(patches: DataFrame, text_col: str = "text") -> DataFrame:
             for own, text in zip(b[keys].to_dict("records"), b[text_col], strict=True):
                 for commit, patch in split_mails(text) if isinstance(text, str) else ():
                     rows += [own | {"commit": commit} | h for h in parse_diff(patch)]
-            yield pd.DataFrame(rows, columns=names).astype({k: "int32" for k in ("b_start", "b_len", "a_start", "a_len", "hunk_no")})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return patches.mapInPandas(run, schema)
 
