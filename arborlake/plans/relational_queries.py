@@ -48,11 +48,11 @@ def filter_max_lines(spark, sf_dir):
     return rel.at_most_lines(docs, "text", 50).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
-@query("SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 1")
+@query("SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 1")
 def filter_null_passes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return rel.null_passes(docs.join(labels, "doc_id", "left"), F.col("quality") == 1)
+    return rel.null_passes(docs.join(labels, "doc_id", "left"), F.col("quality") == 1).withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
 @query("""SELECT o_orderkey, o_custkey, total::DOUBLE AS total FROM orders JOIN (
