@@ -1,4 +1,4 @@
-"""Passages that documents share: paragraph MinHash banding and exact verification."""
+"""Passages that documents share: paragraph MinHash banding with exact verification, and long exact runs."""
 
 from __future__ import annotations
 
@@ -7,52 +7,88 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import components
-from .simhash import shingle_hashes
+from .components import components, thinned
+from .words import BYTE_BASE, Words, mix, parts, release
 
 BLOCK = 512  # members of a compared block on average
 
 
-def bands(similarity: float, rows: int = 4, recall: float = 0.999) -> int:
+def bands(similarity: float, rows: int = 3, recall: float = 0.999) -> int:
     """The fewest bands of ``rows`` hashes that let pairs of ``similarity`` collide with probability ``recall``."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-def paragraphs(docs: DataFrame, width: int, least_words: int, n_bands: int, rows: int, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, para, start, length, key, bands, text): every paragraph of ``least_words`` words or more.
+UNITS = "doc_id long, run boolean, start long, length long, key long, bands array<long>, text string"
 
-    A paragraph is a line; start and length count characters of the text. key
-    is a 128-bit hash of the lower-cased words; bands hash ``rows`` MinHash
-    values of the distinct shingles each.
+
+def units(docs: DataFrame, width: int, least_words: int, n_bands: int, rows: int, window: int, spread: int, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs and windows of every text, as rows of UNITS; start and length in bytes of UTF-8.
+
+    A paragraph is a line of ``least_words`` words or more; bands hash ``rows``
+    MinHash values of its distinct shingles each. A window (run is true) is
+    ``window`` words from an anchor; windows have no bands and no text. key
+    hashes the lower-cased words.
     """
-    odd = np.random.default_rng(seed).integers(0, 2**63, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mix = np.random.default_rng(seed + 1).integers(0, 2**63, (n_bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    random = np.random.default_rng(seed)
+    odd = random.integers(0, 2**63, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    fold = random.integers(0, 2**63, (n_bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    place = np.arange(n_bands, dtype=np.uint64) * np.uint64(BYTE_BASE)  # bands apart
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    names = ["doc_id", "run", "start", "length", "key", "bands", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        names = ["doc_id", "para", "start", "length", "key", "bands", "text"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()]
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                out: list[tuple] = []
+            for part in parts(b, 1, 256):
+                lines: list[tuple] = []
+                found: list[tuple[np.ndarray, ...]] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    at = 0
-                    for k, line in enumerate((text or "").split("\n")):
-                        raw = line.encode()
-                        words = raw.lower().split()
-                        if len(words) >= least_words:
-                            hashes = np.unique(shingle_hashes(raw, width))
-                            least = np.asarray([(hashes * a).min() for a in odd]).reshape(n_bands, rows)
-                            out.append((doc, k, at, len(line), xxh3_128_digest(b" ".join(words)), ((least * mix).sum(axis=1)).view(np.int64), line))
-                        at += len(line) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names)
+                    if not text or len(w := Words(text)) < min(least_words, window):
+                        continue
+                    grams = w.grams(width)
+                    cuts = np.concatenate([[0], np.nonzero(np.diff(w.line))[0] + 1, [len(w)]])
+                    for i, j, key in zip(cuts[:-1], cuts[1:], w.run(cuts[:-1], cuts[1:]).view(np.int64).tolist(), strict=True):
+                        if j - i >= least_words:
+                            shingles = np.unique(grams[i : max(i + 1, j - width + 1)])
+                            least = np.min([(odd[:, None] * shingles[None, k : k + 4096]).min(axis=1) for k in range(0, len(shingles), 4096)], axis=0).reshape(n_bands, rows)
+                            s, e = int(w.starts[i]), int(w.ends[j - 1])
+                            lines.append((doc, False, s, e - s, key, mix((least * fold).sum(axis=1, dtype=np.uint64) + place).view(np.int64), text[s:e].decode()))
+                    at = w.anchors(width, spread)
+                    at = at[at + window <= len(w)]
+                    if len(at):
+                        found.append((np.full(len(at), -1 if doc is None else doc), np.full(len(at), doc is None), w.starts[at], w.ends[at + window - 1] - w.starts[at], w.run(at, at + window).view(np.int64)))
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*lines, strict=True), types, strict=True)], names)
+                if found:
+                    ids, none, start, length, key = (np.concatenate(c) for c in zip(*found, strict=True))
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none), pa.array(np.ones(n, bool)), pa.array(start), pa.array(length), pa.array(key), pa.nulls(n, types[5]), pa.nulls(n, types[6])], names)
+        release()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, UNITS)
+
+
+def sieve(df: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of ``df`` whose key may be one of ``wanted``'s: a bitmap of fixed size spares the others the shuffle.
+
+    The driver sees the bitmap, 2**bits bits. Where there are many more wanted
+    keys than bits all rows pass, and the join that follows does all the work.
+    """
+    mask = (1 << bits) - 1
+    words = wanted.groupBy(F.expr(f"(key & {mask}) >> 6").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["w"].to_numpy()] = words["bits"].to_numpy()
+    packed = table.tobytes()
+    at = df.columns.index("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
+        for b in batches:
+            yield b.filter(pa.array(there[b.column(at).to_numpy() & mask]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, para int, start long, length long, key binary, bands array<long>, text string")
+    return df.mapInArrow(run, df.schema)
 
 
 def spanning_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -86,67 +122,115 @@ def spanning_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def near_paragraph_links(found: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): links between distinct paragraphs (their 64-bit ids) that span the components of verified pairs.
+    """(a, b): links between distinct paragraphs (their keys) that span the components of verified pairs.
 
     Buckets of colliding paragraphs with the same members in several bands are
     compared once. A bucket is dealt into blocks of about 512 by hash, and
     every pair of its blocks is compared: none is cut short.
     """
-    distinct = found.groupBy("id").agg(F.min(F.struct("doc_id", "para")).alias("at"), F.first("bands").alias("bands"))
-    colliding = distinct.select("id", F.posexplode("bands").alias("band", "value"))
-    buckets = colliding.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members")).where("n > 1")
-    once = buckets.groupBy("n", "members").agg(F.min(F.struct("band", "value")).alias("b")).select("n", "b.band", "b.value")
-    met = materialise(colliding.join(once, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "n", "id"), "met")
-    wanted = met.select("id").distinct().join(distinct.select("id", "at.doc_id", "at.para"), "id")
-    held = found.select(F.col("id").alias("i"), F.col("doc_id").alias("d"), F.col("para").alias("p"), "text")
-    texts = wanted.join(held, F.expr("id = i and doc_id <=> d and para = p")).groupBy("id").agg(F.first("text").alias("text"))
-    blocks = materialise(met.join(texts, "id").withColumn("block", F.expr(f"pmod(xxhash64(id, 3), n div {BLOCK} + 1)")).groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "text")).alias("m")), "buckets")
-    pairs = blocks.select("bucket", F.col("block").alias("own"), F.col("m").alias("l")).join(blocks, "bucket").where("own <= block").select(F.col("l.id").alias("a"), F.col("l.text").alias("x"), F.when(F.col("own") < F.col("block"), F.col("m.id")).alias("b"), F.when(F.col("own") < F.col("block"), F.col("m.text")).alias("y"))
+    distinct = found.groupBy("key").agg(F.first("bands").alias("bands"))
+    colliding = materialise(distinct.select("key", F.explode("bands").alias("bucket")), "bands")
+    buckets = colliding.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).where("n > 1")
+    once = materialise(buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")), "buckets")
+    met = materialise(sieve(colliding.withColumnRenamed("key", "own").withColumnRenamed("bucket", "key"), once.select(F.col("bucket").alias("key"))).select(F.col("key").alias("bucket"), F.col("own").alias("key")).join(once.select("bucket", "n"), "bucket"), "met")
+    wanted = met.select("key").distinct()
+    texts = sieve(found.select("key", "text"), wanted).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    blocks = materialise(met.join(texts, "key").withColumn("block", F.expr(f"pmod(xxhash64(key, 3), n div {BLOCK} + 1)")).groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "text")).alias("m")), "buckets")
+    pairs = blocks.select("bucket", F.col("block").alias("own"), F.col("m").alias("l")).join(blocks, "bucket").where("own <= block").select(F.col("l.key").alias("a"), F.col("l.text").alias("x"), F.when(F.col("own") < F.col("block"), F.col("m.key")).alias("b"), F.when(F.col("own") < F.col("block"), F.col("m.text")).alias("y"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [np.empty((0, 2), np.int64)]
             for a, x, b, y in batch.itertuples(index=False):
-                ids = np.concatenate([a, b if b is not None else []]).astype(np.int64)
-                sets = [np.unique(shingle_hashes(t.encode(), width)) for t in [*x, *(y if y is not None else [])]]
+                ids = np.concatenate([np.asarray(a, np.int64), np.asarray([] if b is None else b, np.int64)])
+                sets = [np.unique(Words(t.encode()).grams(width)) for t in [*x, *(y if y is not None else [])]]
                 links = spanning_pairs(sets, similarity)
                 if links:
-                    out.append(ids[np.asarray(links)])
+                    out.append(thinned(ids[np.asarray(links)]))
             links = np.concatenate(out)
             yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_words: int = 40, rows: int = 4, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, para, start, length, class_doc_id, class_para, copies, kept): every paragraph that repeats.
+def classes(parts: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """``parts`` (doc_id, start, length, ``node``) in classes that ``links`` join, those within one document apart."""
+    nodes = parts.groupBy(node).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    joined = components(links)
+    named = nodes.join(joined, nodes[node] == joined["node"], "left").withColumn("class", F.coalesce("component", node))
+    whole = named.groupBy("class").agg(F.sum("n").alias("copies"), F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    of = named.select(node, "class").join(whole, "class").select(node, "copies", F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"))
+    own = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("start") == F.col("class_start"))
+    return parts.join(of, node).select("doc_id", "start", "length", "class_doc_id", "class_start", "copies", own.alias("kept"))
+
 
-    Paragraphs of ``least_words`` words or more are one class if a chain of
-    pairs with exact Jaccard similarity >= ``similarity`` over ``width``-word
-    shingles joins them. Equal ones (letter case and blanks apart) are one
-    node whatever their number. A class is named after its first paragraph by
-    (doc_id, para), the one that is kept; ``copies`` counts its paragraphs.
-    start and length are the span of characters to remove where kept is false.
+def shared_runs(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, links) of windows that occur in two documents: overlapping ones in a document are one run.
 
-    Null, empty and blank texts have no paragraph; nor do shorter ones occur.
-    Null ids come first in their class. Repeated rows repeat each other; the
-    kept one is then any of the equals. Other columns are ignored. An empty
-    table gives an empty result.
+    Runs with a window in common are linked, all to the window's first run.
+    """
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    shared = materialise(shared, "shared")
+    met = sieve(windows, shared).join(shared, "key").select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "key")
+    order = Window.partitionBy("doc_id").orderBy("start")
+    apart = F.when(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    numbered = met.withColumn("cut", apart).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = materialise(numbered.select("doc_id", "start", "end", "key", F.xxhash64("doc_id", "island").alias("span")), "runs")
+    runs = placed.groupBy("span").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "span")
+    first = placed.groupBy("key").agg(F.min("span").alias("b"))
+    links = placed.select("key", F.col("span").alias("a")).distinct().join(first, "key").where("a <> b").select("a", "b").distinct()
+    return runs, links
+
+
+def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_words: int = 40, rows: int = 3, recall: float = 0.999, window: int = 32, spread: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, kind, start, length, class_doc_id, class_start, copies, kept): every passage that occurs in two documents.
+
+    kind paragraph: lines of ``least_words`` words or more are one class if a
+    chain of pairs with exact Jaccard similarity >= ``similarity`` over
+    ``width``-word shingles joins them; candidates collide in a MinHash band.
+    Equal ones (letter case and blanks apart) are one node whatever their
+    number. kind run: word for word repeats that need not fill a paragraph.
+    Windows of ``window`` words begin at content-defined anchors, of which
+    there is one in any ``spread`` places; equal windows of different documents
+    are found by hash, and overlapping ones are one run. Every repeat of
+    ``window + spread`` words or more is found; some shorter ones are.
+
+    start and length are bytes of the text in UTF-8. A class is named after its
+    first passage by (doc_id, start), the one that is kept; ``copies`` counts
+    its passages. Passages that repeat within one document only do not occur.
+
+    Null, empty and short texts have no passage. Passages of null ids belong to
+    classes, but name no second document. Repeated rows are one document. Other
+    columns are ignored. An empty table gives an empty result.
     """
-    found = materialise(paragraphs(docs, width, least_words, bands(similarity, rows, recall), rows, id_col=id_col, text_col=text_col).withColumn("id", F.xxhash64("key")), "paragraphs")
-    joined = components(near_paragraph_links(found, width, similarity))
-    nodes = found.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "para", "start")).alias("first"))
-    named = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "n", "first", F.coalesce("component", "id").alias("class"))
-    classes = named.groupBy("class").agg(F.sum("n").alias("copies"), F.min("first").alias("first")).where("copies > 1")
-    of = named.select("id", "class").join(classes, "class").select("id", "copies", F.col("first.doc_id").alias("class_doc_id"), F.col("first.para").alias("class_para"))
-    instances = found.select("doc_id", "para", "start", "length", "id").join(of, "id")
-    own = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("para") == F.col("class_para"))
-    return instances.select("doc_id", "para", "start", "length", "class_doc_id", "class_para", "copies", own.alias("kept"))
+    found = materialise(units(docs, width, least_words, bands(similarity, rows, recall), rows, window, spread, id_col=id_col, text_col=text_col), "units")
+    lines = found.where("not run")
+    paragraphs = classes(lines.select("doc_id", "start", "length", "key"), "key", near_paragraph_links(lines, width, similarity))
+    spans, links = shared_runs(found.where("run").select("doc_id", "start", "length", "key"))
+    runs = classes(spans, "span", links)
+    order = ["doc_id", "kind", "start", "length", "class_doc_id", "class_start", "copies", "kept"]
+    return paragraphs.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("run"))).select(*order)
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs of ``passages`` (see repeated_passages) that are not kept."""
-    cut = passages.where("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("__cut")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(cut, docs[id_col] == cut["__id"], "left")
-    left = F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(F.col("__cut"), k))
-    return joined.withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop("__id", "__cut")
+    """``docs`` without the bytes of ``passages`` (see repeated_passages) that are not kept."""
+    cut = passages.where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__cut")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(cut, docs[id_col] == cut["__id"], "left").drop("__id")
+    at = joined.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, cuts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if text is not None and cuts:
+                    raw, out, done = text.encode(), [], 0
+                    for c in cuts:
+                        out.append(raw[done : max(done, c["start"])])
+                        done = max(done, c["start"] + c["length"])
+                    text = b"".join([*out, raw[done:]]).decode()
+                texts.append(text)
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, list(b.schema.names[:-1]))
+
+    return joined.mapInArrow(run, docs.schema)
