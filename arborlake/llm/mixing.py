@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
+from .words import release
 
 #: floor(2**40 / golden ratio): a step of the golden-ratio sequence in units of 2**-40.
 GOLDEN_STEP = 679_538_232_609
@@ -42,6 +43,7 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
         for b in batches:
             sizes = [len(x.as_py().split()) if x.is_valid else 0 for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(count, "doc_id long, source string, size long")
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from .words import release
 
 MARKS = b"!#$%&*+<=>@^_`{|}~\\/"
 _NO_UPPER = bytes(range(65, 91))
@@ -60,6 +61,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             rows = [document_statistics(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
@@ -177,5 +179,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, thresh
             if b.num_rows:
                 x = np.asarray([document_statistics(t.as_py()) for t in b.column(at)])
                 yield b.filter(pa.array(model.score(x) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import components
+from .components import components, thinned
+from .words import Words, release
 
 MEAN_BLOCK = 2048
 
@@ -54,45 +55,30 @@ def vote(hashes: np.ndarray, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int, words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, shingles): fingerprints of whole texts, and how many (distinct) shingles voted."""
+    """(doc_id, fp, shingles): fingerprints of whole texts, and how many shingles voted: each one's XXH64, or distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, sizes = [], []
             for x in b.column(1):
-                hashes = shingle_hashes(x.as_py(), width)
-                hashes = np.unique(hashes) if distinct else hashes
+                text = x.as_py()
+                hashes = np.unique(Words(text or b"").grams(width)) if distinct else shingle_hashes(text, width)
                 fps.append(vote(hashes, words))
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "shingles"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, shingles long")
 
 
-def spanning_links(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Index pairs into a then b, linked within ``radius`` bits, thinned to ones that join the same components.
-
-    a, b: (n, words) arrays. At most len(a) + len(b) links are returned.
-    """
-    i, j = [], []
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Index pairs into a and b, (n, words) arrays, of fingerprints within ``radius`` bits."""
+    out = [np.empty((0, 2), np.int64)]
     slab = max(1, (1 << 18) // max(1, len(b)))
     for lo in range(0, len(a), slab):
         bits = sum(np.bitwise_count(a[lo : lo + slab, None, k] ^ b[None, :, k]).astype(np.uint16) for k in range(a.shape[1]))
-        x, y = np.nonzero(bits <= radius)
-        i.append(x + lo)
-        j.append(y)
-    u, v = np.concatenate(i), np.concatenate(j) + len(a)
-    root = np.arange(len(a) + len(b))
-    while True:  # the least label spreads along links, then labels jump to their label's label
-        new = root.copy()
-        np.minimum.at(new, u, root[v])
-        np.minimum.at(new, v, root[u])
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            break
-        root = new
-    moved = np.nonzero(root != np.arange(len(root)))[0]
-    return np.stack([moved, root[moved]], axis=1)
+        out.append(np.argwhere(bits <= radius) + [lo, 0])
+    return np.concatenate(out)
 
 
 def link_fingerprints(nodes: DataFrame, offsets: list[int], radius: int, words: int) -> DataFrame:
@@ -116,11 +102,11 @@ def link_fingerprints(nodes: DataFrame, offsets: list[int], radius: int, words:
         for batch in batches:
             found = [np.empty((0, 2), np.int64)]
             for a, x, ids, fps in batch.itertuples(index=False):
-                links = spanning_links(array(x), array(fps), radius)
-                found.append(np.concatenate([a, ids]).astype(np.int64)[links])
+                near = near_pairs(array(x), array(fps), radius)
+                found.append(thinned(np.stack([np.asarray(a, np.int64)[near[:, 0]], np.asarray(ids, np.int64)[near[:, 1]]], axis=1)))
             links = np.concatenate(found)
-            links = links[links[:, 0] != links[:, 1]]
             yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+        release()
 
     return pairs.mapInPandas(compare, "a long, b long")
 
