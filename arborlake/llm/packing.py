@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
+from .words import parts, release
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Marks that the vocabulary splits from letters before them.
-MARKS = b".,;:!?|#*%&$()\"+=-"
+MARKS = ".,;:!?|#*%&$()\"+=-"
 LONGEST_CACHED = 48
-COMMON_WORDS = 20_000
 
 
 def default_tokenizer() -> str:
@@ -28,13 +28,15 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Encodes a text as the concatenation of its blank-separated words' ids.
+    """Encodes texts as the concatenation of their blank-separated words' ids.
 
     This holds for vocabularies that drop white space and lower-case before
     they split, and take letters apart from marks, as word_bpe_49k does: no
-    token and no normalisation reaches over an ASCII blank, an ASCII word's
-    case does not matter, and marks at its end have ids of their own. Ids are
-    kept by word, in a bounded memo that the tasks of a worker share.
+    token and no normalisation reaches over an ASCII blank, an ASCII letter's
+    case does not matter but before a combining mark, and marks at a word's end
+    have ids of their own. Splitting, finding the distinct words of a batch and
+    putting their ids together again are Arrow's; ids are kept by word, in a
+    bounded memo that lasts for a task.
     """
 
     END_OF_WORD = "</w>"
@@ -47,60 +49,55 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith(self.END_OF_WORD)]] = True
-        self.ids: dict[bytes, bytes] = {}
-        self.common: dict[bytes, bytes] = {}
+        self.ids: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+    def encode(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """All texts' ids as little-endian unsigned 32-bit numbers, and where in bytes each text's begin and end."""
         if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        words = [self._words(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(words))
-        got = list(map(self.common.get, flat))
-        missed = [i for i, x in enumerate(got) if x is None]
-        new = {flat[i] for i in missed}.difference(self.ids)
-        if new:
-            self._learn(new)
+            self.ids = {"": b""}
+        texts = pc.fill_null(texts, "")
+        # case stays where it could matter: in special tokens, before combining marks
+        keep = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
+        words = pc.ascii_split_whitespace(pc.if_else(keep, texts, pc.ascii_lower(texts)))
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.ids
-        for i in missed:
-            got[i] = known[flat[i]]
-        if not self.common and len(flat) > 50_000:  # words of the first texts: a memo that fits the processor's cache
-            self.common = {w: known[w] for w, _ in Counter(flat).most_common(COMMON_WORDS)}
+        new = [w for w in distinct if w not in known]
+        self._learn(new)
+        joined = pa.array([known[w] for w in distinct], pa.large_binary()).take(coded.indices)
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del known[w]
-        ends = list(accumulate(map(len, words), initial=0))
-        return [b"".join(got[i:j]) for i, j in pairwise(ends)]
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+        return memoryview(joined.buffers()[2] or b""), offsets[bounds]
 
-    @staticmethod
-    def _words(text: str) -> list[bytes]:
-        """Blank-separated words, A-Z lower-cased unless that could matter: before combining marks (U+0300 on), in special tokens."""
-        raw = text.encode()
-        return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
-
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Keeps the ids of ``new`` words: those of what is left without marks at its end, then the marks'."""
         known = self.ids
-        parts = [(w, base, w[len(base) :]) for w in new if b"<|" not in w for base in (w.rstrip(MARKS),)]
-        for w in new.difference([w for w, _, _ in parts]):  # may be a special token
-            known[w] = self._pack(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
-        known[b""] = b""
-        fresh = [x for x in {x for _, base, tail in parts for x in (base, tail)} if x not in known]
-        texts = [x.decode() for x in fresh]
-        plain = [x for x in texts if x.isalpha()]
+        special = [w for w in new if "<|" in w]
+        for w in special:  # may be a special token
+            known[w] = self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        split = [(w, base, w[len(base) :]) for w in new for base in (w.rstrip(MARKS),)]
+        if special:
+            split = [x for x in split if "<|" not in x[0]]
+        fresh = {base for _, base, _ in split}
+        fresh.update([tail for _, _, tail in split])
+        fresh = [x for x in fresh if x not in known]
+        plain = [x for x in fresh if x.isalpha()]
         for lo in range(0, len(plain), 500):  # one call for many words: each is one run of letters and ends in one end-of-word token
             part = plain[lo : lo + 500]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (np.nonzero(self.ends[ids])[0] + 1)
+            ends = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
             if len(ends) == len(part):
                 flat = ids.tobytes()
-                known.update([(x.encode(), flat[i:j]) for x, i, j in zip(part, [0, *ends.tolist()], ends.tolist(), strict=False)])
+                known.update(zip(part, [flat[i:j] for i, j in pairwise([0, *ends])], strict=True))
         rest = [x for x in fresh if x not in known]
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False), strict=True):
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[x] = self._pack(e.ids)
-        known.update([(w, known[base] + known[tail]) for w, base, tail in parts if tail])
-        for x in fresh:
-            if len(x) > LONGEST_CACHED and x not in new:
+        known.update([(w, known[base] + known[tail]) for w, base, tail in split if tail])
+        for x in set(fresh).difference(new):
+            if len(x) > LONGEST_CACHED:
                 del known[x]
 
     @staticmethod
@@ -125,15 +122,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         words = encoder(tokenizer_path)
         tail, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for part in parts(batch, 1, 1024, 1 << 23):
+                ids, bounds = words.encode(part.column(1))
                 out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
-                    ids += tail
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        own = ids[at : at + step]
-                        out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
+                for doc, begin, end in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if end - begin < step:
+                        out.append((doc, 0, 0, (end - begin) // 4 + 1, zlib.crc32(tail, zlib.crc32(ids[begin:end]))))
+                        continue
+                    own = bytes(ids[begin:end]) + tail
+                    out += [(doc, k, at // 4, len(own[at : at + step]) // 4, zlib.crc32(own[at : at + step])) for k, at in enumerate(range(0, len(own), step))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.ids = {"": b""}
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
