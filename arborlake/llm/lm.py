@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from .words import parts as slices, release
 
 #: The token after a text's last word; no word holds a blank.
 END = b" "
@@ -80,10 +81,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 if len(counts) > FLUSH:
                     yield flush()
         yield flush()
+        release()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def common_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` of the commonest words with their counts, in order: those above a count that a histogram gives."""
+    step = F.floor(F.log2("c") * 16)
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["step"]
+    rows = counts.where(step >= least).collect() if least is not None else []
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(pair, n): counts of (previous unit, unit) over ``texts`` as previous * size + unit; a text begins after END."""
     size = vocabulary.size
@@ -92,9 +106,9 @@ def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         counts = np.zeros(size * size, np.int64)
         units = Units(vocabulary)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
+            for part in slices(b, 1, 1024):
                 own = [vocabulary.unit(END)]  # and each text's end stands before the next text
-                for x in b.column(1).slice(lo, 1024):
+                for x in part.column(1):
                     own += map(units.__getitem__, tokens(x.as_py()))
                 k = np.asarray(own, np.int64)
                 counts += np.bincount(k[:-1] * size + k[1:], minlength=size * size)
@@ -174,7 +188,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int
     counts = materialise(token_counts(learn), "counts")
     facts = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = facts[0] or 0, facts[1]
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(common).collect()]
+    top = common_words(counts, common)
     known = dict(top)
     alone = {END: 0}
     for w, _ in top[:words]:
@@ -184,7 +198,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int
     forms = counts.join(F.broadcast(singles), "word", "left_anti").groupBy(shape.alias("shape")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "shape").limit(shapes).collect()
     vocabulary = Vocabulary(alone, {bytes(r["shape"]): len(alone) + k for k, r in enumerate(forms)})
 
-    got = pair_counts(learn, vocabulary).toPandas()
+    got = pair_counts(learn, vocabulary).toArrow()
     pairs = np.zeros(vocabulary.size**2)
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     table = train(pairs.reshape(vocabulary.size, -1), rank, noise, steps)
@@ -225,8 +239,7 @@ def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, table: n
         inside = {w: float(np.log10(c + add)) for w, c in common.items()}
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in slices(b, 1, 512):
                 rows: list[tuple] = []
                 for doc, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     own = tokens(x.as_py())
@@ -238,6 +251,7 @@ def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, table: n
                     rows.append((serial, doc, len(own), len(own) - len(rare), words, model, list(few), list(few.values())))
                     serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)], list(FIELDS))
+        release()
 
     parts = materialise(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, words double, model double, rare array<binary>, times array<int>"), "sums")
     sums = ["n_tokens", "n_known", "words", "model"]
