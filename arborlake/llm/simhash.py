@@ -86,13 +86,14 @@ def link_fingerprints(nodes: DataFrame, offsets: list[int], radius: int, words:
 
     A tile meets the tiles whose keys are ``offsets`` above its own; the caller
     chooses keys and offsets so that tiles whose population counts differ
-    beyond the radius are skipped and no link is lost. A tile is dealt into
-    blocks of about 2048 by hash, so that a crowded tile is many small tasks;
+    beyond the radius are skipped and no link is lost. There are at most some
+    100,000 tiles, so their counts go to all tasks. A tile is dealt into blocks
+    of about 2048 by hash, so that a crowded tile is many small tasks;
     blocks are compared with exclusive-or and bit counts, and a pair of blocks
     returns fewer links than it has members.
     """
     counts = nodes.groupBy("tile").agg(F.count("*").alias("n"))
-    dealt = nodes.join(counts, "tile").select("tile", F.expr(f"pmod(xxhash64(id, 7), n div {MEAN_BLOCK} + 1)").alias("block"), "id", "fp")
+    dealt = nodes.join(F.broadcast(counts), "tile").select("tile", F.expr(f"pmod(xxhash64(id, 7), n div {MEAN_BLOCK} + 1)").alias("block"), "id", "fp")
     blocks = materialise(dealt.groupBy("tile", "block").agg(F.collect_list(F.struct("id", "fp")).alias("m")).select("tile", "block", F.col("m.id").alias("ids"), F.col("m.fp").alias("fps")), "tiles")
     left = blocks.withColumn("delta", F.explode(F.array(*[F.lit(k).cast("long") for k in offsets]))).select((F.col("tile") + F.col("delta")).alias("tile"), "delta", F.col("block").alias("own"), F.col("ids").alias("a"), F.col("fps").alias("x"))
     pairs = left.join(blocks, "tile").where("delta <> 0 or own <= block").select("a", "x", "ids", "fps")
