@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
+
+#: Lines of at most 8 bytes each that may be sent to all tasks: 16 MB.
+BROADCAST_LINES = 2_000_000
+
 
 def site_lines(pages: DataFrame, site_col: str, text_col: str) -> DataFrame:
     """(site, page, line): hashes of each page's distinct non-blank lines, one row per page content and line."""
@@ -29,16 +34,19 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 5
     """``pages`` with boilerplate lines taken out of ``text_col``, and (n_lines, n_dropped) beside.
 
     Built-in functions only. Lines are split at LF and compared whole by 64-bit
-    hash; blank lines stay. The lists of lines, one row per site, are joined to
-    the pages; a list is short (see boilerplate), so the join is a broadcast
-    where Spark knows the table to be small, else AQE splits large sites.
+    hash; blank lines stay. The lists of lines, one row per site, are written
+    and counted: up to BROADCAST_LINES lines they are sent to all tasks, so
+    that pages are not shuffled; beyond that the join shuffles by site, and AQE
+    splits large ones.
 
     A null text stays null with 0 lines; an empty text is one blank line. A
     null site is a site of its own. Repeated rows stay. Other columns pass
     through; ``n_lines`` and ``n_dropped`` replace ones of that name. An empty
     table gives an empty result.
     """
-    listed = boilerplate(pages, ratio, least_pages, site_col, text_col).select(F.col("site").alias("__site"), F.col("lines").alias("__lines"))
+    listed = materialise(boilerplate(pages, ratio, least_pages, site_col, text_col).select(F.col("site").alias("__site"), F.col("lines").alias("__lines")), "boilerplate")
+    if (listed.agg(F.sum(F.size("__lines") + 4)).first()[0] or 0) <= BROADCAST_LINES:
+        listed = F.broadcast(listed)
     joined = pages.join(listed, pages[site_col].eqNullSafe(listed["__site"]), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), F.xxhash64(x)))
