@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import components
+from .components import components, thinned
 from .topk import usable
 
 GROUP = 48  # members of a local join at most
@@ -91,8 +91,8 @@ def descend(nodes: DataFrame, graph: DataFrame, size: int) -> DataFrame:
     return best_lists(graph.unionByName(local_join(grouped(members, ["center"], nodes), size)), size)
 
 
-def audit_links(nodes: DataFrame, n: int, threshold: float, probes: int, size: int) -> DataFrame:
-    """(a, b): the nearest ``size`` true links of about ``probes`` of the ``n`` nodes, found by comparing every node with them."""
+def audit_counts(nodes: DataFrame, n: int, threshold: float, probes: int) -> DataFrame:
+    """(id, nodes, rows): with how many other nodes, and rows of theirs, each of about ``probes`` of the ``n`` nodes links, found by comparing it with every node."""
     sample = nodes.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(1, n // probes))) == 0).select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("d"), "v").toPandas()
     by = {key: (own["id"].to_numpy(), np.stack(own["v"].to_numpy())) for key, own in sample.groupby(["label", "d"])}
 
@@ -101,29 +101,65 @@ def audit_links(nodes: DataFrame, n: int, threshold: float, probes: int, size: i
             for key, own in batch.groupby(["label", "d"]):
                 if key in by:
                     ids, v = by[key]
-                    other = own["id"].to_numpy()
-                    sims = v @ np.stack(own["v"].to_numpy()).T
-                    sims[ids[:, None] == other[None, :]] = -2.0
-                    if sims.shape[1] > size:  # a probe's best of the batch are enough
-                        sims[sims < -np.partition(-sims, size - 1, axis=1)[:, size - 1 : size]] = -2.0
-                    i, j = np.nonzero(sims >= threshold)
-                    yield pd.DataFrame({"a": ids[i], "b": other[j], "sim": sims[i, j]})
+                    near = v @ np.stack(own["v"].to_numpy()).T >= threshold
+                    near &= ids[:, None] != own["id"].to_numpy()[None, :]
+                    at = np.nonzero(near.any(axis=1))[0]
+                    yield pd.DataFrame({"id": ids[at], "nodes": near[at].sum(axis=1), "rows": near[at] @ own["copies"].to_numpy()})
 
-    found = nodes.select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("d"), "v").mapInPandas(run, "a long, b long, sim double")
-    return best_lists(found, size).select("a", "b")
+    found = nodes.select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("d"), "v", "copies").mapInPandas(run, "id long, nodes long, rows long")
+    return found.groupBy("id").agg(F.sum("nodes").alias("nodes"), F.sum("rows").alias("rows"))
 
 
-def recall_of(graph: DataFrame, truth: DataFrame, threshold: float, size: int) -> float:
-    """Share of the true links that are in the graph, either way round, or whose node has a saturated list.
+def lists_met(graph: DataFrame, truth: DataFrame, threshold: float, size: int) -> float:
+    """Share of what the probes' lists of ``size`` should hold of their true links that they hold."""
+    listed = graph.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    wanted = F.least("nodes", F.lit(size))
+    got = truth.join(listed, "id", "left").agg(F.sum(wanted), F.sum(F.least(F.coalesce("n", F.lit(0)), wanted))).first()
+    return (got[1] or 0) / got[0] if got[0] else 1.0
 
-    What else a saturated list would hold is found when it is enlarged.
+
+def recall_of(counted: DataFrame, truth: DataFrame) -> float:
+    """Share of the probes' true links, all of them, that are in ``counted``: over all links or in the mean of the probes, whichever is less."""
+    found = F.coalesce("links", F.lit(0).cast("long"))
+    got = truth.join(counted.select("id", "links"), "id", "left").agg(F.sum("rows"), F.sum(found), F.avg(found / F.col("rows"))).first()
+    return min(got[1] / got[0], got[2]) if got[0] else 1.0
+
+
+def block_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that span the components of all links between ``some`` of the ``nodes`` and every node of their label, exactly.
+
+    Both sides are dealt into blocks of about 1024; every block of ``some`` is
+    compared with every block of its label.
     """
-    near = graph.where(F.col("sim") >= threshold)
-    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    saturated = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("a", F.lit(1).alias("full"))
-    met = truth.join(both.withColumn("hit", F.lit(1)), ["a", "b"], "left").join(saturated, "a", "left")
-    got = met.agg(F.count("*"), F.count(F.coalesce("hit", "full"))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    key = ["label", "d"]
+    tall = lambda df: df.select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("d"), "v")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy(*key).agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
+        placed = df.join(sizes, key).withColumn("block", F.expr("pmod(xxhash64(id, 17), blocks)"))
+        return placed.groupBy(*key, "block", "blocks").agg(F.collect_list(F.struct("id", "v")).alias("m"))
+
+    blocks = materialise(dealt(tall(nodes)), "blocks")
+    count = blocks.select(*key, "blocks").distinct()
+    left = dealt(tall(some)).drop("block", "blocks").join(count, key).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(*key, "block", F.col("m.id").alias("a"), F.col("m.v").alias("av"))
+    pairs = left.join(blocks, [*key, "block"]).select("a", "av", F.col("m.id").alias("b"), F.col("m.v").alias("bv"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, av, b, bv in batch.itertuples(index=False):
+                i, j = np.nonzero(np.stack(av) @ np.stack(bv).T >= threshold)
+                links = thinned(np.stack([np.asarray(a, np.int64)[i], np.asarray(b, np.int64)[j]], axis=1))
+                yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    return pairs.mapInPandas(run, "a long, b long")
+
+
+def joined_counts(nodes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(id, links, first): the nodes of the components that ``links`` make, with their links in it and its least vec_id."""
+    joined = components(links)
+    members = materialise(nodes.join(joined, nodes["id"] == joined["node"]).select("id", "component", "v", "copies", "least"), "members")
+    named = members.groupBy("component").agg(F.min("least").alias("first"))
+    return materialise(members.join(count_links(members, threshold), "id").join(named, "component").select("id", "links", "first"), "counted")
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -156,13 +192,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10,
 
     Equal vectors of a label are one node. Neighbour lists of ``size`` start
     from buckets of random sign projections; rounds of NN-descent then join
-    each neighbourhood with itself, until ``recall`` of the links that an audit
-    of ``probes`` nodes against all nodes found are in the graph or belong to
-    saturated lists, or ``rounds`` are done. A list is saturated if all of it reaches the
-    threshold: there may be more. Such lists are enlarged to the whole
-    component that the threshold edges make, whose members are all compared
-    in blocks, so that counts of links are complete and no pair is kept below
-    the threshold. The graph alone decides which vectors share a component.
+    each neighbourhood with itself, until the lists of ``probes`` nodes hold
+    ``recall`` of what they should, by an audit against all nodes, or
+    ``rounds`` are done. A list is saturated if all of it reaches the
+    threshold: there may be more. Nodes with such lists are compared with every
+    node of their label, in blocks, so that no link of theirs is lost; then the
+    members of each component are, so that counts of links are complete and
+    no pair is kept below the threshold.
 
     n_links counts other rows linked directly; component_id is the smallest
     vec_id reachable, itself included; kept is whether that is the row's own.
@@ -187,16 +223,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10,
         graph = None
     else:
         graph = materialise(best_lists(edges, size), "graph")
-        truth = materialise(audit_links(nodes, sum(f["all"] for f in facts), threshold, probes, size), "audit")
+        truth = materialise(audit_counts(nodes, sum(f["all"] for f in facts), threshold, probes), "audit")
         for _ in range(rounds):
-            if recall_of(graph, truth, threshold, size) >= recall:
+            if lists_met(graph, truth, threshold, size) >= recall:
                 break
             graph = materialise(descend(nodes, graph, size), "graph")
         near = graph.where(F.col("sim") >= threshold)
-        joined = components(near.select("a", "b"))
-        members = materialise(nodes.join(joined, nodes["id"] == joined["node"]).select("id", "component", "v", "copies", "least"), "members")
-        named = members.groupBy("component").agg(F.min("least").alias("first"))
-        counted = members.join(count_links(members, threshold), "id").join(named, "component").select("id", "links", "first")
+        full = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= size)
+        saturated = materialise(nodes.join(full, "id", "left_semi"), "saturated")
+        edges = near.select("a", "b")
+        if not saturated.isEmpty():
+            edges = edges.union(block_links(saturated, nodes, threshold))
+        counted = joined_counts(nodes, edges, threshold)
         links = nodes.select("id", "copies", "least").join(counted, "id", "left").select("id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies", F.coalesce("first", "least").alias("least"))
     full = out.join(links, "id", "left")
     component = F.coalesce("least", "vec_id")

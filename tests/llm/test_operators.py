@@ -477,6 +477,18 @@ def test_embedding_dedup(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_embedding_dedup_between_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    one, side = unit(rng.normal(0, 1, (2, 64)))
+    side = unit(side - (side @ one) * one)
+    centres = [one, 0.953 * one + (1 - 0.953**2) ** 0.5 * side]
+    rows = [(40 * c + k, unit(centres[c] + 0.1 * unit(rng.normal(0, 1, 64))).tolist(), 0) for c in range(2) for k in range(40)]
+    got = embedding_dedup.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == near_brute(rows)
+    assert {r["component_id"] for r in got} == {0} and min(r["n_links"] for r in got) > 60
+
+
 def test_embedding_dedup_odd(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [(1, [1.0], 0)]).limit(0)).count() == 0
     got = embedding_dedup.near_duplicates(vectors(spark, [(None, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (None, None, None)])).collect()
