@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
 from .components import components, thinned
-from .words import Words, release
+from .substring_dedup import sieve, spanning_pairs
+from .words import BYTE_BASE, Words, mix, parts, release
 
 MEAN_BLOCK = 2048
 
@@ -54,21 +56,50 @@ def vote(hashes: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
+def set_id(hashes: np.ndarray) -> int:
+    """Hash of a set of hashes, whatever their order."""
+    return int(mix(np.sum(mix(hashes ^ np.uint64(BYTE_BASE)), keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+
+
+def reach_of(similarity: float, bits: int, errors: float = 3.0, small: int = 64) -> int:
+    """Bits that differ between the votes of two sets of Jaccard ``similarity`` or more, at most: mean and ``errors`` standard errors.
+
+    Large sets differ as the angle between them; sets of up to ``small``
+    hashes in all differ by binomial sums, which is more (a majority of 4 and
+    one of 5), so the worst of them counts.
+    """
+    worst = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    law = [np.asarray([comb(n, k) / 2**n for k in range(n + 1)]) for n in range(small + 1)]
+    for c in range(1, small + 1):
+        most = min(small - c, int(c * (1 / similarity - 1) + 1e-9))
+        for x in range(most + 1):
+            for y in range(x, most - x + 1):
+                one = lambda e: np.asarray([law[e][2 * (k + np.arange(e + 1)) > c + e].sum() for k in range(c + 1)])  # noqa: B023, E731
+                p, q = one(x), one(y)
+                worst = max(worst, float((law[c] * (p * (1 - q) + q * (1 - p))).sum()))
+    return round(bits * worst + errors * (bits * worst * (1 - worst)) ** 0.5)
+
+
 def fingerprints(docs: DataFrame, width: int, words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, shingles): fingerprints of whole texts, and how many shingles voted: each one's XXH64, or distinct hashes."""
+    """(doc_id, fp, shingles): fingerprints of whole texts, and how many shingles voted: each one's XXH64, or distinct hashes.
+
+    Of distinct ones there is a further column, id, the hash of their set.
+    """
+    more = ["id"] if distinct else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes = [], []
+            fps, sizes, sets = [], [], []
             for x in b.column(1):
                 text = x.as_py()
                 hashes = np.unique(Words(text or b"").grams(width)) if distinct else shingle_hashes(text, width)
                 fps.append(vote(hashes, words))
                 sizes.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "shingles"])
+                sets += [set_id(hashes)] * distinct
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sets, pa.int64()) for _ in more]], ["doc_id", "fp", "shingles", *more])
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, shingles long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, ", ".join(["doc_id long, fp binary, shingles long", *[f"{c} long" for c in more]]))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -147,23 +178,67 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, id_col:
     return label_documents(own, ["fp"], tile, sorted(k for k in near if k >= 0), radius, 1).select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, members: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles): the distinct ``width``-word shingles of ``members`` (id, least), from the texts of their least ids."""
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias("key")
+    wanted = members.select(number("least")).distinct()
+    texts = sieve(docs.select(number(id_col), F.col(text_col).cast("string").cast("binary").alias("text")), wanted).join(wanted, "key", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in parts(b, 1, 512):
+                sets = [np.unique(Words(text or b"").grams(width)) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "set"])
+        release()
+
+    return texts.mapInArrow(run, "id long, set array<long>").join(members.select("id"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set"))
+
+
+def verified_links(members: DataFrame, docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that span the components of pairs with an exact Jaccard of ``similarity`` within each component of ``members``.
+
+    A component is dealt into blocks of some 512 members or half a million
+    shingles by hash, and every pair of its blocks is compared.
+    """
+    sizes = members.groupBy("component").agg((F.greatest(F.expr("count(*) div 512"), F.expr(f"sum(shingles) div {1 << 19}")) + 1).alias("blocks"))
+    dealt = members.join(sizes, "component").withColumn("block", F.expr("pmod(xxhash64(id, 5), blocks)")).select("id", "component", "block", "blocks")
+    sets = shingle_sets(docs, members, width, id_col, text_col)
+    blocks = materialise(dealt.join(sets, "id").repartition("component", "block").groupBy("component", "block", "blocks").agg(F.collect_list(F.struct("id", "set")).alias("m")), "sets")
+    left = blocks.withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(own, blocks - 1)"))).select("component", "block", "own", F.col("m.id").alias("a"), F.col("m.set").alias("x"))
+    other = F.col("own") < F.col("block")
+    pairs = left.join(blocks, ["component", "block"], "left").select("a", "x", F.when(other, F.col("m.id")).alias("b"), F.when(other, F.col("m.set")).alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [np.empty((0, 2), np.int64)]
+            for a, x, b, y in batch.itertuples(index=False):
+                ids = np.concatenate([np.asarray(a, np.int64), np.asarray([] if b is None else b, np.int64)])
+                links = spanning_pairs([*x, *(y if y is not None else [])], similarity)
+                if links:
+                    out.append(thinned(ids[np.asarray(links)]))
+            links = np.concatenate(out)
+            yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+        release()
+
+    return pairs.mapInPandas(run, "a long, b long")
+
+
 def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents whose sets of ``width``-word shingles have a Jaccard similarity of about ``similarity``.
+    """(doc_id, component_id): documents that a chain of pairs joins whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    256-bit fingerprints of distinct shingles: two sets with similarity s and
-    equal sizes share 2s/(1+s) of either, which is the cosine of the angle that
-    differing bits estimate. The radius is the estimate's mean at
-    ``similarity`` and a standard error (6 bits, 0.03 in s) more, so that
-    links are rather found than lost. Sizes of sets that alike differ by
-    1/similarity at most, so tiles are bands of that width, each cut by
-    population count; a tile meets its own and the neighbouring bands where
-    counts differ by the radius at most.
+    Candidates are documents that 256-bit fingerprints of distinct shingles
+    join: two sets with similarity s and equal sizes share 2s/(1+s) of either,
+    which is the cosine of the angle that differing bits estimate. The radius
+    is the worst mean at ``similarity`` and three standard errors. Sizes of
+    sets that alike differ by 1/similarity at most, so tiles are bands of that
+    width, each cut by population count; a tile meets its own and the
+    neighbouring bands where counts differ by the radius at most. Within what
+    candidates join, every pair's exact Jaccard decides.
 
     Nulls, copies, repeats and empty tables are treated as in simhash_components.
     """
     words = 4
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
+    radius = reach_of(similarity, 64 * words)
     cut = 16  # population counts a tile spans
     reach = -(-radius // cut)
     own = materialise(fingerprints(docs, width, words, True, id_col, text_col), "simhash")
@@ -172,7 +247,13 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / float(-np.log(similarity)))
     tile = band * 64 + F.floor(pop / cut)
     offsets = list(range(reach + 1)) + [64 + d for d in range(-reach, reach + 1)]
-    return label_documents(own, ["fp", "shingles"], tile, offsets, radius, words).select("doc_id", "component_id")
+    nodes = materialise(own.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "fps")
+    met = components(link_fingerprints(nodes.select("id", "fp", tile.cast("long").alias("tile")), offsets, radius, words))
+    members = materialise(nodes.join(met, nodes["id"] == met["node"]).select("id", "component", "least", "shingles"), "candidates")
+    joined = components(verified_links(members, docs, width, similarity, id_col, text_col))
+    roots = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("component", "id").alias("root"))
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(roots.join(named, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -331,6 +331,20 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 6, 7] and kept.columns == docs(spark, texts).columns
 
 
+def test_near_duplicates_have_the_exact_jaccard(spark):
+    texts, groups = [], []
+    for k in range(60):  # shingles shared, of one only, of the other only
+        shared, one, other = [(400, 50, 50), (16, 2, 2), (20, 5, 0), (4, 1, 0), (300, 50, 53), (60, 12, 12)][k % 6]
+        whole = [f"x{k}w{j}" for j in range(shared + 4)]
+        texts += [" ".join([*whole, *(f"x{k}a{j}" for j in range(one))]), " ".join([*whole, *(f"x{k}b{j}" for j in range(other))])]
+        groups.append(5 * shared >= 4 * (shared + one + other))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs(spark, texts)).collect()}
+    met = [got[2 * k + 1] == 2 * k for k in range(60)]
+    assert all(got[2 * k] == 2 * k for k in range(60))
+    assert not any(m and not g for m, g in zip(met, groups, strict=True))
+    assert sum(met) >= sum(groups) - 1
+
+
 # -- 8 ----------------------------------------------------------------------------
 
 
