@@ -14,7 +14,6 @@ from ..session import materialise
 from .components import components, thinned
 from .topk import usable
 
-GROUP = 48  # members of a local join at most
 BLOCK = 1024  # members of a compared block on average
 
 
@@ -26,24 +25,32 @@ def unit_nodes(own: DataFrame) -> DataFrame:
 
 
 def local_join(groups: DataFrame, best: int) -> DataFrame:
-    """Groups (ids, vs, floors) -> (a, b, sim): for each member its ``best`` closest fellows above its floor, both ways."""
+    """Groups (ids, vs, floors, and those of another block or nulls) -> (a, b, sim): the ``best`` closest fellows of each member above its floor, both ways.
+
+    A block alone is compared with itself, else with the other block.
+    """
+
+    def nearest(sims: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        rows, cols = np.repeat(np.arange(len(sims)), k), near.ravel()
+        s = sims[rows, cols]
+        keep = s > np.asarray(floors)[rows]
+        return rows[keep], cols[keep], s[keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for ids, vs, floors in batch.itertuples(index=False):
+            for ids, vs, floors, ids2, vs2, floors2 in batch.itertuples(index=False):
                 ids, v = np.asarray(ids, np.int64), np.stack(vs)
-                sims = v @ v.T
-                np.fill_diagonal(sims, -2.0)
-                k = min(best, len(ids) - 1)
-                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), k)
-                cols = near.ravel()
-                s = sims[rows, cols]
-                keep = s > np.asarray(floors)[rows]
-                out.append((ids[rows[keep]], ids[cols[keep]], s[keep]))
-            if out:
-                a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
+                if ids2 is None:
+                    sims = v @ v.T
+                    np.fill_diagonal(sims, -2.0)
+                    i, j, s = nearest(sims, floors, min(best, len(ids) - 1))
+                    a, b = ids[i], ids[j]
+                else:
+                    ids2, sims = np.asarray(ids2, np.int64), v @ np.stack(vs2).T
+                    i, j, s = nearest(sims, floors, min(best, len(ids2)))
+                    j2, i2, s2 = nearest(sims.T, floors2, min(best, len(ids)))
+                    a, b, s = np.concatenate([ids[i], ids[i2]]), np.concatenate([ids2[j], ids2[j2]]), np.concatenate([s, s2])
                 yield pd.DataFrame({"a": np.concatenate([a, b]), "b": np.concatenate([b, a]), "sim": np.concatenate([s, s])})
 
     return groups.mapInPandas(run, "a long, b long, sim double")
@@ -55,11 +62,21 @@ def best_lists(edges: DataFrame, size: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= size).drop("r")
 
 
-def grouped(members: DataFrame, key: list[str], nodes: DataFrame) -> DataFrame:
-    """(…key, id, floor) rows dealt into local joins of at most about GROUP members each, with their vectors."""
-    sizes = members.groupBy(*key).agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, key).where("n > 1").withColumn("part", F.expr(f"pmod(xxhash64(id, {', '.join(key)}), (n - 1) div {GROUP} + 1)"))
-    return dealt.join(nodes.select("id", "v"), "id").groupBy(*key, "part").agg(F.collect_list(F.struct("id", "v", "floor")).alias("m")).where(F.size("m") > 1).select(F.col("m.id").alias("ids"), F.col("m.v").alias("vs"), F.col("m.floor").alias("floors"))
+def grouped(members: DataFrame, key: list[str], nodes: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(…key, id, floor) rows as local joins, with their vectors: a group, or all pairs of blocks of one with over ``most`` members."""
+    members = materialise(members, "groups")
+    sizes = members.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    dealt = members.join(sizes, key).withColumn("parts", F.expr(f"(n - 1) div {most} + 1")).withColumn("part", F.expr(f"pmod(xxhash64(id, {', '.join(key)}), parts)"))
+    gathered = lambda df: df.join(nodes.select("id", "v"), "id").repartition(*key, "part").groupBy(*key, "part", "parts").agg(F.collect_list(F.struct("id", "v", "floor")).alias("m"))
+    fields = lambda m, suffix="": [F.col(f"{m}.id").alias(f"ids{suffix}"), F.col(f"{m}.v").alias(f"vs{suffix}"), F.col(f"{m}.floor").alias(f"floors{suffix}")]
+    alone = lambda df: df.where(F.size("m") > 1).select(*fields("m"), *[F.lit(None).cast(t).alias(f"{c}2") for c, t in (("ids", "array<long>"), ("vs", "array<array<double>>"), ("floors", "array<double>"))])
+    small = alone(gathered(dealt.where("parts = 1")))
+    if sizes.where(F.col("n") > most).isEmpty():
+        return small
+    blocks = materialise(gathered(dealt.where("parts > 1")), "crowded")
+    left = blocks.where("part < parts - 1").withColumn("part", F.explode(F.expr("sequence(part + 1, parts - 1)"))).select(*key, "part", F.col("m").alias("l"))
+    crossed = left.join(blocks, [*key, "part"]).select(*fields("l"), *fields("m", "2"))
+    return small.unionByName(alone(blocks)).unionByName(crossed)
 
 
 def hash_groups(nodes: DataFrame, dim: int, bits: int, tables: int, seed: int) -> DataFrame:
@@ -81,9 +98,8 @@ def hash_groups(nodes: DataFrame, dim: int, bits: int, tables: int, seed: int) -
 def descend(nodes: DataFrame, graph: DataFrame, size: int) -> DataFrame:
     """One round: a node's neighbours and reverse neighbours are joined with one another; lists keep the best.
 
-    Crowded neighbourhoods are dealt anew in every round, so members apart in
-    one round may meet in another. A pair is returned only where it beats the
-    worst of a full list.
+    All members of a neighbourhood meet; crowded ones are compared in blocks.
+    A pair is returned only where it beats the worst of a full list.
     """
     floor = graph.groupBy("a").agg(F.when(F.count("*") >= size, F.min("sim")).otherwise(-2.0).alias("floor"))
     about = graph.select(F.col("a").alias("center"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("center"), F.col("a").alias("id"))).distinct()
@@ -137,7 +153,7 @@ def block_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     def dealt(df: DataFrame) -> DataFrame:
         sizes = df.groupBy(*key).agg(F.expr(f"count(*) div {BLOCK} + 1").alias("blocks"))
         placed = df.join(sizes, key).withColumn("block", F.expr("pmod(xxhash64(id, 17), blocks)"))
-        return placed.groupBy(*key, "block", "blocks").agg(F.collect_list(F.struct("id", "v")).alias("m"))
+        return placed.repartition(*key, "block").groupBy(*key, "block", "blocks").agg(F.collect_list(F.struct("id", "v")).alias("m"))
 
     blocks = materialise(dealt(tall(nodes)), "blocks")
     count = blocks.select(*key, "blocks").distinct()
@@ -198,7 +214,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10,
     threshold: there may be more. Nodes with such lists are compared with every
     node of their label, in blocks, so that no link of theirs is lost; then the
     members of each component are, so that counts of links are complete and
-    no pair is kept below the threshold.
+    no pair is kept below the threshold. If less than ``recall`` of all true
+    links of the audited nodes is then counted, every pair of a label is
+    compared.
 
     n_links counts other rows linked directly; component_id is the smallest
     vec_id reachable, itself included; kept is whether that is the row's own.
@@ -235,6 +253,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10,
         if not saturated.isEmpty():
             edges = edges.union(block_links(saturated, nodes, threshold))
         counted = joined_counts(nodes, edges, threshold)
+        if recall_of(counted, truth) < recall:
+            counted = joined_counts(nodes, block_links(nodes, nodes, threshold), threshold)
         links = nodes.select("id", "copies", "least").join(counted, "id", "left").select("id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies", F.coalesce("first", "least").alias("least"))
     full = out.join(links, "id", "left")
     component = F.coalesce("least", "vec_id")

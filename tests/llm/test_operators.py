@@ -503,6 +503,24 @@ def test_embedding_dedup_between_dense_groups(spark):
     assert {r["component_id"] for r in got} == {0} and min(r["n_links"] for r in got) > 60
 
 
+def test_embedding_dedup_reaches_its_recall(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(0, 1, (300, 32))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.float32(np.concatenate([one, one + rng.normal(0, 0.25, one.shape)])))]
+    got = embedding_dedup.near_duplicates(vectors(spark, rows), rounds=0, tables=1).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == near_brute(rows)
+
+
+def test_crowded_groups_meet_whole(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(0, 1, (90, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    members = nodes.selectExpr("id", "id div 80 AS center", "-2.0D AS floor")
+    met = {(r["a"], r["b"]) for r in embedding_dedup.local_join(embedding_dedup.grouped(members, ["center"], nodes, 20), 90).collect()}
+    assert met == {(a, b) for a in range(90) for b in range(90) if a != b and a // 80 == b // 80}
+
+
 def test_embedding_dedup_odd(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [(1, [1.0], 0)]).limit(0)).count() == 0
     got = embedding_dedup.near_duplicates(vectors(spark, [(None, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (3, [1.0, 2.0], 0), (None, None, None)])).collect()
