@@ -104,8 +104,15 @@ class Forest:
     def mine(self, least: float) -> None:
         scores: dict[tuple[int, int], tuple[int, float]] = {}
 
+        def bound(a: Template, b: Template) -> float:
+            """The most that Dice can be, by sizes: below ``least`` no level has the pair."""
+            sides = [(x.size, y.size) for x, y in ((a.before, b.before), (a.after, b.after)) if x is not None and y is not None]
+            return 2 * sum(map(min, sides)) / sum(map(sum, sides)) if sides else 1.0
+
         def compare(i: int, others: list[int]) -> None:
             for j in others:
+                if bound(self.nodes[i]["t"], self.nodes[j]["t"]) < min(least, 1.0):
+                    continue
                 got = self._levels(self.nodes[i]["t"], self.nodes[j]["t"])
                 if got is not None and (got[0] < 5 or got[1] >= least):
                     scores[min(i, j), max(i, j)] = got
@@ -144,18 +151,14 @@ class Forest:
         self.nodes = {k: n for k, n in self.nodes.items() if not n.get("gone")}
 
 
-def mine(templates: DataFrame, least: float = 0.5, most: int = 2000) -> DataFrame:
+def mine(templates: DataFrame, least: float = 0.5) -> DataFrame:
     """(template_id, parent_id, action, …sides, instances): the forest of generalised templates.
 
     Identical templates are merged by an aggregate first. Pairs can only be
     compared within one action and block (which sides there are, and how many
-    trees each has), so each block is a task of its own; blocks beyond
-    ``most`` distinct templates are dealt by shape first, which keeps all pairs
-    of equal shape together.
+    trees each has), so each block is a task of its own, whatever its size.
     """
     merged = materialise(merge_identical(templates), "templates")
-    sizes = merged.groupBy("action", "block").agg(F.count("*").alias("__n"))
-    dealt = merged.join(sizes, ["action", "block"]).withColumn("part", F.when(F.col("__n") > most, F.col("fp_shape")).otherwise("")).drop("__n")
     schema = "template_id string, parent_id string, action string, instances long, " + ", ".join(f"{s} string" for s in (*SIDES, "places"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,10 +166,10 @@ def mine(templates: DataFrame, least: float = 0.5, most: int = 2000) -> DataFram
         forest = Forest(pdf.astype(object).where(pdf.notna(), None).sort_values(["fp_pattern", "fp_within"]).to_dict("records"))
         forest.mine(least)
         forest.compress()
-        name = lambda k: None if k is None else f"{first['action']}:{first['block']}:{first['part']}:{k}"
+        name = lambda k: None if k is None else f"{first['action']}:{first['block']}::{k}"
         return pd.DataFrame([{"template_id": name(k), "parent_id": name(n["parent"]), "action": n["t"].action, "instances": n["n"], **{s: dump_tree(getattr(n["t"], s)) for s in SIDES}, "places": json.dumps([n["t"].before_places, n["t"].after_places])} for k, n in forest.nodes.items()], dtype=object)
 
-    return dealt.groupBy("action", "block", "part").applyInPandas(run, schema)
+    return merged.groupBy("action", "block").applyInPandas(run, schema)
 
 
 def supported(forest: DataFrame, least: int = 5, below: int = 10) -> DataFrame:

@@ -108,3 +108,12 @@ def test_stream(spark, tmp_path):
         ingest.ingest(ingest.stream_patches(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "cp"))
     counted = ingest.instance_counts(spark, str(tmp_path / "out"))
     assert {(r["change"], r["instances"]) for r in counted.collect()} == {("-b\n+c", 2), ("+b", 2)}
+
+
+def test_large_blocks_are_mined_whole(spark, monkeypatch):
+    rows = tree_queries._changes(spark).selectExpr("*", "'m.py' AS before_path", "'m.py' AS after_path", "'' AS loc")
+    found, _ = mining.change_templates(rows.drop("before_source", "after_source"), rows.select("case", "before_path", "after_path", "before_source", "after_source"), ["case"])
+    forest = lambda: sorted((r["template_id"], str(r["parent_id"]), r["instances"]) for r in mining.mine(found, 0.0).collect())
+    usual = forest()
+    monkeypatch.setattr(mining.mine, "__defaults__", tuple(1 if x == 2000 else x for x in mining.mine.__defaults__))  # any limit on a block's size
+    assert forest() == usual
