@@ -16,8 +16,9 @@ from ..session import materialise
 from .words import parts, release
 
 CACHE_WORDS = 200_000
-#: Marks that the vocabulary splits from letters before them.
+#: Marks that may be taken off a word's end where one of APART stands before them.
 MARKS = ".,;:!?|#*%&$()\"+=-"
+APART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 LONGEST_CACHED = 48
 
 
@@ -31,12 +32,16 @@ class WordEncoder:
     """Encodes texts as the concatenation of their blank-separated words' ids.
 
     This holds for vocabularies that drop white space and lower-case before
-    they split, and take letters apart from marks, as word_bpe_49k does: no
-    token and no normalisation reaches over an ASCII blank, an ASCII letter's
-    case does not matter but before a combining mark, and marks at a word's end
-    have ids of their own. Splitting, finding the distinct words of a batch and
-    putting their ids together again are Arrow's; ids are kept by word, in a
-    bounded memo that lasts for a task.
+    they split, and take runs of letters, single digits and runs of all else
+    apart, as word_bpe_49k does: no token and no normalisation reaches over an
+    ASCII blank, and an ASCII letter's case does not matter but before a
+    combining mark. A run of marks at a word's end has ids of its own only
+    where a letter or a digit stands before it; after any other symbol the run
+    begins further left, so such words are encoded whole, as are those with a
+    letter beyond ASCII there, which may be lower-cased or composed to more
+    than a letter. Splitting, finding the distinct words of a batch and putting
+    their ids together again are Arrow's; ids are kept by word, in a bounded
+    memo that lasts for a task.
     """
 
     END_OF_WORD = "</w>"
@@ -73,12 +78,12 @@ class WordEncoder:
         return memoryview(joined.buffers()[2] or b""), offsets[bounds]
 
     def _learn(self, new: list[str]) -> None:
-        """Keeps the ids of ``new`` words: those of what is left without marks at its end, then the marks'."""
+        """Keeps the ids of ``new`` words: those of what ends in an ASCII letter or digit, then those of the marks after it."""
         known = self.ids
         special = [w for w in new if "<|" in w]
         for w in special:  # may be a special token
             known[w] = self._pack(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        split = [(w, base, w[len(base) :]) for w in new for base in (w.rstrip(MARKS),)]
+        split = [(w, base, w[len(base) :]) if base[-1:] in APART else (w, w, "") for w in new for base in (w.rstrip(MARKS),)]
         if special:
             split = [x for x in split if "<|" not in x[0]]
         fresh = {base for _, base, _ in split}

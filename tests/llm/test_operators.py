@@ -434,6 +434,25 @@ def test_word_encoder_equals_the_tokenizer(spark):
             assert [bytes(ids[i:j]) + b"\0" * 4 for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == [x.tobytes() for x in encode(part)]
 
 
+def same_ids(own, texts):
+    ids, bounds = own.encode(pa.array(texts, pa.string()))
+    got = [bytes(ids[i:j]) + b"\0" * 4 for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [t for t, a, b in zip(texts, got, encode(texts), strict=True) if a != b.tobytes()]
+
+
+def test_word_encoder_on_marks_after_anything():
+    own = packing.WordEncoder(packing.default_tokenizer())
+    marks = [chr(k) for k in range(33, 127) if not chr(k).isalnum()] + list("“”‘’–—…€£©™½²٣Ⅷ·\u00ad\u200b\u200d\ufeff\u0301\u037e\u1fef\u212a日é\U0001f600\U0001f1e9\U0001f3fd\u3099か")
+    pairs = [f"{base}{a}{b}" for base in ("", "a", "dogs", "7", "é", "日") for a in marks for b in marks]
+    assert not same_ids(own, pairs)
+    examples = ["see [1].", "dogs'.", "</b>.", "path/.", "foo_.", "{{cite}},", "“Quoted”.", "wait…!", "a'.", "~.", "x's!", "x's's.", "'s.", "K.", "Ⅷ.", "½.", "٣!"]
+    assert not same_ids(own, examples)
+    rng = np.random.default_rng(19)
+    letters = [*marks, *"abcdefgstmlrvABSTé0123456789", "'s", "'re", "'LL", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", "\u0328", "ς", "Σ", "İ", "ß", "ﬁ", "가", "ᄀ", "ᅡ"]
+    fuzz = ["".join(letters[k] for k in rng.integers(0, len(letters), int(rng.integers(1, 12)))) for _ in range(60_000)]
+    assert not same_ids(own, fuzz)
+
+
 def check_packing(texts, ids, rows, cap=2048):
     tokens = dict(zip(ids, encode(texts), strict=True))
     fill = {}
@@ -465,6 +484,11 @@ def test_packing_odd(spark):
     assert packing.pack(odd(spark).limit(0)).count() == 0
 
 
+def test_packing_of_marks(spark):
+    texts = STRANGE + ["see [1].", "“Quoted”. </b>.", "dogs'. {{cite}}, path/. foo_.", " ".join(f"w{k}]." for k in range(900))]
+    check_packing(texts, list(range(len(texts))), packing.pack(docs(spark, texts)).collect())
+
+
 # -- 10 ---------------------------------------------------------------------------
 
 
