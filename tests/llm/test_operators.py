@@ -55,6 +55,49 @@ def test_golden_points_are_exact():
     assert mixing.golden_points(np.asarray(at)).tolist() == [i * mixing.GOLDEN_STEP % mixing.MODULUS for i in at]
 
 
+def test_points_are_counted():
+    points = mixing.golden_points(np.arange(1, 3001))
+    for n in (0, 1, 7, 1000, 3000):
+        for edge in (0, 1, 12345, mixing.MODULUS // 3, mixing.MODULUS - 1, mixing.MODULUS):
+            assert mixing.points_below(n, edge) == (points[:n] < edge).sum()
+
+
+def mix_brute(rows, block, weights=(5, 2, 1), budget=1.5, most=2, seed=17):
+    """Words taken by (id, place) in one pass over the slots, one after another."""
+    size = [len(words(t)) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = [sum(n for n, (_, _, s) in zip(size, rows, strict=True) if s == name) for name in names]
+    goal = [round(t) for t in mixing.targets(total, [weights[k % 3] for k in range(len(names))], budget * sum(total), most)]
+    slots = [0 if not s else g // s * -(-s // block) + -(-(g % s) // block) for s, g in zip(total, goal, strict=True)]
+    edges = np.cumsum(slots)
+    drawn, k, at = [0] * len(names), 0, [0] * len(names)
+    spans = [[] for _ in names]
+    while any(d < g for d, g in zip(drawn, goal, strict=True)):
+        k += 1
+        point = k * mixing.GOLDEN_STEP % mixing.MODULUS
+        s = next(i for i, e in enumerate(edges) if point < mixing.MODULUS * int(e) // int(edges[-1]))
+        if drawn[s] < goal[s]:
+            n = min(block, total[s] - at[s], goal[s] - drawn[s])
+            spans[s].append((at[s], at[s] + n))
+            drawn[s] += n
+            at[s] = (at[s] + n) % total[s]
+    return names, total, goal, spans
+
+
+def test_mix_equals_the_slots_one_by_one(spark):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in whole(spark).collect()]
+    names, total, goal, spans = mix_brute(rows, 64)
+    got = mixing.mix(whole(spark), block_words=64).collect()
+    laid = whole(spark).select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(512)).alias("bucket"), F.xxhash64("doc_id", F.lit(18)).alias("h")).collect()
+    order = {r["doc_id"]: (r["bucket"], r["h"]) for r in laid}
+    for name, size, want, spent in zip(names, total, goal, spans, strict=True):
+        own = sorted((r for r in got if r["source"] == name), key=lambda r: order[r["doc_id"]])
+        ends = np.cumsum([r["size"] for r in own])
+        for r, end in zip(own, ends.tolist(), strict=True):
+            assert r["source_size"] == size and r["taken"] == sum(max(0, min(hi, end) - max(lo, end - r["size"])) for lo, hi in spent)
+        assert sum(r["taken"] for r in own) == want
+
+
 def test_mix(spark):
     rows = mixing.mix(whole(spark), block_words=64).collect()
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(whole(spark).repartition(3), block_words=64).collect()}
@@ -74,6 +117,19 @@ def test_mix_odd(spark):
     assert mixing.mix(docs(spark, [None, ""])).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_resample_keeps_rows_apart(spark):
+    texts = ["a b c"] * 5 + ["d e f g", "h i j", None, "", "k l m"]
+    table = docs(spark, texts, ["s"] * 9 + ["t"], [None] * 5 + [7, 7, 7, 8, 9]).selectExpr("*", "1 AS __row", "2 AS n")
+    taken = mixing.mix(table, block_words=4).collect()
+    got = mixing.resample(table, block_words=4)
+    assert got.columns == table.columns
+    times = sum((2 * r["taken"] + r["size"]) // (2 * r["size"]) for r in taken if r["size"])
+    counts = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert sum(counts.values()) == times and max(counts[None, "a b c"] / 5, counts[7, "h i j"], counts[9, "k l m"]) <= 2
+    assert not any(k[1] in (None, "") for k in counts)
+    assert mixing.resample(table.limit(0)).count() == 0
+
+
 # -- 2 ----------------------------------------------------------------------------
 
 
