@@ -131,24 +131,30 @@ def fit(rows: DataFrame, shrinkage: float = 0.1) -> Qda | None:
     return Qda.fit(sums, shrinkage)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, threshold: float = 0.3, modulus: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def teachers(labels: DataFrame, sample: int, modulus: int, id_col: str, label_col: str) -> DataFrame:
+    """(doc_id, y): distinct labels 0 and 1 of ids that are not held out; beyond ``sample`` of them about that many, by a hash of the id."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out("doc_id", modulus)).distinct()
+    n = known.count()
+    return known if n <= sample else known.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(n)) < sample)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, threshold: float = 0.3, modulus: int = 5, sample: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Learns from labelled rows that are not held out (see held_out), each
-    (document row, label row) pair once. Scores use the text's statistics
-    alone. Statistics are computed once and written to the shared folder; the
-    join with the labels shuffles them, not texts.
+    Learns from the rows of labelled ids that are not held out (see held_out);
+    of over ``sample`` such labels from about that many, chosen by a hash of
+    the id. That bound makes the labels small enough to go to all tasks. Scores
+    use the text's statistics alone, which are computed once and written to the
+    shared folder; texts are never shuffled.
 
     Null and empty texts have all statistics 0 and a score. Null labels and
     labels other than 0 and 1 teach nothing; without two rows of either class
     every score is 0.5. Null ids are not held out and match no label. Repeated
-    rows come back repeated. Other columns are ignored. An empty table gives
-    an empty result.
+    rows come back repeated and teach each; repeated labels count once. Other
+    columns are ignored. An empty table gives an empty result.
     """
     own = materialise(statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    learn = own.where(~held_out("doc_id", modulus)).join(known, "doc_id").select("y", "x")
-    model = fit(learn, shrinkage)
+    model = fit(own.join(F.broadcast(teachers(labels, sample, modulus, id_col, label_col)), "doc_id").select("y", "x"), shrinkage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,15 +167,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, th
     return scored.select("doc_id", F.coalesce(held_out("doc_id", modulus), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, threshold: float = 0.3, modulus: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, threshold: float = 0.3, modulus: int = 5, sample: int = 100_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that the classifier of score_quality predicts to be good, all columns as they were.
 
-    Texts are scored where they are, so they are not shuffled. Without enough
-    labels to learn from every row stays.
+    Rows that teach are picked by id before their statistics are computed;
+    texts are scored where they are, so they are not shuffled. Without enough
+    labels to learn from every row stays. Null, empty and repeated texts, null
+    ids and odd labels are treated as in score_quality: each row stays or goes
+    by its own text. An empty table gives an empty result.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    learn = statistics(docs, id_col, text_col).where(~held_out("doc_id", modulus)).join(known, "doc_id").select("y", "x")
-    model = fit(learn, shrinkage)
+    known = teachers(labels, sample, modulus, id_col, label_col)
+    learn = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(statistics(learn).join(F.broadcast(known), "doc_id").select("y", "x"), shrinkage)
     if model is None:
         return docs
     at = docs.columns.index(text_col)

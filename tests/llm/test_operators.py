@@ -167,6 +167,29 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+@pytest.mark.parametrize("sample", [100_000, 60])
+def test_quality_equals_the_densities(spark, sample):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in whole(spark).collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    if sample < len(known):
+        keep = {r["doc_id"] for r in spark.createDataFrame([(k,) for k in known], "doc_id long").where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(len(known))) < sample).collect()}
+        known = {k: v for k, v in known.items() if k in keep}
+    x = {i: np.asarray(quality.document_statistics(t)) for i, t in texts.items()}
+    own = [np.asarray([x[i] for i, y in known.items() if y == c and i in x]) for c in (0, 1)]
+    spread = np.concatenate(own).var(axis=0)
+    logs = []
+    for v in own:
+        cov = 0.9 * np.cov(v.T, bias=True) + np.diag(0.101 * spread)
+        d = np.asarray(list(x.values())) - v.mean(axis=0)
+        logs.append(np.log(len(v)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (d @ np.linalg.inv(cov) * d).sum(axis=1))
+    want = dict(zip(x, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), strict=True))
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(whole(spark), labels, sample=sample).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in got)
+    kept = {r["doc_id"] for r in quality.keep_good(whole(spark), labels, sample=sample).collect()}
+    assert kept == {i for i, s in got.items() if s >= 0.3}
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(k, q, 0) for k, q in ((1, 1), (2, 0), (3, None), (None, 1), (4, 1), (8, 0), (7, 5))], "doc_id long, quality int, toxic int")
     assert quality.score_quality(odd(spark), labels).count() == len(ODD)
