@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 
 
+def with_totals(rows: DataFrame, key: str, node: str, totals: dict[str, Callable[[str], Column]], salts: int = 256) -> DataFrame:
+    """``rows`` with columns ``totals`` beside: each name's column aggregated over the rows of a ``key``.
+
+    A key may have a third of all rows: they are dealt by a hash of ``node``
+    into as many as ``salts`` parts, aggregated by part, then over the parts,
+    and meet the totals by key and part. A part without rows has none. The
+    aggregates must be ones that may be taken in two steps (min, max, sum).
+    """
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(node), F.lit(salts)))
+    partial = dealt.groupBy(key, "__part").agg(*[f(name).alias(name) for name, f in totals.items()])
+    whole = partial.groupBy(key).agg(*[f(name).alias(name) for name, f in totals.items()], F.collect_list("__part").alias("__part"))
+    return dealt.drop(*totals).join(whole.withColumn("__part", F.explode("__part")), [key, "__part"]).drop("__part")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Large-star: every larger neighbour of a node moves to the node's least neighbour."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    both = edges.select("a", "b", F.col("b").alias("m")).union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("m")))
+    return with_totals(both, "a", "b", {"m": F.min}).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Small-star: a node and its smaller neighbours move to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.least("a", "b").alias("m"))
+    moved = with_totals(down, "a", "b", {"m": F.min})
+    return moved.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def thinned(links: np.ndarray) -> np.ndarray:
@@ -48,9 +62,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) edges of longs -> (node, component), component the least node reachable.
 
     Alternates large-star and small-star until every edge leads to a root,
-    which takes a number of rounds logarithmic in the longest path. Minimums
-    are pre-aggregated, so a hub with a third of all edges is summed before the
-    shuffle; the joins may be split by AQE. Each round is written to the
+    which takes a number of rounds logarithmic in the longest path. A hub
+    with a third of all edges is dealt over many tasks (with_totals). Each round is written to the
     shared folder. Null ends and self-loops are ignored; nodes without an
     edge do not occur in the result; an empty table gives an empty result.
     """

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import components, thinned
+from .components import components, thinned, with_totals
 from .words import BYTE_BASE, Words, mix, parts, release
 
 BLOCK = 512  # members of a compared block on average
@@ -21,7 +21,7 @@ def bands(similarity: float, rows: int = 3, recall: float = 0.999) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-UNITS = "doc_id long, run boolean, start long, length long, key long, bands array<long>, text string"
+UNITS = "doc_id long, text_id long, run boolean, at int, start long, length long, key long, bands array<long>, text string"
 
 
 def units(docs: DataFrame, width: int, least_words: int, n_bands: int, rows: int, window: int, spread: int, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,15 +36,15 @@ def units(docs: DataFrame, width: int, least_words: int, n_bands: int, rows: int
     odd = random.integers(0, 2**63, n_bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     fold = random.integers(0, 2**63, (n_bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     place = np.arange(n_bands, dtype=np.uint64) * np.uint64(BYTE_BASE)  # bands apart
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
-    names = ["doc_id", "run", "start", "length", "key", "bands", "text"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    names = ["doc_id", "text_id", "run", "at", "start", "length", "key", "bands", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in parts(b, 1, 256):
+            for part in parts(b, 2, 256):
                 lines: list[tuple] = []
                 found: list[tuple[np.ndarray, ...]] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc, own, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if not text or len(w := Words(text)) < min(least_words, window):
                         continue
                     grams = w.grams(width)
@@ -54,20 +54,26 @@ def units(docs: DataFrame, width: int, least_words: int, n_bands: int, rows: int
                             shingles = np.unique(grams[i : max(i + 1, j - width + 1)])
                             least = np.min([(odd[:, None] * shingles[None, k : k + 4096]).min(axis=1) for k in range(0, len(shingles), 4096)], axis=0).reshape(n_bands, rows)
                             s, e = int(w.starts[i]), int(w.ends[j - 1])
-                            lines.append((doc, False, s, e - s, key, mix((least * fold).sum(axis=1, dtype=np.uint64) + place).view(np.int64), text[s:e].decode()))
+                            lines.append((doc, own, False, int(i), s, e - s, key, mix((least * fold).sum(axis=1, dtype=np.uint64) + place).view(np.int64), text[s:e].decode()))
                     at = w.anchors(width, spread)
                     at = at[at + window <= len(w)]
                     if len(at):
-                        found.append((np.full(len(at), -1 if doc is None else doc), np.full(len(at), doc is None), w.starts[at], w.ends[at + window - 1] - w.starts[at], w.run(at, at + window).view(np.int64)))
+                        found.append((np.full(len(at), -1 if doc is None else doc), np.full(len(at), doc is None), np.full(len(at), own), at, w.starts[at], w.ends[at + window - 1] - w.starts[at], w.run(at, at + window).view(np.int64)))
                 if lines:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*lines, strict=True), types, strict=True)], names)
                 if found:
-                    ids, none, start, length, key = (np.concatenate(c) for c in zip(*found, strict=True))
+                    ids, none, own, at, start, length, key = (np.concatenate(c) for c in zip(*found, strict=True))
                     n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none), pa.array(np.ones(n, bool)), pa.array(start), pa.array(length), pa.array(key), pa.nulls(n, types[5]), pa.nulls(n, types[6])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none), pa.array(own, pa.int64()), pa.array(np.ones(n, bool)), pa.array(at.astype(np.int32)), pa.array(start), pa.array(length), pa.array(key), pa.nulls(n, types[7]), pa.nulls(n, types[8])], names)
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, UNITS)
+    return documents(docs, id_col, text_col).mapInArrow(run, UNITS)
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_id, text): a document is an id with a text; rows that agree in both are one document."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.cast("binary").alias("text"))
 
 
 def sieve(df: DataFrame, wanted: DataFrame, bits: int = 23) -> DataFrame:
@@ -153,69 +159,162 @@ def near_paragraph_links(found: DataFrame, width: int, similarity: float) -> Dat
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def classes(parts: DataFrame, node: str, links: DataFrame) -> DataFrame:
-    """``parts`` (doc_id, start, length, ``node``) in classes that ``links`` join, those within one document apart."""
-    nodes = parts.groupBy(node).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+#: Order of passages: of ids, null last; of the texts of an id; in a text.
+FIRST = ["none", "doc_id", "text_id", "start"]
+
+
+def classes(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (doc_id, text_id, start, length, key) in classes that ``links`` between keys join, those within one document apart."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "start")
+    nodes = parts.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min(F.struct("doc_id", "text_id")).alias("lo"), F.max(F.struct("doc_id", "text_id")).alias("hi"))
     joined = components(links)
-    named = nodes.join(joined, nodes[node] == joined["node"], "left").withColumn("class", F.coalesce("component", node))
-    whole = named.groupBy("class").agg(F.sum("n").alias("copies"), F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    of = named.select(node, "class").join(whole, "class").select(node, "copies", F.col("first.doc_id").alias("class_doc_id"), F.col("first.start").alias("class_start"))
-    own = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("start") == F.col("class_start"))
-    return parts.join(of, node).select("doc_id", "start", "length", "class_doc_id", "class_start", "copies", own.alias("kept"))
+    named = nodes.join(joined, nodes["key"] == joined["node"], "left").withColumn("class", F.coalesce("component", "key"))
+    of = with_totals(named, "class", "key", {"copies": F.sum, "first": F.min, "lo": F.min, "hi": F.max}).where("lo < hi").select("key", "copies", *[F.col(f"first.{c}").alias(f"class_{c}") for c in FIRST])
+    own = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("text_id") == F.col("class_text_id")) & (F.col("start") == F.col("class_start"))
+    return parts.join(of, "key").select("doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies", own.alias("kept"))
+
+
+def stretches(windows: DataFrame) -> DataFrame:
+    """(doc_id, text_id, lo, hi, f_doc_id, f_text_id, f_lo, f_hi): words lo..hi-1 of a document equal words f_lo..f_hi-1 of another place.
+
+    ``windows`` have (doc_id, text_id, at, key) and a number of words. A window
+    that occurs in two documents is matched with its first occurrence; matches
+    with one document at one distance in words that touch are one stretch.
+    """
+    size = "words"
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at")
+    whose = F.struct("doc_id", "text_id")
+    shared = materialise(windows.groupBy("key").agg(F.min(place).alias("first"), F.min(whose).alias("lo"), F.max(whose).alias("hi")).where("lo < hi").select("key", "first"), "shared")
+    met = sieve(windows, shared).join(shared, "key").select("doc_id", "text_id", "at", size, *[F.col(f"first.{c}").alias(f"f_{c}") for c in ("doc_id", "text_id", "at")])
+    apart = ~(F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("text_id") == F.col("f_text_id")) & (F.col("at") == F.col("f_at")))
+    own = ["doc_id", "text_id", "f_doc_id", "f_text_id", "shift"]
+    order = Window.partitionBy(*own).orderBy("at")
+    cut = F.when(F.col("at") > F.lag("at").over(order) + F.col(size), 1).otherwise(0)
+    numbered = met.where(apart).withColumn("shift", F.col("at") - F.col("f_at")).withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*own, "island").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col(size)).alias("hi")).select("doc_id", "text_id", "lo", "hi", "f_doc_id", "f_text_id", (F.col("lo") - F.col("shift")).alias("f_lo"), (F.col("hi") - F.col("shift")).alias("f_hi"))
+
+
+SIDES = "doc_id long, text_id long, lo int, hi int, left array<long>, starts array<long>, right array<long>, ends array<long>"
+
+
+def sides(docs: DataFrame, asked: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of SIDES for distinct places ``asked`` (doc_id, text_id, lo, hi): hashes of up to ``most`` words before and after, from the place outwards, and the bytes where the place begins and ends with 0, 1, 2, … of them."""
+    each = asked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    names = F.xxhash64("doc_id", "text_id").alias("key")
+    texts = sieve(documents(docs, id_col, text_col).select("*", names), each.select(names)).drop("key")
+    same = texts["doc_id"].eqNullSafe(each["doc_id"]) & (texts["text_id"] == each["text_id"])
+    held = texts.join(each, same).select(each["doc_id"], each["text_id"], "text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+        for b in batches:
+            for part in parts(b, 2, 256):
+                out: list[tuple] = []
+                for doc, own, text, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    w = Words(text)
+                    hashes = w.run(np.arange(len(w)), np.arange(1, len(w) + 1)).view(np.int64)
+                    for p in places:
+                        lo, hi = p["lo"], p["hi"]
+                        first, last = max(0, lo - most), min(len(w), hi + most)
+                        out.append((doc, own, lo, hi, hashes[first:lo][::-1], w.starts[first : lo + 1][::-1], hashes[hi:last], w.ends[hi - 1 : last]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "text_id", "lo", "hi", "left", "starts", "right", "ends"])
+        release()
+
+    return held.mapInArrow(run, SIDES).distinct()  # a document's repeated rows say the same
 
 
-def shared_runs(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(runs, links) of windows that occur in two documents: overlapping ones in a document are one run.
+def shared_runs(docs: DataFrame, windows: DataFrame, most: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_id, start, length, class_…, copies, kept): stretches that two places share, extended word by word to the ends of the match.
 
-    Runs with a window in common are linked, all to the window's first run.
+    Every stretch is extended by up to ``most`` words on either side against
+    the place it equals, which is the copy that is kept; beyond that there would
+    have been another window. Places of a document that overlap and have under
+    ``least`` words together are left out.
     """
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    shared = materialise(shared, "shared")
-    met = sieve(windows, shared).join(shared, "key").select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "key")
-    order = Window.partitionBy("doc_id").orderBy("start")
-    apart = F.when(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
-    numbered = met.withColumn("cut", apart).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = materialise(numbered.select("doc_id", "start", "end", "key", F.xxhash64("doc_id", "island").alias("span")), "runs")
-    runs = placed.groupBy("span").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"), "span")
-    first = placed.groupBy("key").agg(F.min("span").alias("b"))
-    links = placed.select("key", F.col("span").alias("a")).distinct().join(first, "key").where("a <> b").select("a", "b").distinct()
-    return runs, links
+    found = materialise(stretches(windows), "stretches")
+    place = ["doc_id", "text_id", "lo", "hi"]
+    asked = found.select(*place).union(found.select(*[f"f_{c}" for c in place])).distinct()
+    about = materialise(sides(docs, asked, most, id_col, text_col), "sides")
+
+    def of(prefix: str) -> DataFrame:
+        return about.select(*[F.col(c).alias(f"{prefix}_{c}") for c in about.columns])
+
+    def at(prefix: str, doc: str):
+        return F.col(f"{doc}doc_id").eqNullSafe(F.col(f"{prefix}_doc_id")) & (F.col(f"{doc}text_id") == F.col(f"{prefix}_text_id")) & (F.col(f"{doc}lo") == F.col(f"{prefix}_lo")) & (F.col(f"{doc}hi") == F.col(f"{prefix}_hi"))
+
+    both = found.join(of("o"), at("o", "")).join(of("k"), at("k", "f_"))
+
+    def common(x: str):
+        same = F.zip_with(f"o_{x}", f"k_{x}", lambda a, b: a.eqNullSafe(b))
+        first = F.array_position(same, F.lit(False))
+        return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+
+    grown = both.withColumns({"l": common("left"), "r": common("right")})
+    part = lambda side, x, n: F.get(F.col(f"{side}_{x}"), F.col(n))
+    spans = grown.select("doc_id", "text_id", (F.col("lo") - F.col("l")).alias("lo"), (F.col("hi") + F.col("r")).alias("hi"), part("o", "starts", "l").alias("start"), part("o", "ends", "r").alias("end"), F.col("f_doc_id").alias("class_doc_id"), F.col("f_text_id").alias("class_text_id"), part("k", "starts", "l").alias("class_start"), part("k", "ends", "r").alias("class_end")).distinct()
+    order = Window.partitionBy("doc_id", "text_id").orderBy("lo", "hi")
+    cut = F.when(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    island = Window.partitionBy("doc_id", "text_id", "island")
+    long = spans.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.max("hi").over(island) - F.min("lo").over(island)).where(F.col("all") >= least)
+    copies = materialise(long.select("doc_id", "text_id", "start", (F.col("end") - F.col("start")).alias("length"), "class_doc_id", "class_text_id", "class_start", "class_end"), "runs")
+    of_place = ["class_doc_id", "class_text_id", "class_start", "class_end"]
+    counted = with_totals(copies.withColumn("place", F.xxhash64(*of_place)).withColumn("copies", F.lit(1)), "place", "text_id", {"copies": F.sum}).withColumn("copies", F.col("copies") + 1)
+    order_of = ["doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies"]
+    first = counted.groupBy(*of_place, "copies").agg(F.lit(True).alias("kept")).select(F.col("class_doc_id").alias("doc_id"), F.col("class_text_id").alias("text_id"), F.col("class_start").alias("start"), (F.col("class_end") - F.col("class_start")).alias("length"), "class_doc_id", "class_text_id", "class_start", "copies", "kept")
+    return counted.select(*order_of, F.lit(False).alias("kept")).unionByName(first)
+
+
+PASSAGES = ["doc_id", "text_id", "kind", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies", "kept"]
 
 
 def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8, least_words: int = 40, rows: int = 3, recall: float = 0.999, window: int = 32, spread: int = 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kind, start, length, class_doc_id, class_start, copies, kept): every passage that occurs in two documents.
+    """Columns PASSAGES: every passage that occurs in two documents.
 
     kind paragraph: lines of ``least_words`` words or more are one class if a
     chain of pairs with exact Jaccard similarity >= ``similarity`` over
     ``width``-word shingles joins them; candidates collide in a MinHash band.
     Equal ones (letter case and blanks apart) are one node whatever their
-    number. kind run: word for word repeats that need not fill a paragraph.
-    Windows of ``window`` words begin at content-defined anchors, of which
-    there is one in any ``spread`` places; equal windows of different documents
-    are found by hash, and overlapping ones are one run. Every repeat of
-    ``window + spread`` words or more is found; some shorter ones are.
-
-    start and length are bytes of the text in UTF-8. A class is named after its
-    first passage by (doc_id, start), the one that is kept; ``copies`` counts
-    its passages. Passages that repeat within one document only do not occur.
-
-    Null, empty and short texts have no passage. Passages of null ids belong to
-    classes, but name no second document. Repeated rows are one document. Other
-    columns are ignored. An empty table gives an empty result.
+    number. A class is named after its first passage by (doc_id, text_id,
+    start), null ids last, which is the one that is kept.
+
+    kind run: word for word repeats that need not fill a paragraph. Windows of
+    ``window`` words begin at content-defined anchors, of which there is one in
+    any ``spread`` places. Equal windows of different documents are found by
+    hash and matched with their first occurrence; what touches at one distance
+    is one stretch, extended word by word to the ends of the match. Its class
+    is the place that it equals: that copy is kept, and decided for each
+    stretch by itself. Repeats of ``window + spread`` words or more are found,
+    whole; shorter ones are left out.
+
+    ``copies`` counts a class's passages. start and length are bytes of the
+    text in UTF-8; text_id is the text's XXH64 as of Spark's xxhash64. Words,
+    paragraphs and windows are told apart by 64-bit hashes. Passages that
+    repeat within one document only do not occur.
+
+    Null, empty and short texts have no passage. A document is an id with a
+    text: rows of one id or of null ids with different texts are different
+    documents, rows that agree in both are one. Other columns are ignored. An
+    empty table gives an empty result.
     """
     found = materialise(units(docs, width, least_words, bands(similarity, rows, recall), rows, window, spread, id_col=id_col, text_col=text_col), "units")
     lines = found.where("not run")
-    paragraphs = classes(lines.select("doc_id", "start", "length", "key"), "key", near_paragraph_links(lines, width, similarity))
-    spans, links = shared_runs(found.where("run").select("doc_id", "start", "length", "key"))
-    runs = classes(spans, "span", links)
-    order = ["doc_id", "kind", "start", "length", "class_doc_id", "class_start", "copies", "kept"]
-    return paragraphs.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("run"))).select(*order)
+    paragraphs = classes(lines.select("doc_id", "text_id", "start", "length", "key").distinct(), near_paragraph_links(lines, width, similarity))
+    windows = found.where("run").select("doc_id", "text_id", "at", "key", F.lit(window).alias("words"))
+    runs = shared_runs(docs, windows, spread - 1, window + spread, id_col, text_col)
+    return paragraphs.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("run"))).select(*PASSAGES)
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the bytes of ``passages`` (see repeated_passages) that are not kept."""
-    cut = passages.where("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__cut")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(cut, docs[id_col] == cut["__id"], "left").drop("__id")
+    """``docs`` without the bytes of ``passages`` (see repeated_passages) that are not kept.
+
+    Null and empty texts and texts without such passages stay as they are.
+    Passages belong to an id and a text, so null ids and different texts of an
+    id are cut each by its own; repeated rows are cut alike. Other columns pass
+    through.
+    """
+    cut = passages.where("not kept").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("__cut")).withColumnsRenamed({"doc_id": "__id", "text_id": "__text"})
+    joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__id"]) & (F.xxhash64(docs[text_col]) == cut["__text"]), "left").drop("__id", "__text")
     at = joined.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
