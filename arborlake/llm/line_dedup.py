@@ -16,10 +16,12 @@ def site_lines(pages: DataFrame, site_col: str, text_col: str) -> DataFrame:
     return pages.select(F.col(site_col).alias("site"), F.xxhash64(F.col(text_col)).alias("page"), F.explode(lines).alias("line"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 5, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(site, lines): per site the hashes of lines on over ``ratio`` of its pages and on ``least_pages`` pages at least.
+def boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 2, site_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(site, lines): per site the hashes of lines on over ``ratio`` of its pages.
 
-    Pages with one content count once, on either side of the ratio: a group of
+    A line on one page only is no repeat, whatever the site's size, so
+    ``least_pages`` is 2: at 1 a site of under 1 / ``ratio`` pages would lose
+    every line of it. Pages with one content count once, on either side of the ratio: a group of
     copies does not make its own lines boilerplate. A site's list has at most
     (mean number of lines of its pages) / ratio members.
     """
@@ -30,11 +32,12 @@ def boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 5, sit
     return on.join(total, same).where(F.col("on") > ratio * F.col("pages")).groupBy(on["site"]).agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 5, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 2, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text_col``, and (n_lines, n_dropped) beside.
 
     Built-in functions only. Lines are split at LF and compared whole by 64-bit
-    hash; blank lines stay. The lists of lines, one row per site, are written
+    hash; blank lines stay. A page's lines meet its site's list once, by a hash
+    set, which leaves the few that are to go. The lists of lines, one row per site, are written
     and counted: up to BROADCAST_LINES lines they are sent to all tasks, so
     that pages are not shuffled; beyond that the join shuffles by site, and AQE
     splits large ones.
@@ -49,6 +52,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 5
         listed = F.broadcast(listed)
     joined = pages.join(listed, pages[site_col].eqNullSafe(listed["__site"]), "left")
     lines = F.split(F.col(text_col), "\n")
+    joined = joined.withColumn("__lines", F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("__lines")))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), F.xxhash64(x)))
     clean = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.coalesce(F.size(lines), F.lit(0))

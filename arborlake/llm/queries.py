@@ -53,7 +53,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_quality, op4_url_filter, op5_lm_score, op6_substring_dedup, op7_simhash, op8_top_k, op9_packing, op10_embedding_dedup)}
 
 ORACLE_SQL = {
-    "op2_line_dedup": f"SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM ({line_dedup.line_dedup_sql(0.05, 5)})",
+    "op2_line_dedup": f"SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM ({line_dedup.line_dedup_sql(0.05, 2)})",
     "op4_url_filter": url_filter.judge_sql(),
     "op8_top_k": """
       WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings

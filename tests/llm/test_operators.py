@@ -140,6 +140,11 @@ def test_line_dedup(spark):
     assert all(r["n_dropped"] == 0 for r in line_dedup.drop_boilerplate(docs(spark, ["a\nb"] * 50)).collect())  # copies are one page
 
 
+def test_the_ratio_decides_on_small_sites(spark):
+    got = line_dedup.drop_boilerplate(docs(spark, ["top\na", "top\nb", "c\nd", "top\na"], ["x", "x", "x", "y"])).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(0, "a"), (1, "b"), (2, "c\nd"), (3, "top\na")}
+
+
 def test_line_dedup_sql(spark):
     table = whole(spark)
     got = line_dedup.drop_boilerplate(table, 0.02, 3).select("doc_id", "text", "n_lines", "n_dropped").toPandas().sort_values("doc_id")
@@ -151,7 +156,8 @@ def test_line_dedup_sql(spark):
 
 def test_line_dedup_odd(spark):
     got = line_dedup.drop_boilerplate(odd(spark))
-    assert sorted(map(str, (r["text"] for r in got.collect()))) == sorted(map(str, ODD))
+    want = [*ODD[:3], "", *ODD[4:8], "", None]  # the line a is on two pages of site s
+    assert sorted(map(str, (r["text"] for r in got.collect()))) == sorted(map(str, want))
     assert line_dedup.drop_boilerplate(odd(spark).limit(0)).count() == 0
 
 
