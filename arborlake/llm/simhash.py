@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import components, thinned
+from .components import components, thinned, with_totals
 from .substring_dedup import sieve, spanning_pairs
 from .words import BYTE_BASE, Words, mix, parts, release
 
@@ -148,9 +148,8 @@ def label_documents(own: DataFrame, key: list[str], tile: Column, offsets: list[
     nodes = materialise(own.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64(*key)), "fps")
     links = link_fingerprints(nodes.select("id", "fp", tile.cast("long").alias("tile")), offsets, radius, words)
     joined = components(links)
-    roots = nodes.join(joined, nodes["id"] == joined["node"], "left").select(*key, "least", F.coalesce("component", "id").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(roots.join(named, "root").select(*key, "component_id"), key)
+    roots = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", *key, F.col("least").alias("component_id"), F.coalesce("component", "id").alias("root"))
+    return own.join(with_totals(roots, "root", "id", {"component_id": F.min}).select(*key, "component_id"), key)
 
 
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,8 +199,8 @@ def verified_links(members: DataFrame, docs: DataFrame, width: int, similarity:
     A component is dealt into blocks of some 512 members or half a million
     shingles by hash, and every pair of its blocks is compared.
     """
-    sizes = members.groupBy("component").agg((F.greatest(F.expr("count(*) div 512"), F.expr(f"sum(shingles) div {1 << 19}")) + 1).alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.expr("pmod(xxhash64(id, 5), blocks)")).select("id", "component", "block", "blocks")
+    sized = with_totals(members.select("id", "component", "shingles", F.lit(1).alias("n")), "component", "id", {"n": F.sum, "shingles": F.sum})
+    dealt = sized.withColumn("blocks", F.greatest(F.expr("n div 512"), F.expr(f"shingles div {1 << 19}")) + 1).withColumn("block", F.expr("pmod(xxhash64(id, 5), blocks)")).select("id", "component", "block", "blocks")
     sets = shingle_sets(docs, members, width, id_col, text_col)
     blocks = materialise(dealt.join(sets, "id").repartition("component", "block").groupBy("component", "block", "blocks").agg(F.collect_list(F.struct("id", "set")).alias("m")), "sets")
     left = blocks.withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(own, blocks - 1)"))).select("component", "block", "own", F.col("m.id").alias("a"), F.col("m.set").alias("x"))
@@ -251,9 +250,8 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     met = components(link_fingerprints(nodes.select("id", "fp", tile.cast("long").alias("tile")), offsets, radius, words))
     members = materialise(nodes.join(met, nodes["id"] == met["node"]).select("id", "component", "least", "shingles"), "candidates")
     joined = components(verified_links(members, docs, width, similarity, id_col, text_col))
-    roots = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", "least", F.coalesce("component", "id").alias("root"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(roots.join(named, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+    roots = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", F.col("least").alias("component_id"), F.coalesce("component", "id").alias("root"))
+    return own.join(with_totals(roots, "root", "id", {"component_id": F.min}).select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
