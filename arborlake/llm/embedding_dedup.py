@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import components, thinned
+from .components import components, thinned, with_totals
 from .topk import usable
 
 BLOCK = 1024  # members of a compared block on average
@@ -173,22 +173,22 @@ def block_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
 def joined_counts(nodes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """(id, links, first): the nodes of the components that ``links`` make, with their links in it and its least vec_id."""
     joined = components(links)
-    members = materialise(nodes.join(joined, nodes["id"] == joined["node"]).select("id", "component", "v", "copies", "least"), "members")
-    named = members.groupBy("component").agg(F.min("least").alias("first"))
-    return materialise(members.join(count_links(members, threshold), "id").join(named, "component").select("id", "links", "first"), "counted")
+    members = materialise(nodes.join(joined, nodes["id"] == joined["node"]).select("id", "component", "v", "copies", F.col("least").alias("first")), "members")
+    named = with_totals(members.select("id", "component", "first"), "component", "id", {"first": F.min})
+    return materialise(named.join(count_links(members, threshold), "id").select("id", "links", "first"), "counted")
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(id, links): links of each member within its component, copies counted, exactly.
 
-    A component is dealt into blocks of about 1024; every pair of blocks is
-    compared and gives one count per member, not the links themselves.
+    A component is dealt into blocks of about 1024; every pair of blocks meets
+    by its own key and gives one count per member, not the links themselves.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    dealt = members.join(sizes, "component").withColumn("block", F.expr(f"pmod(xxhash64(id, 13), n div {BLOCK} + 1)"))
-    blocks = materialise(dealt.repartition("component", "block").groupBy("component", "block").agg(F.collect_list(F.struct("id", "v", "copies")).alias("m")), "blocks")
-    left = blocks.select("component", F.col("block").alias("own"), F.col("m").alias("l"))
-    pairs = left.join(blocks, "component").where("own <= block").select(F.col("l.id").alias("a"), F.col("l.v").alias("av"), F.col("l.copies").alias("ac"), F.col("m.id").alias("b"), F.col("m.v").alias("bv"), F.col("m.copies").alias("bc"), (F.col("own") == F.col("block")).alias("same"))
+    sized = with_totals(members.select("id", "component", F.lit(1).alias("n")), "component", "id", {"n": F.sum})
+    dealt = members.join(sized.select("id", F.expr(f"n div {BLOCK} + 1").alias("blocks")), "id").withColumn("block", F.expr("pmod(xxhash64(id, 13), blocks)"))
+    blocks = materialise(dealt.repartition("component", "block").groupBy("component", "block", "blocks").agg(F.collect_list(F.struct("id", "v", "copies")).alias("m")), "blocks")
+    left = blocks.select("component", F.col("block").alias("own"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"), F.col("m").alias("l"))
+    pairs = left.join(blocks, ["component", "block"]).select(F.col("l.id").alias("a"), F.col("l.v").alias("av"), F.col("l.copies").alias("ac"), F.col("m.id").alias("b"), F.col("m.v").alias("bv"), F.col("m.copies").alias("bc"), (F.col("own") == F.col("block")).alias("same"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
