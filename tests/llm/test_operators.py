@@ -233,7 +233,7 @@ def test_url_rules(spark):
 
 def test_url_sql(spark):
     rng = np.random.default_rng(2)
-    rows = [(k, f"http://{rng.choice(['a.net', 'b.org', 'www.example.com', 'example.com', 'c.com'])}/{rng.choice(['en', 'es', 'fr', 'x' + str(k), 'y'])}/{rng.integers(30)}{rng.choice(['', '.html', '/z'])}") for k in range(600)] + list(enumerate(URLS))
+    rows = [(k, f"http://{rng.choice(['a.net', 'b.org', 'www.example.com', 'example.com', 'c.com'])}/{rng.choice(['en', 'es', 'fr', 'x' + str(k), 'y'])}/{rng.choice(['p', 'q'])}/{rng.integers(30)}{rng.choice(['', '.html', '/z', '/1/2/3/4/5/6/7/8/9', '/a/b/c/d/e/f/g/' + 'abcdefghijklmnopqrstuvwxyz'[k % 26]])}") for k in range(600)] + list(enumerate(URLS))
     pages = spark.createDataFrame(rows, "page_id long, url string")
     key = ["page_id", "host", "path"]
     got = url_filter.judge(pages).toPandas().sort_values(key).astype(str).values.tolist()
