@@ -513,7 +513,7 @@ def top_brute(rows, k=5, every=50):
     out = {}
     for q in fine:
         if q % every == 0:
-            scored = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
+            scored = sorted((-min(max(sum(int(a) * int(b) for a, b in zip(fine[q], v, strict=True)), topk.LOWEST), topk.HIGHEST), i) for i, v in [(i, fine[i]) for i, _, _ in rows if i in fine] if i != q and len(v) == len(fine[q]))
             out[q] = [(i, -s) for s, i in scored[:k]]
     return {q: v for q, v in out.items() if v}
 
@@ -522,19 +522,35 @@ def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(0, 0.2, 8).round(1).tolist(), 0) for k in range(400)] + [(401, None, 0), (402, [float("nan")] * 8, 0), (403, [None] * 8, 0), (450, [0.0] * 8, 0), (None, [0.1] * 8, 0), (500, [1.0], 1), (501, [2.0], 1)]
     got = {}
-    for r in sorted(topk.top_k(vectors(spark, rows + rows[:3])).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    rows += rows[:3] + rows[50:51]
+    clash = vectors(spark, rows).selectExpr("*", "1 AS v", "2 AS block", "3 AS score", "4 AS `rank`")
+    for r in sorted(topk.top_k(clash).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == top_brute(rows)
     assert topk.top_k(vectors(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e6, 1e9])
+def test_top_k_over_blocks_and_large_components(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "FEWEST_ROWS", 40)
+    monkeypatch.setattr(topk, "CHUNK_QUERIES", 3)
+    rng = np.random.default_rng(15)
+    rows = [(k, (rng.normal(0, 1, 6) * [1, 1, 1, 30, scale, 0]).tolist(), 0) for k in range(420)]
+    rows = [(i, np.float32(v).astype(float).tolist(), c) for i, v, c in rows]
+    got = {}
+    for r in sorted(topk.top_k(vectors(spark, rows)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == top_brute(rows) and max(s for v in got.values() for _, s in v) > 2**53
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(6)
-    v = rng.normal(0, 1, (3000, 2)).round(2) * 100
+    v = np.rint(rng.normal(0, 100, (3000, 2))).astype(np.int64)
     lists = topk.SortedLists(np.arange(3000), v)
     ids, scores = lists.search(-1, np.asarray([3, -2]), 4)
     best = sorted(range(3000), key=lambda i: (-(v[i] @ [3, -2]), i))[:4]
-    assert ids.tolist() == best and scores.tolist() == [int(v[i] @ [3, -2]) for i in best]
+    assert ids.tolist() == best and scores == [int(v[i] @ [3, -2]) for i in best]
+    assert lists.search(-1, np.asarray([3, -2]), 4, scores[-1])[0].tolist() == best and not len(lists.search(-1, np.asarray([3, -2]), 4, 10**6)[0])
 
 
 # -- 9 ----------------------------------------------------------------------------
