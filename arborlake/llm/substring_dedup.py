@@ -174,95 +174,118 @@ def classes(parts: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(of, "key").select("doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies", own.alias("kept"))
 
 
-def stretches(windows: DataFrame) -> DataFrame:
-    """(doc_id, text_id, lo, hi, f_doc_id, f_text_id, f_lo, f_hi): words lo..hi-1 of a document equal words f_lo..f_hi-1 of another place.
+def islands(rows: DataFrame, own: list[str], lo: str, hi: str) -> DataFrame:
+    """``rows`` with a column island: of the rows that agree in ``own``, those whose spans lo..hi touch or overlap have one number."""
+    order = Window.partitionBy(*own).orderBy(lo, hi)
+    cut = F.when(F.col(lo) > F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    return rows.withColumn("island", cut).withColumn("island", F.sum("island").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    ``windows`` have (doc_id, text_id, at, key) and a number of words. A window
-    that occurs in two documents is matched with its first occurrence; matches
-    with one document at one distance in words that touch are one stretch.
+
+def stretches(windows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_id, lo, hi, start, end, f_…): words lo..hi-1, bytes start..end-1 of a document equal those of another place, columns f_….
+
+    ``windows`` (doc_id, text_id, at, start, length, key) have ``size`` words.
+    A window that occurs in two documents is matched with its first occurrence;
+    matches with one document at one distance in words that touch are one
+    stretch.
     """
-    size = "words"
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at", "start", "length")
     whose = F.struct("doc_id", "text_id")
-    shared = materialise(windows.groupBy("key").agg(F.min(place).alias("first"), F.min(whose).alias("lo"), F.max(whose).alias("hi")).where("lo < hi").select("key", "first"), "shared")
-    met = sieve(windows, shared).join(shared, "key").select("doc_id", "text_id", "at", size, *[F.col(f"first.{c}").alias(f"f_{c}") for c in ("doc_id", "text_id", "at")])
-    apart = ~(F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("text_id") == F.col("f_text_id")) & (F.col("at") == F.col("f_at")))
+    shared = materialise(windows.groupBy("key").agg(F.min(place).alias("f"), F.min(whose).alias("lo"), F.max(whose).alias("hi")).where("lo < hi").select("key", "f"), "shared")
+    met = sieve(windows, shared).join(shared, "key").withColumn("shift", F.col("at") - F.col("f.at"))
+    apart = ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_id") == F.col("f.text_id")) & (F.col("shift") == 0))
     own = ["doc_id", "text_id", "f_doc_id", "f_text_id", "shift"]
-    order = Window.partitionBy(*own).orderBy("at")
-    cut = F.when(F.col("at") > F.lag("at").over(order) + F.col(size), 1).otherwise(0)
-    numbered = met.where(apart).withColumn("shift", F.col("at") - F.col("f_at")).withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*own, "island").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col(size)).alias("hi")).select("doc_id", "text_id", "lo", "hi", "f_doc_id", "f_text_id", (F.col("lo") - F.col("shift")).alias("f_lo"), (F.col("hi") - F.col("shift")).alias("f_hi"))
+    spans = met.where(apart).select("doc_id", "text_id", F.col("f.doc_id").alias("f_doc_id"), F.col("f.text_id").alias("f_text_id"), "shift", F.col("at").alias("lo"), (F.col("at") + size).alias("hi"), "start", (F.col("start") + F.col("length")).alias("end"), F.col("f.start").alias("f_start"), (F.col("f.start") + F.col("f.length")).alias("f_end"))
+    least, most = (lambda f: lambda *c: [f(x).alias(x) for x in c])(F.min), (lambda f: lambda *c: [f(x).alias(x) for x in c])(F.max)
+    whole = islands(spans, own, "lo", "hi").groupBy(*own, "island").agg(*least("lo", "start", "f_start"), *most("hi", "end", "f_end"))
+    return whole.select("doc_id", "text_id", "lo", "hi", "start", "end", "f_doc_id", "f_text_id", (F.col("lo") - F.col("shift")).alias("f_lo"), (F.col("hi") - F.col("shift")).alias("f_hi"), "f_start", "f_end")
 
 
-SIDES = "doc_id long, text_id long, lo int, hi int, left array<long>, starts array<long>, right array<long>, ends array<long>"
+SIDES = "doc_id long, text_id long, after boolean, at int, hashes array<long>, bytes array<long>"
 
 
 def sides(docs: DataFrame, asked: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of SIDES for distinct places ``asked`` (doc_id, text_id, lo, hi): hashes of up to ``most`` words before and after, from the place outwards, and the bytes where the place begins and ends with 0, 1, 2, … of them."""
-    each = asked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-    names = F.xxhash64("doc_id", "text_id").alias("key")
-    texts = sieve(documents(docs, id_col, text_col).select("*", names), each.select(names)).drop("key")
-    same = texts["doc_id"].eqNullSafe(each["doc_id"]) & (texts["text_id"] == each["text_id"])
-    held = texts.join(each, same).select(each["doc_id"], each["text_id"], "text", "places")
+    """Rows of SIDES for distinct places ``asked`` (doc_id, text_id, after, at): up to ``most`` words outwards.
+
+    They are the words before word ``at``, or those from it on if ``after``:
+    hashes, and the byte where what they extend begins (ends if ``after``) with
+    0, 1, 2, … of them.
+    """
+    key = F.xxhash64("doc_id", "text_id").alias("key")
+    each = asked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("after", "at")).alias("places")).select("*", key)
+    texts = sieve(documents(docs, id_col, text_col).select("*", key), each)
+    same = (texts["key"] == each["key"]) & (texts["text_id"] == each["text_id"]) & texts["doc_id"].eqNullSafe(each["doc_id"])
+    # a document's repeated rows say the same: one of them is enough
+    held = texts.join(each, same).groupBy(each["key"], each["text_id"], each["doc_id"]).agg(F.first("text").alias("text"), F.first("places").alias("places")).select("doc_id", "text_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             for part in parts(b, 2, 256):
                 out: list[tuple] = []
                 for doc, own, text, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     w = Words(text)
-                    hashes = w.run(np.arange(len(w)), np.arange(1, len(w) + 1)).view(np.int64)
                     for p in places:
-                        lo, hi = p["lo"], p["hi"]
-                        first, last = max(0, lo - most), min(len(w), hi + most)
-                        out.append((doc, own, lo, hi, hashes[first:lo][::-1], w.starts[first : lo + 1][::-1], hashes[hi:last], w.ends[hi - 1 : last]))
+                        after, at = p["after"], p["at"]
+                        first, last = (at, min(len(w), at + most)) if after else (max(0, at - most), at)
+                        words = np.arange(first, last)
+                        hashes = w.run(words, words + 1).view(np.int64)
+                        out.append((doc, own, after, at, hashes if after else hashes[::-1], w.ends[at - 1 : last] if after else w.starts[first : at + 1][::-1]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "text_id", "lo", "hi", "left", "starts", "right", "ends"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "text_id", "after", "at", "hashes", "bytes"])
         release()
 
-    return held.mapInArrow(run, SIDES).distinct()  # a document's repeated rows say the same
+    return held.mapInArrow(run, SIDES)
 
 
-def shared_runs(docs: DataFrame, windows: DataFrame, most: int, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_id, start, length, class_…, copies, kept): stretches that two places share, extended word by word to the ends of the match.
+def grown(docs: DataFrame, found: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """Stretches with the ends of every island of them extended word by word, by up to ``most`` words, as far as both places agree.
 
-    Every stretch is extended by up to ``most`` words on either side against
-    the place it equals, which is the copy that is kept; beyond that there would
-    have been another window. Places of a document that overlap and have under
-    ``least`` words together are left out.
+    Within an island stretches touch, so only its first is extended to the left
+    and its last to the right. Beyond ``most`` words there would have been
+    another window.
     """
-    found = materialise(stretches(windows), "stretches")
-    place = ["doc_id", "text_id", "lo", "hi"]
-    asked = found.select(*place).union(found.select(*[f"f_{c}" for c in place])).distinct()
+    numbered = materialise(islands(found, ["doc_id", "text_id"], "lo", "hi").withColumn("id", F.monotonically_increasing_id()), "stretches")
+    whole = Window.partitionBy("doc_id", "text_id", "island")
+    edge = numbered.withColumns({"first": F.min("lo").over(whole), "last": F.max("hi").over(whole)})
+    ends = edge.where("lo = first").select("*", F.lit(False).alias("after"), F.col("lo").alias("at"), F.col("f_lo").alias("f_at")).unionByName(edge.where("hi = last").select("*", F.lit(True).alias("after"), F.col("hi").alias("at"), F.col("f_hi").alias("f_at")))
+    ends = materialise(ends.select("id", "doc_id", "text_id", "after", "at", "f_doc_id", "f_text_id", "f_at"), "ends")
+    place = ["doc_id", "text_id", "after", "at"]
+    asked = ends.select(*place).union(ends.select("f_doc_id", "f_text_id", "after", "f_at")).distinct()
     about = materialise(sides(docs, asked, most, id_col, text_col), "sides")
 
-    def of(prefix: str) -> DataFrame:
-        return about.select(*[F.col(c).alias(f"{prefix}_{c}") for c in about.columns])
+    def met(rows: DataFrame, doc: str, to: str) -> DataFrame:
+        side = about.select(*[F.col(c).alias(f"{to}_{c}") for c in about.columns])
+        same = F.col(f"{doc}doc_id").eqNullSafe(F.col(f"{to}_doc_id")) & (F.col(f"{doc}text_id") == F.col(f"{to}_text_id")) & (F.col("after") == F.col(f"{to}_after")) & (F.col(f"{doc}at") == F.col(f"{to}_at"))
+        return rows.join(side, same).drop(*[f"{to}_{c}" for c in place])
 
-    def at(prefix: str, doc: str):
-        return F.col(f"{doc}doc_id").eqNullSafe(F.col(f"{prefix}_doc_id")) & (F.col(f"{doc}text_id") == F.col(f"{prefix}_text_id")) & (F.col(f"{doc}lo") == F.col(f"{prefix}_lo")) & (F.col(f"{doc}hi") == F.col(f"{prefix}_hi"))
+    both = met(met(ends, "", "o").drop(*place[:2], "at"), "f_", "k")
+    same = F.zip_with("o_hashes", "k_hashes", lambda a, b: a.eqNullSafe(b))
+    stop = F.array_position(same, F.lit(False))
+    n = F.when(stop == 0, F.size(same)).otherwise(stop - 1).cast("int")
+    reach = both.select("id", "after", n.alias("n"), F.get("o_bytes", n).alias("byte"), F.get("k_bytes", n).alias("f_byte"))
+    of = lambda c, after: F.max(F.when(F.col("after") == after, F.col(c))).alias(f"{c}_{'r' if after else 'l'}")
+    sized = reach.groupBy("id").agg(*[of(c, after) for c in ("n", "byte", "f_byte") for after in (False, True)])
+    long = numbered.join(sized, "id", "left")
+    none = F.lit(0)
+    return long.select("doc_id", "text_id", (F.col("lo") - F.coalesce("n_l", none)).alias("lo"), (F.col("hi") + F.coalesce("n_r", none)).alias("hi"), F.coalesce("byte_l", "start").alias("start"), F.coalesce("byte_r", "end").alias("end"), "f_doc_id", "f_text_id", F.coalesce("f_byte_l", "f_start").alias("f_start"), F.coalesce("f_byte_r", "f_end").alias("f_end"))
 
-    both = found.join(of("o"), at("o", "")).join(of("k"), at("k", "f_"))
 
-    def common(x: str):
-        same = F.zip_with(f"o_{x}", f"k_{x}", lambda a, b: a.eqNullSafe(b))
-        first = F.array_position(same, F.lit(False))
-        return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+def shared_runs(docs: DataFrame, windows: DataFrame, size: int, most: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_id, start, length, class_…, copies, kept): stretches that two places share, and the places they are kept at.
 
-    grown = both.withColumns({"l": common("left"), "r": common("right")})
-    part = lambda side, x, n: F.get(F.col(f"{side}_{x}"), F.col(n))
-    spans = grown.select("doc_id", "text_id", (F.col("lo") - F.col("l")).alias("lo"), (F.col("hi") + F.col("r")).alias("hi"), part("o", "starts", "l").alias("start"), part("o", "ends", "r").alias("end"), F.col("f_doc_id").alias("class_doc_id"), F.col("f_text_id").alias("class_text_id"), part("k", "starts", "l").alias("class_start"), part("k", "ends", "r").alias("class_end")).distinct()
-    order = Window.partitionBy("doc_id", "text_id").orderBy("lo", "hi")
-    cut = F.when(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    Stretches of a document that touch and have under ``least`` words together
+    are left out.
+    """
+    spans = islands(grown(docs, stretches(windows, size), most, id_col, text_col), ["doc_id", "text_id"], "lo", "hi")
     island = Window.partitionBy("doc_id", "text_id", "island")
-    long = spans.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.max("hi").over(island) - F.min("lo").over(island)).where(F.col("all") >= least)
-    copies = materialise(long.select("doc_id", "text_id", "start", (F.col("end") - F.col("start")).alias("length"), "class_doc_id", "class_text_id", "class_start", "class_end"), "runs")
+    long = spans.withColumn("all", F.max("hi").over(island) - F.min("lo").over(island)).where(F.col("all") >= least)
+    copies = materialise(long.select("doc_id", "text_id", "start", (F.col("end") - F.col("start")).alias("length"), F.col("f_doc_id").alias("class_doc_id"), F.col("f_text_id").alias("class_text_id"), F.col("f_start").alias("class_start"), F.col("f_end").alias("class_end")), "runs")
     of_place = ["class_doc_id", "class_text_id", "class_start", "class_end"]
     counted = with_totals(copies.withColumn("place", F.xxhash64(*of_place)).withColumn("copies", F.lit(1)), "place", "text_id", {"copies": F.sum}).withColumn("copies", F.col("copies") + 1)
-    order_of = ["doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies"]
+    order = ["doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies"]
     first = counted.groupBy(*of_place, "copies").agg(F.lit(True).alias("kept")).select(F.col("class_doc_id").alias("doc_id"), F.col("class_text_id").alias("text_id"), F.col("class_start").alias("start"), (F.col("class_end") - F.col("class_start")).alias("length"), "class_doc_id", "class_text_id", "class_start", "copies", "kept")
-    return counted.select(*order_of, F.lit(False).alias("kept")).unionByName(first)
+    return counted.select(*order, F.lit(False).alias("kept")).unionByName(first)
 
 
 PASSAGES = ["doc_id", "text_id", "kind", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies", "kept"]
@@ -282,9 +305,9 @@ def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     ``window`` words begin at content-defined anchors, of which there is one in
     any ``spread`` places. Equal windows of different documents are found by
     hash and matched with their first occurrence; what touches at one distance
-    is one stretch, extended word by word to the ends of the match. Its class
-    is the place that it equals: that copy is kept, and decided for each
-    stretch by itself. Repeats of ``window + spread`` words or more are found,
+    is one stretch. Stretches of a document that touch are extended word by
+    word at their outer ends. A stretch's class is the place that it equals:
+    that copy is kept, and decided for each stretch by itself. Repeats of ``window + spread`` words or more are found,
     whole; shorter ones are left out.
 
     ``copies`` counts a class's passages. start and length are bytes of the
@@ -300,8 +323,8 @@ def repeated_passages(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     found = materialise(units(docs, width, least_words, bands(similarity, rows, recall), rows, window, spread, id_col=id_col, text_col=text_col), "units")
     lines = found.where("not run")
     paragraphs = classes(lines.select("doc_id", "text_id", "start", "length", "key").distinct(), near_paragraph_links(lines, width, similarity))
-    windows = found.where("run").select("doc_id", "text_id", "at", "key", F.lit(window).alias("words"))
-    runs = shared_runs(docs, windows, spread - 1, window + spread, id_col, text_col)
+    windows = found.where("run").select("doc_id", "text_id", "at", "start", "length", "key")
+    runs = shared_runs(docs, windows, window, spread - 1, window + spread, id_col, text_col)
     return paragraphs.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("run"))).select(*PASSAGES)
 
 
