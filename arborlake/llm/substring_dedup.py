@@ -190,7 +190,7 @@ def stretches(windows: DataFrame, size: int) -> DataFrame:
     stretch.
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at", "start", "length")
-    whose = F.struct("doc_id", "text_id")
+    whose = F.xxhash64("doc_id", "text_id")
     shared = materialise(windows.groupBy("key").agg(F.min(place).alias("f"), F.min(whose).alias("lo"), F.max(whose).alias("hi")).where("lo < hi").select("key", "f"), "shared")
     met = sieve(windows, shared).join(shared, "key").withColumn("shift", F.col("at") - F.col("f.at"))
     apart = ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_id") == F.col("f.text_id")) & (F.col("shift") == 0))
