@@ -142,7 +142,10 @@ def apply_template(source: str, action: str, before: Tree | None, after: Tree |
     matches; Add puts it before the statement at the first line; Remove takes
     the matched statement out. Equal variables on both sides of the template
     are bound to what they matched. Operators that stand for a category come
-    in all their alternatives.
+    in all their alternatives. A before side of several trees matches them one
+    after another, each past the one before; the sides' trees take each other's
+    place in order, trees too many on the before side go, those too many on the
+    after side follow the last.
     """
     module = parse_module(source)
     if module is None:
@@ -169,32 +172,56 @@ def apply_template(source: str, action: str, before: Tree | None, after: Tree |
                 getattr(parent, name)[k:k] = [_statement(to_syntax(c, take)) for c in after.children]
                 emit(tree)
         return out
-    matches = 0
-    for _, _, _, s in slots:
-        for want in before.children[:1]:
-            for node in [s] if want.kind == "Stmt" else [x for x in ast.walk(s) if isinstance(x, ast.expr)]:
-                got = match(build(node), want)
-                if got is None or matches >= most_matches:
-                    continue
-                matches += 1
-                names = _bindings(before, got)
-                for ops in choices(operator_choices(after)) if after is not None else [()]:
-                    take = iter(ops)
-                    new = [to_syntax(c, take, lambda t: names.get(_key(t))) for c in after.children] if after is not None else []
-                    tree = copy.deepcopy(module)
-                    twin = _twin(module, tree, node)
-                    if _replace(tree, twin, new, action):
-                        emit(tree)
+    for nodes, names in _bodies(slots, before, most_matches):
+        for ops in choices(operator_choices(after)) if after is not None else [()]:
+            take = iter(ops)
+            new = [to_syntax(c, take, lambda t: names.get(_key(t))) for c in after.children] if after is not None else []
+            tree = copy.deepcopy(module)
+            twins = [_twin(module, tree, x) for x in nodes]
+            last = len(twins) - 1
+            if all([_replace(tree, x, new[k:] if k == last else new[k : k + 1], action) for k, x in enumerate(twins)]):
+                emit(tree)
     return out
 
 
+def _bodies(slots: list, before: Tree, most: int) -> Iterator[tuple[list[ast.AST], dict]]:
+    """(nodes, bindings) of up to ``most`` ways in which the trees of ``before`` match nodes of the statements, each past the one before."""
+    inside = {id(x) for _, _, _, s in slots for x in ast.walk(s) if x is not s}
+    tops = sorted((s for _, _, _, s in slots if id(s) not in inside), key=lambda s: (s.lineno, s.col_offset))
+    order = [x for top in tops for x in _pre_order(top)]
+    past = {id(x): k + sum(1 for _ in _pre_order(x)) for k, x in enumerate(order)}
+    # outer statements first, then expressions of each in order
+    ways: list[tuple[list[ast.AST], dict]] = []
+
+    def extend(k: int, at: int, nodes: list[ast.AST], names: dict) -> None:
+        if k == len(before.children):
+            ways.append((nodes, names))
+            return
+        want = before.children[k]
+        kinds = ast.stmt if want.kind == "Stmt" else ast.expr
+        for x in order[at:]:
+            if len(ways) >= most:
+                return
+            if isinstance(x, kinds) and (got := match(build(x), want)) is not None:
+                extend(k + 1, past[id(x)], [*nodes, x], names | _bindings(want, got))
+
+    extend(0, 0, [], {})
+    return iter(ways)
+
+
+def _pre_order(node: ast.AST) -> Iterator[ast.AST]:
+    yield node
+    for x in ast.iter_child_nodes(node):
+        yield from _pre_order(x)
+
+
 def _key(t: Tree) -> tuple | None:
     return (t.kind, t.value) if t.kind in ("Variable", "Attribute") and t.value is not None else None
 
 
-def _bindings(before: Tree, got: dict[int, Tree]) -> dict:
+def _bindings(want: Tree, got: dict[int, Tree]) -> dict:
     out = {}
-    for k, p in enumerate(before.children[0].walk()):
+    for k, p in enumerate(want.walk()):
         if _key(p) and k in got and got[k].value is not None and got[k].kind in ("Variable", "Attribute", "Builtin", "Type"):
             out[_key(p)] = _expression(got[k].value)
     return out
@@ -245,12 +272,21 @@ def is_mask(node: ast.AST) -> bool:
     return isinstance(node, ast.Name) and node.id in _MASKS or isinstance(node, ast.Attribute) and ast.unparse(node) == ATTRIBUTE_MASK
 
 
+_OPERATIONS = (ast.Compare, ast.BoolOp, ast.UnaryOp)
+_PLAIN = (ast.Name, ast.Constant, ast.Attribute, *_OPERATIONS)
+
+
+def holds_mask(node: ast.AST) -> bool:
+    """Whether a direct part of the node is a mask."""
+    return any(isinstance(x, ast.Name) and x.id in _MASKS for x in ast.iter_child_nodes(node))
+
+
 def mask_admits(node: ast.AST, statements: bool = True) -> bool:
     """Whether an expression mask may stand for ``node``."""
     if isinstance(node, ast.Call):
         return len(node.args) + len(node.keywords) < 3 or isinstance(node.func, ast.Name) and node.func.id.endswith("Error")
     if isinstance(node, ast.BinOp):
-        return isinstance(node.op, ast.Mod) and isinstance(node.left, ast.Constant) and isinstance(node.left.value, str)
+        return isinstance(node.op, ast.Mod) and isinstance(node.left, ast.Constant)
     if isinstance(node, ast.Dict):
         return not node.keys
     return isinstance(node, _MASKABLE) or statements and isinstance(node, ast.stmt)
@@ -264,7 +300,9 @@ def same_syntax(a, b) -> bool:
 def masked_equal(patch, real, statements: bool = True, found: dict | None = None) -> bool:
     """Whether ``real`` fits a masked ``patch``; ``found`` collects what each mask stands for.
 
-    Any operator equals any operator, and scalar fields are not compared.
+    Any operator equals any operator, and scalar fields are not compared. A
+    comparison, boolean or unary operation with a masked part may stand for any
+    plain expression.
     """
     if isinstance(patch, ast.AST) and isinstance(real, ast.AST):
         if is_mask(patch):
@@ -272,6 +310,8 @@ def masked_equal(patch, real, statements: bool = True, found: dict | None = None
             if ok and found is not None:
                 found.setdefault(len(found), ast.unparse(real))
             return ok
+        if isinstance(patch, _OPERATIONS) and holds_mask(patch) and isinstance(real, _PLAIN):
+            return True
         if isinstance(patch, (ast.operator, ast.boolop, ast.unaryop, ast.cmpop)):
             return isinstance(real, (ast.operator, ast.boolop, ast.unaryop, ast.cmpop))
         if type(patch) is not type(real):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Items of fewer than three words that containing() takes at most.
+#: Items of fewer than three words that are searched for in one pass.
 SHORT_ITEMS = 1000
 
 
@@ -13,9 +13,10 @@ def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
 
     A word inside an item, neither its first nor its last, stands whole in any
     text that contains it. Items are keyed by their longest inner word,
-    documents list their distinct words, an equi-join brings the two together
-    and the whole item is then searched for. Items without an inner word are
-    searched for in every text; over SHORT_ITEMS of them are refused.
+    documents list their distinct words without their texts, an equi-join
+    brings the two together, and the text is taken back for the whole item to
+    be searched for. Items without an inner word are searched for in every
+    text, SHORT_ITEMS a pass.
 
     Null and empty items occur in nothing; null documents contain nothing.
     """
@@ -23,12 +24,12 @@ def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     known = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item")).where("item is not null and item <> ''").withColumn("inner", words("item")).withColumn("inner", F.when(F.size("inner") > 2, F.slice("inner", F.lit(2), F.size("inner") - 2)))
     keyed = known.where("inner is not null").select("item_id", "item", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"].alias("word"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    met = texts.select("doc_id", "text", F.explode(F.array_distinct(words("text"))).alias("word")).join(keyed, "word").where(F.contains("text", "item")).select("doc_id", "item_id")
-    short = known.where("inner is null").select("item_id", "item").limit(SHORT_ITEMS + 1).collect()
-    if len(short) > SHORT_ITEMS:
-        raise ValueError(f"over {SHORT_ITEMS} items of fewer than three words")
-    if short:
-        listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["item"]).alias("item")) for r in short])
+    named = texts.withColumn("text_id", F.xxhash64("text"))
+    maybe = named.select("doc_id", "text_id", F.explode(F.array_distinct(words("text"))).alias("word")).join(keyed, "word").select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), "item_id", "item").distinct()
+    met = named.join(maybe, named["doc_id"].eqNullSafe(maybe["__doc"]) & (named["text_id"] == maybe["__text"])).where(F.contains("text", "item")).select("doc_id", "item_id")
+    short = known.where("inner is null").select("item_id", "item").collect()
+    for lo in range(0, len(short), SHORT_ITEMS):
+        listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["item"]).alias("item")) for r in short[lo : lo + SHORT_ITEMS]])
         hits = F.filter(listed, lambda x: F.contains(F.col("text"), x["item"]))
         met = met.unionByName(texts.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", F.col("hit.item_id").alias("item_id")))
     return met.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("hits"))

@@ -65,9 +65,10 @@ def prefix_join(left: DataFrame, right: DataFrame, text: str, prefix: str, separ
     """
     parts = F.split(F.col(text), separator, -1)
     cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
-    keyed = left.withColumn("__row", F.monotonically_increasing_id())
-    hits = keyed.select("__row", F.explode(cuts).alias(prefix)).join(right.select(prefix).distinct(), prefix).groupBy("__row").agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
-    return keyed.join(hits, "__row", "left").drop("__row")
+    texts = left.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    own = texts.withColumn(text, F.col("__text")) if text != "__text" else texts
+    hits = own.select("__text", F.explode(cuts).alias(prefix)).join(right.select(prefix).distinct(), prefix).groupBy("__text").agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    return left.join(hits, left[text] == hits["__text"], "left").drop("__text")
 
 
 def around(df: DataFrame, group: Sequence[str], position: str, marked: Column) -> DataFrame:

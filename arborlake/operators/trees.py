@@ -79,9 +79,22 @@ def leaves(found: DataFrame, keys: list[str]) -> DataFrame:
 def paths(df: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame:
     """(…keys, dfs, path): each leaf's types from the root down, by one pass over the packed nodes."""
     packed = F.col(tree)["nodes"]
-    around = lambda x: F.transform(F.filter(packed, lambda a: (a["dfs"] <= x["dfs"]) & (a["last"] >= x["dfs"])), lambda a: a["type"])
-    listed = F.transform(F.filter(packed, lambda x: x["dfs"] == x["last"]), lambda x: F.struct(x["dfs"].alias("dfs"), F.array_join(around(x), "/").alias("path")))
-    return df.select(*keys, F.inline(listed))
+
+    @pandas_udf("array<struct<dfs: int, path: string>>")
+    def climb(dfs: pd.Series, last: pd.Series, kind: pd.Series) -> pd.Series:
+        def listed(starts, ends, names) -> list[dict]:
+            out, open_ = [], []
+            for s, e, name in zip(starts, ends, names, strict=True):
+                while open_ and open_[-1][0] < s:
+                    open_.pop()
+                open_.append((e, f"{open_[-1][1]}/{name}" if open_ else name))
+                if s == e:
+                    out.append({"dfs": s, "path": open_[-1][1]})
+            return out
+
+        return pd.Series([None if s is None else listed(s, e, n) for s, e, n in zip(dfs, last, kind, strict=True)])
+
+    return df.select(*keys, F.inline(climb(packed["dfs"], packed["last"], packed["type"])))
 
 
 def _pairwise(schema: str, kernel: Callable[[Tree | None, Tree | None], object]):

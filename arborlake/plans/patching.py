@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.kernels import abstract_ratio, context_matches, embeddings
+from ..functions.locating import regions
 from ..functions.rewriting import apply_template, build_prompt, exactly_fixes, fill, fits_fix
 from ..functions.trees import build, find_all, parse, parse_module, root
 from .mining import load_tree
@@ -21,6 +22,25 @@ def locations(bugs: DataFrame, gap: int = 10) -> DataFrame:
     return islands(bugs, keys, "line", gap).groupBy(*keys, "island").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
+def located(bugs: DataFrame, sources: DataFrame, gap: int = 10, imports: bool = True) -> DataFrame:
+    """(case, file, location, lines): buggy lines (case, file, line) by the import, function or class they lie in, in runs.
+
+    Files are joined from ``sources`` (case, file, source); what does not parse
+    or is missing has its lines in runs, as one region.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def split(source: pd.Series, lines: pd.Series) -> pd.Series:
+        def one(text, at) -> list[list[int]]:
+            module = parse_module(text)
+            return split_lines([int(k) for k in at]) if module is None else regions(module, [int(k) for k in at], gap, imports)
+
+        return pd.Series([one(s, at) for s, at in zip(source, lines, strict=True)])
+
+    whole = bugs.groupBy("case", "file").agg(F.sort_array(F.collect_set("line")).alias("lines")).join(sources.select("case", "file", "source"), ["case", "file"], "left")
+    return whole.select("case", "file", F.posexplode(split("source", "lines")).alias("location", "lines"))
+
+
 def split_lines(lines: list[int]) -> list[list[int]]:
     """Runs of consecutive lines."""
     out: list[list[int]] = []

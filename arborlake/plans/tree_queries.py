@@ -22,6 +22,15 @@ CHANGES = [
     ("none2", "def q(u):\n    v = u.get(2)\n    return v.w\n", "def q(u):\n    v = u.get(2)\n    if v is None:\n        return None\n    return v.w\n", "+    if v is None:\n+        return None", 3, 3),
 ]
 
+#: (pattern, two snippets that it generalises)
+PATTERNS = [
+    ("call", "return json(encode(a.b()))", "return json(encode(c.d()))"),
+    ("test", "if a is None:\n    return None", "if b is None:\n    return None"),
+    ("text", "s = 'p' + str(a)", "t = 'q' + str(b)"),
+    ("both", "if a.x and a.y:\n    return 3", "if b.v and b.w:\n    return 4"),
+    ("three", "a = c.f(1)\nif a is None:\n    return None\nreturn a.x", "b = d.g(2)\nif b is None:\n    return None\nreturn b.y"),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -58,9 +67,12 @@ def _changes(spark):
 
 @query
 def tree_match(spark, sf_dir):
+    """Which changed sources hold each pattern, generalised from two snippets."""
     sources = trees.with_tree(_changes(spark).select("case", "after_source"), "after_source").select("case", F.col("tree")["nodes"].alias("t"))
-    pattern = trees.with_tree(spark.range(1).select(F.lit("json(encode(x))").alias("s")), "s").select(F.col("tree")["nodes"].alias("p"))
-    return sources.join(F.broadcast(pattern)).select("case", trees.tree_matches("t", "p").alias("matches"))
+    snippets = spark.createDataFrame(PATTERNS, "pattern string, one string, other string")
+    parsed = [trees.with_tree(snippets.select("pattern", c), c).select("pattern", F.col("tree")["nodes"].alias(c)) for c in ("one", "other")]
+    patterns = parsed[0].join(parsed[1], "pattern").select("pattern", trees.tree_generalise("one", "other").alias("p"))
+    return sources.join(F.broadcast(patterns)).select("pattern", "case", trees.tree_matches("t", "p").alias("matches"))  # as many patterns as PATTERNS
 
 
 @query
@@ -89,3 +101,100 @@ def patch_rewrite(spark, sf_dir):
     forest = materialise(_forest(spark), "forest")
     cases = spark.createDataFrame([("c1", "def r(e):\n    return json(e.keys())\n", [2], False), ("c2", "def r(n):\n    w = 'z' + n\n    return w\n", [2], False)], "case string, source string, lines array<int>, added boolean")
     return patching.patches(cases, forest)
+
+
+_CASES = ", ".join(f"('{c[0]}')" for c in CHANGES)
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
+
+
+def _outline(change: str, text: str) -> list[tuple]:
+    """(change, dfs, last, type, value) rows of an indented outline: a line for a node, two blanks a level."""
+    lines = text.strip("\n").split("\n")
+    depth = [(len(x) - len(x.lstrip())) // 2 for x in lines]
+    rows = []
+    for k, x in enumerate(lines):
+        last = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines)) - 1
+        kind, _, value = x.strip().partition(" ")
+        rows.append((change, k, last, kind, value or None))
+    return rows
+
+
+#: The patterns that two changes of each kind have in common, written out by hand.
+GENERAL = {
+    "wrap": """
+Root
+  FunctionDef
+    Variable ABSTRACTED
+    Variable ABSTRACTED
+    Return
+      Call
+        Variable json
+        Call
+          Variable encode
+          Call
+            Attribute ABSTRACTED
+""",
+    "guard": """
+Root
+  FunctionDef
+    Variable ABSTRACTED
+    Variable ABSTRACTED
+    If
+      BoolOp
+        Op And
+        Attribute ABSTRACTED
+        Attribute ABSTRACTED
+      Return
+        Literal int
+""",
+    "cast": """
+Root
+  FunctionDef
+    Variable ABSTRACTED
+    Variable ABSTRACTED
+    Assign
+      Variable ABSTRACTED
+      BinOp
+        Literal str
+        Op Add
+        Call
+          Type str
+          Variable ABSTRACTED
+    Return
+      Variable ABSTRACTED
+""",
+    "none": """
+Root
+  FunctionDef
+    Variable ABSTRACTED
+    Variable ABSTRACTED
+    Assign
+      Variable ABSTRACTED
+      Call
+        Attribute ABSTRACTED
+        Literal int
+    If
+      Compare
+        Variable ABSTRACTED
+        Op Is
+        Type None
+      Return
+        Type None
+    Return
+      Attribute ABSTRACTED
+""",
+}
+
+#: Each of the four kinds of change is one block of two templates, which merge into a parent.
+_PARENTS = [("Add", "-1/1"), ("Insert", "1/1"), ("Replace", "1/1"), ("Replace", "1/2")]
+_FOREST = [row for a, b in _PARENTS for row in ((f"{a}:{b}::0", f"{a}:{b}::2", a, 1), (f"{a}:{b}::1", f"{a}:{b}::2", a, 1), (f"{a}:{b}::2", None, a, 2))]
+
+ORACLE_SQL = {
+    "tree_match": f"SELECT p.pattern, c.\"case\", starts_with(c.\"case\", p.stem) AS matches FROM (VALUES {_CASES}) c(\"case\"), (VALUES ('call', 'wrap'), ('test', 'none'), ('text', 'cast'), ('both', 'guard'), ('three', 'none')) p(pattern, stem)",
+    "anti_unify": _values("change, dfs, last, type, value", [r for change, text in GENERAL.items() for r in _outline(change, text)]),
+    "template_fixpoint": _values("template_id, parent_id, action, instances", _FOREST),
+}

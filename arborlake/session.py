@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,15 +15,20 @@ _OWN: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and every executor share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
-    single-machine session, as in tests) a temporary folder is made instead.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset on a
+    single machine, as in tests, a temporary folder is made instead, and removed
+    at exit; a cluster must name the folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _OWN.setdefault(app, "")
         if not root:
-            root = _OWN[app] = "file://" + tempfile.mkdtemp(prefix="arborlake-")
+            made = tempfile.mkdtemp(prefix="arborlake-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            root = _OWN[app] = "file://" + made
     return root.rstrip("/")
 
 

@@ -100,6 +100,51 @@ def split_files(cases: DataFrame, files: DataFrame) -> DataFrame:
     return cases.select("case", "file").distinct().join(variants, ["case", "file"], "left").select("case", "file", F.coalesce("used", "file").alias("used"))
 
 
+def described_cases(files: DataFrame) -> DataFrame:
+    """(case, git, py_version, buggy_id, fixed_pr_id, pr, code_files, test_files) from (path, text) of bug_info.json files.
+
+    The case is the folder of the file below its project, whose name ends in
+    the number of the pull request. Only Python files are code. Texts that are
+    no JSON object give a row of nulls beside the case.
+    """
+    folder = F.split("path", "/")
+    schema = "git string, py_version string, buggy_id string, fixed_pr_id string, code_files array<string>, test_files array<string>"
+    info = F.from_json("text", schema)
+    case = F.concat_ws("/", F.element_at(folder, -3), F.element_at(folder, -2))
+    rows = files.where(F.element_at(folder, -1) == "bug_info.json").select(case.alias("case"), info.alias("i"), F.regexp_extract(F.element_at(folder, -2), r"-(\d+)(?:-\d+)?$", 1).cast("int").alias("pr"))
+    return rows.select("case", "i.git", "i.py_version", "i.buggy_id", "i.fixed_pr_id", "pr", F.filter("i.code_files", lambda x: x.endswith(".py")).alias("code_files"), "i.test_files")
+
+
+def class_methods(calls: DataFrame) -> DataFrame:
+    """(class, methods) from (call) like ``Class.method()``; calls without a dot go, the order is that of the names."""
+    parts = F.split("call", "\\.")
+    return calls.where(F.size(parts) >= 2).select(parts[0].alias("class"), F.replace(parts[1], F.lit("()"), F.lit("")).alias("method")).groupBy("class").agg(F.sort_array(F.collect_list("method")).alias("methods"))
+
+
+def test_commands(cases: DataFrame, sources: DataFrame) -> DataFrame:
+    """(case, command): pytest commands for the tests of (case, test_file, test_class, test_func) found in (case, file, source).
+
+    test_class and test_func are lists of names. Cases whose file is missing or
+    does not parse have no command.
+    """
+    from ..functions.locating import test_paths
+    from ..functions.trees import parse_module
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def found(source: pd.Series, classes: pd.Series, functions: pd.Series) -> pd.Series:
+        modules = source.map(parse_module)
+        return pd.Series([[] if m is None else test_paths(m, list([] if c is None else c), list([] if f is None else f)) for m, c, f in zip(modules, classes, functions, strict=True)])
+
+    met = cases.join(sources.withColumnRenamed("file", "test_file"), ["case", "test_file"])
+    each = met.select("case", "test_file", F.explode(found("source", "test_class", "test_func")).alias("path"))
+    return each.select("case", F.concat(F.lit("pytest "), F.concat_ws("::", "test_file", F.array_join("path", "::"))).alias("command"))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that a reviewer accepted: those whose ``keys`` have the label ``y``, every one of them."""
+    return rows.join(labels.where("label = 'y'").select(*keys).distinct(), keys, "left_semi")
+
+
 # -- results --------------------------------------------------------------------
 
 
@@ -130,9 +175,19 @@ def bug_numbers(lines: DataFrame) -> DataFrame:
 
 
 def test_scripts(failed: DataFrame, split: int) -> DataFrame:
-    """(shard, script): commands for failed (case, file) rows in ``split`` runs of consecutive cases."""
+    """(shard, script): commands for failed (case, file) rows in ``split`` runs of consecutive cases.
+
+    Runs differ by one row at most, the longer ones first. Cases are ranked by
+    counts of rows a case, so no task sees all rows.
+    """
     from pyspark.sql import Window
 
-    ordered = failed.withColumn("shard", F.ntile(split).over(Window.orderBy("case", "file")) - 1)
+    per = failed.groupBy("case").agg(F.count("*").alias("n"))
+    before = per.withColumn("at", F.sum("n").over(Window.orderBy("case").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("case", "at")
+    total = failed.count()
+    rank = F.row_number().over(Window.partitionBy("case").orderBy("file")) - 1 + F.col("at")
+    long, size = total % split, total // split
+    shard = F.when(F.col("rank") < long * (size + 1), F.expr(f"rank div {size + 1}")).otherwise(long + F.expr(f"(rank - {long * (size + 1)}) div {max(size, 1)}"))
+    ordered = failed.join(before, "case").withColumn("rank", rank).withColumn("shard", shard.cast("int"))
     command = F.concat(F.lit("pyenv global "), F.element_at(F.split("case", "/"), -1), F.lit("\npython test.py "), "case", F.lit(" "), "file")
     return ordered.groupBy("shard").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("case", "file", command.alias("c")))), lambda x: x["c"]), "\n").alias("script"))
