@@ -266,6 +266,35 @@ def test_lm_scores(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_lm_score_equals_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in whole(spark).orderBy("doc_id").limit(60).collect()] + [(1000, None), (1005, "")]
+    table = docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(table, common=40, words=25, shapes=30, rank=8, steps=60).collect()}
+    own = {i: [*(x or "").encode().lower().split(), b" "] for i, x in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(t for i in train for t in own[i])
+    single = [b" "]
+    single += [w for w in lm.common_words(spark.createDataFrame(list(counts.items()), "word binary, c long"), 40) for w in [w[0]] if w != b" "][: 25 - (b" " in dict(counts.most_common(25)))]
+    shape = lambda w: w[:2] + w[-1:]
+    forms = Counter()
+    for w, c in counts.items():
+        forms[shape(w)] += c * (w not in single)
+    forms = sorted((s for s in forms if forms[s]), key=lambda s: (-forms[s], s))[:30]
+    unit = lambda w: single.index(w) if w in single else len(single) + forms.index(shape(w)) if shape(w) in forms else len(single) + len(forms)
+    size = len(single) + len(forms) + 1
+    pairs = np.zeros((size, size))
+    for i in train:
+        for a, b in zip([b" ", *own[i]], own[i], strict=False):
+            pairs[unit(a), unit(b)] += 1
+    logs = lm.train(pairs, 8, steps=60)
+    inside = Counter()
+    for w, c in counts.items():
+        inside[unit(w)] += c + 0.1
+    for i, words_ in own.items():
+        want = sum(logs[unit(a), unit(b)] + np.log10((counts[b] + 0.1) / (inside[unit(b)] + 0.1)) for a, b in zip([b" ", *words_], words_, strict=False))
+        assert got[i] == pytest.approx(want, rel=1e-3, abs=1e-3), i
+
+
 def test_lm_is_normalised():
     pairs = np.random.default_rng(0).poisson(2, (7, 7)).astype(float)
     assert np.power(10, lm.train(pairs, rank=3, steps=50)).sum(axis=1) == pytest.approx(np.ones(7))
@@ -758,6 +787,50 @@ def test_pipeline_stages(spark):
             assert new == old
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    rng = np.random.default_rng(31)
+    rows = []
+    for k in range(40):
+        lines = [" ".join(passage(5000 + 7 * k + j, int(rng.integers(3, 12)))) for j in range(4)]
+        rows.append([k, "\n".join(lines + ["read more here"] * (k % 3 > 0)), "en", "ab"[k % 2], 1])
+    near = rows[3][1].split(" ")
+    near[5] = "changed"
+    rows += [[50, " ".join(near), "en", "a", 1], [51, rows[4][1], "en", "a", 1], [7, "another text of id 7", "en", "b", 1], rows[8], rows[8]]
+    rows += [[None, "a row without an id", "en", "a", 1]] * 3 + [[60, None, "en", None, 1], [61, "", "en", "a", 1], [62, " ", None, "a", 1]]
+    table = spark.createDataFrame(rows, DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+
+    got = stages["line_dedup"](spark, table, SF)
+    want = []
+    for i, text, lang, source, _ in rows:
+        pages = {t for _, t, _, s, _ in rows if s == source and t is not None}
+        on = Counter(x for t in pages for x in {x for x in t.split("\n") if x.strip(" ")})
+        text = None if text is None else "\n".join(x for x in text.split("\n") if not (on[x] >= 2 and on[x] > 0.05 * len(pages)))
+        want.append((i, text, lang, source, None if text is None else len(text)))
+    assert got.columns == table.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and "read more here" not in str(want)
+
+    table = spark.createDataFrame(want, DOCS)
+    kept = stages["simhash"](spark, table, SF).collect()
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [words((t or "").lower())] for k in range(max(1, len(w) - 4)) if w}
+    sets = [grams(t) for _, t, _, _, _ in want]
+    alike = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b) > 0
+    root = component_brute(sets, alike)
+    least = {v: min((want[k][0] for k in root if root[k] == v and want[k][0] is not None), default=None) for v in set(root.values())}
+    expected = {i for i in least.values() if i is not None}
+    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == expected and sum(r["doc_id"] is None for r in kept) == 3
+    assert len(kept) == len(expected) + 3
+
+    table = spark.createDataFrame(kept, DOCS)
+    times = Counter(map(tuple, stages["mixing"](spark, table, SF).collect()))
+    shares = mixing.mix(table).collect()
+    assert Counter(str(k[0]) for k in times.elements()) == Counter(str(r["doc_id"]) for r in shares if r["size"] for _ in range((2 * r["taken"] + r["size"]) // (2 * r["size"])))
+
+    table = spark.createDataFrame(list(times.elements()), DOCS)
+    pieces = stages["packing"](spark, table.where("doc_id is not null"), SF).collect()
+    check_packing([t for (i, t, *_), _ in times.items() if i is not None], [k[0] for k in times if k[0] is not None], pieces)
+    assert stages["packing"](spark, table, SF).count() == sum(times.values())
+
+
 def test_pipeline_on_nothing(spark):
     empty = whole(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES[:4]:
