@@ -12,7 +12,7 @@ from ..session import materialise
 from .words import release
 
 #: Rows of a block: a 64th of all, within these bounds. Queries of a chunk.
-FEWEST_ROWS, MOST_ROWS = 4_096, 131_072
+FEWEST_ROWS, MOST_ROWS = 8_192, 131_072
 CHUNK_QUERIES = 512
 FIRST_DEPTH = 16
 #: Sums of products below this are exact in doubles.
@@ -111,7 +111,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     rows = quantised(vectors, scale, id_col, vector_col)
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).collect()}
     by_dim = lambda f: F.create_map(*[x for d, v in sizes.items() for x in (F.lit(d), F.lit(f(*v)))])[F.col("dim")] if sizes else F.lit(1)
-    blocks = by_dim(lambda n, q: max(1, -(-n // min(MOST_ROWS, max(FEWEST_ROWS, n // 64)))))
+    n_blocks = lambda n, q: max(1, -(-n // min(MOST_ROWS, max(FEWEST_ROWS, n // 64))))
+    blocks = by_dim(n_blocks)
+    tasks = min(16_384, sum(n_blocks(*v) for v in sizes.values()) or 1)  # a block is much work in few bytes: tasks are not merged by size
     chunks = by_dim(lambda n, q: -(-q // CHUNK_QUERIES) or 1)
     pool = materialise(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), blocks).cast("int")).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("m")).select("dim", "block", F.col("m.vec_id").alias("ids"), F.col("m.v").alias("vs")), "lists")
     asked = rows.where(F.col("vec_id") % every == 0).distinct().withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), chunks).cast("int"))
@@ -137,7 +139,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     home = ask.withColumns({"floors": F.lit(None).cast("array<double>"), "block": F.pmod(F.col("chunk"), blocks).cast("int")})
     first = materialise(home.join(pool, ["dim", "block"]).select("dim", "chunk", "own", "q", "floors", "block", *lists).mapInPandas(search, out), "first")
     other = first.select("dim", "chunk", "own", "q", "floors", F.col("block").alias("home"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block")).where("block <> home").drop("home")
-    rest = other.join(pool, ["dim", "block"]).select("dim", "chunk", "own", "q", "floors", "block", *lists).mapInPandas(search, out)
+    rest = other.repartition(tasks, "dim", "block").join(pool.repartition(tasks, "dim", "block"), ["dim", "block"]).select("dim", "chunk", "own", "q", "floors", "block", *lists).mapInPandas(search, out)
     each = first.unionByName(rest).select(F.explode(F.arrays_zip("own", "q", "found", "scores")).alias("e")).select(F.col("e.own").alias("query_id"), F.xxhash64("e.q").alias("q"), F.explode(F.arrays_zip("e.found", "e.scores")).alias("f")).select("query_id", "q", F.col("f.found").alias("vec_id"), F.col("f.scores").alias("score"))
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
