@@ -174,6 +174,12 @@ def classes(parts: DataFrame, links: DataFrame) -> DataFrame:
     return parts.join(of, "key").select("doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies", own.alias("kept"))
 
 
+def forget(df: DataFrame) -> DataFrame:
+    """``df``, a written table; the driver's garbage goes, and with it the shuffle files of the steps that led to it."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def islands(rows: DataFrame, own: list[str], lo: str, hi: str) -> DataFrame:
     """``rows`` with a column island: of the rows that agree in ``own``, those whose spans lo..hi touch or overlap have one number."""
     order = Window.partitionBy(*own).orderBy(lo, hi)
@@ -191,7 +197,7 @@ def stretches(windows: DataFrame, size: int) -> DataFrame:
     """
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id", "at", "start", "length")
     whose = F.xxhash64("doc_id", "text_id")
-    shared = materialise(windows.groupBy("key").agg(F.min(place).alias("f"), F.min(whose).alias("lo"), F.max(whose).alias("hi")).where("lo < hi").select("key", "f"), "shared")
+    shared = forget(materialise(windows.groupBy("key").agg(F.min(place).alias("f"), F.min(whose).alias("lo"), F.max(whose).alias("hi")).where("lo < hi").select("key", "f"), "shared"))
     met = sieve(windows, shared).join(shared, "key").withColumn("shift", F.col("at") - F.col("f.at"))
     apart = ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_id") == F.col("f.text_id")) & (F.col("shift") == 0))
     own = ["doc_id", "text_id", "f_doc_id", "f_text_id", "shift"]
@@ -245,14 +251,14 @@ def grown(docs: DataFrame, found: DataFrame, most: int, id_col: str, text_col: s
     and its last to the right. Beyond ``most`` words there would have been
     another window.
     """
-    numbered = materialise(islands(found, ["doc_id", "text_id"], "lo", "hi").withColumn("id", F.monotonically_increasing_id()), "stretches")
+    numbered = forget(materialise(islands(found, ["doc_id", "text_id"], "lo", "hi").withColumn("id", F.monotonically_increasing_id()), "stretches"))
     whole = Window.partitionBy("doc_id", "text_id", "island")
     edge = numbered.withColumns({"first": F.min("lo").over(whole), "last": F.max("hi").over(whole)})
     ends = edge.where("lo = first").select("*", F.lit(False).alias("after"), F.col("lo").alias("at"), F.col("f_lo").alias("f_at")).unionByName(edge.where("hi = last").select("*", F.lit(True).alias("after"), F.col("hi").alias("at"), F.col("f_hi").alias("f_at")))
     ends = materialise(ends.select("id", "doc_id", "text_id", "after", "at", "f_doc_id", "f_text_id", "f_at"), "ends")
     place = ["doc_id", "text_id", "after", "at"]
     asked = ends.select(*place).union(ends.select("f_doc_id", "f_text_id", "after", "f_at")).distinct()
-    about = materialise(sides(docs, asked, most, id_col, text_col), "sides")
+    about = forget(materialise(sides(docs, asked, most, id_col, text_col), "sides"))
 
     def met(rows: DataFrame, doc: str, to: str) -> DataFrame:
         side = about.select(*[F.col(c).alias(f"{to}_{c}") for c in about.columns])
@@ -280,7 +286,7 @@ def shared_runs(docs: DataFrame, windows: DataFrame, size: int, most: int, least
     spans = islands(grown(docs, stretches(windows, size), most, id_col, text_col), ["doc_id", "text_id"], "lo", "hi")
     island = Window.partitionBy("doc_id", "text_id", "island")
     long = spans.withColumn("all", F.max("hi").over(island) - F.min("lo").over(island)).where(F.col("all") >= least)
-    copies = materialise(long.select("doc_id", "text_id", "start", (F.col("end") - F.col("start")).alias("length"), F.col("f_doc_id").alias("class_doc_id"), F.col("f_text_id").alias("class_text_id"), F.col("f_start").alias("class_start"), F.col("f_end").alias("class_end")), "runs")
+    copies = forget(materialise(long.select("doc_id", "text_id", "start", (F.col("end") - F.col("start")).alias("length"), F.col("f_doc_id").alias("class_doc_id"), F.col("f_text_id").alias("class_text_id"), F.col("f_start").alias("class_start"), F.col("f_end").alias("class_end")), "runs"))
     of_place = ["class_doc_id", "class_text_id", "class_start", "class_end"]
     counted = with_totals(copies.withColumn("place", F.xxhash64(*of_place)).withColumn("copies", F.lit(1)), "place", "text_id", {"copies": F.sum}).withColumn("copies", F.col("copies") + 1)
     order = ["doc_id", "text_id", "start", "length", "class_doc_id", "class_text_id", "class_start", "copies"]
