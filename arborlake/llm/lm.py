@@ -21,10 +21,16 @@ FLUSH = 200_000
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Output units of the model: the commonest words alone, others by their first two and last bytes."""
+    """What the model tells apart: units, and within them words with vectors of their own.
+
+    Units are the commonest words alone, others by their first two and last
+    bytes, and the rest. A token's id is its own word's, or beyond those its
+    unit's for all other words of the unit.
+    """
 
     words: dict[bytes, int]
     shapes: dict[bytes, int]
+    own: dict[bytes, int]
 
     @property
     def size(self) -> int:
@@ -34,9 +40,12 @@ class Vocabulary:
         k = self.words.get(word)
         return k if k is not None else self.shapes.get(word[:2] + word[-1:], self.size - 1)
 
+    def unit_of_id(self) -> np.ndarray:
+        return np.asarray([*map(self.unit, self.own), *range(self.size)], np.int64)
+
 
-class Units(dict):
-    """Bounded memo of Vocabulary.unit."""
+class Ids(dict):
+    """Bounded memo of the ids of words."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -45,7 +54,9 @@ class Units(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > FLUSH:
             self.clear()
-        k = self.vocabulary.unit(word)
+        k = self.vocabulary.own.get(word)
+        if k is None:
+            k = len(self.vocabulary.own) + self.vocabulary.unit(word)
         if len(word) <= 48:
             self[word] = k
         return k
@@ -98,29 +109,96 @@ def common_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def _fold(keys: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, ns = keys[order], ns[order]
+    first = np.nonzero(np.diff(keys, prepend=-1))[0]
+    return keys[first], np.add.reduceat(ns, first) if len(first) else ns
+
+
+def _packed(keys: np.ndarray, ns: np.ndarray, size: int) -> pa.RecordBatch:
+    """(id, after): a row for each id with its (previous unit, count) as pairs of 64-bit numbers."""
+    ident, before = np.divmod(keys, size)
+    first = np.nonzero(np.diff(ident, prepend=-1))[0]
+    edges = np.append(first, len(keys)).astype(np.int32) * 16
+    body = pa.py_buffer(np.stack([before, ns], axis=1).astype("<i8").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(ident[first]), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges.tobytes()), body])], ["id", "after"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, previous unit, count) of every pair in a batch of packed rows."""
+    ident, after = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+    pairs = np.frombuffer(b"".join(after), "<i8").reshape(-1, 2)
+    return np.repeat(ident, [len(x) // 16 for x in after]), pairs[:, 0], pairs[:, 1]
+
+
 def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(pair, n): counts of (previous unit, unit) over ``texts`` as previous * size + unit; a text begins after END."""
+    """(id, after): counts of every id after each unit over ``texts``, packed; a text begins after END.
+
+    Tasks hand on sums over some two million tokens, and an id's sums meet in
+    one task, which folds them as they come: it holds distinct pairs only.
+    """
     size = vocabulary.size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size * size, np.int64)
-        units = Units(vocabulary)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit_of, end = Ids(vocabulary), vocabulary.unit_of_id(), vocabulary.unit(END)
+        held: list[np.ndarray] = []
         for b in batches:
             for part in slices(b, 1, 1024):
-                own = [vocabulary.unit(END)]  # and each text's end stands before the next text
-                for x in part.column(1):
-                    own += map(units.__getitem__, tokens(x.as_py()))
-                k = np.asarray(own, np.int64)
-                counts += np.bincount(k[:-1] * size + k[1:], minlength=size * size)
+                k = np.asarray([i for x in part.column(1) for i in map(ids.__getitem__, tokens(x.as_py()))], np.int64)
+                held.append(k * size + np.concatenate([[end], unit_of[k[:-1]]]))  # each text's end stands before the next text
+                if sum(map(len, held)) > 10 * FLUSH:
+                    yield _packed(*np.unique(np.concatenate(held), return_counts=True), size)
+                    held = []
+        if held:
+            yield _packed(*np.unique(np.concatenate(held), return_counts=True), size)
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ns = np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            ident, before, n = _unpacked(b)
+            held.append((ident * size + before, n))
+            if sum(len(x) for x, _ in held) > 10 * FLUSH:
+                keys, ns = _fold(*map(np.concatenate, zip((keys, ns), *held, strict=True)))
+                held = []
+        keys, ns = _fold(*map(np.concatenate, zip((keys, ns), *held, strict=True)))
+        lo = 0
+        while lo < len(keys):  # cut between ids
+            last = keys[min(lo + 10 * FLUSH, len(keys)) - 1] // size
+            hi = int(np.searchsorted(keys, (last + 1) * size))
+            yield _packed(keys[lo:hi], ns[lo:hi], size)
+            lo = hi
+        release()
+
+    return texts.mapInArrow(count, "id long, after binary").repartition("id").mapInArrow(add, "id long, after binary")
+
+
+def unit_pairs(pairs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(previous unit, unit) counts of own words and of other words."""
+    size = vocabulary.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * size * size, np.int64)
+        unit_of = vocabulary.unit_of_id()
+        for b in batches:
+            ident, before, n = _unpacked(b)
+            np.add.at(counts, ((ident >= len(vocabulary.own)) * size + before) * size + unit_of[ident], n)
         at = np.nonzero(counts)[0]
         for lo in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 100_000]), pa.array(counts[at[lo : lo + 100_000]])], ["pair", "n"])
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    got = pairs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * size * size)
+    out[got["pair"].to_numpy()] = got["n"].to_numpy()
+    own, other = out.reshape(2, size, size)
+    return own, other
 
 
-def train(pairs: np.ndarray, rank: int = 32, noise: int = 20, steps: int = 400, rate: float = 0.05, seed: int = 3) -> np.ndarray:
-    """(previous, unit) log10 probabilities of a log-bilinear model, from a matrix of pair counts.
+def train(pairs: np.ndarray, rank: int = 32, noise: int = 20, steps: int = 400, rate: float = 0.05, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, unit) log10 probabilities of a log-bilinear model and each context's vector, from a matrix of pair counts.
 
     The score of unit w after h is r_w . (C q_h) + b_w. Noise-contrastive
     estimation against the unigram distribution, ``noise`` samples a pair, in
@@ -132,7 +210,7 @@ def train(pairs: np.ndarray, rank: int = 32, noise: int = 20, steps: int = 400,
     size = len(pairs)
     total = pairs.sum()
     if not total:
-        return np.full((size, size), -np.log10(size))
+        return np.full((size, size), -np.log10(size)), np.zeros((size, rank))
     rng = np.random.default_rng(seed)
     seen = pairs.sum(axis=1) / total
     base = (pairs.sum(axis=0) + 0.1) / (total + 0.1 * size)
@@ -156,28 +234,110 @@ def train(pairs: np.ndarray, rank: int = 32, noise: int = 20, steps: int = 400,
             v += 0.01 * (g * g - v)
             p -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     q, c, r, b = (p.astype(np.float64) for p in params)
-    scores = (q @ c.T) @ r.T + b
+    h = q @ c.T
+    scores = h @ r.T + b
     top = scores.max(axis=1, keepdims=True)
-    return (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)
+    return (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10), h
+
+
+def features(contexts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """(unit, rank + 1): context vectors turned to mean 0 and unit covariance over tokens, and a constant; unseen ones stand at the mean."""
+    if not seen.sum():
+        return np.ones((len(contexts), 1), np.float32)
+    share = seen / seen.sum()
+    off = contexts - share @ contexts
+    values, axes = np.linalg.eigh((off * share[:, None]).T @ off)
+    x = off @ axes / np.sqrt(np.maximum(values, 1e-6 * max(values.max(), 1e-12)))
+    x *= np.minimum(1, 3 * x.shape[1] ** 0.5 / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)) * (seen > 0)[:, None]
+    return np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+
+
+def fit_words(data: np.ndarray, seen: np.ndarray, share: np.ndarray, x: np.ndarray, noise: int = 20, ridge: float = 10.0, steps: int = 8) -> np.ndarray:
+    """Vectors of words by noise-contrastive estimation within their units.
+
+    ``data`` (word, context) counts the word after each context, ``seen``
+    (word, context) all own words of its unit there, ``share`` the word's part
+    of its unit. The score of a word is log share + r . x; its noise comes by
+    share, ``noise`` samples a token, in expectation. With contexts fixed,
+    words do not depend on each other, so each is one convex problem, solved by
+    damped Newton steps; ``ridge`` holds words with few tokens near r = 0.
+    """
+    weight = data + noise * share[:, None] * seen
+    rank = x.shape[1]
+    at = np.triu_indices(rank)
+    squares = x[:, at[0]] * x[:, at[1]]
+    r = np.zeros((len(data), rank), np.float32)
+    for _ in range(steps):
+        true = 1 / (1 + np.exp(np.log(noise) - np.clip(r @ x.T, -30, 30)))
+        slope = (weight * true - data) @ x + ridge * r
+        curve = np.zeros((len(data), rank, rank))
+        curve[:, at[0], at[1]] = curve[:, at[1], at[0]] = (weight * true * (1 - true)) @ squares
+        curve[:, range(rank), range(rank)] += ridge
+        step = np.linalg.solve(curve, slope[:, :, None].astype(np.float64))[:, :, 0].astype(np.float32)
+        most = np.abs(step @ x.T).max(axis=1, initial=0)
+        r -= step * np.minimum(1, 2 / np.maximum(most, 1e-9))[:, None]
+    return r
+
+
+def word_vectors(pairs: DataFrame, vocabulary: Vocabulary, seen: np.ndarray, share: np.ndarray, x: np.ndarray, noise: int, ridge: float) -> np.ndarray:
+    """(own word, rank + 1) vectors, each fitted where the word's pairs are."""
+    size, rank, count = vocabulary.size, x.shape[1], len(vocabulary.own)
+    shared = pairs.sparkSession.sparkContext.broadcast((seen.T.astype(np.float32).copy(), share.astype(np.float32), x, vocabulary.unit_of_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, share, x, unit_of = shared.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                ident, before, n = _unpacked(b.slice(lo, 256))
+                words, row = np.unique(ident, return_inverse=True)
+                data = np.zeros((len(words), size), np.float32)
+                np.add.at(data, (row, before), n)
+                r = fit_words(data, seen[unit_of[words]], share[words], x, noise, ridge)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([v.tobytes() for v in r], pa.binary())], ["id", "vector"])
+        release()
+
+    got = pairs.where(F.col("id") < count).mapInArrow(run, "id long, vector binary").toArrow()
+    out = np.zeros((count, rank), np.float32)
+    if got.num_rows:
+        out[got["id"].to_numpy()] = np.frombuffer(b"".join(got["vector"].to_pylist()), np.float32).reshape(-1, rank)
+    return out
+
 
+def normalisers(vectors: np.ndarray, unit_of: np.ndarray, share: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """(context, unit): log10 of the sum over a unit's own words of share * exp(r . x)."""
+    size = len(x)
+    total = np.zeros((size, size))
+    order = np.argsort(unit_of[: len(vectors)], kind="stable")
+    for lo in range(0, len(order), 4096):
+        k = order[lo : lo + 4096]
+        part = share[k, None] * np.exp(np.clip(vectors[k] @ x.T, -30, 30))
+        first = np.nonzero(np.diff(unit_of[k], prepend=-1))[0]
+        total[unit_of[k[first]]] += np.add.reduceat(part, first, axis=0)
+    return np.log10(np.where(total > 0, total, 1)).T
 
-def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int = 600, shapes: int = 400, common: int = 50_000, rank: int = 32, noise: int = 20, steps: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int = 600, shapes: int = 400, own: float = 10.0, most: int = 400_000, common: int | None = None, rank: int = 32, noise: int = 20, steps: int = 400, ridge: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Tokens are the blank-separated words of the text, A-Z lower-cased, then one
     end. Rows not held out teach: all their tokens are counted, and all their
-    pairs of neighbouring output units. Units are the end and ``words``
+    pairs of a unit and the next token. Units are the end and ``words``
     commonest words, ``shapes`` commonest forms (first two and last byte) of
-    other words, and the rest. The log-bilinear model gives a unit's
-    probability after the unit before; a word's probability in its unit is
+    other words, and the rest. A log-bilinear model over units gives a unit's
+    probability after the unit before. Within units, ``common`` commonest words
+    have vectors of their own: by default ``own`` times the root of the number
+    of training tokens, so that what is learnt of words and their contexts
+    grows with the corpus, and ``most`` of them at most, which bounds the
+    broadcast. Own words share what is theirs of the unit by a log-bilinear
+    score after the unit before. Any other word's probability in its unit is
     (c + add) / (C + add * (W + 1)), with C and W the unit's tokens and words
     in training, so that with an unknown word for each unit all sums to one.
     base_score is the additive unigram model's.
 
-    The driver holds the vocabulary and a matrix of pairs of units, bounded by
-    the parameters; the ``common`` words' counts go to all tasks; other tokens
-    meet their counts in a join on the word, which has no hot keys as the
-    common ones are out.
+    The driver holds the vocabulary, the vectors of own words and matrices of
+    pairs of units, bounded by the parameters; own words' counts and vectors go
+    to all tasks; other tokens meet their counts in a join on the word, which
+    has no hot keys as the common ones are out.
 
     Null and empty texts are the end alone. Null ids teach and are not held
     out. Repeated rows come back repeated. Other columns are ignored. An
@@ -188,23 +348,27 @@ def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int
     counts = materialise(token_counts(learn), "counts")
     facts = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = facts[0] or 0, facts[1]
-    top = common_words(counts, common)
-    known = dict(top)
+    top = common_words(counts, common if common is not None else min(most, int(own * total**0.5)))
     alone = {END: 0}
     for w, _ in top[:words]:
         alone.setdefault(w, len(alone))
     shape = F.concat(F.substring("word", 1, 2), F.expr("substring(word, -1, 1)"))
     singles = docs.sparkSession.createDataFrame([(w,) for w in alone], "word binary")
     forms = counts.join(F.broadcast(singles), "word", "left_anti").groupBy(shape.alias("shape")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "shape").limit(shapes).collect()
-    vocabulary = Vocabulary(alone, {bytes(r["shape"]): len(alone) + k for k, r in enumerate(forms)})
-
-    got = pair_counts(learn, vocabulary).toArrow()
-    pairs = np.zeros(vocabulary.size**2)
-    pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
-    table = train(pairs.reshape(vocabulary.size, -1), rank, noise, steps)
+    vocabulary = Vocabulary(alone, {bytes(r["shape"]): len(alone) + k for k, r in enumerate(forms)}, {w: k for k, (w, _) in enumerate(top)})
+
+    pairs = materialise(pair_counts(learn, vocabulary), "pairs")
+    of_own, of_others = unit_pairs(pairs, vocabulary)
+    table, contexts = train(of_own + of_others, rank, noise, steps)
+    x = features(contexts, (of_own + of_others).sum(axis=1))
+    unit_of = vocabulary.unit_of_id()
+    count = np.array([c for _, c in top], float) + add
+    share = count / np.bincount(unit_of[: len(top)], count, vocabulary.size)[unit_of[: len(top)]]
+    vectors = word_vectors(pairs, vocabulary, of_own, share, x, noise, ridge)
     inside = unit_totals(counts, vocabulary)
-    mass = np.log10(inside[:, 0] + add * (inside[:, 1] + 1))
-    return _score(texts, counts, vocabulary, table, mass, known, total, distinct, add, modulus)
+    table = table - np.log10(inside[:, 0] + add * (inside[:, 1] + 1))
+    tables = np.stack([table - normalisers(vectors, unit_of, share, x), table])
+    return _score(texts, counts, vocabulary, tables, vectors, x, np.log10(count), total, distinct, add, modulus)
 
 
 def unit_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -228,29 +392,39 @@ def unit_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 FIELDS = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "words": pa.float64(), "model": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
 
 
-def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, table: np.ndarray, mass: np.ndarray, common: dict[bytes, int], total: int, distinct: int, add: float, modulus: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, table - mass[None, :], common))
+def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, tables: np.ndarray, vectors: np.ndarray, x: np.ndarray, logs: np.ndarray, total: int, distinct: int, add: float, modulus: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, tables.astype(np.float32), vectors / np.float32(np.log(10)), x, logs))
     floor = float(np.log10(total + add * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's sums over its units and common words, and its other words with their counts."""
-        vocabulary, logs, common = shared.value
-        units, end = Units(vocabulary), vocabulary.unit(END)
-        inside = {w: float(np.log10(c + add)) for w, c in common.items()}
+        """Each text's sums over its units and own words, and its other words with their counts."""
+        vocabulary, tables, vectors, x, logs = shared.value
+        ids, unit_of, end, known = Ids(vocabulary), vocabulary.unit_of_id(), vocabulary.unit(END), len(vocabulary.own)
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for b in batches:
             for part in slices(b, 1, 512):
-                rows: list[tuple] = []
-                for doc, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    own = tokens(x.as_py())
-                    k = np.fromiter(map(units.__getitem__, own), np.int64, len(own))
-                    model = float(logs[np.concatenate([[end], k[:-1]]), k].sum())
-                    rare = [w for w in own if w not in inside]
-                    words = float(sum([inside[w] for w in own if w in inside]))
-                    few = Counter(rare)
-                    rows.append((serial, doc, len(own), len(own) - len(rare), words, model, list(few), list(few.values())))
-                    serial += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)], list(FIELDS))
+                docs, ends, found, rare = part.column(0).to_pylist(), [], [], []
+                for t in part.column(1):
+                    all_words = tokens(t.as_py())
+                    own = list(map(ids.__getitem__, all_words))
+                    rare.append(Counter([w for w, k in zip(all_words, own, strict=True) if k >= known]))
+                    found += own
+                    ends.append(len(found))
+                k = np.asarray(found, np.int64)
+                unit, other = unit_of[k], k >= known
+                before = np.concatenate([[end], unit[:-1]])  # a text's end stands before the next text
+                model = tables[other.astype(np.int64), before, unit].astype(np.float64)
+                words = np.zeros(len(k))
+                at = np.nonzero(~other)[0]
+                words[at] = logs[k[at]]
+                for lo in range(0, len(at), 65_536):
+                    few = at[lo : lo + 65_536]
+                    model[few] += np.einsum("ij,ij->i", vectors[k[few]], x[before[few]])
+                first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                sums = [np.add.reduceat(v, first) for v in (np.ones(len(k), np.int64), (~other).astype(np.int64), words, model)]
+                rows = np.arange(serial, serial + len(docs))
+                serial += len(docs)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([rows, docs, *sums, [list(r) for r in rare], [list(r.values()) for r in rare]], FIELDS.values(), strict=True)], list(FIELDS))
         release()
 
     parts = materialise(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, words double, model double, rare array<binary>, times array<int>"), "sums")

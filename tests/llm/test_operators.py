@@ -273,8 +273,8 @@ def test_lm_score_equals_brute_force(spark):
     own = {i: [*(x or "").encode().lower().split(), b" "] for i, x in rows}
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
     counts = Counter(t for i in train for t in own[i])
-    single = [b" "]
-    single += [w for w in lm.common_words(spark.createDataFrame(list(counts.items()), "word binary, c long"), 40) for w in [w[0]] if w != b" "][: 25 - (b" " in dict(counts.most_common(25)))]
+    top = [w for w, _ in lm.common_words(spark.createDataFrame(list(counts.items()), "word binary, c long"), 40)]
+    single = list(dict.fromkeys([b" ", *top[:25]]))
     shape = lambda w: w[:2] + w[-1:]
     forms = Counter()
     for w, c in counts.items():
@@ -286,20 +286,72 @@ def test_lm_score_equals_brute_force(spark):
     for i in train:
         for a, b in zip([b" ", *own[i]], own[i], strict=False):
             pairs[unit(a), unit(b)] += 1
-    logs = lm.train(pairs, 8, steps=60)
+    logs, contexts = lm.train(pairs, 8, steps=60)
+    x = lm.features(contexts, pairs.sum(axis=1))
+    after = np.zeros((len(top), size))
+    for i in train:
+        for a, b in zip([b" ", *own[i]], own[i], strict=False):
+            if b in top:
+                after[top.index(b), unit(a)] += 1
+    mates = [[k for k, w in enumerate(top) if unit(w) == unit(v)] for v in top]
+    share = np.array([(counts[v] + 0.1) / sum(counts[top[k]] + 0.1 for k in m) for v, m in zip(top, mates, strict=True)])
+    r = lm.fit_words(after, np.array([after[m].sum(axis=0) for m in mates]), share, x)
     inside = Counter()
     for w, c in counts.items():
         inside[unit(w)] += c + 0.1
+
+    def chance(a, b):
+        p = np.power(10, logs[unit(a), unit(b)]) / (inside[unit(b)] + 0.1)
+        if b not in top:
+            return p * (counts[b] + 0.1)
+        k = top.index(b)
+        weigh = lambda m: (counts[top[m]] + 0.1) * np.exp(r[m] @ x[unit(a)])
+        return p * sum(counts[top[m]] + 0.1 for m in mates[k]) * weigh(k) / sum(map(weigh, mates[k]))
+
+    assert any(len(m) > 1 for m in mates) and np.abs(r).max() > 0.01
+    for a in [b" ", top[3], top[-1]]:
+        unknown = sum(np.power(10, logs[unit(a), u]) * 0.1 / (inside[u] + 0.1) for u in range(size))
+        assert sum(chance(a, b) for b in counts) + unknown == pytest.approx(1, abs=1e-3)
     for i, words_ in own.items():
-        want = sum(logs[unit(a), unit(b)] + np.log10((counts[b] + 0.1) / (inside[unit(b)] + 0.1)) for a, b in zip([b" ", *words_], words_, strict=False))
+        want = sum(np.log10(chance(a, b)) for a, b in zip([b" ", *words_], words_, strict=False))
         assert got[i] == pytest.approx(want, rel=1e-3, abs=1e-3), i
 
 
+def test_lm_vectors_of_words_are_optimal():
+    rng = np.random.default_rng(4)
+    x = np.hstack([rng.normal(size=(30, 4)), np.ones((30, 1))]).astype(np.float32)
+    data = rng.poisson(np.exp(x[:, :3].T)).astype(np.float32) * 20
+    seen, share = np.tile(data.sum(axis=0), (3, 1)), data.sum(axis=1) / data.sum()
+    got = lm.fit_words(data, seen, share, x, noise=5, ridge=2.0, steps=20)
+
+    def loss(k, r):
+        true = 1 / (1 + 5 * np.exp(-(x @ r)))
+        return -(data[k] * np.log(true)).sum() - (5 * share[k] * seen[k] * np.log(1 - true)).sum() + (r * r).sum()
+
+    for k in range(3):
+        best = loss(k, got[k].astype(float))
+        for step in [*np.eye(5), *rng.normal(size=(20, 5))]:
+            assert loss(k, got[k] + 0.02 * step) > best and loss(k, got[k] - 0.02 * step) > best
+    assert (lm.fit_words(np.zeros((2, 30), np.float32), np.zeros((2, 30), np.float32), np.full(2, 0.5), x) == 0).all()
+
+
+def test_lm_pairs_fold_and_pack():
+    rng = np.random.default_rng(5)
+    keys, ns = rng.integers(0, 90, 500), rng.integers(1, 5, 500)
+    folded = lm._fold(keys, ns)
+    want = Counter()
+    for k, n in zip(keys.tolist(), ns.tolist(), strict=True):
+        want[k] += n
+    assert dict(zip(*map(np.ndarray.tolist, folded), strict=True)) == want
+    ident, before, n = lm._unpacked(lm._packed(*folded, 7))
+    assert dict(zip((ident * 7 + before).tolist(), n.tolist(), strict=True)) == want
+
+
 def test_lm_is_normalised():
     pairs = np.random.default_rng(0).poisson(2, (7, 7)).astype(float)
-    assert np.power(10, lm.train(pairs, rank=3, steps=50)).sum(axis=1) == pytest.approx(np.ones(7))
+    assert np.power(10, lm.train(pairs, rank=3, steps=50)[0]).sum(axis=1) == pytest.approx(np.ones(7))
     cyclic = np.eye(5)[[1, 2, 3, 4, 0]] * 100
-    assert (lm.train(cyclic, rank=8, steps=400).argmax(axis=1) == [1, 2, 3, 4, 0]).all()
+    assert (lm.train(cyclic, rank=8, steps=400)[0].argmax(axis=1) == [1, 2, 3, 4, 0]).all()
 
 
 def test_lm_odd(spark):
