@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,7 +16,8 @@ from .words import parts as slices, release
 
 #: The token after a text's last word; no word holds a blank.
 END = b" "
-FLUSH = 200_000
+#: Tokens or pairs that a task sums up before it hands them on.
+TOKENS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -44,26 +45,60 @@ class Vocabulary:
         return np.asarray([*map(self.unit, self.own), *range(self.size)], np.int64)
 
 
-class Ids(dict):
-    """Bounded memo of the ids of words."""
+def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of binary ``texts`` end to end, A-Z lower-cased, and how many each text has."""
+    texts = pc.fill_null(texts, b"")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)
+    edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return flat.filter(some), np.diff(before[edges])
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-        k = self.vocabulary.own.get(word)
-        if k is None:
-            k = len(self.vocabulary.own) + self.vocabulary.unit(word)
-        if len(word) <= 48:
-            self[word] = k
-        return k
 
+class Ids:
+    """Ids of words and of texts' tokens."""
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").lower().split(), END]
+    def __init__(self, vocabulary: Vocabulary):
+        self.own = _strings(list(vocabulary.own))
+        self.end = vocabulary.own[END]
+        shapes = sorted((x[0] | x[1] << 8 | (x[2] << 16 if len(x) > 2 else 1 << 24), k) for x, k in vocabulary.shapes.items())
+        self.shapes, units = np.array(shapes, np.int64).reshape(-1, 2).T
+        self.units, self.rest = np.append(units, vocabulary.size - 1), vocabulary.size - 1
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        found = pc.fill_null(pc.index_in(words, value_set=self.own), -1).to_numpy().astype(np.int64)
+        at = np.nonzero(found < 0)[0]
+        others = words.take(pa.array(at))
+        edges = np.frombuffer(others.buffers()[1], np.int32)[others.offset : others.offset + len(others) + 1].astype(np.int64)
+        if len(at):
+            raw = np.frombuffer(others.buffers()[2], np.uint8).astype(np.int64)
+            first, last, single = raw[edges[:-1]], raw[edges[1:] - 1], np.diff(edges) == 1
+            shape = first | raw[np.minimum(edges[:-1] + 1, edges[1:] - 1)] << 8 | np.where(single, 1 << 24, last << 16)
+            k = np.searchsorted(self.shapes, shape)
+            hit = np.append(self.shapes, -1)[k] == shape
+            found[at] = len(self.own) + np.where(hit, self.units[k], self.rest)
+        return found
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ids of all tokens of ``texts`` end to end, the place after each text, and the words without the ends."""
+        words, n = text_words(texts)
+        edges = np.cumsum(n + 1)
+        out = np.full(len(words) + len(n), self.end, np.int64)
+        inner = np.ones(len(out), bool)
+        inner[edges - 1] = False
+        out[inner] = self.of_words(words)
+        return out, edges, words
+
+
+def _strings(words: list[bytes] | pa.Array) -> pa.Array:
+    """Bytes as an Arrow array of text, valid UTF-8 or not."""
+    x = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    return pa.Array.from_buffers(pa.string(), len(x), x.buffers(), offset=x.offset)
+
+
+def _binary(words: pa.Array) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(words), words.buffers(), offset=words.offset)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,19 +114,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """(word, c): every token's count over ``texts``; tasks hand on partial counts of bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
+            got = pc.value_counts(pa.concat_arrays(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([_binary(got.field(0)), got.field(1)], ["word", "c"])
 
+        ends = 0
         for b in batches:
-            for x in b.column(1):
-                counts.update(tokens(x.as_py()))
-                if len(counts) > FLUSH:
+            for part in slices(b, 1, 4096):
+                held.append(text_words(part.column(1))[0])
+                ends += part.num_rows
+                if sum(map(len, held)) > TOKENS:
                     yield flush()
-        yield flush()
+        if held:
+            yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends])], ["word", "c"])
         release()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -105,8 +144,10 @@ def common_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         if r["n"] > left:
             break
         left, least = left - r["n"], r["step"]
-    rows = counts.where(step >= least).collect() if least is not None else []
-    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    if least is None:
+        return []
+    got = counts.where(step >= least).select("word", "c").toArrow()
+    return sorted(zip(got["word"].to_pylist(), got["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def _fold(keys: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +186,10 @@ def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         ids, unit_of, end = Ids(vocabulary), vocabulary.unit_of_id(), vocabulary.unit(END)
         held: list[np.ndarray] = []
         for b in batches:
-            for part in slices(b, 1, 1024):
-                k = np.asarray([i for x in part.column(1) for i in map(ids.__getitem__, tokens(x.as_py()))], np.int64)
+            for part in slices(b, 1, 4096):
+                k = ids.of_texts(part.column(1))[0]
                 held.append(k * size + np.concatenate([[end], unit_of[k[:-1]]]))  # each text's end stands before the next text
-                if sum(map(len, held)) > 10 * FLUSH:
+                if sum(map(len, held)) > TOKENS:
                     yield _packed(*np.unique(np.concatenate(held), return_counts=True), size)
                     held = []
         if held:
@@ -161,13 +202,13 @@ def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for b in batches:
             ident, before, n = _unpacked(b)
             held.append((ident * size + before, n))
-            if sum(len(x) for x, _ in held) > 10 * FLUSH:
+            if sum(len(x) for x, _ in held) > TOKENS:
                 keys, ns = _fold(*map(np.concatenate, zip((keys, ns), *held, strict=True)))
                 held = []
         keys, ns = _fold(*map(np.concatenate, zip((keys, ns), *held, strict=True)))
         lo = 0
         while lo < len(keys):  # cut between ids
-            last = keys[min(lo + 10 * FLUSH, len(keys)) - 1] // size
+            last = keys[min(lo + TOKENS, len(keys)) - 1] // size
             hi = int(np.searchsorted(keys, (last + 1) * size))
             yield _packed(keys[lo:hi], ns[lo:hi], size)
             lo = hi
@@ -349,6 +390,9 @@ def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int
     facts = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = facts[0] or 0, facts[1]
     top = common_words(counts, common if common is not None else min(most, int(own * total**0.5)))
+    if all(w != END for w, _ in top):
+        ends = counts.where(F.col("word") == F.lit(bytearray(END))).first()
+        top.append((END, ends["c"] if ends else 0))
     alone = {END: 0}
     for w, _ in top[:words]:
         alone.setdefault(w, len(alone))
@@ -368,7 +412,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int
     inside = unit_totals(counts, vocabulary)
     table = table - np.log10(inside[:, 0] + add * (inside[:, 1] + 1))
     tables = np.stack([table - normalisers(vectors, unit_of, share, x), table])
-    return _score(texts, counts, vocabulary, tables, vectors, x, np.log10(count), total, distinct, add, modulus)
+    return _score(texts, counts, vocabulary, tables, vectors, x, np.log10(count), count > add, total, distinct, add, modulus)
 
 
 def unit_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -377,8 +421,9 @@ def unit_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, 2))
+        ids, unit_of = Ids(vocabulary), vocabulary.unit_of_id()
         for b in batches:
-            k = np.fromiter((vocabulary.unit(w) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+            k = unit_of[ids.of_words(_strings(b.column(0)))]
             out[:, 0] += np.bincount(k, b.column(1).to_numpy(), size)
             out[:, 1] += np.bincount(k, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out[:, 0]), pa.array(out[:, 1])], ["unit", "c", "n"])
@@ -392,39 +437,38 @@ def unit_totals(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 FIELDS = {"row": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "words": pa.float64(), "model": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
 
 
-def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, tables: np.ndarray, vectors: np.ndarray, x: np.ndarray, logs: np.ndarray, total: int, distinct: int, add: float, modulus: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, tables.astype(np.float32), vectors / np.float32(np.log(10)), x, logs))
+def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, tables: np.ndarray, vectors: np.ndarray, x: np.ndarray, logs: np.ndarray, taught: np.ndarray, total: int, distinct: int, add: float, modulus: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, tables.astype(np.float32), vectors / np.float32(np.log(10)), x, logs, taught))
     floor = float(np.log10(total + add * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's sums over its units and own words, and its other words with their counts."""
-        vocabulary, tables, vectors, x, logs = shared.value
+        vocabulary, tables, vectors, x, logs, taught = shared.value
         ids, unit_of, end, known = Ids(vocabulary), vocabulary.unit_of_id(), vocabulary.unit(END), len(vocabulary.own)
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for b in batches:
-            for part in slices(b, 1, 512):
-                docs, ends, found, rare = part.column(0).to_pylist(), [], [], []
-                for t in part.column(1):
-                    all_words = tokens(t.as_py())
-                    own = list(map(ids.__getitem__, all_words))
-                    rare.append(Counter([w for w, k in zip(all_words, own, strict=True) if k >= known]))
-                    found += own
-                    ends.append(len(found))
-                k = np.asarray(found, np.int64)
+            for part in slices(b, 1, 4096):
+                k, edges, all_words = ids.of_texts(part.column(1))
                 unit, other = unit_of[k], k >= known
                 before = np.concatenate([[end], unit[:-1]])  # a text's end stands before the next text
                 model = tables[other.astype(np.int64), before, unit].astype(np.float64)
-                words = np.zeros(len(k))
+                words, seen = np.zeros(len(k)), np.zeros(len(k), np.int64)
                 at = np.nonzero(~other)[0]
-                words[at] = logs[k[at]]
+                words[at], seen[at] = logs[k[at]], taught[k[at]]
                 for lo in range(0, len(at), 65_536):
                     few = at[lo : lo + 65_536]
                     model[few] += np.einsum("ij,ij->i", vectors[k[few]], x[before[few]])
-                first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                sums = [np.add.reduceat(v, first) for v in (np.ones(len(k), np.int64), (~other).astype(np.int64), words, model)]
-                rows = np.arange(serial, serial + len(docs))
-                serial += len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([rows, docs, *sums, [list(r) for r in rare], [list(r.values()) for r in rare]], FIELDS.values(), strict=True)], list(FIELDS))
+                first = np.concatenate([[0], edges[:-1]])
+                sums = [np.add.reduceat(v, first) for v in (seen, words, model)]
+                text = np.repeat(np.arange(len(edges)), np.diff(edges, prepend=0))
+                at = np.nonzero(other)[0]
+                rare = _binary(all_words).take(pa.array(at - text[at])).dictionary_encode()  # places without the ends before
+                pair, times = np.unique(text[at] * max(len(rare.dictionary), 1) + rare.indices.to_numpy(), return_counts=True)
+                text, word = np.divmod(pair, max(len(rare.dictionary), 1))
+                lists = pa.array(np.searchsorted(text, np.arange(len(edges) + 1)), pa.int32())
+                rows = [np.arange(serial, serial + part.num_rows), part.column(0), np.diff(edges, prepend=0), *sums]
+                serial += part.num_rows
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(rows, FIELDS.values(), strict=False)], pa.ListArray.from_arrays(lists, rare.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(lists, pa.array(times, pa.int32()))], list(FIELDS))
         release()
 
     parts = materialise(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, words double, model double, rare array<binary>, times array<int>"), "sums")

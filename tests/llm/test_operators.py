@@ -335,6 +335,23 @@ def test_lm_vectors_of_words_are_optimal():
     assert (lm.fit_words(np.zeros((2, 30), np.float32), np.zeros((2, 30), np.float32), np.full(2, 0.5), x) == 0).all()
 
 
+def test_lm_ids_of_any_text():
+    rng = np.random.default_rng(6)
+    raw = [bytes(rng.choice([*b"aBc \t\n\x0b\x0c\r\x1c\xc3\xa9\xff"], n).astype(np.uint8)) for n in rng.integers(0, 40, 300)] + [None, b"", b"  ", b"a" * 300_000 + b" b"]
+    words_ = [(x or b"").lower().split() for x in raw]
+    every = sorted({w for x in words_ for w in x})
+    shape = lambda w: w[:2] + w[-1:]
+    single = {b" ": 0} | {w: k + 1 for k, w in enumerate(every[::9])}
+    shapes = {f: len(single) + k for k, f in enumerate(sorted({shape(w) for w in every[::4]} | {b"qq"})[::2])}
+    v = lm.Vocabulary(single, shapes, {w: k for k, w in enumerate([*single, *every[4::9]])})
+    want = [[*[v.own.get(w, len(v.own) + v.unit(w)) for w in x], 0] for x in words_]
+    texts = pa.array([b"skipped", *raw], pa.binary())[1:]
+    got, edges, flat = lm.Ids(v).of_texts(texts)
+    assert [x.tolist() for x in np.split(got, edges[:-1])] == want and lm._binary(flat).to_pylist() == [w for x in words_ for w in x]
+    assert len({k for x in want for k in x if k >= len(v.own)}) > 5
+    assert lm.Ids(v).of_texts(texts[:0])[0].tolist() == [] and lm.Ids(lm.Vocabulary({b" ": 0}, {}, {b" ": 0})).of_texts(texts[:3])[0].max() == 2  # one word of its own, and the second unit
+
+
 def test_lm_pairs_fold_and_pack():
     rng = np.random.default_rng(5)
     keys, ns = rng.integers(0, 90, 500), rng.integers(1, 5, 500)
