@@ -18,6 +18,8 @@ from .words import parts as slices, release
 END = b" "
 #: Tokens or pairs that a task sums up before it hands them on.
 TOKENS = 2_000_000
+#: Bytes of text that are split and looked up at once, unless one text has more.
+SLICE = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
         ends = 0
         for b in batches:
-            for part in slices(b, 1, 4096):
+            for part in slices(b, 1, 1024, SLICE):
                 held.append(text_words(part.column(1))[0])
                 ends += part.num_rows
                 if sum(map(len, held)) > TOKENS:
@@ -186,7 +188,7 @@ def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         ids, unit_of, end = Ids(vocabulary), vocabulary.unit_of_id(), vocabulary.unit(END)
         held: list[np.ndarray] = []
         for b in batches:
-            for part in slices(b, 1, 4096):
+            for part in slices(b, 1, 1024, SLICE):
                 k = ids.of_texts(part.column(1))[0]
                 held.append(k * size + np.concatenate([[end], unit_of[k[:-1]]]))  # each text's end stands before the next text
                 if sum(map(len, held)) > TOKENS:
@@ -447,7 +449,7 @@ def _score(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, tables:
         ids, unit_of, end, known = Ids(vocabulary), vocabulary.unit_of_id(), vocabulary.unit(END), len(vocabulary.own)
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for b in batches:
-            for part in slices(b, 1, 4096):
+            for part in slices(b, 1, 1024, SLICE):
                 k, edges, all_words = ids.of_texts(part.column(1))
                 unit, other = unit_of[k], k >= known
                 before = np.concatenate([[end], unit[:-1]])  # a text's end stands before the next text
