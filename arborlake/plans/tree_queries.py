@@ -55,7 +55,7 @@ def html_leaf_paths(spark, sf_dir):
 
 @query
 def html_tree_dice(spark, sf_dir):
-    """Similarity of pages with one skeleton: their numbers of nodes by tag are the block."""
+    """Similarity of pages whose trees have one shape, the block: texts and attributes alone may differ, and shape_dice is 1."""
     pages = materialise(_pages(spark, sf_dir).select("page_id", "tree", F.col("tree")["fp_shape"].alias("fp")), "pages")
     pairs = trees.blocked_pairs(pages, "page_id", ["fp"])
     return pairs.select("a", "b", trees.tree_dice(F.col("ta"), F.col("tb")).alias("dice"), trees.tree_dice(F.col("ta"), F.col("tb"), True).alias("shape_dice"))
