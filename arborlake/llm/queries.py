@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import embedding_dedup, line_dedup, lm, mixing, packing, quality, simhash, substring_dedup, topk, url_filter
+from . import codes, conversations, embedding_dedup, language, line_dedup, lm, mixing, packing, quality, simhash, substring_dedup, topk, url_filter
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_quality, op4_url_filter, op5_lm_score, op6_substring_dedup, op7_simhash, op8_top_k, op9_packing, op10_embedding_dedup)}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).drop("mixture")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_dedup, op3_quality, op4_url_filter, op5_lm_score, op6_substring_dedup, op7_simhash, op8_top_k, op9_packing, op10_embedding_dedup, op11_language, op12_codes, op13_conversations)}
 
 ORACLE_SQL = {
     "op2_line_dedup": f"SELECT doc_id, n_lines, n_dropped, md5(text) AS text_md5 FROM ({line_dedup.line_dedup_sql(0.05, 2)})",
