@@ -217,3 +217,25 @@ def compressed(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: i
     exact = coded.withColumn("label_error", F.col("error").cast("decimal(38,0)"))
     total = with_totals(exact, "key", "vec_id", {"label_error": F.sum})
     return total.select("vec_id", "label", "code", "error", F.least("label_error", F.lit(HIGHEST).cast("decimal(38,0)")).cast("long").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
+def compressed_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """DuckDB SQL for op12's rows: every part against every entry, round by round. For vectors whose length ``parts`` divides and sums below 2^53."""
+    near = lambda r: f"""near{r} AS (  -- squared distance and entry as one number, so that ties go to the lower entry
+        SELECT row, p.part, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * {entries} + e) AS m
+        FROM p JOIN book{r} b ON b.part = p.part GROUP BY ALL)"""
+    book = lambda r: f"""mean{r} AS (SELECT part, e, list(floor(s / n) ORDER BY j) AS c
+        FROM (SELECT p.part, m % {entries} AS e, j, sum(x[j]) AS s, count(*) AS n FROM p JOIN near{r - 1} USING (row, part), range(1, (SELECT max(len(x)) FROM p) + 1) t(j) GROUP BY ALL) GROUP BY ALL),
+      book{r} AS (SELECT part, e, coalesce(m.c, b.c) AS c FROM book{r - 1} b LEFT JOIN mean{r} m USING (part, e))"""
+    steps = ",\n      ".join([near(0), *[x for r in range(1, rounds + 1) for x in (book(r), near(r))]])
+    return f"""
+      WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+                 WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) IS NOT FALSE),
+      n AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v, label) AS row FROM v),
+      p AS (SELECT row, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM n, range({parts}) t(part)),
+      book0 AS (SELECT part, row - 1 AS e, x AS c FROM p WHERE row <= {entries}),
+      {steps},
+      coded AS (SELECT row, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM near{rounds} GROUP BY row)
+      SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+             (SELECT sha256(string_agg(c[j]::BIGINT::VARCHAR, ',' ORDER BY part, e, j)) FROM book{rounds}, range(1, len(c) + 1) t(j)) AS codebooks_sha256
+      FROM n JOIN coded USING (row)"""

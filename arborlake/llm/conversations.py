@@ -218,3 +218,36 @@ def repaired(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(names, types, strict=True)], names)
 
     return told.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text").mapInArrow(run, schema)
+
+
+def repaired_sql(modulus: int = 20) -> str:
+    """DuckDB SQL for op13's rows: the least (cost, audit) of each grammar state, row by row, as one text of six digits and the edits."""
+    crc = """xor(list_reduce(list_transform(range(length(s)), lambda i: ascii(substring(s, (i + 1)::INT, 1))::UBIGINT), lambda c, b:
+               list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT)), 4294967295::UBIGINT), 4294967295)"""
+    more = lambda key, cost, letter: f"printf('%06d', left({key}, 6)::INT + {cost}) || substring({key}, 7) || '{letter}'"
+    stay = lambda key, initial: f"CASE WHEN NOT must THEN CASE WHEN r = '{initial}' THEN {more(key, 'cut::INT', 'K')} ELSE {more(key, '2 + cut::INT', 'R')} END END"
+    bare = "rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+    return f"""
+      WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+      d AS (SELECT conv_id, turn, copy, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, {crc} % {modulus} AS kind FROM k), range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+      f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS r, {bare} = '' AS blank,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS repeat, right({bare}, 1) NOT IN ('.', '!', '?') AS short FROM d),
+      g AS (SELECT *, blank OR repeat AS must, short AND NOT blank AND NOT repeat AS cut, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS two FROM f),
+      dp AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000' AS k0, NULL::VARCHAR AS k1, '000002I' AS k2, '000004II' AS k3 FROM conversations
+        UNION ALL
+        SELECT conv_id, i, n0, n1, least(n2, {more('n0', 2, 'I')}, {more('n1', 2, 'I')}, {more('n3', 2, 'I')}), least(n3, {more('n2', 2, 'I')}, {more('n0', 4, 'II')}, {more('n1', 4, 'II')})
+        FROM (SELECT dp.conv_id, g.i, {more('k0', 3, 'D')} AS n0, least({more('k1', 3, 'D')}, CASE WHEN NOT must AND r = 's' THEN {more('k0', 'cut::INT', 'K')} END) AS n1,
+                     least({more('k2', 3, 'D')}, {stay('k0', 'u')}, {stay('k1', 'u')}, {stay('k3', 'u')}) AS n2, least({more('k3', 3, 'D')}, {stay('k2', 'a')}) AS n3
+              FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.i = dp.i + 1)),
+      best AS (SELECT conv_id, left(m, 6)::BIGINT AS cost, substring(m, 7) AS audit FROM (SELECT conv_id, arg_max(least(k0, k3), i) AS m FROM dp GROUP BY conv_id)),
+      letters AS (SELECT conv_id, p, substring(audit, p::INT, 1) AS e FROM best, range(1, length(audit) + 1) t(p)),
+      placed AS (SELECT *, sum((e <> 'I')::INT) OVER w AS i, sum((e <> 'D')::INT) OVER w - 1 AS j FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+      turns AS (SELECT l.conv_id, l.p, l.e, l.j, g.r, g.role, g.text, max((l.j = 0 AND l.e = 'K' AND g.r = 's')::INT) OVER (PARTITION BY l.conv_id) AS led
+                FROM placed l LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id AND g.i = l.i AND l.e <> 'I' WHERE l.e <> 'D'),
+      texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS text FROM turns GROUP BY conv_id),
+      faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE repeat AND NOT blank) AS duplicate,
+                        count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+      SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+      FROM best b LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id"""

@@ -74,4 +74,6 @@ ORACLE_SQL = {
               FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
       SELECT query_id, rank::INTEGER AS rank, vec_id, score
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op12_codes": codes.compressed_sql(),
+    "op13_conversations": conversations.repaired_sql(),
 }
