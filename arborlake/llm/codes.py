@@ -201,7 +201,8 @@ def compressed(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: i
     first = named.orderBy(F.col("vec_id").asc_nulls_last(), "v", "label").limit(1).collect()
     dim = first[0]["dim"] if first else 0
     rows = named.where(F.col("dim") == dim).select("vec_id", "label", "v")
-    seeds = np.asarray([r["v"] for r in rows.orderBy(F.col("vec_id").asc_nulls_last(), "v", "label").limit(entries).collect()], np.int64).reshape(-1, dim)
+    least = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v", "label").limit(entries).collect()
+    seeds = np.asarray([r["v"] for r in least], np.int64).reshape(len(least), dim)
     books = [Codebook(x) for x in cut(seeds, parts)]
     state = rows.select("*", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("low"))
     for r in range(rounds if len(seeds) else 0):
