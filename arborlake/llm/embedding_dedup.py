@@ -56,10 +56,13 @@ def local_join(groups: DataFrame, best: int) -> DataFrame:
     return groups.mapInPandas(run, "a long, b long, sim double")
 
 
-def best_lists(edges: DataFrame, size: int) -> DataFrame:
-    """The ``size`` nearest distinct neighbours of each node."""
+def best_lists(edges: DataFrame, size: int, larger: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """The ``size`` nearest distinct neighbours of each node; of nodes in ``larger`` (id, most) the ``most`` nearest, up to ``most`` of all."""
     near = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= size).drop("r")
+    ranked = edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= max(size, most))
+    if larger is not None:
+        ranked = ranked.join(larger, ranked["a"] == larger["id"], "left").where(F.col("r") <= F.coalesce("most", F.lit(size))).drop("id", "most")
+    return ranked.drop("r")
 
 
 def grouped(members: DataFrame, key: list[str], nodes: DataFrame, most: int = BLOCK) -> DataFrame:
@@ -95,50 +98,45 @@ def hash_groups(nodes: DataFrame, dim: int, bits: int, tables: int, seed: int) -
     return nodes.select("id", F.col("label").cast("string").alias("label"), "v").where(F.size("v") == dim).mapInArrow(run, "table long, code long, label string, id long, floor double")
 
 
-def descend(nodes: DataFrame, graph: DataFrame, size: int) -> DataFrame:
-    """One round: a node's neighbours and reverse neighbours are joined with one another; lists keep the best.
+def descend(nodes: DataFrame, graph: DataFrame, size: int, larger: DataFrame | None, most: int, more: DataFrame | None = None) -> DataFrame:
+    """One round: a node's neighbours and reverse neighbours are joined with one another; lists keep the best, of ``more`` pairs too.
 
     All members of a neighbourhood meet; crowded ones are compared in blocks.
     A pair is returned only where it beats the worst of a full list.
     """
-    floor = graph.groupBy("a").agg(F.when(F.count("*") >= size, F.min("sim")).otherwise(-2.0).alias("floor"))
+    held = graph.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least"))
+    if larger is not None:
+        held = held.join(larger, held["a"] == larger["id"], "left").drop("id")
+    room = F.coalesce(F.col("most"), F.lit(size)) if larger is not None else F.lit(size)
+    floor = held.select(F.col("a").alias("id"), F.when(F.col("n") >= room, F.col("least")).otherwise(-2.0).alias("floor"))
     about = graph.select(F.col("a").alias("center"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("center"), F.col("a").alias("id"))).distinct()
-    members = about.join(floor.select(F.col("a").alias("id"), "floor"), "id")
-    return best_lists(graph.unionByName(local_join(grouped(members, ["center"], nodes), size)), size)
+    edges = graph.unionByName(local_join(grouped(about.join(floor, "id"), ["center"], nodes), max(size, most)))
+    return best_lists(edges.unionByName(more) if more is not None else edges, size, larger, most)
 
 
-def audit_counts(nodes: DataFrame, n: int, threshold: float, probes: int) -> DataFrame:
-    """(id, nodes, rows): with how many other nodes, and rows of theirs, each of about ``probes`` of the ``n`` nodes links, found by comparing it with every node."""
-    sample = nodes.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(1, n // probes))) == 0).select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("d"), "v").toPandas()
-    by = {key: (own["id"].to_numpy(), np.stack(own["v"].to_numpy())) for key, own in sample.groupby(["label", "d"])}
+def planted_twins(nodes: DataFrame, n: int, threshold: float, probes: int, seed: int) -> DataFrame:
+    """(id, label, v, of): for about ``probes`` of the ``n`` nodes a vector each in a random direction from it, at ``threshold`` and hardly more.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, own in batch.groupby(["label", "d"]):
-                if key in by:
-                    ids, v = by[key]
-                    near = v @ np.stack(own["v"].to_numpy()).T >= threshold
-                    near &= ids[:, None] != own["id"].to_numpy()[None, :]
-                    at = np.nonzero(near.any(axis=1))[0]
-                    yield pd.DataFrame({"id": ids[at], "nodes": near[at].sum(axis=1), "rows": near[at] @ own["copies"].to_numpy()})
-
-    found = nodes.select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("d"), "v", "copies").mapInPandas(run, "id long, nodes long, rows long")
-    return found.groupBy("id").agg(F.sum("nodes").alias("nodes"), F.sum("rows").alias("rows"))
-
-
-def lists_met(graph: DataFrame, truth: DataFrame, threshold: float, size: int) -> float:
-    """Share of what the probes' lists of ``size`` should hold of their true links that they hold."""
-    listed = graph.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    wanted = F.least("nodes", F.lit(size))
-    got = truth.join(listed, "id", "left").agg(F.sum(wanted), F.sum(F.least(F.coalesce("n", F.lit(0)), wanted))).first()
-    return (got[1] or 0) / got[0] if got[0] else 1.0
+    They are the hardest links to find. However rare links are among the rows,
+    the share of twins found is evidence of the recall.
+    """
+    some = nodes.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(1, n // probes))) == 0).where(F.size("v") > 1)
+    kind = nodes.schema["label"].dataType
+    cosine = min(1.0, threshold + 1e-9)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            twins = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                v = np.asarray(v)
+                side = np.random.default_rng([seed, i & 0xFFFFFFFFFFFFFFFF]).standard_normal(len(v))
+                side -= (side @ v) * v
+                twin = cosine * v + (1 - cosine**2) ** 0.5 * side / np.linalg.norm(side)
+                twins.append(twin / np.linalg.norm(twin))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(twins, pa.list_(pa.float64()))], ["of", "label", "v"])
 
-def recall_of(counted: DataFrame, truth: DataFrame) -> float:
-    """Share of the probes' true links, all of them, that are in ``counted``: over all links or in the mean of the probes, whichever is less."""
-    found = F.coalesce("links", F.lit(0).cast("long"))
-    got = truth.join(counted.select("id", "links"), "id", "left").agg(F.sum("rows"), F.sum(found), F.avg(found / F.col("rows"))).first()
-    return min(got[1] / got[0], got[2]) if got[0] else 1.0
+    made = some.select("id", "label", "v").mapInArrow(run, f"of long, label {kind.simpleString()}, v array<double>")
+    return made.select(F.xxhash64("of", F.lit("twin")).alias("id"), "label", "v", "of")
 
 
 def block_links(some: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -203,20 +201,23 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10, rounds: int = 6, recall: float = 0.98, probes: int = 1000, tables: int = 8, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10, rounds: int = 12, recall: float = 0.99, probes: int = 1000, tables: int = 8, widest: int = 80, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links have equal labels and a cosine >= ``threshold`` in doubles.
 
     Equal vectors of a label are one node. Neighbour lists of ``size`` start
-    from buckets of random sign projections; rounds of NN-descent then join
-    each neighbourhood with itself, until the lists of ``probes`` nodes hold
-    ``recall`` of what they should, by an audit against all nodes, or
-    ``rounds`` are done. A list is saturated if all of it reaches the
-    threshold: there may be more. Nodes with such lists are compared with every
-    node of their label, in blocks, so that no link of theirs is lost; then the
+    from ``tables`` sets of buckets of random sign projections. A round of
+    NN-descent joins each neighbourhood with itself. A list is saturated if all
+    of it reaches the threshold, as there may be more: it is twice as long in
+    the next round, up to ``widest``. Recall is audited on planted twins (see
+    planted_twins), which are nodes like others until the links are taken; while
+    fewer than ``recall`` of them are found the next round also starts from
+    further buckets. Rounds end when recall is reached and no list grows.
+
+    Nodes whose lists are saturated at ``widest`` are compared with every node
+    of their label, in blocks, so that no link of theirs is lost; then the
     members of each component are, so that counts of links are complete and
-    no pair is kept below the threshold. If less than ``recall`` of all true
-    links of the audited nodes is then counted, every pair of a label is
-    compared.
+    no pair is kept below the threshold. If after ``rounds`` rounds recall is
+    not reached, every pair of a label is compared.
 
     n_links counts other rows linked directly; component_id is the smallest
     vec_id reachable, itself included; kept is whether that is the row's own.
@@ -229,33 +230,65 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10,
     own = rows.where(F.col("label").isNotNull() & usable("x") & (F.size("x") > 0))
     nodes = materialise(unit_nodes(own), "nodes")
     facts = nodes.groupBy(F.size("v").alias("dim"), "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n"), F.sum("n").alias("all")).collect()
-    edges = None
-    for f in facts:
-        if f["n"] > 1:
-            bits = max(1, min(24, math.ceil(math.log2(max(2, f["n"] / 24)))))
-            part = local_join(grouped(hash_groups(nodes, f["dim"], bits, tables, seed), ["table", "code", "label"], nodes), size)
-            edges = part if edges is None else edges.unionByName(part)
     out = rows.select("vec_id", F.when(F.col("label").isNotNull() & usable("x") & (F.size("x") > 0), F.xxhash64("label", "x")).alias("id"))
-    if edges is None:
+    if not any(f["n"] > 1 for f in facts):
         links = nodes.select("id", F.lit(0).cast("long").alias("links"), "copies", "least")
-        graph = None
     else:
-        graph = materialise(best_lists(edges, size), "graph")
-        truth = materialise(audit_counts(nodes, sum(f["all"] for f in facts), threshold, probes), "audit")
-        for _ in range(rounds):
-            if lists_met(graph, truth, threshold, size) >= recall:
+        twins = materialise(planted_twins(nodes, sum(f["all"] for f in facts), threshold, probes, seed), "twins")
+        n_twins = twins.count()
+        every = nodes.select("id", "label", "v").unionByName(twins.drop("of"))
+
+        def met(again: int) -> DataFrame:
+            """Pairs that the ``again``-th sets of buckets bring together."""
+            found = None
+            for f in facts:
+                if f["n"] > 1:
+                    bits = max(1, min(24, math.ceil(math.log2(max(2, f["n"] / 24)))))
+                    part = local_join(grouped(hash_groups(every, f["dim"], bits, tables, seed + again), ["table", "code", "label"], every), size)
+                    found = part if found is None else found.unionByName(part)
+            return found
+
+        graph, larger, most, found = materialise(best_lists(met(0), size), "graph"), None, size, 0.0
+        for r in range(rounds):
+            graph = materialise(descend(every, graph, size, larger, most, met(r) if r and found < recall else None), "graph")
+            found = twins_found(graph, twins, threshold) / n_twins if n_twins else 1.0
+            full = saturated_lists(graph, threshold, size, larger)
+            grow = materialise(full.where(F.col("most") < widest).select("id", F.least(F.col("most") * 2, F.lit(widest)).alias("most")), "larger")
+            if grow.isEmpty():
+                if found >= recall:
+                    break
+                continue
+            if r == rounds - 1:  # lists that would grow further count as saturated
                 break
-            graph = materialise(descend(nodes, graph, size), "graph")
-        near = graph.where(F.col("sim") >= threshold)
-        full = near.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= size)
-        saturated = materialise(nodes.join(full, "id", "left_semi"), "saturated")
-        edges = near.select("a", "b")
-        if not saturated.isEmpty():
-            edges = edges.union(block_links(saturated, nodes, threshold))
+            larger = materialise(grow if larger is None else grow.unionByName(larger.join(grow, "id", "left_anti")), "larger")
+            most = widest
+        if found >= recall:
+            near = graph.where(F.col("sim") >= threshold).select("a", "b")
+            edges = near.join(twins, near["a"] == twins["id"], "left_anti").join(twins, near["b"] == twins["id"], "left_anti")
+            saturated = materialise(nodes.join(saturated_lists(graph, threshold, size, larger), "id", "left_semi"), "saturated")
+            if not saturated.isEmpty():
+                edges = edges.union(block_links(saturated, nodes, threshold))
+        else:
+            edges = block_links(nodes, nodes, threshold)
         counted = joined_counts(nodes, edges, threshold)
-        if recall_of(counted, truth) < recall:
-            counted = joined_counts(nodes, block_links(nodes, nodes, threshold), threshold)
         links = nodes.select("id", "copies", "least").join(counted, "id", "left").select("id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), "copies", F.coalesce("first", "least").alias("least"))
     full = out.join(links, "id", "left")
     component = F.coalesce("least", "vec_id")
     return full.select("vec_id", (F.coalesce("links", F.lit(0).cast("long")) + F.coalesce("copies", F.lit(1).cast("long")) - 1).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def saturated_lists(graph: DataFrame, threshold: float, size: int, larger: DataFrame | None) -> DataFrame:
+    """(id, most): the nodes whose whole list reaches the threshold, and how long it may be."""
+    listed = graph.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    if larger is None:
+        return listed.where(F.col("n") >= size).select("id", F.lit(size).alias("most"))
+    return listed.join(larger, "id", "left").withColumn("most", F.coalesce("most", F.lit(size))).where("n >= most").select("id", "most")
+
+
+def twins_found(graph: DataFrame, twins: DataFrame, threshold: float) -> int:
+    """How many planted twins are linked with their nodes, from either side."""
+    near = graph.where(F.col("sim") >= threshold)
+    pair = twins.select(F.col("id").alias("twin"), "of")
+    one = near.join(pair, (near["a"] == pair["twin"]) & (near["b"] == pair["of"])).select("twin")
+    other = near.join(pair, (near["b"] == pair["twin"]) & (near["a"] == pair["of"])).select("twin")
+    return one.union(other).distinct().count()

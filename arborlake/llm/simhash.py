@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 from .components import components, thinned, with_totals
@@ -83,9 +83,11 @@ def reach_of(similarity: float, bits: int, errors: float = 3.0, small: int = 64)
 def fingerprints(docs: DataFrame, width: int, words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, shingles): fingerprints of whole texts, and how many shingles voted: each one's XXH64, or distinct hashes.
 
-    Of distinct ones there is a further column, id, the hash of their set.
+    Of distinct ones there are further columns: id, the hash of their set, and
+    digest, by which texts are told apart.
     """
     more = ["id"] if distinct else []
+    digest = [text_digest(text_col)] if distinct else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,10 +98,16 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, distinct: bool = F
                 fps.append(vote(hashes, words))
                 sizes.append(len(hashes))
                 sets += [set_id(hashes)] * distinct
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sets, pa.int64()) for _ in more]], ["doc_id", "fp", "shingles", *more])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sets, pa.int64()) for _ in more], *b.columns[2:]], ["doc_id", "fp", "shingles", *more, *b.schema.names[2:]])
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, ", ".join(["doc_id long, fp binary, shingles long", *[f"{c} long" for c in more]]))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *digest)
+    return own.mapInArrow(run, "doc_id long, fp binary, shingles long" + ", id long, digest binary" * distinct)
+
+
+def text_digest(text_col: str) -> Column:
+    """A text's SHA-256, empty for a null."""
+    return F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256)), F.lit(b"")).alias("digest")
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -236,6 +244,11 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
 
     Nulls, copies, repeats and empty tables are treated as in simhash_components.
     """
+    return near_duplicates(docs, width, similarity, id_col, text_col).select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, root, component_id) for each row: its text, the component of that text, and the least id of the component."""
     words = 4
     radius = reach_of(similarity, 64 * words)
     cut = 16  # population counts a tile spans
@@ -251,17 +264,26 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     members = materialise(nodes.join(met, nodes["id"] == met["node"]).select("id", "component", "least", "shingles"), "candidates")
     joined = components(verified_links(members, docs, width, similarity, id_col, text_col))
     roots = nodes.join(joined, nodes["id"] == joined["node"], "left").select("id", F.col("least").alias("component_id"), F.coalesce("component", "id").alias("root"))
-    return own.join(with_totals(roots, "root", "id", {"component_id": F.min}).select("id", "component_id"), "id").select("doc_id", "component_id")
+    return own.join(with_totals(roots, "root", "id", {"component_id": F.min}).select("id", "root", "component_id"), "id").select("doc_id", "digest", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one document of each group of near-duplicates.
-
-    The document with the least id stays; of repeated rows of that id the one
-    with the least text stays. Columns are those of ``docs``. Rows with a null
-    id stay.
+    """The rows of ``docs`` less all but one row of each group of near-duplicates.
+
+    Rows stand for themselves, not for their ids: a group keeps a row of its
+    least id, of several such rows the one with the least text, and of
+    repeated ones one. Rows of one id whose texts are in different groups are
+    kept or go each by its own group. Columns are those of ``docs``, whatever
+    their names. Rows with a null id stay, as they cannot represent a group.
+    Null, empty and blank texts are one group; texts of any length count whole.
+    An empty table gives an empty result.
     """
-    found = near_duplicate_components(docs, width, similarity, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    once = docs.join(found, docs[id_col] == found["__keep"], "left_semi")
-    first = once.withColumn("__row", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col)))).where("__row = 1").drop("__row")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, width, similarity, id_col, text_col).where("doc_id = component_id").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n"))
+    found = materialise(found, "kept")
+    crowded = found.groupBy("root").agg(F.sum("n").alias("n")).where("n > 1").select("root")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col), F.col(text_col).cast("string").alias("text"), row).where("doc_id is not null")
+    one = rows.join(found.join(crowded, "root", "left_anti").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select("row")
+    of_many = rows.join(found.join(crowded, "root", "left_semi").select("root", "doc_id", "digest"), ["doc_id", "digest"]).groupBy("root").agg(F.min_by("row", F.coalesce(F.col("text"), F.lit(""))).alias("row")).select("row")
+    back = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return one.unionByName(of_many).select(*back).unionByName(docs.where(F.col(id_col).isNull()))

@@ -585,6 +585,18 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 6, 7] and kept.columns == docs(spark, texts).columns
 
 
+def test_keep_one_goes_by_row(spark):
+    a, b, c, d = (" ".join(passage(k, 60)) for k in (11, 12, 13, 14))
+    rows = [(3, b, 1), (5, a, 2), (5, b + " more", 3), (7, c, 4), (7, d, 5), (8, c, 6), (7, d, 7), (9, None, 8), (10, "", 9), (None, a, 10), (11, d + " x", 11)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, root long").selectExpr("*", "1 AS digest", "2 AS row", "3 AS n", "'x' AS `a.b`")
+    got = simhash.keep_one(table)
+    assert got.columns == table.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, b), (5, a), (7, c), (7, d), (9, None), (None, a)], key=str)
+    assert simhash.keep_one(table.limit(0)).count() == 0
+    near = [(4, b + " more", 0), (4, b, 0), (4, b, 0)]
+    assert [r["text"] for r in simhash.keep_one(spark.createDataFrame(near, "doc_id long, text string, k int")).collect()] == [b]
+
+
 def test_near_duplicates_have_the_exact_jaccard(spark):
     texts, groups = [], []
     for k in range(60):  # shingles shared, of one only, of the other only
@@ -805,6 +817,32 @@ def test_embedding_dedup_reaches_its_recall(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == near_brute(rows)
 
 
+def test_embedding_dedup_finds_rare_links(spark):
+    """Some 3000 unrelated vectors with 40 pairs just above the threshold: rounds run and find them, no label is compared whole."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.normal(0, 1, (3000, 64)))
+    side = rng.normal(0, 1, (40, 64))
+    side = unit(side - (side * base[:40]).sum(axis=1, keepdims=True) * base[:40])
+    twins = 0.932 * base[:40] + (1 - 0.932**2) ** 0.5 * side
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.concatenate([base, twins]))]
+    table = vectors(spark, rows)
+    got = {(r["vec_id"], r["component_id"]) for r in embedding_dedup.near_duplicates(table).collect() if r["n_links"]}
+    assert len(got & ({(k, k) for k in range(40)} | {(3000 + k, k) for k in range(40)})) >= 0.98 * 80 and len(got) <= 80
+
+
+def test_lists_grow_while_they_are_full(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (20, 32))
+    rows = [(30 * c + k, (centres[c] + rng.normal(0, 0.12, 32)).tolist(), 0) for c in range(20) for k in range(30)]
+    asked = []
+    whole = embedding_dedup.block_links
+    monkeypatch.setattr(embedding_dedup, "block_links", lambda *a: asked.append(a) or whole(*a))
+    got = embedding_dedup.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == near_brute(rows)
+    assert min(r["n_links"] for r in got) >= 20 and not asked  # lists of 10 were full, those of 40 were not
+
+
 def test_crowded_groups_meet_whole(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(0, 1, (90, 8))
@@ -885,9 +923,9 @@ def test_pipeline_stages_equal_brute_force(spark):
     alike = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b) > 0
     root = component_brute(sets, alike)
     least = {v: min((want[k][0] for k in root if root[k] == v and want[k][0] is not None), default=None) for v in set(root.values())}
-    expected = {i for i in least.values() if i is not None}
-    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == expected and sum(r["doc_id"] is None for r in kept) == 3
-    assert len(kept) == len(expected) + 3
+    expected = [min(want[k][1] or "" for k in root if root[k] == v and want[k][0] == i) for v, i in least.items() if i is not None]
+    assert sorted(r["text"] or "" for r in kept if r["doc_id"] is not None) == sorted(expected) and sum(r["doc_id"] is None for r in kept) == 3
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(i for i in least.values() if i is not None)
 
     table = spark.createDataFrame(kept, DOCS)
     times = Counter(map(tuple, stages["mixing"](spark, table, SF).collect()))
@@ -895,9 +933,10 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert Counter(str(k[0]) for k in times.elements()) == Counter(str(r["doc_id"]) for r in shares if r["size"] for _ in range((2 * r["taken"] + r["size"]) // (2 * r["size"])))
 
     table = spark.createDataFrame(list(times.elements()), DOCS)
-    pieces = stages["packing"](spark, table.where("doc_id is not null"), SF).collect()
-    check_packing([t for (i, t, *_), _ in times.items() if i is not None], [k[0] for k in times if k[0] is not None], pieces)
     assert stages["packing"](spark, table, SF).count() == sum(times.values())
+    numbered = [(k, *row[1:]) for k, row in enumerate(times.elements())]  # an id of their own, as id 7 has two texts
+    pieces = stages["packing"](spark, spark.createDataFrame(numbered, DOCS), SF).collect()
+    check_packing([t for _, t, *_ in numbered], [k for k, *_ in numbered], pieces)
 
 
 def test_pipeline_on_nothing(spark):
