@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 from dataclasses import dataclass, field
 
-from .kernels import attach, contained, cut_equal_leaves, difference, equal_trees, find_equal, intersection, leaf_paths
+from .kernels import attach, attach_marked, contained, cut_equal_leaves, difference, equal_trees, find_equal, intersection, leaf_paths
 from .trees import Tree, build, exact_fingerprint, root
 
 
@@ -97,9 +97,13 @@ def neighbours(changed: Changed) -> tuple[list[ast.AST], list[ast.AST]]:
     return [x for x in all_ if x.end_lineno < lo], [x for x in all_ if x.lineno > hi]
 
 
+#: Nodes (side, pre-order number) that stand for one and the same tree.
+Group = tuple[tuple[str, int], ...]
+
+
 @dataclass(frozen=True)
 class Template:
-    """A change with its action, its two sides, what they share, and the statements around."""
+    """A change with its action, its two sides, what they share, the statements around, and which nodes are tied."""
 
     action: str
     before: Tree | None
@@ -109,11 +113,29 @@ class Template:
     after_places: tuple = ()
     before_context: Tree | None = None
     after_context: Tree | None = None
+    links: tuple[Group, ...] = ()
 
     def before_within(self) -> Tree | None:
         """The before side put back into the shared context."""
         return self.before if self.within is None else attach(self.within, self.before, list(self.before_places))
 
+    def whole_before(self) -> tuple[Tree | None, list[tuple[str, int]]]:
+        """before_within, and where each of its nodes comes from."""
+        return attach_marked(self.within, self.before, list(self.before_places), "before")
+
+
+_TIED = ("Variable", "Attribute", "Literal", "Builtin", "Type", "Expr", "Stmt")
+
+
+def tied_nodes(before: Tree | None, after: Tree | None, within: Tree | None) -> tuple[Group, ...]:
+    """Groups of equal subtrees of the sides and their shared context, each of two nodes or more."""
+    by: dict[str, list[tuple[str, int]]] = {}
+    for side, tree in (("before", before), ("after", after), ("within", within)):
+        for k, n in enumerate(tree.walk() if tree is not None else ()):
+            if n.kind in _TIED:
+                by.setdefault(exact_fingerprint(n), []).append((side, k))
+    return tuple(tuple(g) for g in by.values() if len(g) > 1)
+
 
 def classify(before: Changed, after: Changed) -> tuple[str, Tree | None, Tree | None] | None:
     """The action of a change and its two sides: Add, Remove, Insert, Shuffle or Replace; None for no change.
@@ -234,7 +256,7 @@ def mine_change(before_source: str | None, after_source: str | None, content: st
     names = t.before or t.after
     side = b if b.siblings else a
     up, down = neighbours(side)
-    return Template(t.action, t.before, t.after, t.within, t.before_places, t.after_places, linked_context(names, up), linked_context(names, down)), "ok"
+    return Template(t.action, t.before, t.after, t.within, t.before_places, t.after_places, linked_context(names, up), linked_context(names, down), tied_nodes(t.before, t.after, t.within)), "ok"
 
 
 def is_noise(t: Template) -> bool:

@@ -154,6 +154,32 @@ def attach(common: Tree, pieces: Tree | None, places: list) -> Tree:
     return visit(common, ())
 
 
+def attach_marked(common: Tree, pieces: Tree | None, places: list, side: str) -> tuple[Tree, list[tuple[str, int]]]:
+    """attach(), and for each node in pre-order where it comes from: ("within" or ``side``, its pre-order number there)."""
+    if common is None:
+        return pieces, [(side, k) for k in range(pieces.size if pieces is not None else 0)]
+    own = list(pieces.children) if pieces is not None else []
+    starts = _starts(pieces) if pieces is not None else []
+
+    def visit(y: Tree, path: tuple[int, ...], at: int) -> tuple[Tree, list[tuple[str, int]]]:
+        children = [visit(c, (*path, k), i) for k, (c, i) in enumerate(zip(y.children, _starts(y, at), strict=True))]
+        for (where, role, k), piece, i in zip(places, own, starts, strict=True):
+            if tuple(where) == path:
+                children.insert(k, (replace(piece, role=role), [(side, i + j) for j in range(piece.size)]))
+        return y.with_children(c for c, _ in children), [("within", at), *(o for _, below in children for o in below)]
+
+    return visit(common, (), 0)
+
+
+def _starts(t: Tree, at: int = 0) -> list[int]:
+    """Pre-order numbers of the children of ``t``, whose own is ``at``."""
+    out, k = [], at + 1
+    for c in t.children:
+        out.append(k)
+        k += c.size
+    return out
+
+
 def cut_equal_leaves(a: Tree, b: Tree) -> tuple[Tree | None, Tree | None]:
     """Both trees without leaf paths that are equal in the two, again and again; an emptied tree is None."""
 
@@ -241,45 +267,55 @@ def node_satisfies(a: Tree, pattern: Tree) -> bool:
     return (a.kind, a.type) == (pattern.kind, pattern.type) and value_satisfies(a, pattern)
 
 
-def match(a: Tree, pattern: Tree) -> dict[int, Tree] | None:
-    """Whether ``a`` satisfies ``pattern``: nodes by place in the pattern's pre-order, or None.
+def matches(a: Tree, pattern: Tree, same: dict[int, tuple[int, ...]] | None = None) -> Iterator[dict[int, Tree]]:
+    """Every way in which ``a`` satisfies ``pattern``: nodes by place in the pattern's pre-order.
 
     The children of each of the pattern's fields embed, in order, in the same
-    field of ``a``; the first child that satisfies is taken.
+    field of ``a``. ``same`` ties places whose nodes must be equal trees; a way
+    that breaks a tie is left as soon as it does.
     """
-    found: dict[int, Tree] = {}
+    tied = same or {}
 
-    def visit(x: Tree, p: Tree, at: int) -> bool:
+    def visit(x: Tree, p: Tree, at: int, found: dict[int, Tree]) -> Iterator[dict[int, Tree]]:
         if not node_satisfies(x, p):
-            return False
-        found[at] = x
-        fields = {role: iter(own) for role, own in x.roles().items()}
-        below = at + 1
-        for c in p.children:
-            if not any(visit(y, c, below) for y in fields.get(c.role, iter(()))):
-                return False
-            below += c.size
-        return True
+            return
+        if any(j in found and exact_fingerprint(found[j]) != exact_fingerprint(x) for j in tied.get(at, ())):
+            return
+        yield from embed(x.roles(), p.children, 0, at + 1, {}, {**found, at: x})
+
+    def embed(fields: dict, wanted: tuple[Tree, ...], k: int, at: int, used: dict[str, int], found: dict[int, Tree]) -> Iterator[dict[int, Tree]]:
+        if k == len(wanted):
+            yield found
+            return
+        c = wanted[k]
+        own = fields.get(c.role, ())
+        for i in range(used.get(c.role, 0), len(own)):
+            for more in visit(own[i], c, at, found):
+                yield from embed(fields, wanted, k + 1, at + c.size, {**used, c.role: i + 1}, more)
+
+    return visit(a, pattern, 0, {})
 
-    return found if visit(a, pattern, 0) else None
+
+def match(a: Tree, pattern: Tree, same: dict[int, tuple[int, ...]] | None = None) -> dict[int, Tree] | None:
+    """The first of ``matches``, which takes the first children that can be taken; None if there is none."""
+    return next(matches(a, pattern, same), None)
 
 
 def embeddings(source: Tree, pattern: Tree, most: int | None = None) -> list[list[dict[int, Tree]]]:
     """All ways to find the pattern's body trees in ``source``, each to the right of the one before."""
-    order = {id(t): k for k, t in enumerate(source.walk())}
     nodes = list(source.walk())[1:]
+    order = {id(t): k for k, t in enumerate(source.walk())}
     out: list[list[dict[int, Tree]]] = []
 
     def extend(k: int, after: int, chosen: list[dict[int, Tree]]) -> None:
-        if most is not None and len(out) >= most:
-            return
         if k == len(pattern.children):
             out.append(chosen)
             return
         for node in nodes:
             if order[id(node)] > after:
-                got = match(node, pattern.children[k])
-                if got is not None:
+                for got in matches(node, pattern.children[k]):
+                    if most is not None and len(out) >= most:
+                        return
                     extend(k + 1, max(order[id(t)] for t in got.values()), [*chosen, got])
 
     extend(0, -1, [])
@@ -330,34 +366,47 @@ def generalise(a: Tree, b: Tree, refers: Callable[[Tree, Tree], bool] | None = N
     become Identifier; other mismatches End_Expr, Expr or Stmt leaves. Fields
     keep their common prefix; a field that only one has goes.
     """
-    if a.kind == "Root" and b.kind == "Root":
-        return root(generalise(x, y, refers) for x, y in zip(a.children, b.children, strict=False))
-    same = (a.kind, a.type) == (b.kind, b.type)
-    if not same and not (a.type in IDENTIFIERS and b.type in IDENTIFIERS):
-        kind = _general_kind(a, b)
-        kind = "Expr" if kind == "Identifier" and (a.children or b.children) else kind
-        return Tree(kind, kind, ABSTRACTED if kind in ("Identifier", "End_Expr") else None, role=a.role)
-    fields = b.roles()
-    taken: dict[str, int] = {}
-    children = []
-    for c in a.children:
-        k = taken.get(c.role, 0)
-        taken[c.role] = k + 1
-        if k < len(fields.get(c.role, ())):
-            children.append(generalise(c, fields[c.role][k], refers))
-    kind, type_ = (a.kind, a.type) if same else ("Identifier", "Identifier")
-    value, vtype = a.value, a.vtype
-    if (a.value, a.vtype) != (b.value, b.vtype):
-        vtype = None
-        if refers and refers(a, b):
-            value = REFERRED
-        elif a.kind == b.kind == "Literal" and _literal_type(a) == _literal_type(b):
-            value = _literal_type(a)
-        elif a.kind == b.kind == "Op" and _category(a) == _category(b) is not None:
-            value = _category(a)
-        else:
-            value = ABSTRACTED
-    return Tree(kind, type_, value, vtype, a.role, a.alias if a.alias == b.alias else None, children=tuple(children))
+    return generalise_aligned(a, b, refers)[0]
+
+
+def generalise_aligned(a: Tree, b: Tree, refers: Callable[[Tree, Tree], bool] | None = None) -> tuple[Tree, list[tuple[int, int]]]:
+    """generalise(), and for each node of the pattern the pre-order numbers of the two nodes it stands for."""
+    pairs: list[tuple[int, int]] = []
+
+    def visit(a: Tree, i: int, b: Tree, j: int) -> Tree:
+        pairs.append((i, j))
+        if a.kind == "Root" and b.kind == "Root":
+            return root([visit(x, k, y, m) for x, k, y, m in zip(a.children, _starts(a, i), b.children, _starts(b, j), strict=False)])
+        same = (a.kind, a.type) == (b.kind, b.type)
+        if not same and not (a.type in IDENTIFIERS and b.type in IDENTIFIERS):
+            kind = _general_kind(a, b)
+            kind = "Expr" if kind == "Identifier" and (a.children or b.children) else kind
+            return Tree(kind, kind, ABSTRACTED if kind in ("Identifier", "End_Expr") else None, role=a.role)
+        fields: dict[str, list[tuple[Tree, int]]] = {}
+        for y, m in zip(b.children, _starts(b, j), strict=True):
+            fields.setdefault(y.role, []).append((y, m))
+        taken: dict[str, int] = {}
+        children = []
+        for c, k in zip(a.children, _starts(a, i), strict=True):
+            n = taken.get(c.role, 0)
+            taken[c.role] = n + 1
+            if n < len(fields.get(c.role, ())):
+                children.append(visit(c, k, *fields[c.role][n]))
+        kind, type_ = (a.kind, a.type) if same else ("Identifier", "Identifier")
+        value, vtype = a.value, a.vtype
+        if (a.value, a.vtype) != (b.value, b.vtype):
+            vtype = None
+            if refers and refers(a, b):
+                value = REFERRED
+            elif a.kind == b.kind == "Literal" and _literal_type(a) == _literal_type(b):
+                value = _literal_type(a)
+            elif a.kind == b.kind == "Op" and _category(a) == _category(b) is not None:
+                value = _category(a)
+            else:
+                value = ABSTRACTED
+        return Tree(kind, type_, value, vtype, a.role, a.alias if a.alias == b.alias else None, children=tuple(children))
+
+    return visit(a, 0, b, 0), pairs
 
 
 def _literal_type(t: Tree) -> str | None:
@@ -369,10 +418,29 @@ def _category(t: Tree) -> str | None:
 
 
 def generalise_context(a: Tree | None, b: Tree | None) -> Tree | None:
-    """The leaf paths of two contexts that pair off, generalised; None where either is absent or none do."""
+    """The statements of two contexts that pair off, generalised; None where either is absent or none do.
+
+    Statements pair in order, those of one type with one another, so that the
+    sum of their similarities is greatest: a statement that only one context
+    has does not shift the others.
+    """
     if a is None or b is None:
         return None
-    both = [generalise(x, y) for x, y in zip(a.children, b.children, strict=False) if like_node(x, y)]
+    n, m = len(a.children), len(b.children)
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    score = [[1 + (dice(x, y) or 0.0) if like_node(x, y) else 0.0 for y in b.children] for x in a.children]
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], score[i][j] + best[i + 1][j + 1] if score[i][j] else 0.0)
+    both, i, j = [], 0, 0
+    while i < n and j < m:
+        if score[i][j] and best[i][j] == score[i][j] + best[i + 1][j + 1]:
+            both.append(generalise(a.children[i], b.children[j]))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
     return root(both) if both else None
 
 

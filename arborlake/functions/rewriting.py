@@ -9,8 +9,7 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import product
 
-from .kernels import match
-from .trees import Tree, build, find_all, parse_module
+from .trees import Tree, find_all, parse_module
 from .vocabulary import ABSTRACTED, ATTRIBUTE_MASK, CATEGORY_OPERATORS, EXPRESSION_MASK, OPERATOR_CODE, REFERRED, STATEMENT_MASK
 
 
@@ -80,7 +79,7 @@ def _compound(t: Tree, ops: Iterator[str], bound) -> ast.AST:
     for name in kind._fields:
         own = roles.get({"ops": "op"}.get(name, name) if t.type == "Compare" else name, ())
         if name == "args" and t.type in ("FunctionDef", "AsyncFunctionDef", "Lambda"):
-            values[name] = _parameters(roles, ops, bound)
+            values[name] = parameters(roles, ops, bound)
             continue
         nodes = [to_syntax(c, ops, bound) for c in own]
         if name == "names" and t.type in ("Global", "Nonlocal"):
@@ -109,7 +108,7 @@ _REQUIRED = {
 }
 
 
-def _parameters(roles, ops, bound) -> ast.arguments:
+def parameters(roles, ops, bound) -> ast.arguments:
     def one(c: Tree) -> tuple[ast.arg, ast.expr | None]:
         own = c.roles()
         note = to_syntax(own["annotation"][0], ops, bound) if "annotation" in own else None
@@ -132,134 +131,10 @@ def _contexts(node: ast.AST) -> ast.AST:
     return node
 
 
-# -- applying a template --------------------------------------------------------------
-
-
-def apply_template(source: str, action: str, before: Tree | None, after: Tree | None, lines: list[int], most_matches: int = 20, most_patches: int = 21) -> list[str]:
-    """Masked sources that a template makes at the given lines, distinct, without the source itself.
-
-    Replace and Insert put the after side in place of what the before side
-    matches; Add puts it before the statement at the first line; Remove takes
-    the matched statement out. Equal variables on both sides of the template
-    are bound to what they matched. Operators that stand for a category come
-    in all their alternatives. A before side of several trees matches them one
-    after another, each past the one before; the sides' trees take each other's
-    place in order, trees too many on the before side go, those too many on the
-    after side follow the last.
-    """
-    module = parse_module(source)
-    if module is None:
-        return []
-    out: list[str] = []
-
-    def emit(tree: ast.Module) -> None:
-        try:
-            text = ast.unparse(ast.fix_missing_locations(tree))
-            ast.parse(text)
-        except (SyntaxError, ValueError, AttributeError, TypeError):
-            return
-        for x in (text, re.sub(rf"{STATEMENT_MASK}(\s+{STATEMENT_MASK}){{2,}}", STATEMENT_MASK, text)):
-            if x not in out and x != ast.unparse(module) and len(out) < most_patches:
-                out.append(x)
-
-    slots = [(parent, name, k, s) for parent, name, k, s in find_all(module) if s.lineno <= max(lines, default=0) and s.end_lineno >= min(lines, default=1)]
-    if before is None:
-        slots = sorted(slots, key=lambda x: (x[3].end_lineno - x[3].lineno, -x[3].lineno))[:1]
-        for ops in choices(operator_choices(after)) if after is not None else ():
-            for _, _, _, s in slots:
-                tree, (parent, name, k) = _copy_at(module, s)
-                take = iter(ops)
-                getattr(parent, name)[k:k] = [_statement(to_syntax(c, take)) for c in after.children]
-                emit(tree)
-        return out
-    for nodes, names in _bodies(slots, before, most_matches):
-        for ops in choices(operator_choices(after)) if after is not None else [()]:
-            take = iter(ops)
-            new = [to_syntax(c, take, lambda t: names.get(_key(t))) for c in after.children] if after is not None else []
-            tree = copy.deepcopy(module)
-            twins = [_twin(module, tree, x) for x in nodes]
-            last = len(twins) - 1
-            if all([_replace(tree, x, new[k:] if k == last else new[k : k + 1], action) for k, x in enumerate(twins)]):
-                emit(tree)
-    return out
-
-
-def _bodies(slots: list, before: Tree, most: int) -> Iterator[tuple[list[ast.AST], dict]]:
-    """(nodes, bindings) of up to ``most`` ways in which the trees of ``before`` match nodes of the statements, each past the one before."""
-    inside = {id(x) for _, _, _, s in slots for x in ast.walk(s) if x is not s}
-    tops = sorted((s for _, _, _, s in slots if id(s) not in inside), key=lambda s: (s.lineno, s.col_offset))
-    order = [x for top in tops for x in _pre_order(top)]
-    past = {id(x): k + sum(1 for _ in _pre_order(x)) for k, x in enumerate(order)}
-    # outer statements first, then expressions of each in order
-    ways: list[tuple[list[ast.AST], dict]] = []
-
-    def extend(k: int, at: int, nodes: list[ast.AST], names: dict) -> None:
-        if k == len(before.children):
-            ways.append((nodes, names))
-            return
-        want = before.children[k]
-        kinds = ast.stmt if want.kind == "Stmt" else ast.expr
-        for x in order[at:]:
-            if len(ways) >= most:
-                return
-            if isinstance(x, kinds) and (got := match(build(x), want)) is not None:
-                extend(k + 1, past[id(x)], [*nodes, x], names | _bindings(want, got))
-
-    extend(0, 0, [], {})
-    return iter(ways)
-
-
-def _pre_order(node: ast.AST) -> Iterator[ast.AST]:
-    yield node
-    for x in ast.iter_child_nodes(node):
-        yield from _pre_order(x)
-
-
-def _key(t: Tree) -> tuple | None:
-    return (t.kind, t.value) if t.kind in ("Variable", "Attribute") and t.value is not None else None
-
-
-def _bindings(want: Tree, got: dict[int, Tree]) -> dict:
-    out = {}
-    for k, p in enumerate(want.walk()):
-        if _key(p) and k in got and got[k].value is not None and got[k].kind in ("Variable", "Attribute", "Builtin", "Type"):
-            out[_key(p)] = _expression(got[k].value)
-    return out
-
-
-def _statement(node: ast.AST) -> ast.stmt:
+def statement(node: ast.AST) -> ast.stmt:
     return ast.Expr(node) if isinstance(node, ast.expr) else node
 
 
-def _copy_at(module: ast.Module, statement: ast.stmt):
-    tree = copy.deepcopy(module)
-    twin = _twin(module, tree, statement)
-    return next((tree, (parent, name, k)) for parent, name, k, s in find_all(tree) if s is twin)
-
-
-def _twin(module: ast.Module, tree: ast.Module, node: ast.AST) -> ast.AST:
-    return next(y for x, y in zip(ast.walk(module), ast.walk(tree), strict=True) if x is node)
-
-
-def _replace(tree: ast.Module, old: ast.AST, new: list[ast.AST], action: str) -> bool:
-    for parent in ast.walk(tree):
-        for name, value in ast.iter_fields(parent):
-            if isinstance(value, list) and any(x is old for x in value):
-                k = next(i for i, x in enumerate(value) if x is old)
-                statements = isinstance(old, ast.stmt)
-                put = [_statement(x) for x in new] if statements else new
-                value[k : k + 1] = put
-                if statements and not value:
-                    value.append(ast.Pass())
-                return True
-            if value is old:
-                if len(new) != 1 or isinstance(new[0], ast.stmt):
-                    return False
-                setattr(parent, name, new[0])
-                return True
-    return False
-
-
 # -- masks ------------------------------------------------------------------------
 
 _MASKS = (EXPRESSION_MASK, STATEMENT_MASK)

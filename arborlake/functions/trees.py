@@ -84,35 +84,46 @@ def _literal(node: ast.Constant, role: str) -> Tree:
     return leaf("Literal", repr(node.value), role, node, type(node.value).__name__)
 
 
-def _arguments(node: ast.arguments) -> list[Tree]:
+def _arguments(node: ast.arguments, link: dict[int, ast.AST] | None) -> list[Tree]:
     """Parameters with their defaults below them; defaults belong to the last positional ones."""
     out = []
     plain = [*node.posonlyargs, *node.args]
     for arg, default in zip(plain, [None] * (len(plain) - len(node.defaults)) + node.defaults, strict=True):
-        out.append(_parameter(arg, "args", default))
+        out.append(_parameter(arg, "args", default, link))
     if node.vararg:
-        out.append(_parameter(node.vararg, "vararg", None))
+        out.append(_parameter(node.vararg, "vararg", None, link))
     for arg, default in zip(node.kwonlyargs, node.kw_defaults, strict=True):
-        out.append(_parameter(arg, "kwonlyargs", default))
+        out.append(_parameter(arg, "kwonlyargs", default, link))
     if node.kwarg:
-        out.append(_parameter(node.kwarg, "kwarg", None))
+        out.append(_parameter(node.kwarg, "kwarg", None, link))
     return out
 
 
-def _parameter(arg: ast.arg, role: str, default: ast.expr | None) -> Tree:
-    below = [build(arg.annotation, "annotation")] if arg.annotation else []
-    below += [build(default, "default")] if default else []
-    return replace(leaf("Variable", arg.arg, role, arg), children=tuple(below))
+def _parameter(arg: ast.arg, role: str, default: ast.expr | None, link: dict[int, ast.AST] | None) -> Tree:
+    below = [build(arg.annotation, "annotation", link)] if arg.annotation else []
+    below += [build(default, "default", link)] if default else []
+    out = replace(leaf("Variable", arg.arg, role, arg), children=tuple(below))
+    if link is not None:
+        link[id(out)] = arg
+    return out
 
 
-def build(node: ast.AST, role: str = "body") -> Tree:
+def build(node: ast.AST, role: str = "body", link: dict[int, ast.AST] | None = None) -> Tree:
     """The tree of a syntax node.
 
     Names are Variable, Type or Builtin leaves; attribute chains one leaf with
     their dotted text; constants Literal leaves; operators Op leaves under op;
     keyword arguments Keyword nodes over their value; imported names Module
-    leaves; names of functions, classes, globals and handlers Variable leaves.
+    leaves; names of functions, classes, globals and handlers Variable leaves. ``link`` is filled
+    with the syntax node of each tree node that has one, by identity.
     """
+    out = _built(node, role, link)
+    if link is not None:
+        link[id(out)] = node
+    return out
+
+
+def _built(node: ast.AST, role: str, link: dict[int, ast.AST] | None) -> Tree:
     if isinstance(node, ast.Name):
         return _name(node, role)
     if isinstance(node, ast.Constant):
@@ -122,7 +133,7 @@ def build(node: ast.AST, role: str = "body") -> Tree:
     if isinstance(node, (ast.operator, ast.boolop, ast.unaryop, ast.cmpop)):
         return leaf("Op", type(node).__name__, role)
     if isinstance(node, ast.keyword):
-        return replace(leaf("Keyword", node.arg, role, node), children=(build(node.value, "value"),))
+        return replace(leaf("Keyword", node.arg, role, node), children=(build(node.value, "value", link),))
     if isinstance(node, ast.alias):
         return leaf("Module", node.name, role, node, alias=node.asname)
     kind = "Stmt" if isinstance(node, STATEMENTS) else "Expr"
@@ -131,11 +142,11 @@ def build(node: ast.AST, role: str = "body") -> Tree:
         if name in ("ctx", "type_comment", "level", "simple", "is_async", "conversion", "kind", "type_ignores"):
             continue
         if isinstance(value, ast.arguments):
-            children += _arguments(value)
+            children += _arguments(value, link)
             continue
         for x in value if isinstance(value, list) else [value]:
             if isinstance(x, ast.AST):
-                children.append(build(x, "op" if name == "ops" else name))
+                children.append(build(x, "op" if name == "ops" else name, link))
             elif isinstance(x, str):
                 children.append(leaf("Module" if name == "module" else "Variable", x, "name" if name == "names" else name, node))
     return Tree(kind, type(node).__name__, role=role, line=getattr(node, "lineno", 0), end_line=getattr(node, "end_lineno", 0) or 0, children=tuple(children))

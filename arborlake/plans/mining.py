@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import kernels
 from ..functions.changes import Template, mine_change
-from ..functions.kernels import dice, generalise, generalise_context, leaf_similarity, pattern_dice
+from ..functions.kernels import dice, leaf_similarity, pattern_dice
+from ..functions.merging import merged
 from ..functions.trees import Tree, exact_fingerprint, pack, shape_fingerprint, unpack
 from ..session import materialise
 
@@ -31,13 +32,19 @@ def template_row(t: Template) -> dict:
     sides = {s: getattr(t, s) for s in SIDES}
     fp = lambda f, *names: "|".join("-" if sides[n] is None else f(sides[n]) for n in names)
     width = lambda x: -1 if x is None else len(x.children)
-    return {"action": t.action, **{s: dump_tree(x) for s, x in sides.items()}, "places": json.dumps([t.before_places, t.after_places]), "fp_pattern": fp(lambda x: exact_fingerprint(x, alias=False), "before", "after"), "fp_shape": fp(shape_fingerprint, "before", "after"), "fp_within": fp(exact_fingerprint, "within"), "block": f"{width(t.before)}/{width(t.after)}"}
+    return {"action": t.action, **{s: dump_tree(x) for s, x in sides.items()}, "places": dump_places(t), "fp_pattern": fp(lambda x: exact_fingerprint(x, alias=False), "before", "after"), "fp_shape": fp(shape_fingerprint, "before", "after"), "fp_within": fp(exact_fingerprint, "within"), "block": f"{width(t.before)}/{width(t.after)}"}
+
+
+def dump_places(t: Template) -> str:
+    """Where the sides' pieces hang in the shared context, and which nodes are tied."""
+    return json.dumps([t.before_places, t.after_places, t.links])
 
 
 def load_template(row: dict) -> Template:
-    places = json.loads(row["places"] or "[[], []]")
-    fixed = [tuple((tuple(p), role, k) for p, role, k in side) for side in places]
-    return Template(row["action"], load_tree(row["before"]), load_tree(row["after"]), load_tree(row["within"]), *fixed, load_tree(row["before_context"]), load_tree(row["after_context"]))
+    before, after, *links = json.loads(row["places"] or "[]") or [[], []]
+    fixed = [tuple((tuple(p), role, k) for p, role, k in side) for side in (before, after)]
+    tied = tuple(tuple((side, k) for side, k in group) for group in (links[0] if links else ()))
+    return Template(row["action"], load_tree(row["before"]), load_tree(row["after"]), load_tree(row["within"]), *fixed, load_tree(row["before_context"]), load_tree(row["after_context"]), tied)
 
 
 def change_templates(hunks: DataFrame, sources: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -123,21 +130,13 @@ class Forest:
             i, j = min(scores, key=lambda k: (scores[k][0], -scores[k][1], k))
             a, b = self.nodes[i], self.nodes[j]
             parent = len(self.nodes)
-            self.nodes[parent] = {"id": parent, "t": self._merge(a["t"], b["t"]), "n": a["n"] + b["n"], "parent": None, "row": None}
+            self.nodes[parent] = {"id": parent, "t": merged(a["t"], b["t"]), "n": a["n"] + b["n"], "parent": None, "row": None}
             a["parent"] = b["parent"] = parent
             self.live = [k for k in self.live if k not in (i, j)]
             scores = {k: v for k, v in scores.items() if not {i, j} & {*k}}
             compare(parent, self.live)
             self.live.append(parent)
 
-    @staticmethod
-    def _merge(a: Template, b: Template) -> Template:
-        side = lambda x, y: None if x is None or y is None else generalise(x, y)
-        keep = dice(a.within, b.within) is not None
-        same_places = keep and a.within is not None and kernels.equal_trees(a.within, b.within) and a.before_places == b.before_places and a.after_places == b.after_places
-        within = a.within if same_places else generalise(a.within, b.within) if keep and a.within is not None else None
-        return Template(a.action, side(a.before, b.before), side(a.after, b.after), within, a.before_places if same_places else (), a.after_places if same_places else (), generalise_context(a.before_context, b.before_context), generalise_context(a.after_context, b.after_context))
-
     def compress(self) -> None:
         """A child equal to its parent goes; its own children rise to the parent."""
         for k in sorted(self.nodes):
@@ -158,7 +157,7 @@ def mine(templates: DataFrame, least: float = 0.5) -> DataFrame:
     compared within one action and block (which sides there are, and how many
     trees each has), so each block is a task of its own, whatever its size.
     """
-    merged = materialise(merge_identical(templates), "templates")
+    distinct = materialise(merge_identical(templates), "templates")
     schema = "template_id string, parent_id string, action string, instances long, " + ", ".join(f"{s} string" for s in (*SIDES, "places"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,9 +166,9 @@ def mine(templates: DataFrame, least: float = 0.5) -> DataFrame:
         forest.mine(least)
         forest.compress()
         name = lambda k: None if k is None else f"{first['action']}:{first['block']}::{k}"
-        return pd.DataFrame([{"template_id": name(k), "parent_id": name(n["parent"]), "action": n["t"].action, "instances": n["n"], **{s: dump_tree(getattr(n["t"], s)) for s in SIDES}, "places": json.dumps([n["t"].before_places, n["t"].after_places])} for k, n in forest.nodes.items()], dtype=object)
+        return pd.DataFrame([{"template_id": name(k), "parent_id": name(n["parent"]), "action": n["t"].action, "instances": n["n"], **{s: dump_tree(getattr(n["t"], s)) for s in SIDES}, "places": dump_places(n["t"])} for k, n in forest.nodes.items()], dtype=object)
 
-    return merged.groupBy("action", "block").applyInPandas(run, schema)
+    return distinct.groupBy("action", "block").applyInPandas(run, schema)
 
 
 def supported(forest: DataFrame, least: int = 5, below: int = 10) -> DataFrame:

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.kernels import abstract_ratio, context_matches, embeddings
+from ..functions.edits import apply_in_context, fits, is_usable
+from ..functions.kernels import abstract_ratio
 from ..functions.locating import regions
-from ..functions.rewriting import apply_template, build_prompt, exactly_fixes, fill, fits_fix
-from ..functions.trees import build, find_all, parse, parse_module, root
-from .mining import load_tree
+from ..functions.rewriting import build_prompt, exactly_fixes, fill, fits_fix
+from ..functions.trees import build, exact_fingerprint, find_all, parse_module, shape_fingerprint
+from ..session import materialise
+from .mining import load_template
 
 
 def locations(bugs: DataFrame, gap: int = 10) -> DataFrame:
@@ -52,85 +54,117 @@ def split_lines(lines: list[int]) -> list[list[int]]:
     return out
 
 
-def _fits(source: str, lines: list[int], template: dict) -> bool:
-    """Whether the statements at the lines hold the template's before side, and its contexts what stands around."""
-    module = parse_module(source)
-    if module is None:
-        return False
-    before = load_tree(template["before"])
-    if before is not None:
-        hit = [s for _, _, _, s in find_all(module) if any(s.lineno <= k <= s.end_lineno for k in lines)]
-        if not hit or not embeddings(root(build(s) for s in hit), before, 1):
-            return False
-    whole = parse(source)
-    return all(context_matches(whole, load_tree(template[c])) for c in ("before_context", "after_context"))
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _case_kinds(sources: pd.Series, lines: pd.Series) -> pd.Series:
-    """Types of all nodes in the statements at the lines; ``*`` for a pattern of any type, ``+`` for an insertion."""
+def _case_kinds(sources: pd.Series, lines: pd.Series, added: pd.Series) -> pd.Series:
+    """Types of all nodes in the statements at the lines, and ``*`` for a pattern of any type; ``+`` where all is inserted."""
 
     def kinds(source: str, at) -> list[str]:
         module = parse_module(source)
         hit = [] if module is None else [s for _, _, _, s in find_all(module) if any(s.lineno <= k <= s.end_lineno for k in at)]
-        return sorted({t.type for s in hit for t in build(s).walk()} | {"*", "+"})
+        return sorted({t.type for s in hit for t in build(s).walk()} | {"*"}) if hit else []
 
-    return pd.Series([kinds(s, at) for s, at in zip(sources, lines, strict=True)])
+    return pd.Series([["+"] if new else kinds(s, at) for s, at, new in zip(sources, lines, added, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def _pattern_kind(before: pd.Series) -> pd.Series:
-    def kind(text: str | None) -> str:
-        t = load_tree(text)
-        if t is None or not t.children:
-            return "+"
-        return "*" if t.children[0].general else t.children[0].type
+_SIDES = ["action", "before", "after", "within", "places", "before_context", "after_context"]
 
-    return before.map(kind)
 
+def _known(forest: DataFrame) -> DataFrame:
+    """The forest with what selection asks of a template: kind, usable, ratio, and fingerprints of the whole before and after sides."""
 
-def patches(cases: DataFrame, forest: DataFrame, groups: int = 10, per_group: int = 10, per_template: int = 21) -> DataFrame:
-    """(case, template_id, action, rank, source) for cases (case, source, lines, added).
+    @F.pandas_udf("struct<kind: string, usable: boolean, ratio: double, fp_before: string, fp_after: string>")
+    def facts(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            t = load_template(r)
+            whole = t.before_within()
+            first = whole.children[0] if whole is not None and whole.children else None
+            kind = "+" if first is None else "*" if first.general else first.type
+            out.append((kind, is_usable(t), abstract_ratio(whole) if whole is not None else 0.0, "-" if whole is None else exact_fingerprint(whole), "-" if t.after is None else shape_fingerprint(t.after)))
+        return pd.DataFrame(out, columns=["kind", "usable", "ratio", "fp_before", "fp_after"])
 
-    A template meets a case only where a node of the type its before side
-    begins with occurs at the buggy lines: an equi-join, not all pairs.
+    return forest.select("template_id", "parent_id", "instances", *_SIDES, facts(F.struct(*_SIDES)).alias("f")).select("template_id", "parent_id", "instances", *_SIDES, "f.*")
 
-    All-inserted locations take Add templates only, others all. The most
-    specific templates that match stand for their ancestors. Of the groups of
-    templates with one before side the ``groups`` least generalised stay (all
-    for insertions), and of each the ``per_group`` with the most instances.
-    """
-    schema = "case string, template_id string, parent_id string, action string, instances long, before string, after string, ratio double, source string, lines array<int>"
-    keyed = cases.withColumn("kind", F.explode(_case_kinds("source", F.col("lines").cast("array<int>"))))
-    pairs = keyed.join(forest.withColumn("kind", _pattern_kind("before")), "kind")
-    if "added" in cases.columns:
-        pairs = pairs.where(~F.col("added") | (F.col("action") == "Add"))
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tried(pairs: DataFrame, cases: DataFrame, known: DataFrame) -> DataFrame:
+    """(case, template_id, fit) for (case, template_id) pairs: which templates fit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.astype(object).where(b.notna(), None).to_dict("records"):
-                if _fits(r["source"], list(r["lines"]), r):
-                    t = load_tree(r["before"])
-                    rows.append({k: r[k] for k in ("case", "template_id", "parent_id", "action", "instances", "before", "after", "source", "lines")} | {"ratio": abstract_ratio(t) if t is not None else 0.0})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
-
-    fit = pairs.select("case", "source", F.col("lines").cast("array<int>").alias("lines"), "template_id", "parent_id", "action", "instances", "before", "after", "before_context", "after_context").mapInPandas(choose, schema)
-    parents = fit.select("case", F.col("parent_id").alias("template_id")).where("template_id is not null").distinct()
-    specific = fit.join(parents, ["case", "template_id"], "left_anti")
-    in_group = Window.partitionBy("case", "before").orderBy(F.desc("instances"), "template_id")
-    by_group = Window.partitionBy("case").orderBy("ratio", "before")
-    ranked = specific.withColumn("r", F.row_number().over(in_group)).where(F.col("r") <= per_group).withColumn("g", F.dense_rank().over(by_group)).where((F.col("g") <= groups) | (F.col("action") == "Add"))
+            rows = b.astype(object).where(b.notna(), None).to_dict("records")
+            fit = [fits(r["source"], load_template(r), list(r["lines"]), bool(r["added"])) for r in rows]
+            yield pd.DataFrame({"case": b["case"], "template_id": b["template_id"], "fit": fit})
+
+    return pairs.join(cases, "case").join(known.select("template_id", *_SIDES), "template_id").mapInPandas(run, "case string, template_id string, fit boolean")
+
+
+def selected(cases: DataFrame, forest: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(case, template_id) of the templates to use, and (case, template_id, fit, depth) of all that were tried.
+
+    cases: case, source, lines, added. The forest is descended a level at a
+    time, all cases at once: roots are tried where a node of the type they
+    begin with occurs at the lines (an equi-join), children only where their
+    parent fits. From the lowest level up a template that fits is chosen if none
+    below it is and it can be carried out (is_usable); one that has a child
+    with the same before side and an after side of the same shape stands for
+    that child. Templates with fewer than ``least`` instances are not used.
+    """
+    known = materialise(_known(forest.where(F.col("instances") >= least)), "known")
+    tree = known.select("template_id", "parent_id", "usable", "fp_before", "fp_after")
+    up = tree.select(F.col("template_id").alias("p"), F.col("fp_before").alias("b"), F.col("fp_after").alias("a"))
+    tree = materialise(tree.join(up, tree["parent_id"] == up["p"], "left").select("template_id", "parent_id", "usable", F.coalesce((F.col("fp_before") == F.col("b")) & (F.col("fp_after") == F.col("a")) & (F.col("a") != "-"), F.lit(False)).alias("like")), "tree")
+    kinds = cases.select("case", F.explode(F.array_distinct(_case_kinds("source", "lines", "added"))).alias("kind"))
+    pairs = kinds.join(known.where("parent_id is null").select("template_id", "kind"), "kind").select("case", "template_id")
+    levels: list[DataFrame] = []
+    while True:
+        level = materialise(_tried(pairs, cases, known).withColumn("depth", F.lit(len(levels))), "level")
+        levels.append(level)
+        fit = level.where("fit").select("case", F.col("template_id").alias("parent_id"))
+        pairs = fit.join(tree.where("not like").select("template_id", "parent_id"), "parent_id").select("case", "template_id")
+        if pairs.isEmpty():
+            break
+    stands = tree.where("like").select(F.col("parent_id").alias("template_id")).distinct()
+    chosen, below = None, None
+    for level in reversed(levels):
+        fit = level.where("fit").select("case", "template_id")
+        alone = fit if below is None else fit.join(below, ["case", "template_id"], "left_anti")
+        own = alone.join(tree.where("usable").select("template_id"), "template_id", "left_semi").unionByName(fit.join(stands, "template_id", "left_semi")).distinct()
+        own = materialise(own.select("case", "template_id"), "chosen")
+        with_choice = own if below is None else own.unionByName(fit.join(below, ["case", "template_id"], "left_semi")).distinct()
+        below = with_choice.join(tree.select("template_id", "parent_id"), "template_id").where("parent_id is not null").select("case", F.col("parent_id").alias("template_id")).distinct()
+        below = materialise(below, "below")
+        chosen = own if chosen is None else chosen.union(own)
+    tried = levels[0]
+    for level in levels[1:]:
+        tried = tried.union(level)
+    return chosen.distinct(), tried
+
+
+def patches(cases: DataFrame, forest: DataFrame, groups: int = 10, per_group: int = 10, per_template: int = 21) -> DataFrame:
+    """(case, template_id, action, rank, source) for cases (case, source, lines, added).
+
+    Templates are chosen by ``selected``. Of the groups of templates with one
+    whole before side the ``groups`` least generalised stay (all for
+    insertions), and of each the ``per_group`` with the most instances. Each is
+    applied where its context fits (functions.edits).
+    """
+    added = F.col("added") if "added" in cases.columns else F.lit(False)
+    asked = materialise(cases.select("case", "source", F.col("lines").cast("array<int>").alias("lines"), added.alias("added")), "cases")
+    chosen, _ = selected(asked, forest)
+    known = _known(forest)
+    in_group = Window.partitionBy("case", "fp_before").orderBy(F.desc("instances"), "template_id")
+    by_group = Window.partitionBy("case").orderBy("ratio", "fp_before")
+    ranked = chosen.join(known, "template_id").withColumn("r", F.row_number().over(in_group)).where(F.col("r") <= per_group).withColumn("g", F.dense_rank().over(by_group)).where((F.col("g") <= groups) | (F.col("action") == "Add"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.astype(object).where(b.notna(), None).to_dict("records"):
-                for k, text in enumerate(apply_template(r["source"], r["action"], load_tree(r["before"]), load_tree(r["after"]), list(r["lines"]), most_patches=per_template)):
+                for k, text in enumerate(apply_in_context(r["source"], load_template(r), list(r["lines"]), most_patches=per_template)):
                     rows.append((r["case"], r["template_id"], r["action"], int(r["g"]), int(r["r"]), k, text))
             yield pd.DataFrame(rows, columns=["case", "template_id", "action", "grp", "r", "k", "source"], dtype=object)
 
-    made = ranked.mapInPandas(write, "case string, template_id string, action string, grp int, r int, k int, source string")
+    made = ranked.select("case", "template_id", "g", "r", *_SIDES).join(asked, "case").mapInPandas(write, "case string, template_id string, action string, grp int, r int, k int, source string")
     order = Window.partitionBy("case").orderBy("grp", "r", "template_id", "k")
     return made.withColumn("rank", F.row_number().over(order)).select("case", "template_id", "action", "rank", "source")
 

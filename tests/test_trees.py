@@ -5,8 +5,8 @@ import random
 
 import pytest
 
-from arborlake.functions import kernels, rewriting
-from arborlake.functions.changes import changed_lines, mine_change, references
+from arborlake.functions import edits, kernels, rewriting
+from arborlake.functions.changes import Template, changed_lines, mine_change, references
 from arborlake.functions.trees import build, exact_fingerprint, pack, parse, root, shape_fingerprint, unpack
 from arborlake.functions.vocabulary import ABSTRACTED, is_a
 from arborlake.plans.tree_queries import CHANGES
@@ -136,9 +136,9 @@ def test_apply_template_masks_and_binds():
     before = root(parse("s = 'a' + n").children)
     after = root(parse("s = 'a' + str(n)").children)
     general_b = kernels.generalise(before, root(parse("t = 'b' + m").children))
-    out = rewriting.apply_template("def r(n):\n    w = 'z' + n\n    return w\n", "Replace", general_b, after, [2])
+    out = edits.apply_in_context("def r(n):\n    w = 'z' + n\n    return w\n", Template("Replace", general_b, after), [2])
     assert out and all(rewriting.parse_module(x) for x in out)
-    assert rewriting.apply_template("def f(:", "Replace", before, after, [1]) == []
+    assert edits.apply_in_context("def f(:", Template("Replace", before, after), [1]) == []
 
 
 def test_operator_categories_give_all_alternatives():
