@@ -201,14 +201,14 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10, rounds: int = 12, recall: float = 0.99, probes: int = 1000, tables: int = 8, widest: int = 80, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10, rounds: int = 12, recall: float = 0.99, probes: int = 1000, tables: int = 8, widest: int = 40, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links have equal labels and a cosine >= ``threshold`` in doubles.
 
     Equal vectors of a label are one node. Neighbour lists of ``size`` start
     from ``tables`` sets of buckets of random sign projections. A round of
     NN-descent joins each neighbourhood with itself. A list is saturated if all
-    of it reaches the threshold, as there may be more: it is twice as long in
-    the next round, up to ``widest``. Recall is audited on planted twins (see
+    of it reaches the threshold, as there may be more: it is four times as long
+    in the next round, up to ``widest``. Recall is audited on planted twins (see
     planted_twins), which are nodes like others until the links are taken; while
     fewer than ``recall`` of them are found the next round also starts from
     further buckets. Rounds end when recall is reached and no list grows.
@@ -253,7 +253,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, size: int = 10,
             graph = materialise(descend(every, graph, size, larger, most, met(r) if r and found < recall else None), "graph")
             found = twins_found(graph, twins, threshold) / n_twins if n_twins else 1.0
             full = saturated_lists(graph, threshold, size, larger)
-            grow = materialise(full.where(F.col("most") < widest).select("id", F.least(F.col("most") * 2, F.lit(widest)).alias("most")), "larger")
+            grow = materialise(full.where(F.col("most") < widest).select("id", F.least(F.col("most") * 4, F.lit(widest)).alias("most")), "larger")
             if grow.isEmpty():
                 if found >= recall:
                     break
