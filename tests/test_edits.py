@@ -5,6 +5,7 @@ import difflib
 import random
 
 import pytest
+from forests import forest_rows
 
 from arborlake.functions import edits, kernels
 from arborlake.functions.changes import Template, changed_lines, mine_change, tied_nodes
@@ -299,9 +300,9 @@ def test_selection_equals_recursion(spark):
         h = hunk(before, after := some_change(pick, before))
         t = mine_change(before, after, *h)[0] if h else None
         if t is not None:
-            found.setdefault((t.action, mining.template_row(t)["block"]), []).append(mining.template_row(t) | {"instances": 2})
+            found.setdefault((t.action, mining.template_row(t)["block"]), []).extend([mining.template_row(t)] * 2)
             cases.append((f"c{n}", before, changed_lines(*h)[0] or [h[1]], t.action == "Add" and t.within is None and t.before is None))
-    forest = [r for own in found.values() for r in forest_of(own)]
+    forest = [r for own in found.values() for r in forest_rows(own)]
     table = spark.createDataFrame([tuple(r[c.split()[0]] for c in training.FOREST_SCHEMA.split(", ")) for r in forest], training.FOREST_SCHEMA)
     chosen, tried = patching.selected(spark.createDataFrame(cases, "case string, source string, lines array<int>, added boolean"), table)
     rows = {r["template_id"]: r for r in forest}
@@ -313,14 +314,6 @@ def test_selection_equals_recursion(spark):
     assert tried.count() < len(cases) * len(forest) / 2  # what hangs under a template that does not fit is never tried
 
 
-def forest_of(rows):
-    forest = mining.Forest(rows)
-    forest.mine(0.0)
-    forest.compress()
-    name = lambda k: None if k is None else f"{rows[0]['action']}:{rows[0]['block']}::{k}"
-    return [{"template_id": name(k), "parent_id": name(n["parent"]), "action": n["t"].action, "instances": n["n"], **{s: mining.dump_tree(getattr(n["t"], s)) for s in mining.SIDES}, "places": mining.dump_places(n["t"])} for k, n in forest.nodes.items()]
-
-
 def test_usable_templates():
     insert = mine_change(*CHANGES[2][1:])[0]
     assert edits.is_usable(insert)
