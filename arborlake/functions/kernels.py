@@ -376,7 +376,7 @@ def generalise_aligned(a: Tree, b: Tree, refers: Callable[[Tree, Tree], bool] |
     def visit(a: Tree, i: int, b: Tree, j: int) -> Tree:
         pairs.append((i, j))
         if a.kind == "Root" and b.kind == "Root":
-            return root([visit(x, k, y, m) for x, k, y, m in zip(a.children, _starts(a, i), b.children, _starts(b, j), strict=False)])
+            return Tree("Root", "Root", children=tuple(visit(x, k, y, m) for x, k, y, m in zip(a.children, _starts(a, i), b.children, _starts(b, j), strict=False)))
         same = (a.kind, a.type) == (b.kind, b.type)
         if not same and not (a.type in IDENTIFIERS and b.type in IDENTIFIERS):
             kind = _general_kind(a, b)

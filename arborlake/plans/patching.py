@@ -13,7 +13,7 @@ from ..functions.locating import regions
 from ..functions.rewriting import build_prompt, exactly_fixes, fill, fits_fix
 from ..functions.trees import build, exact_fingerprint, find_all, parse_module, shape_fingerprint
 from ..session import materialise
-from .mining import load_template
+from .mining import load_template, template_row
 
 
 def locations(bugs: DataFrame, gap: int = 10) -> DataFrame:
@@ -86,6 +86,16 @@ def _known(forest: DataFrame) -> DataFrame:
     return forest.select("template_id", "parent_id", "instances", *_SIDES, facts(F.struct(*_SIDES)).alias("f")).select("template_id", "parent_id", "instances", *_SIDES, "f.*")
 
 
+def shaped(forest: DataFrame) -> DataFrame:
+    """The forest with fp_shape of each template, as mining.template_row has it."""
+
+    @F.pandas_udf("string")
+    def print_of(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([template_row(load_template(r))["fp_shape"] for r in rows.astype(object).where(rows.notna(), None).to_dict("records")], dtype=object)
+
+    return forest.withColumn("fp_shape", print_of(F.struct(*_SIDES)))
+
+
 def _tried(pairs: DataFrame, cases: DataFrame, known: DataFrame) -> DataFrame:
     """(case, template_id, fit) for (case, template_id) pairs: which templates fit."""
 

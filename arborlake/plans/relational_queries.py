@@ -269,23 +269,32 @@ def closure_recursive(spark, sf_dir):
     return rel.descendants(edges, "p", "c")
 
 
-TREE = [(0, None, 0, 6, "Root"), (1, 0, 1, 4, "If"), (2, 1, 2, 3, "Compare"), (3, 2, 3, 3, "Name"), (4, 1, 4, 4, "Pass"), (5, 0, 5, 6, "Return"), (6, 5, 6, 6, "Name")]
-
-
-@query("WITH t(node, parent, dfs, last, kind) AS (VALUES " + ", ".join(f"({a}, {'NULL' if b is None else b}, {c}, {d}, '{e}')" for a, b, c, d, e in TREE) + ") SELECT a.node AS ancestor, d.node AS node, d.kind AS kind FROM t a JOIN t d ON d.dfs > a.dfs AND d.dfs <= a.last")
+@query("""WITH leaf AS (SELECT c_nationkey, c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) + dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dfs FROM customer),
+  node AS (SELECT c_nationkey, c_mktsegment, NULL AS c_custkey, min(dfs) - 1 AS dfs, max(dfs) AS last FROM leaf GROUP BY ALL UNION ALL SELECT c_nationkey, c_mktsegment, c_custkey, dfs, dfs FROM leaf)
+  SELECT a.c_nationkey, a.c_mktsegment AS ancestor, d.c_custkey AS node, d.dfs FROM node a JOIN node d ON a.c_nationkey = d.c_nationkey AND d.dfs > a.dfs AND d.dfs <= a.last""")
 def subtree_interval(spark, sf_dir):
-    nodes = literal(spark, TREE, "node int,parent int,dfs int,last int,kind string")
-    spans = nodes.select(F.col("node").alias("ancestor"), (F.col("dfs") + 1).alias("lo"), F.col("last").alias("hi")).where("lo <= hi")
-    return rel.interval_join(nodes, spans, "dfs", "lo", "hi", 4).select("ancestor", "node", "kind")
-
-
-@query("SELECT * FROM (VALUES ('and'), ('or')) a(bool_op) CROSS JOIN (VALUES ('+'), ('-'), ('*')) b(math_op) CROSS JOIN (VALUES ('=='), ('!=')) c(cmp_op)")
+    """Segments over customers as a tree for each nation, numbered in pre-order: descendants by their interval alone."""
+    own = Window.partitionBy("c_nationkey").orderBy("c_mktsegment")
+    leaf = table(spark, sf_dir, "customer").withColumn("dfs", F.row_number().over(own.orderBy("c_mktsegment", "c_custkey")).cast("long") + F.dense_rank().over(own)).select("c_nationkey", "c_mktsegment", "c_custkey", "dfs", F.col("dfs").alias("last"))
+    inner = leaf.groupBy("c_nationkey", "c_mktsegment").agg((F.min("dfs") - 1).alias("dfs"), F.max("dfs").alias("last"))
+    nodes = leaf.unionByName(inner, allowMissingColumns=True)
+    at = lambda c: F.col("c_nationkey").cast("long") * (1 << 40) + F.col(c)  # noqa: E731  trees side by side
+    spans = nodes.where("dfs < last").select("c_nationkey", F.col("c_mktsegment").alias("ancestor"), (at("dfs") + 1).alias("lo"), at("last").alias("hi"))
+    found = rel.interval_join(nodes.select("c_custkey", "dfs", at("dfs").alias("place")), spans, "place", "lo", "hi", 64)
+    return found.select("c_nationkey", "ancestor", F.col("c_custkey").alias("node"), "dfs")
+
+
+@query("""SELECT c_nationkey, s.c_mktsegment AS segment, p.c_priority AS priority, row_number() OVER (PARTITION BY c_nationkey ORDER BY segment, priority)::INTEGER AS place
+  FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) s JOIN (SELECT DISTINCT c_nationkey, o_orderpriority AS c_priority FROM customer JOIN orders ON o_custkey = c_custkey) p USING (c_nationkey)""")
 def cartesian_alternatives(spark, sf_dir):
-    lists = {"bool_op": ["and", "or"], "math_op": ["+", "-", "*"], "cmp_op": ["==", "!="]}
-    out = spark.range(1)
-    for name, values in lists.items():  # alternatives of one literal row: a generator, no join
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return out.drop("id")
+    """Every way to take one of each list, for each nation: its segments and the priorities of its orders, in order."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    lists = customers.groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("segments"))
+    more = customers.join(orders, "c_custkey").groupBy("c_nationkey").agg(F.collect_set("o_orderpriority").alias("priorities"))  # five of each at most
+    both = lists.join(more, "c_nationkey").select("c_nationkey", F.array_sort("segments").alias("segments"), F.array_sort("priorities").alias("priorities"))
+    each = F.flatten(F.transform("segments", lambda s: F.transform("priorities", lambda p: F.struct(s.alias("segment"), p.alias("priority")))))
+    return both.select("c_nationkey", F.posexplode(each).alias("place", "x")).select("c_nationkey", "x.segment", "x.priority", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT event_type, (props::JSON ->> '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1, 2")

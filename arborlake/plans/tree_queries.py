@@ -1,10 +1,10 @@
-"""Queries of the tree algebra over pages and over snippets written for them."""
+"""Queries of the tree algebra over pages, and over code written for the rows of given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import trees
 from ..session import materialise, table
@@ -22,6 +22,15 @@ CHANGES = [
     ("none2", "def q(u):\n    v = u.get(2)\n    return v.w\n", "def q(u):\n    v = u.get(2)\n    if v is None:\n        return None\n    return v.w\n", "+    if v is None:\n+        return None", 3, 3),
 ]
 
+#: Kinds of changes in code, for names V, W and a number N: (kind, before, after, content of the hunk, its line before and after, outline of the tree after).
+KINDS = [
+    ("wrap", "def f(V):\n    return json(V.W())\n", "def f(V):\n    return json(encode(V.W()))\n", "-    return json(V.W())\n+    return json(encode(V.W()))", 2, 2, "Root\n FunctionDef\n  Variable f\n  Variable V\n  Return\n   Call\n    Variable json\n    Call\n     Variable encode\n     Call\n      Attribute V.W"),
+    ("guard", "def f(V):\n    if V.W:\n        return N\n", "def f(V):\n    if V.W and V.ready:\n        return N\n", "-    if V.W:\n+    if V.W and V.ready:", 2, 2, "Root\n FunctionDef\n  Variable f\n  Variable V\n  If\n   BoolOp\n    Op And\n    Attribute V.W\n    Attribute V.ready\n   Return\n    Literal N"),
+    ("cast", "def f(V):\n    s = 'W' + V\n    return s\n", "def f(V):\n    s = 'W' + str(V)\n    return s\n", "-    s = 'W' + V\n+    s = 'W' + str(V)", 2, 2, "Root\n FunctionDef\n  Variable f\n  Variable V\n  Assign\n   Variable s\n   BinOp\n    Literal 'W'\n    Op Add\n    Call\n     Type str\n     Variable V\n  Return\n   Variable s"),
+    ("none", "def f(V):\n    x = V.get(N)\n    return x.W\n", "def f(V):\n    x = V.get(N)\n    if x is None:\n        return None\n    return x.W\n", "+    if x is None:\n+        return None", 3, 3, "Root\n FunctionDef\n  Variable f\n  Variable V\n  Assign\n   Variable x\n   Call\n    Attribute V.get\n    Literal N\n  If\n   Compare\n    Variable x\n    Op Is\n    Type None\n   Return\n    Type None\n  Return\n   Attribute x.W"),
+    ("keyword", "def f(V):\n    return V.load(W)\n", "def f(V):\n    return V.load(W, safe=True)\n", "-    return V.load(W)\n+    return V.load(W, safe=True)", 2, 2, "Root\n FunctionDef\n  Variable f\n  Variable V\n  Return\n   Call\n    Attribute V.load\n    Variable W\n    Keyword safe\n     Literal True"),
+]
+
 #: (pattern, two snippets that it generalises)
 PATTERNS = [
     ("call", "return json(encode(a.b()))", "return json(encode(c.d()))"),
@@ -61,140 +70,115 @@ def html_tree_dice(spark, sf_dir):
     return pairs.select("a", "b", trees.tree_dice(F.col("ta"), F.col("tb")).alias("dice"), trees.tree_dice(F.col("ta"), F.col("tb"), True).alias("shape_dice"))
 
 
-def _changes(spark):
-    return spark.createDataFrame(CHANGES, "case string, before_source string, after_source string, content string, b_start int, a_start int")
+def _filled(text: Column) -> Column:
+    """A text of KINDS with a row's names v, w and number n."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bV\b", F.col("v")), r"\bW\b", F.col("w")), r"\bN\b", F.col("n").cast("string"))
+
+
+def _of_kind(k: int) -> Column:
+    """Field ``k`` of a row's entry in KINDS."""
+    return F.element_at(F.array(*[F.lit(x[k]) for x in KINDS]), F.col("kind") + 1)
+
+
+def _named(spark, sf_dir, name: str, key: str, nation: str, mark: str) -> DataFrame:
+    """(case, kind, v, w, n) for each row of a table: what its code is about, from its key and nation."""
+    own = table(spark, sf_dir, name).select(F.col(key).alias("case"), F.col(nation).alias("nation"))
+    return own.select("case", (F.col("case") % len(KINDS)).cast("int").alias("kind"), F.concat(F.lit(mark), F.col("nation").cast("string")).alias("v"), F.concat(F.lit("w"), (F.col("case") % 7).cast("string")).alias("w"), (F.col("case") % 3).alias("n"))
+
+
+def _changes(spark, sf_dir):
+    """A change of code for each customer."""
+    rows = _named(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "v")
+    return rows.withColumns({"before_source": _filled(_of_kind(1)), "after_source": _filled(_of_kind(2)), "content": _filled(_of_kind(3))})
 
 
 @query
 def tree_match(spark, sf_dir):
-    """Which changed sources hold each pattern, generalised from two snippets."""
-    sources = trees.with_tree(_changes(spark).select("case", "after_source"), "after_source").select("case", F.col("tree")["nodes"].alias("t"))
+    """How many of the customers' changed sources of each kind hold each pattern, generalised from two snippets."""
+    sources = trees.with_tree(_changes(spark, sf_dir).select("kind", "after_source"), "after_source").select("kind", F.col("tree")["nodes"].alias("t"))
     snippets = spark.createDataFrame(PATTERNS, "pattern string, one string, other string")
     parsed = [trees.with_tree(snippets.select("pattern", c), c).select("pattern", F.col("tree")["nodes"].alias(c)) for c in ("one", "other")]
     patterns = parsed[0].join(parsed[1], "pattern").select("pattern", trees.tree_generalise("one", "other").alias("p"))
-    return sources.join(F.broadcast(patterns)).select("pattern", "case", trees.tree_matches("t", "p").alias("matches"))  # as many patterns as PATTERNS
+    held = sources.join(F.broadcast(patterns)).select("pattern", "kind", trees.tree_matches("t", "p").alias("held"))  # as many patterns as PATTERNS
+    return held.groupBy("pattern", "kind").agg(F.count("*").alias("sources"), F.sum(F.col("held").cast("long")).alias("matches"))
 
 
 @query
 def anti_unify(spark, sf_dir):
-    parsed = trees.with_tree(_changes(spark).select("case", "after_source"), "after_source").select(F.regexp_extract("case", "^[a-z]+", 0).alias("change"), "case", F.col("tree")["nodes"].alias("t"))
-    pairs = parsed.alias("x").join(parsed.alias("y"), "change").where("x.case < y.case")
-    general = pairs.select("change", F.inline(trees.tree_generalise(F.col("x.t"), F.col("y.t"))))
-    return general.select("change", "dfs", "last", "type", "value")
+    """The least general pattern of each customer's changed source and that of the next customer of its kind."""
+    parsed = trees.with_tree(_changes(spark, sf_dir).select("case", "after_source"), "after_source").select("case", F.col("tree")["nodes"].alias("t"))
+    other = parsed.select((F.col("case") - len(KINDS)).alias("case"), F.col("t").alias("u"))
+    return parsed.join(other, "case").select("case", F.inline(trees.tree_generalise("t", "u"))).select("case", "dfs", "last", "type", "value")
 
 
-def _forest(spark):
-    rows = _changes(spark).withColumns({"before_path": F.lit("m.py"), "after_path": F.lit("m.py"), "loc": F.lit("")})
+def _found(spark, sf_dir) -> DataFrame:
+    """The templates of the customers' changes."""
+    rows = _changes(spark, sf_dir).withColumns({"before_path": F.lit("m.py"), "after_path": F.lit("m.py"), "loc": F.lit("")})
     sources = rows.select("case", "before_path", "after_path", "before_source", "after_source")
-    hunks = rows.select("case", "before_path", "after_path", "loc", "content", "b_start", "a_start")
-    found, _ = mining.change_templates(hunks, sources, ["case"])
-    return mining.mine(found, 0.3)
+    hunks = rows.select("case", "before_path", "after_path", "loc", "content", _of_kind(4).alias("b_start"), _of_kind(5).alias("a_start"))
+    return mining.change_templates(hunks, sources, ["case"])[0]
 
 
 @query
 def template_fixpoint(spark, sf_dir):
-    return _forest(spark).select("template_id", "parent_id", "action", "instances")
+    """Templates mined from the customers' changes: the most general one of each shape that changes have, and the roots."""
+    found = _found(spark, sf_dir)
+    forest = materialise(mining.mine(found), "forest")
+    shapes = found.select("action", "fp_shape").distinct()
+    tops = patching.shaped(forest).join(shapes, ["action", "fp_shape"]).groupBy("action", "fp_shape").agg(F.max("instances").alias("instances"))
+    roots = forest.where("parent_id is null").select(F.lit("root").alias("what"), "action", "instances")
+    return tops.select(F.lit("shape").alias("what"), "action", "instances").unionByName(roots)
 
 
 @query
 def patch_rewrite(spark, sf_dir):
-    forest = materialise(_forest(spark), "forest")
-    cases = spark.createDataFrame([("c1", "def r(e):\n    return json(e.keys())\n", [2], False), ("c2", "def r(n):\n    w = 'z' + n\n    return w\n", [2], False)], "case string, source string, lines array<int>, added boolean")
-    return patching.patches(cases, forest)
+    """Code of suppliers patched by templates mined from customers' changes: the patches that are what a change of that kind makes."""
+    forest = materialise(mining.mine(_found(spark, sf_dir)), "forest")
+    rows = _named(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s")
+    own = materialise(rows.select(F.col("case").cast("string").alias("case"), "kind", _filled(_of_kind(1)).alias("source"), F.regexp_replace(_filled(_of_kind(2)), r"\n\z", "").alias("fixed"), _of_kind(4).alias("line")), "suppliers")
+    # a guard's second attribute is new, so it is a mask and no such patch
+    made = patching.patches(own.select("case", "source", F.array("line").alias("lines"), (F.col("kind") == 3).alias("added")), forest)
+    return made.join(own.select("case", F.col("fixed").alias("source")), ["case", "source"]).select("case", "action", "source").distinct()
 
 
-_CASES = ", ".join(f"('{c[0]}')" for c in CHANGES)
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
 
 def _values(columns: str, rows: list[tuple]) -> str:
-    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({columns})"
+    return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({columns})"
 
 
-def _outline(change: str, text: str) -> list[tuple]:
-    """(change, dfs, last, type, value) rows of an indented outline: a line for a node, two blanks a level."""
-    lines = text.strip("\n").split("\n")
-    depth = [(len(x) - len(x.lstrip())) // 2 for x in lines]
+def _outline(kind: int, text: str) -> list[tuple]:
+    """(kind, dfs, last, type, value) rows of an indented outline: a line for a node, a blank a level."""
+    lines = text.split("\n")
+    depth = [len(x) - len(x.lstrip()) for x in lines]
     rows = []
     for k, x in enumerate(lines):
         last = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines)) - 1
-        kind, _, value = x.strip().partition(" ")
-        rows.append((change, k, last, kind, value or None))
+        type_, _, value = x.strip().partition(" ")
+        rows.append((kind, k, last, type_, value or None))
     return rows
 
 
-#: The patterns that two changes of each kind have in common, written out by hand.
-GENERAL = {
-    "wrap": """
-Root
-  FunctionDef
-    Variable ABSTRACTED
-    Variable ABSTRACTED
-    Return
-      Call
-        Variable json
-        Call
-          Variable encode
-          Call
-            Attribute ABSTRACTED
-""",
-    "guard": """
-Root
-  FunctionDef
-    Variable ABSTRACTED
-    Variable ABSTRACTED
-    If
-      BoolOp
-        Op And
-        Attribute ABSTRACTED
-        Attribute ABSTRACTED
-      Return
-        Literal int
-""",
-    "cast": """
-Root
-  FunctionDef
-    Variable ABSTRACTED
-    Variable ABSTRACTED
-    Assign
-      Variable ABSTRACTED
-      BinOp
-        Literal str
-        Op Add
-        Call
-          Type str
-          Variable ABSTRACTED
-    Return
-      Variable ABSTRACTED
-""",
-    "none": """
-Root
-  FunctionDef
-    Variable ABSTRACTED
-    Variable ABSTRACTED
-    Assign
-      Variable ABSTRACTED
-      Call
-        Attribute ABSTRACTED
-        Literal int
-    If
-      Compare
-        Variable ABSTRACTED
-        Op Is
-        Type None
-      Return
-        Type None
-    Return
-      Attribute ABSTRACTED
-""",
-}
+def _fill_sql(text: str, row: str, mark: str = "v") -> str:
+    for name, value in (("V", f"'{mark}' || {row}.nation"), ("W", f"'w' || ({row}.k % 7)"), ("N", f"({row}.k % 3)::VARCHAR")):
+        text = f"regexp_replace({text}, '\\b{name}\\b', {value}, 'g')"
+    return text
+
 
-#: Each of the four kinds of change is one block of two templates, which merge into a parent.
-_PARENTS = [("Add", "-1/1"), ("Insert", "1/1"), ("Replace", "1/1"), ("Replace", "1/2")]
-_FOREST = [row for a, b in _PARENTS for row in ((f"{a}:{b}::0", f"{a}:{b}::2", a, 1), (f"{a}:{b}::1", f"{a}:{b}::2", a, 1), (f"{a}:{b}::2", None, a, 2))]
+_PEOPLE = "(SELECT c_custkey AS k, c_nationkey AS nation, (c_custkey % 5)::INTEGER AS kind FROM customer)"
+_SUPPLIERS = "(SELECT s_suppkey AS k, s_nationkey AS nation, (s_suppkey % 5)::INTEGER AS kind FROM supplier)"
+#: The action of each kind of change, and what its root is: those of one action differ in their numbers of trees, or in whether they share a context.
+_ACTIONS = _values("kind, action, root", [(0, "Replace", "Replace by two"), (1, "Insert", "Insert"), (2, "Replace", "Replace"), (3, "Add", "Add"), (4, "Add", "Add within")])
 
 ORACLE_SQL = {
-    "tree_match": f"SELECT p.pattern, c.\"case\", starts_with(c.\"case\", p.stem) AS matches FROM (VALUES {_CASES}) c(\"case\"), (VALUES ('call', 'wrap'), ('test', 'none'), ('text', 'cast'), ('both', 'guard'), ('three', 'none')) p(pattern, stem)",
-    "anti_unify": _values("change, dfs, last, type, value", [r for change, text in GENERAL.items() for r in _outline(change, text)]),
-    "template_fixpoint": _values("template_id, parent_id, action, instances", _FOREST),
+    "tree_match": f"SELECT pattern, kind, count(*) AS sources, (count(*) * (kind = holder)::INT)::BIGINT AS matches FROM {_PEOPLE} c, {_values('pattern, holder', [('call', 0), ('test', 3), ('text', 2), ('both', 1), ('three', 3)])} GROUP BY pattern, kind, holder",
+    "anti_unify": f"""SELECT a.k AS "case", dfs::INTEGER AS dfs, last::INTEGER AS last, type,
+        CASE WHEN {_fill_sql("value", "a")} = {_fill_sql("value", "b")} THEN {_fill_sql("value", "a")} WHEN type = 'Literal' THEN CASE WHEN starts_with(value, chr(39)) THEN 'str' ELSE 'int' END WHEN value IS NOT NULL THEN 'ABSTRACTED' END AS value
+      FROM {_PEOPLE} a JOIN {_PEOPLE} b ON b.k = a.k + 5 JOIN {_values("kind, dfs, last, type, value", [r for k, x in enumerate(KINDS) for r in _outline(k, x[6])])} ON v.kind = a.kind""",
+    "template_fixpoint": f"""WITH c AS (SELECT kind, action, root FROM {_PEOPLE} JOIN {_ACTIONS} USING (kind))
+      SELECT 'shape' AS what, action, count(*) AS instances FROM c GROUP BY kind, action UNION ALL SELECT 'root', action, count(*) FROM c GROUP BY root, action""",
+    "patch_rewrite": f"""SELECT k::VARCHAR AS "case", action, regexp_replace({_fill_sql("after", "s", "s")}, chr(10) || '$', '') AS source
+      FROM {_SUPPLIERS} s JOIN {_ACTIONS} USING (kind) JOIN {_values("kind, after", [(k, x[2]) for k, x in enumerate(KINDS)]).replace(") v(", ") w(")} USING (kind) WHERE kind <> 1""",
 }
