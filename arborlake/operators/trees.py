@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -11,6 +13,8 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import kernels
 from ..functions.trees import PACKED, Tree, exact_fingerprint, pack, parse, shape_fingerprint, unpack
+from ..session import materialise
+from .relational import dice_pairs
 
 NODE_FIELDS = ("dfs", "last", "parent", "depth", "role", "place", "kind", "type", "value", "vtype", "alias", "line", "end_line")
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
@@ -133,6 +137,54 @@ def tree_generalise(a: Column, b: Column) -> Column:
     return _pairwise(PACKED, lambda x, y: None if x is None or y is None else pack(kernels.generalise(x, y)))(a, b)
 
 
+def tree_tokens(tree: Column, structural: bool = False) -> Column:
+    """A packed tree as a set of 64-bit tokens, one a node: its label, the way to it from the root, and how many siblings its fields have on the way.
+
+    Nodes of two trees pair off from the root down exactly where they have a
+    token in common, so Dice of the sets is tree_dice. ``structural`` takes
+    types for labels. Tokens are hashes; trees of up to 2**16 nodes have unequal
+    ones with a probability of 1 - 2**-32.
+    """
+
+    @pandas_udf("array<long>")
+    def run(trees: pd.Series) -> pd.Series:
+        def tokens(rows) -> list[int]:
+            rows = [dict(zip(NODE_FIELDS, r, strict=True)) if isinstance(r, tuple) else r for r in rows]
+            wide = Counter((r["parent"], r["role"]) for r in rows)
+            out: dict[int | None, bytes] = {None: b""}
+            for r in rows:  # in pre-order
+                label = Tree(r["kind"], r["type"]).type_class if structural else repr((r["kind"], r["type"], r["value"], r["vtype"]))
+                own = repr((label, r["role"], r["place"], wide[r["parent"], r["role"]]) if r["parent"] is not None else label)
+                out[r["dfs"]] = hashlib.blake2b(out[r["parent"]] + own.encode(), digest_size=8).digest()
+            return sorted(int.from_bytes(x, "little", signed=True) for k, x in out.items() if k is not None)
+
+        return pd.Series([None if t is None else tokens(t) for t in trees])
+
+    return run(tree)
+
+
+def tree_classes(trees: DataFrame, key: str, tree: str = "tree", structural: bool = False) -> DataFrame:
+    """(key, class, tokens): trees with equal tokens are a class, named by its least key."""
+    told = trees.select(key, tree_tokens(F.col(tree)["nodes"], structural).alias("tokens")).where("tokens is not null").withColumn("same", F.sha2(F.array_join("tokens", ","), 256))
+    told = materialise(told, "tokens")
+    names = told.groupBy("same").agg(F.min(key).alias("class"))
+    return told.join(names, "same").select(key, "class", "tokens")
+
+
+def similar_trees(classes: DataFrame, key: str, least: float) -> DataFrame:
+    """(a, b, na, nb, common, dice) for a < b: classes of trees (see tree_classes) with a Dice similarity of ``least`` or more from the root down.
+
+    A join of token sets by prefix filtering, so trees of unlike shape meet too,
+    and only trees that share one of their rarest tokens meet at all. Equal
+    trees are one class with na or nb members: they never meet in pairs.
+    """
+    one = classes.groupBy("class").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+    one = materialise(one.select(F.col("class").alias(key), "n", "tokens"), "classes")
+    pairs = dice_pairs(one, key, "tokens", [], least)
+    size = lambda k: one.select(F.col(key).alias(k), F.col("n").alias(f"n{k}"))
+    return pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", "na", "nb", "common", "dice")
+
+
 def blocked_pairs(trees: DataFrame, key: str, block: list[str], tree: str = "tree") -> DataFrame:
     """(a, b, ta, tb) for a < b of one block: only there can a similarity count."""
     left, right = (trees.select(*block, F.col(key).alias(k), F.col(tree)["nodes"].alias(t)) for k, t in (("a", "ta"), ("b", "tb")))

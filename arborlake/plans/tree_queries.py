@@ -62,12 +62,16 @@ def html_leaf_paths(spark, sf_dir):
     return trees.paths(_pages(spark, sf_dir), ["page_id"])
 
 
+@query
+def html_tree_classes(spark, sf_dir):
+    """Pages whose trees have one shape, texts and attributes apart: the class of each page."""
+    return trees.tree_classes(_pages(spark, sf_dir), "page_id", structural=True).select("page_id", "class")
+
+
 @query
 def html_tree_dice(spark, sf_dir):
-    """Similarity of pages whose trees have one shape, the block: texts and attributes alone may differ, and shape_dice is 1."""
-    pages = materialise(_pages(spark, sf_dir).select("page_id", "tree", F.col("tree")["fp_shape"].alias("fp")), "pages")
-    pairs = trees.blocked_pairs(pages, "page_id", ["fp"])
-    return pairs.select("a", "b", trees.tree_dice(F.col("ta"), F.col("tb")).alias("dice"), trees.tree_dice(F.col("ta"), F.col("tb"), True).alias("shape_dice"))
+    """Similarity of page shapes from the root down, 0.8 or more: pairs of classes, with the number of pages of each."""
+    return trees.similar_trees(trees.tree_classes(_pages(spark, sf_dir), "page_id", structural=True), "page_id", 0.8)
 
 
 def _filled(text: Column) -> Column:
