@@ -24,6 +24,24 @@ def with_totals(rows: DataFrame, key: str, node: str, totals: dict[str, Callable
     return dealt.drop(*totals).join(whole.withColumn("__part", F.explode("__part")), [key, "__part"]).drop("__part")
 
 
+#: Blocks of a group that one key of a join of block pairs holds on either side, on average.
+STRIP = 16
+
+
+def block_pairs(left: DataFrame, right: DataFrame, key: list[str], own: str, block: str, blocks: str) -> DataFrame:
+    """All pairs of a left and a right row of a ``key``: blocks number ``own`` and ``block``, of as many as ``blocks`` says on either side.
+
+    Blocks are dealt into strips of some STRIP by number, and a pair of strips
+    is a key of its own, so the pairs of a group of n blocks are n^2 / STRIP^2
+    keys and a row goes to n / STRIP of them.
+    """
+    strips = f"cast({blocks} div {STRIP} + 1 as int)"
+    every = f"sequence(0, {strips} - 1)"
+    one = left.withColumn("__own", F.expr(f"cast(pmod({own}, {strips}) as int)")).withColumn("__other", F.explode(F.expr(every))).drop(blocks)
+    two = right.withColumn("__other", F.expr(f"cast(pmod({block}, {strips}) as int)")).withColumn("__own", F.explode(F.expr(every))).drop(blocks)
+    return one.join(two, [*key, "__own", "__other"]).drop("__own", "__other")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Large-star: every larger neighbour of a node moves to the node's least neighbour."""
     both = edges.select("a", "b", F.col("b").alias("m")).union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("a").alias("m")))

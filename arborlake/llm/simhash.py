@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
-from .components import components, thinned, with_totals
+from .components import block_pairs, components, thinned, with_totals
 from .substring_dedup import sieve, spanning_pairs
 from .words import BYTE_BASE, Words, mix, parts, release
 
@@ -129,13 +129,15 @@ def link_fingerprints(nodes: DataFrame, offsets: list[int], radius: int, words:
     100,000 tiles, so their counts go to all tasks. A tile is dealt into blocks
     of about 2048 by hash, so that a crowded tile is many small tasks;
     blocks are compared with exclusive-or and bit counts, and a pair of blocks
-    returns fewer links than it has members.
+    returns fewer links than it has members. Pairs of blocks meet by keys of
+    their own (block_pairs).
     """
     counts = nodes.groupBy("tile").agg(F.count("*").alias("n"))
     dealt = nodes.join(F.broadcast(counts), "tile").select("tile", F.expr(f"pmod(xxhash64(id, 7), n div {MEAN_BLOCK} + 1)").alias("block"), "id", "fp")
     blocks = materialise(dealt.groupBy("tile", "block").agg(F.collect_list(F.struct("id", "fp")).alias("m")).select("tile", "block", F.col("m.id").alias("ids"), F.col("m.fp").alias("fps")), "tiles")
-    left = blocks.withColumn("delta", F.explode(F.array(*[F.lit(k).cast("long") for k in offsets]))).select((F.col("tile") + F.col("delta")).alias("tile"), "delta", F.col("block").alias("own"), F.col("ids").alias("a"), F.col("fps").alias("x"))
-    pairs = left.join(blocks, "tile").where("delta <> 0 or own <= block").select("a", "x", "ids", "fps")
+    own = blocks.withColumn("delta", F.explode(F.array(*[F.lit(k).cast("long") for k in offsets]))).select((F.col("tile") + F.col("delta")).alias("tile"), "delta", F.col("block").alias("own"), F.col("ids").alias("a"), F.col("fps").alias("x"))
+    parts = F.broadcast(counts.select("tile", F.expr(f"n div {MEAN_BLOCK} + 1").alias("blocks")))
+    pairs = block_pairs(own.join(parts, "tile"), blocks.join(parts, "tile"), ["tile"], "own", "block", "blocks").where("delta <> 0 or own <= block").select("a", "x", "ids", "fps")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         array = lambda fps: np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, words)

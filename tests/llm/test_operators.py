@@ -585,6 +585,29 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 6, 7] and kept.columns == docs(spark, texts).columns
 
 
+def test_pairs_of_blocks_have_keys_of_their_own(spark, monkeypatch):
+    """A group with a third of all rows: all pairs of its blocks meet, in many keys."""
+    blocks = spark.createDataFrame([(0 if k < 100 else k, k % 100 if k < 100 else 0, 100 if k < 100 else 1) for k in range(300)], "g long, block long, blocks long")
+    left = blocks.withColumnRenamed("block", "own")
+    got = components.block_pairs(left, blocks, ["g"], "own", "block", "blocks")
+    assert sorted(tuple(r) for r in got.select("g", "own", "block").collect() if r["g"] == 0) == [(0, a, b) for a in range(100) for b in range(100)]
+    assert got.where("g > 0").count() == 200
+    strips = 100 // components.STRIP + 1
+    assert got.where("g = 0").selectExpr(f"own % {strips} AS a", f"block % {strips} AS b").groupBy("a", "b").count().agg({"count": "max"}).first()[0] <= (components.STRIP + 1) ** 2
+
+
+def test_crowded_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEAN_BLOCK", 3)
+    monkeypatch.setattr(components, "STRIP", 2)
+    rng = np.random.default_rng(12)
+    number = [int(x) for x in np.unique(rng.integers(0, 1 << 10, 120))]
+    nodes = spark.createDataFrame([(k, x.to_bytes(8, "big"), 0 if k % 3 else 1) for k, x in enumerate(number)], "id long, fp binary, tile long")
+    root = {r["node"]: r["component"] for r in components.components(simhash.link_fingerprints(nodes, [0, 1], 1, 1)).collect()}
+    want = component_brute(number, lambda a, b: (a ^ b).bit_count() <= 1)
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == v) for v in set(of.values()))
+    assert groups(root) == [g for g in groups(want) if len(g) > 1]
+
+
 def test_keep_one_goes_by_row(spark):
     a, b, c, d = (" ".join(passage(k, 60)) for k in (11, 12, 13, 14))
     rows = [(3, b, 1), (5, a, 2), (5, b + " more", 3), (7, c, 4), (7, d, 5), (8, c, 6), (7, d, 7), (9, None, 8), (10, "", 9), (None, a, 10), (11, d + " x", 11)]
