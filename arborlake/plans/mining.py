@@ -392,6 +392,11 @@ def _forest(nodes: list[DataFrame], edges: list[DataFrame], same: list[DataFrame
     return out.select(F.col("id").alias("template_id"), F.col("parent").alias("parent_id"), "t.action", "t.instances", *[f"t.{s}" for s in SIDES], "t.places")
 
 
+def without_singles(forest: DataFrame) -> DataFrame:
+    """Templates with more than one instance: a parent has its children's instances, so what hangs under one that goes has one, too."""
+    return forest.where("instances > 1")
+
+
 def supported(forest: DataFrame, least: int = 5, below: int = 10) -> DataFrame:
     """Templates with enough instances: roots ``least``, others ``below``; what hangs under one that lacks them goes too."""
     roots = forest.where(F.col("parent_id").isNull() & (F.col("instances") >= least))

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.edits import apply_in_context, fits, is_usable
-from ..functions.kernels import abstract_ratio
+from ..functions.kernels import abstract_ratio, includes
+from ..functions.limits import OutOfTime, deadline
 from ..functions.locating import regions
 from ..functions.rewriting import build_prompt, exactly_fixes, fill, fits_fix
 from ..functions.trees import build, exact_fingerprint, find_all, parse_module, shape_fingerprint
@@ -72,7 +73,7 @@ _SIDES = ["action", "before", "after", "within", "places", "before_context", "af
 def _known(forest: DataFrame) -> DataFrame:
     """The forest with what selection asks of a template: kind, usable, ratio, and fingerprints of the whole before and after sides."""
 
-    @F.pandas_udf("struct<kind: string, usable: boolean, ratio: double, fp_before: string, fp_after: string>")
+    @F.pandas_udf("struct<kind: string, usable: boolean, ratio: double, fp_before: string, fp_after: string, fp_new: string, tops: string>")
     def facts(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
@@ -80,8 +81,8 @@ def _known(forest: DataFrame) -> DataFrame:
             whole = t.before_within()
             first = whole.children[0] if whole is not None and whole.children else None
             kind = "+" if first is None else "*" if first.general else first.type
-            out.append((kind, is_usable(t), abstract_ratio(whole) if whole is not None else 0.0, "-" if whole is None else exact_fingerprint(whole), "-" if t.after is None else shape_fingerprint(t.after)))
-        return pd.DataFrame(out, columns=["kind", "usable", "ratio", "fp_before", "fp_after"])
+            out.append((kind, is_usable(t), abstract_ratio(whole) if whole is not None else 0.0, "-" if whole is None else exact_fingerprint(whole), "-" if t.after is None else shape_fingerprint(t.after), "-" if t.after is None else exact_fingerprint(t.after), "-" if t.after is None else repr([c.label for c in t.after.children])))
+        return pd.DataFrame(out, columns=["kind", "usable", "ratio", "fp_before", "fp_after", "fp_new", "tops"])
 
     return forest.select("template_id", "parent_id", "instances", *_SIDES, facts(F.struct(*_SIDES)).alias("f")).select("template_id", "parent_id", "instances", *_SIDES, "f.*")
 
@@ -150,21 +151,42 @@ def selected(cases: DataFrame, forest: DataFrame, least: int = 2) -> tuple[DataF
     return chosen.distinct(), tried
 
 
+def without_included(chosen: DataFrame, known: DataFrame) -> DataFrame:
+    """``chosen`` (case, template_id) less templates that another one chosen for the case includes.
+
+    A template is included if the after sides are equal and its whole before
+    side specialises the other's (or neither has one); of equal ones the least
+    id stays. Only templates of one case and after side are compared.
+    """
+    own = chosen.join(known.select("template_id", "fp_new", "action", "before", "after", "within", "places", "before_context", "after_context"), "template_id")
+
+    @F.pandas_udf("boolean")
+    def included(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        sides = [[load_template(r).before_within() for r in x.astype(object).where(x.notna(), None).to_dict("records")] for x in (a, b)]
+        return pd.Series([(x is None and y is None) or (x is not None and y is not None and includes(x, y)) for x, y in zip(*sides, strict=True)], dtype=bool)
+
+    side = lambda k: own.select("case", "fp_new", F.col("template_id").alias(k), F.struct(*_SIDES).alias(f"t{k}"))
+    pairs = side("a").join(side("b"), ["case", "fp_new"]).where("a <> b").select("case", "a", "b", included("ta", "tb").alias("up"), included("tb", "ta").alias("down"))
+    gone = pairs.where("up and (not down or a > b)").select("case", F.col("a").alias("template_id")).distinct()
+    return chosen.join(gone, ["case", "template_id"], "left_anti")
+
+
 def patches(cases: DataFrame, forest: DataFrame, groups: int = 10, per_group: int = 10, per_template: int = 21) -> DataFrame:
     """(case, template_id, action, rank, source) for cases (case, source, lines, added).
 
-    Templates are chosen by ``selected``. Of the groups of templates with one
-    whole before side the ``groups`` least generalised stay (all for
-    insertions), and of each the ``per_group`` with the most instances. Each is
-    applied where its context fits (functions.edits).
+    Templates are chosen by ``selected``, less those that others include. Of the
+    groups of templates with one whole before side the ``groups`` least
+    generalised stay, and of each the ``per_group`` with the most instances;
+    insertions are grouped by the heads of what they insert, and all groups
+    stay. Each is applied where its context fits (functions.edits).
     """
     added = F.col("added") if "added" in cases.columns else F.lit(False)
     asked = materialise(cases.select("case", "source", F.col("lines").cast("array<int>").alias("lines"), added.alias("added")), "cases")
     chosen, _ = selected(asked, forest)
-    known = _known(forest)
-    in_group = Window.partitionBy("case", "fp_before").orderBy(F.desc("instances"), "template_id")
-    by_group = Window.partitionBy("case").orderBy("ratio", "fp_before")
-    ranked = chosen.join(known, "template_id").withColumn("r", F.row_number().over(in_group)).where(F.col("r") <= per_group).withColumn("g", F.dense_rank().over(by_group)).where((F.col("g") <= groups) | (F.col("action") == "Add"))
+    known = materialise(_known(forest).withColumn("together", F.when(F.col("kind") == "+", F.col("tops")).otherwise(F.col("fp_before"))), "known")
+    in_group = Window.partitionBy("case", "together").orderBy(F.desc("instances"), "template_id")
+    by_group = Window.partitionBy("case").orderBy("ratio", "together")
+    ranked = without_included(materialise(chosen, "selected"), known).join(known, "template_id").withColumn("r", F.row_number().over(in_group)).where(F.col("r") <= per_group).withColumn("g", F.dense_rank().over(by_group)).where((F.col("g") <= groups) | (F.col("action") == "Add"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -184,29 +206,68 @@ def echo_model(prompts: list[dict]) -> list[list[str]]:
     return [[" ".join(f"<extra_id_{k}> {v}" for k in range(p["masks"])) for v in ("None", "0")] for p in prompts]
 
 
-def candidates(found: DataFrame, model: Callable[[list[dict]], list[list[str]]] = echo_model, done: DataFrame | None = None) -> DataFrame:
-    """(case, rank, candidate, origin): patches filled by ``model``; those without a mask pass as they are.
+def attempts(found: DataFrame, model: Callable[[list[dict]], list[list[str]]] = echo_model, done: DataFrame | None = None, seconds: float | None = 7200) -> DataFrame:
+    """(case, rank, candidate, origin, reason) for patches (case, rank, source): every candidate, and every patch that has none with the reason.
 
-    Cases in ``done`` are not asked for again. Predictions that lack parts or
-    do not parse go.
+    Patches without a mask pass as they are; the others are filled by
+    ``model``. Cases in ``done`` are not asked for again, so what is written is
+    where a run resumes. A case has ``seconds`` for all its patches: when they
+    are over, what it has so far stays, the rest of its patches are ``out of
+    time``, and other cases go on. A case's failure is its own, too.
     """
     todo = found if done is None else found.join(done.select("case").distinct(), "case", "left_anti")
 
+    def of_case(rows: list[dict], out: list[tuple]) -> None:
+        for r in rows:
+            prompt = build_prompt(r["source"])
+            if prompt is None:
+                masked = "VALUE_MASK" in r["source"]
+                out.append((r["case"], r["rank"], None if masked else r["source"], None if masked else "patch", "no prompt within the budget" if masked else None))
+                continue
+            (answers,) = model([prompt])
+            filled = sorted({text for a in answers if (text := fill(r["source"], a)) is not None})
+            out += [(r["case"], r["rank"], text, "model", None) for text in filled] or [(r["case"], r["rank"], None, None, "no prediction fits")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, asked = [], []
-            for r in b.to_dict("records"):
-                prompt = build_prompt(r["source"])
-                if prompt:
-                    asked.append((r, prompt))
-                elif "VALUE_MASK" not in r["source"]:
-                    rows.append((r["case"], r["rank"], r["source"], "patch"))
-            for (r, _), answers in zip(asked, model([p for _, p in asked]), strict=True):
-                filled = {text for a in answers if (text := fill(r["source"], a)) is not None}
-                rows += [(r["case"], r["rank"], text, "model") for text in sorted(filled)]
-            yield pd.DataFrame(rows, columns=["case", "rank", "candidate", "origin"], dtype=object)
-
-    return todo.select("case", "rank", "source").mapInPandas(run, "case string, rank int, candidate string, origin string").distinct()
+        for rows in _cases(batches):
+            out: list[tuple] = []
+            reason = None
+            try:
+                with deadline(seconds):
+                    of_case(rows, out)
+            except OutOfTime:
+                reason = "out of time"
+            except Exception as error:  # noqa: BLE001  the model's, whatever it is
+                reason = f"failed: {type(error).__name__}"
+            met = {rank for _, rank, *_ in out}
+            out += [(r["case"], r["rank"], None, None, reason) for r in rows if r["rank"] not in met]
+            yield pd.DataFrame(out, columns=["case", "rank", "candidate", "origin", "reason"], dtype=object)
+
+    by_case = todo.select("case", "rank", "source").repartition("case").sortWithinPartitions("case", "rank")
+    return by_case.mapInPandas(run, "case string, rank int, candidate string, origin string, reason string").distinct()
+
+
+def _cases(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict]]:
+    """Rows of one case after another, of batches sorted by case."""
+    held: list[dict] = []
+    for b in batches:
+        for r in b.to_dict("records"):
+            if held and held[0]["case"] != r["case"]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def candidates(found: DataFrame, model: Callable[[list[dict]], list[list[str]]] = echo_model, done: DataFrame | None = None, seconds: float | None = 7200) -> DataFrame:
+    """(case, rank, candidate, origin): the candidates among ``attempts``."""
+    return attempts(found, model, done, seconds).where("reason is null").drop("reason")
+
+
+def write_patches(found: DataFrame, path: str) -> None:
+    """Patches as JSON lines, in the order of their ranks, a folder for each case."""
+    found.repartition("case").sortWithinPartitions("case", "rank").write.mode("overwrite").partitionBy("case").json(path)
 
 
 # -- evaluation -----------------------------------------------------------------

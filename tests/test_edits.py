@@ -314,6 +314,26 @@ def test_selection_equals_recursion(spark):
     assert tried.count() < len(cases) * len(forest) / 2  # what hangs under a template that does not fit is never tried
 
 
+def test_included_templates_go(spark):
+    one, two = (root(parse(x).children) for x in ("x = f(a)", "x = f(b)"))
+    general, wide = kernels.generalise(one, two), kernels.generalise(kernels.generalise(one, two), root(parse("x = g.h").children))
+    after, other = root(parse("x = 1").children), root(parse("x = 2").children)
+    sides = {"t1": (one, after), "t2": (general, after), "t3": (wide, after), "t4": (two, other), "t5": (general, other), "t6": (one, after), "t7": (None, after), "t8": (None, after)}
+    rows = [mining.template_row(Template("Replace", *s)) | {"template_id": k, "parent_id": None, "instances": 2} for k, s in sides.items()]
+    table = spark.createDataFrame([tuple(r[c.split()[0]] for c in training.FOREST_SCHEMA.split(", ")) for r in rows], training.FOREST_SCHEMA)
+    chosen = spark.createDataFrame([(c, k) for c in "ab" for k in sides if (c, k) not in {("b", "t3"), ("b", "t5")}], "case string, template_id string")
+
+    def by_hand(own):
+        into = lambda a, b: kernels.equal_trees(sides[a][1], sides[b][1]) and (sides[a][0] is sides[b][0] is None or None not in (sides[a][0], sides[b][0]) and kernels.includes(sides[a][0], sides[b][0]))
+        return {a for a in own if not any(a != b and into(a, b) and (not into(b, a) or a > b) for b in own)}
+
+    got = patching.without_included(chosen, patching._known(table)).collect()
+    for c in "ab":
+        own = {r["template_id"] for r in chosen.collect() if r["case"] == c}
+        assert {r["template_id"] for r in got if r["case"] == c} == by_hand(own)
+    assert {r["template_id"] for r in got if r["case"] == "a"} == {"t3", "t5", "t7"}
+
+
 def test_usable_templates():
     insert = mine_change(*CHANGES[2][1:])[0]
     assert edits.is_usable(insert)

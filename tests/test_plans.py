@@ -12,6 +12,15 @@ from arborlake.sources import cases
 PATCH = "--- a/x/m.py\n+++ b/x/m.py\n@@ -3,2 +3,2 @@\n a\n-b\n+c\n--- a/n.py\n+++ b/n.py\n@@ -1,2 +1,3 @@\n a\n+b\n c\n"
 
 
+def written_changes(spark):
+    return spark.createDataFrame(CHANGES, "case string, before_source string, after_source string, content string, b_start int, a_start int").selectExpr("*", "'m.py' AS before_path", "'m.py' AS after_path", "'' AS loc")
+
+
+def mined(spark):
+    rows = written_changes(spark)
+    return mining.change_templates(rows.drop("before_source", "after_source"), rows.select("case", "before_path", "after_path", "before_source", "after_source"), ["case"])[0]
+
+
 def test_every_tree_query_runs(spark):
     for name, f in tree_queries.QUERIES.items():
         rows = f(spark, "/root/testdata/sf0.001").collect()
@@ -19,13 +28,17 @@ def test_every_tree_query_runs(spark):
 
 
 def test_forest_and_patches(spark):
-    forest = spark.createDataFrame(tree_queries._forest(spark).toPandas(), training.FOREST_SCHEMA)
+    found = mined(spark)
+    forest = spark.createDataFrame(mining.mine(found).toPandas().astype(object).where(lambda x: x.notna(), None), training.FOREST_SCHEMA)
     rows = {r["template_id"]: r for r in forest.collect()}
     assert any(r["parent_id"] is None and r["instances"] > 1 for r in rows.values())
     for r in rows.values():  # a parent has its children's instances
         below = [x for x in rows.values() if x["parent_id"] == r["template_id"]]
         assert not below or r["instances"] >= sum(x["instances"] for x in below)
-    made = tree_queries.patch_rewrite(spark, "").collect()
+    cases_ = spark.createDataFrame([("c1", "def r(e):\n    return json(e.keys())\n", [2], False), ("c2", "def r(n):\n    w = 'z' + n\n    return w\n", [2], False)], "case string, source string, lines array<int>, added boolean")
+    made = patching.patches(cases_, forest).collect()
+    assert {r["source"] for r in made} >= {"def r(e):\n    return json(encode(e.keys()))", "def r(n):\n    w = 'z' + str(n)\n    return w"}
+    assert mining.without_singles(forest).count() < forest.count()
     assert {r["case"] for r in made} and all(r["rank"] >= 1 for r in made)
     fixes = spark.createDataFrame([("c1", "def r(e):\n    return json(encode(e.keys()))\n"), ("c2", "x = 1\n")], "case string, fixed string")
     found = spark.createDataFrame(made)
@@ -36,6 +49,28 @@ def test_forest_and_patches(spark):
     assert patching.candidates(found, done=fixes).count() == 0
 
 
+def test_a_case_that_never_ends_stops_no_other(spark, tmp_path):
+    def model(prompts):
+        text = prompts[0]["prompt"]
+        if "forever" in text:
+            while True:
+                try:
+                    pass
+                except Exception:
+                    pass
+        if "broken" in text:
+            raise ValueError
+        return [["<extra_id_0> 1" if "good" in text else "nothing"]]
+
+    rows = [("a", 1, "forever = VALUE_MASK"), ("a", 0, "x = 1"), ("b", 1, "good = VALUE_MASK"), ("c", 1, "broken = VALUE_MASK"), ("d", 1, "other = VALUE_MASK"), ("d", 2, "good = VALUE_MASK")]
+    found = spark.createDataFrame(rows, "case string, rank int, source string")
+    got = {(r["case"], r["rank"]): (r["candidate"], r["reason"]) for r in patching.attempts(found, model, seconds=2).collect()}
+    assert got == {("a", 0): ("x = 1", None), ("a", 1): (None, "out of time"), ("b", 1): ("good = 1", None), ("c", 1): (None, "failed: ValueError"), ("d", 1): (None, "no prediction fits"), ("d", 2): ("good = 1", None)}
+    assert {r["case"] for r in patching.candidates(found, model, seconds=2, done=found.where("case <> 'b'")).collect()} == {"b"}
+    patching.write_patches(found, str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).count() == 6
+
+
 def test_rejects_are_kept(spark):
     rows = spark.createDataFrame([("a", "m.py", "m.py", "", "-import a\n+import b", 1, 1), ("b", "m.py", "m.py", "", "-x = 1\n+x = f(1)", 1, 1)], "case string, before_path string, after_path string, loc string, content string, b_start int, a_start int")
     sources = spark.createDataFrame([("a", "m.py", "m.py", "import a\n", "import b\n"), ("b", "m.py", "m.py", "x = 1\n", "x = f(1)\n")], "case string, before_path string, after_path string, before_source string, after_source string")
@@ -110,10 +145,7 @@ def test_stream(spark, tmp_path):
     assert {(r["change"], r["instances"]) for r in counted.collect()} == {("-b\n+c", 2), ("+b", 2)}
 
 
-def test_large_blocks_are_mined_whole(spark, monkeypatch):
-    rows = tree_queries._changes(spark).selectExpr("*", "'m.py' AS before_path", "'m.py' AS after_path", "'' AS loc")
-    found, _ = mining.change_templates(rows.drop("before_source", "after_source"), rows.select("case", "before_path", "after_path", "before_source", "after_source"), ["case"])
-    forest = lambda: sorted((r["template_id"], str(r["parent_id"]), r["instances"]) for r in mining.mine(found, 0.0).collect())
-    usual = forest()
-    monkeypatch.setattr(mining.mine, "__defaults__", tuple(1 if x == 2000 else x for x in mining.mine.__defaults__))  # any limit on a block's size
-    assert forest() == usual
+def test_large_blocks_are_mined_whole(spark):
+    found = mined(spark).where("case LIKE 'wrap%'")
+    forest = lambda **more: sorted((r["template_id"], str(r["parent_id"]), r["instances"]) for r in mining.mine(found, **more).collect())
+    assert forest(alone=1) == forest()
