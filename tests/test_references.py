@@ -2,10 +2,11 @@
 
 import ast
 
-from arborlake.functions import locating, rewriting
+from arborlake.functions import edits, locating, rewriting
+from arborlake.functions.changes import Template
 from arborlake.functions.trees import build, root
 from arborlake.operators import passages, references as refs_of
-from arborlake.plans import patching
+from arborlake.plans import mining, patching, tree_queries
 from arborlake.sources import cases
 
 NODES = [  # t: a Root with two statements, each with two names; the second statement's first name has a child
@@ -145,11 +146,11 @@ def test_patterns_of_several_trees_are_applied():
     side = lambda text: root(build(x) for x in ast.parse(text).body)
     source = "def r(e):\n    q = 0\n    a = f(e)\n    p = 1\n    b = g(a)\n    return b\n"
     before, after = side("a = f(e)\nb = g(a)"), side("a = f(e, 1)\nb = h(a)")
-    assert rewriting.apply_template(source, "Replace", before, after, [3, 4, 5]) == ["def r(e):\n    q = 0\n    a = f(e, 1)\n    p = 1\n    b = h(a)\n    return b"]
-    assert rewriting.apply_template(source, "Replace", side("b = g(a)\na = f(e)"), after, [3, 4, 5]) == []  # in that order only
-    assert rewriting.apply_template(source, "Remove", before, None, [3, 5]) == ["def r(e):\n    q = 0\n    p = 1\n    return b"]
+    assert edits.apply_in_context(source, Template("Replace", before, after), [3, 4, 5]) == ["def r(e):\n    q = 0\n    a = f(e, 1)\n    p = 1\n    b = h(a)\n    return b"]
+    assert edits.apply_in_context(source, Template("Replace", side("b = g(a)\na = f(e)"), after), [3, 4, 5]) == []  # in that order only
+    assert edits.apply_in_context(source, Template("Remove", before, None), [3, 5]) == ["def r(e):\n    q = 0\n    p = 1\n    return b"]
     more = side("a = f(e)\nb = g(a)\nc = 2")
-    assert rewriting.apply_template(source, "Insert", before, more, [3, 5])[0].endswith("b = g(a)\n    c = 2\n    return b")
+    assert edits.apply_in_context(source, Template("Insert", before, more), [3, 5])[0].endswith("b = g(a)\n    c = 2\n    return b")
 
 
 def test_many_short_items_are_found(spark, monkeypatch):
@@ -161,10 +162,10 @@ def test_many_short_items_are_found(spark, monkeypatch):
 
 
 def test_every_template_fits_its_own_change(spark):
-    from arborlake.plans import tree_queries
+    from test_plans import mined
 
-    forest = {r["template_id"]: r.asDict() for r in tree_queries._forest(spark).collect()}
+    forest = {r["template_id"]: r.asDict() for r in mining.mine(mined(spark)).collect()}
     for case, before, _, _, line, _ in tree_queries.CHANGES:
-        fits = {k for k, t in forest.items() if t["before"] and patching._fits(before, [line], t)}
+        fits = {k for k, t in forest.items() if t["before"] and edits.fits(before, mining.load_template(t), [line])}
         if not case.startswith("none"):
             assert any(forest[k]["parent_id"] for k in fits) and any(not forest[k]["parent_id"] for k in fits), case
