@@ -36,13 +36,14 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.05, least_pages: int = 2
     """``pages`` with boilerplate lines taken out of ``text_col``, and (n_lines, n_dropped) beside.
 
     Built-in functions only. Lines are split at LF and compared whole by 64-bit
-    hash; blank lines stay. A page's lines meet its site's list once, by a hash
+    hash; lines of spaces only stay. A page's lines meet its site's list once, by a hash
     set, which leaves the few that are to go. The lists of lines, one row per site, are written
     and counted: up to BROADCAST_LINES lines they are sent to all tasks, so
     that pages are not shuffled; beyond that the join shuffles by site, and AQE
     splits large ones.
 
-    A null text stays null with 0 lines; an empty text is one blank line. A
+    Texts of any length count whole. A null text stays null with 0 lines; an
+    empty text is one blank line. A
     null site is a site of its own. Repeated rows stay. Other columns pass
     through; ``n_lines`` and ``n_dropped`` replace ones of that name. An empty
     table gives an empty result.

@@ -382,7 +382,7 @@ def score_texts(docs: DataFrame, modulus: int = 10, add: float = 0.1, words: int
     to all tasks; other tokens meet their counts in a join on the word, which
     has no hot keys as the common ones are out.
 
-    Null and empty texts are the end alone. Null ids teach and are not held
+    Texts of any length count whole; null and empty ones are the end alone. Null ids teach and are not held
     out. Repeated rows come back repeated. Other columns are ignored. An
     empty table gives an empty result.
     """

@@ -81,7 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     with a third of all rows is spread over hash buckets; running sums go by
     bucket, then over bucket totals.
 
-    Null and empty texts have size 0 and are never taken. A null source is a
+    Texts of any length count whole; null and empty ones have size 0 and are
+    never taken. A null source is a
     source of its own. Repeated rows are documents of their own, and so are
     rows of one id or of null ids. An empty table gives an empty result. Other
     columns are ignored. Reruns agree, but for which of several rows of one id

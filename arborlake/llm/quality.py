@@ -147,7 +147,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, th
     use the text's statistics alone, which are computed once and written to the
     shared folder; texts are never shuffled.
 
-    Null and empty texts have all statistics 0 and a score. Null labels and
+    Texts of any length count whole. Null and empty texts have all statistics 0
+    and a score. Null labels and
     labels other than 0 and 1 teach nothing; without two rows of either class
     every score is 0.5. Null ids are not held out and match no label. Repeated
     rows come back repeated and teach each; repeated labels count once. Other

@@ -174,7 +174,8 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, id_col:
     counts; bits differ at least as much as counts do, so a tile meets only
     tiles whose counts differ by ``radius`` in all.
 
-    Null, empty and blank texts have fingerprint 0 and link like any other.
+    Texts of any length count whole. Null, empty and blank ones have fingerprint 0
+    and link like any other.
     Null ids get a fingerprint and a component but represent none; a component
     of null ids only is null. Repeated rows come back repeated. Other columns
     are ignored. An empty table gives an empty result.
