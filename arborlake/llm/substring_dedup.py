@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .components import block_pairs, components, thinned, with_totals
+from .components import STRIP, block_pairs, components, thinned, with_totals
 from .words import BYTE_BASE, Words, mix, parts, release
 
 BLOCK = 512  # members of a compared block on average
@@ -132,8 +132,8 @@ def near_paragraph_links(found: DataFrame, width: int, similarity: float) -> Dat
 
     Buckets of colliding paragraphs with the same members in several bands are
     compared once. A bucket is dealt into blocks of about 512 by hash, and
-    every pair of its blocks is compared, by keys of their own (block_pairs):
-    none is cut short.
+    every pair of its blocks is compared, in buckets of over STRIP blocks by
+    keys of their own (block_pairs): none is cut short.
     """
     distinct = found.groupBy("key").agg(F.first("bands").alias("bands"))
     colliding = materialise(distinct.select("key", F.explode("bands").alias("bucket")), "bands")
@@ -143,8 +143,12 @@ def near_paragraph_links(found: DataFrame, width: int, similarity: float) -> Dat
     wanted = met.select("key").distinct()
     texts = sieve(found.select("key", "text"), wanted).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     blocks = materialise(met.join(texts, "key").withColumn("block", F.expr(f"pmod(xxhash64(key, 3), n div {BLOCK} + 1)")).withColumn("blocks", F.expr(f"n div {BLOCK} + 1")).groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("key", "text")).alias("m")), "buckets")
-    left = blocks.select("bucket", "blocks", F.col("block").alias("own"), F.col("m").alias("l"))
-    pairs = block_pairs(left, blocks, ["bucket"], "own", "block", "blocks").where("own <= block").select(F.col("l.key").alias("a"), F.col("l.text").alias("x"), F.when(F.col("own") < F.col("block"), F.col("m.key")).alias("b"), F.when(F.col("own") < F.col("block"), F.col("m.text")).alias("y"))
+    left = lambda df: df.select("bucket", "blocks", F.col("block").alias("own"), F.col("m").alias("l"))
+    told = lambda met: met.where("own <= block").select(F.col("l.key").alias("a"), F.col("l.text").alias("x"), F.when(F.col("own") < F.col("block"), F.col("m.key")).alias("b"), F.when(F.col("own") < F.col("block"), F.col("m.text")).alias("y"))
+    usual, crowded = blocks.where(F.col("blocks") <= STRIP), blocks.where(F.col("blocks") > STRIP)
+    pairs = told(left(usual).drop("blocks").join(usual.drop("blocks"), "bucket"))
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(told(block_pairs(left(crowded), crowded, ["bucket"], "own", "block", "blocks")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
