@@ -295,6 +295,14 @@ def _mine_block(rows: list[dict], least: float) -> tuple[dict[str, dict], dict[s
                     live.pop(k)
 
 
+COLUMNS = ["id", "instances", *[c.split()[0] for c in TEMPLATE_SCHEMA.split(", ")]]
+
+
+def distinct_templates(templates: DataFrame) -> DataFrame:
+    """(id, instances, …template columns) of the templates that differ, each under a digest of what it is."""
+    return merge_identical(templates).withColumn("id", F.concat(F.lit("o"), F.md5(F.concat_ws("~", *SAME)))).select(*COLUMNS)
+
+
 def mine(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int = 1000) -> DataFrame:
     """(template_id, parent_id, action, …sides, places, instances): the forest of generalised templates.
 
@@ -313,8 +321,13 @@ def mine(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int
     their groups are compared in tiles, so no block or group is one task, until
     few enough are left. The result does not depend on ``alone``.
     """
-    columns = ["id", "instances", *[c.split()[0] for c in TEMPLATE_SCHEMA.split(", ")]]
-    live = materialise(merge_identical(templates).withColumn("id", F.concat(F.lit("o"), F.md5(F.concat_ws("~", *SAME)))).select(*columns), "templates")
+    return mine_distinct(distinct_templates(templates), least, alone, rounds).drop("block")
+
+
+def mine_distinct(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int = 1000) -> DataFrame:
+    """The forest that ``mine`` makes, with each template's block, from what ``distinct_templates`` gives."""
+    columns = COLUMNS
+    live = materialise(templates.select(*columns), "templates")
     nodes, edges, same, small, stuck = [live], [], [], [], None
     for _ in range(rounds):
         sizes = live.groupBy("action", "block").agg(F.count("*").alias("n"))
@@ -386,10 +399,10 @@ def _forest(nodes: list[DataFrame], edges: list[DataFrame], same: list[DataFrame
         if longer.where("r is not null").isEmpty():
             break
         alias = materialise(longer.select("member", F.coalesce("r", "rep").alias("rep")), "alias")
-    every = union(nodes).groupBy("id").agg(F.max(F.struct("instances", "action", *SIDES, "places")).alias("t")).join(alias.select(F.col("member").alias("id")), "id", "left_anti")
+    every = union(nodes).groupBy("id").agg(F.max(F.struct("instances", "action", "block", *SIDES, "places")).alias("t")).join(alias.select(F.col("member").alias("id")), "id", "left_anti")
     tree = union(edges).join(alias.select(F.col("member").alias("parent"), "rep"), "parent", "left").select("child", F.coalesce("rep", "parent").alias("parent"))
     out = every.join(tree.withColumnRenamed("child", "id"), "id", "left")
-    return out.select(F.col("id").alias("template_id"), F.col("parent").alias("parent_id"), "t.action", "t.instances", *[f"t.{s}" for s in SIDES], "t.places")
+    return out.select(F.col("id").alias("template_id"), F.col("parent").alias("parent_id"), "t.action", "t.block", "t.instances", *[f"t.{s}" for s in SIDES], "t.places")
 
 
 def without_singles(forest: DataFrame) -> DataFrame:
