@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ast
+import codeop
 import copy
 import difflib
+import io
 import re
+import tokenize
 from collections.abc import Callable, Iterator
 from itertools import product
 
@@ -245,18 +248,114 @@ def build_prompt(patch: str, context: int = 50, budget: int = 490, length: Calla
 _SENTINEL = re.compile(r"<extra_id_(\d+)>")
 
 
-def fill(patch: str, prediction: str) -> str | None:
-    """The patch with its masks replaced by a model's segmented output; None where parts lack or it does not parse."""
+def _parts(prediction: str, count: int) -> list[str] | None:
+    """What a model's segmented output gives for sentinels 0 to ``count`` - 1; None where one lacks."""
     parts = _SENTINEL.split(prediction)
     given = {int(k): v.strip() for k, v in zip(parts[1::2], parts[2::2], strict=False)}
-    count = len(_ANY_MASK.findall(patch))
-    if any(k not in given for k in range(count)):
+    return [given[k] for k in range(count)] if all(k in given for k in range(count)) else None
+
+
+def fill(patch: str, prediction: str) -> str | None:
+    """The patch with its masks replaced by a model's segmented output; None where parts lack or it does not parse."""
+    given = _parts(prediction, len(_ANY_MASK.findall(patch)))
+    if given is None:
         return None
-    serial = iter(range(count))
-    text = _ANY_MASK.sub(lambda m: given[next(serial)], patch)
+    serial = iter(given)
+    text = _ANY_MASK.sub(lambda m: next(serial), patch)
     return text if parse_module(text) is not None else None
 
 
+# -- whole lines --------------------------------------------------------------------
+
+#: Lines that are asked for where lines are to be inserted.
+INSERTED_LINES = 2
+
+
+def around_lines(source: str, lines: list[int], added: int = 0) -> tuple[list[str], list[str], int]:
+    """What stands before and after the lines' span, and how many lines are to be written in its place.
+
+    ``added`` 1 is an insertion before the first of the lines, 2 one after it.
+    Lines of the span that are not among ``lines`` go with it.
+    """
+    text = source.split("\n")
+    first, last = min(lines), max(lines)
+    if added:
+        at = lines[0] - (added == 1)
+        return text[:at], text[at:], INSERTED_LINES
+    return text[: first - 1], text[last:], len(lines)
+
+
+def line_prompt(source: str, lines: list[int], added: int = 0, context: int = 50, budget: int = 390, length: Callable[[str], int] = lambda s: len(s.split())) -> dict | None:
+    """Whole lines as sentinels, after what they are now as a string; None where it cannot be made to fit.
+
+    The context shrinks line by line on either side until the prompt is within
+    ``budget``; a line has a sentinel of its own, an insertion INSERTED_LINES.
+    """
+    before, after, count = around_lines(source, lines, added)
+    text = source.split("\n")
+    now = '"""' + " ".join(text[k - 1].strip() for k in lines if 0 < k <= len(text)) + '"""'
+    masks = [f"<extra_id_{k}>" for k in range(count)]
+    for n in range(context, 0, -1):
+        prompt = " ".join(x for x in [now, *(x.strip() for x in [*before[-n:], *masks, *after[:n]])] if x)
+        if length(prompt) < budget:
+            return {"prompt": prompt, "masks": count, "max_length": 128, "min_length": 2}
+    return None
+
+
+def _begins(text: str) -> tuple[bool, bool]:
+    """Whether more lines can make a source of ``text``, and whether a further line stands within brackets."""
+    try:
+        compile(text + "\n", "source", "exec", ast.PyCF_ONLY_AST | codeop.PyCF_ALLOW_INCOMPLETE_INPUT)
+        return True, False
+    except SyntaxError as error:
+        if error.msg != "incomplete input":
+            return False, False
+    except (ValueError, MemoryError, RecursionError):
+        return False, False
+    try:
+        for _ in tokenize.generate_tokens(io.StringIO(text + "\n").readline):
+            pass
+    except tokenize.TokenError as error:
+        return True, "statement" in str(error)
+    except SyntaxError:
+        pass
+    return True, False
+
+
+def indented(before: list[str], parts: list[str], after: list[str], levels: int = 4) -> Iterator[str]:
+    """Sources with ``parts`` as lines between, each at one of ``levels`` indents of four blanks, that parse; one after another.
+
+    Indents are tried line by line, the least first. A beginning that the
+    parser rejects before it comes to the end of it is not gone on with: no
+    further line can mend that. So the beginnings tried are those that hold up
+    to here, not every combination. A blank part, and one that stands within
+    brackets, is tried at one indent, since others make no other tree.
+    """
+
+    def further(head: list[str], k: int, bracket: bool) -> Iterator[str]:
+        if k == len(parts):
+            text = "\n".join([*head, *after])
+            if parse_module(text) is not None:
+                yield text
+            return
+        for level in range(1 if bracket or not parts[k].strip() else levels):
+            own = [*head, " " * (4 * level) + parts[k]]
+            holds, inside = _begins("\n".join(own))
+            if holds:
+                yield from further(own, k + 1, inside)
+
+    holds, inside = _begins("\n".join(before))
+    if holds:
+        yield from further(before, 0, inside)
+
+
+def fill_lines(source: str, lines: list[int], prediction: str, added: int = 0, levels: int = 4) -> Iterator[str]:
+    """Sources with the lines replaced by a model's segmented output, at every indent that parses; none where parts lack."""
+    before, after, count = around_lines(source, lines, added)
+    given = _parts(prediction, count)
+    return iter(()) if given is None else indented(before, given, after, levels)
+
+
 def training_masks(tree: ast.AST, depth: int = 3) -> Iterator[tuple[str, list[str]]]:
     """(source, label) pairs: the children of a statement, down to ``depth``, replaced by sentinels in source order."""
     text = ast.unparse(tree)

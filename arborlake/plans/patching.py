@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,10 +12,11 @@ from ..functions.edits import apply_in_context, fits, is_usable
 from ..functions.kernels import abstract_ratio, includes
 from ..functions.limits import OutOfTime, deadline
 from ..functions.locating import regions
-from ..functions.rewriting import build_prompt, exactly_fixes, fill, fits_fix
-from ..functions.trees import build, exact_fingerprint, find_all, parse_module, shape_fingerprint
+from ..functions.rewriting import build_prompt, exactly_fixes, fill, fill_lines, fits_fix, line_prompt
+from ..functions.trees import Tree, build, exact_fingerprint, find_all, parse_module, shape_fingerprint
+from ..functions.vocabulary import ABSTRACTED, REFERRED
 from ..session import materialise
-from .mining import load_template, template_row
+from .mining import dump_tree, load_template, load_tree, template_row
 
 
 def locations(bugs: DataFrame, gap: int = 10) -> DataFrame:
@@ -73,7 +75,7 @@ _SIDES = ["action", "before", "after", "within", "places", "before_context", "af
 def _known(forest: DataFrame) -> DataFrame:
     """The forest with what selection asks of a template: kind, usable, ratio, and fingerprints of the whole before and after sides."""
 
-    @F.pandas_udf("struct<kind: string, usable: boolean, ratio: double, fp_before: string, fp_after: string, fp_new: string, tops: string>")
+    @F.pandas_udf("struct<kind: string, usable: boolean, ratio: double, fp_before: string, fp_after: string, fp_new: string, tops: string, whole: string>")
     def facts(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
@@ -81,8 +83,8 @@ def _known(forest: DataFrame) -> DataFrame:
             whole = t.before_within()
             first = whole.children[0] if whole is not None and whole.children else None
             kind = "+" if first is None else "*" if first.general else first.type
-            out.append((kind, is_usable(t), abstract_ratio(whole) if whole is not None else 0.0, "-" if whole is None else exact_fingerprint(whole), "-" if t.after is None else shape_fingerprint(t.after), "-" if t.after is None else exact_fingerprint(t.after), "-" if t.after is None else repr([c.label for c in t.after.children])))
-        return pd.DataFrame(out, columns=["kind", "usable", "ratio", "fp_before", "fp_after", "fp_new", "tops"])
+            out.append((kind, is_usable(t), abstract_ratio(whole) if whole is not None else 0.0, "-" if whole is None else exact_fingerprint(whole), "-" if t.after is None else shape_fingerprint(t.after), "-" if t.after is None else exact_fingerprint(t.after), "-" if t.after is None else repr([c.label for c in t.after.children]), dump_tree(whole)))
+        return pd.DataFrame(out, columns=["kind", "usable", "ratio", "fp_before", "fp_after", "fp_new", "tops", "whole"])
 
     return forest.select("template_id", "parent_id", "instances", *_SIDES, facts(F.struct(*_SIDES)).alias("f")).select("template_id", "parent_id", "instances", *_SIDES, "f.*")
 
@@ -156,19 +158,61 @@ def without_included(chosen: DataFrame, known: DataFrame) -> DataFrame:
 
     A template is included if the after sides are equal and its whole before
     side specialises the other's (or neither has one); of equal ones the least
-    id stays. Only templates of one case and after side are compared.
+    id stays. Pairs are those of ``inclusions`` among the templates chosen,
+    found once for all cases.
+    """
+    above = materialise(inclusions(known.join(chosen.select("template_id").distinct(), "template_id", "left_semi"), "whole", ["fp_new"]), "above")
+    both = above.join(above.select(F.col("upper").alias("lower"), F.col("lower").alias("upper"), F.lit(True).alias("back")), ["lower", "upper"], "left")
+    strict = both.where("back is null or lower > upper").select(F.col("lower").alias("template_id"), "upper")
+    gone = chosen.join(strict, "template_id").join(chosen.select("case", F.col("template_id").alias("upper")), ["case", "upper"], "left_semi").select("case", "template_id").distinct()
+    return chosen.join(gone, ["case", "template_id"], "left_anti")
+
+
+def _node_keys(t: Tree, path: str = "") -> Iterator[tuple[str, str, bool]]:
+    """(place, node, whether it is asked for) of a pattern: what a tree that specialises it has at the same place.
+
+    A node is told by type and roles of children, and once more with its value;
+    operators and literals may differ in theirs (kernels.value_satisfies).
+    """
+    if not t.general:
+        free = t.value in (None, ABSTRACTED, REFERRED) or t.kind in ("Op", "Literal")
+        name = json.dumps([t.kind, t.type, [c.role for c in t.children]])
+        yield path, name, free
+        if t.value is not None:
+            yield path, name + json.dumps(t.value), not free
+    for k, c in enumerate(t.children):
+        yield from _node_keys(c, f"{path}/{k}")
+
+
+def inclusions(patterns: DataFrame, tree: str, within: list[str]) -> DataFrame:
+    """(lower, upper): ids of different patterns (template_id, ``tree`` as JSON) with equal ``within``, the lower's tree specialising the upper's.
+
+    An index of the nodes at each place of a tree brings pairs together: the
+    upper is looked up by that one of its concrete nodes that fewest trees
+    have, then the whole trees are compared. Null trees include each other.
     """
-    own = chosen.join(known.select("template_id", "fp_new", "action", "before", "after", "within", "places", "before_context", "after_context"), "template_id")
+
+    @F.pandas_udf("struct<has: array<string>, asks: array<string>>")
+    def keys(trees: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in map(load_tree, trees):
+            found = [("none", "", True)] if t is None else list(_node_keys(t))
+            out.append(([f"{p} {n}" for p, n, _ in found], [f"{p} {n}" for p, n, asked in found if asked]))
+        return pd.DataFrame(out, columns=["has", "asks"])
 
     @F.pandas_udf("boolean")
-    def included(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        sides = [[load_template(r).before_within() for r in x.astype(object).where(x.notna(), None).to_dict("records")] for x in (a, b)]
-        return pd.Series([(x is None and y is None) or (x is not None and y is not None and includes(x, y)) for x, y in zip(*sides, strict=True)], dtype=bool)
+    def specialises(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([(x is None and y is None) or (x is not None and y is not None and includes(x, y)) for x, y in zip(map(load_tree, a), map(load_tree, b), strict=True)], dtype=bool)
 
-    side = lambda k: own.select("case", "fp_new", F.col("template_id").alias(k), F.struct(*_SIDES).alias(f"t{k}"))
-    pairs = side("a").join(side("b"), ["case", "fp_new"]).where("a <> b").select("case", "a", "b", included("ta", "tb").alias("up"), included("tb", "ta").alias("down"))
-    gone = pairs.where("up and (not down or a > b)").select("case", F.col("a").alias("template_id")).distinct()
-    return chosen.join(gone, ["case", "template_id"], "left_anti")
+    trees = patterns.select(F.col("template_id").alias("id"), *within, F.col(tree).alias("tree"))
+    index = materialise(trees.select("id", *within, keys("tree").alias("k")).select("id", *within, F.transform("k.has", lambda x: F.xxhash64(x)).alias("has"), F.transform("k.asks", lambda x: F.xxhash64(x)).alias("asks")), "index")
+    has = index.select(F.col("id").alias("lower"), *within, F.explode("has").alias("key"))
+    often = has.groupBy(*within, "key").agg(F.count("*").alias("n"))
+    asks = index.select(F.col("id").alias("upper"), *within, F.explode("asks").alias("key")).join(often, [*within, "key"])
+    rarest = asks.groupBy("upper", *within).agg(F.min(F.struct("n", "key")).alias("m")).select("upper", *within, "m.key")
+    met = has.join(rarest, [*within, "key"]).where("lower <> upper").select("lower", "upper").distinct()
+    side = lambda k: trees.select(F.col("id").alias(k), F.col("tree").alias(f"{k}_tree"))
+    return met.join(side("lower"), "lower").join(side("upper"), "upper").where(specialises("lower_tree", "upper_tree")).select("lower", "upper")
 
 
 def patches(cases: DataFrame, forest: DataFrame, groups: int = 10, per_group: int = 10, per_template: int = 21) -> DataFrame:
@@ -228,6 +272,41 @@ def attempts(found: DataFrame, model: Callable[[list[dict]], list[list[str]]] =
             filled = sorted({text for a in answers if (text := fill(r["source"], a)) is not None})
             out += [(r["case"], r["rank"], text, "model", None) for text in filled] or [(r["case"], r["rank"], None, None, "no prediction fits")]
 
+    return _attempted(todo.select("case", "rank", "source"), of_case, seconds)
+
+
+def line_attempts(cases: DataFrame, model: Callable[[list[dict]], list[list[str]]] = echo_model, done: DataFrame | None = None, seconds: float | None = 7200, levels: int = 4) -> DataFrame:
+    """(case, rank, candidate, origin, reason) for cases (case, source, lines, added): whole lines written anew, without templates.
+
+    ``model`` is asked for the lines themselves, and what it gives is tried at
+    every indent (rewriting.indented); ``added`` is 0 or null, 1 for an
+    insertion before the line, 2 for one after it. Deadline, rejects and
+    resuming are those of ``attempts``; a case without lines is a reject.
+    """
+    todo = cases if done is None else cases.join(done.select("case").distinct(), "case", "left_anti")
+
+    def of_case(rows: list[dict], out: list[tuple]) -> None:
+        for r in rows:
+            lines, added = [int(k) for k in r["lines"]] if r["lines"] is not None else [], 0 if pd.isna(r["added"]) else int(r["added"])
+            prompt = line_prompt(r["source"], lines, added) if lines and r["source"] is not None else None
+            if prompt is None:
+                out.append((r["case"], r["rank"], None, None, "no prompt within the budget" if lines and r["source"] is not None else "no lines"))
+                continue
+            seen: set[str] = set()
+            for answer in model([prompt])[0]:
+                for text in fill_lines(r["source"], lines, answer, added, levels):
+                    if text not in seen:
+                        seen.add(text)
+                        out.append((r["case"], r["rank"], text, "lines", None))
+            if not seen:
+                out.append((r["case"], r["rank"], None, None, "no prediction fits"))
+
+    return _attempted(todo.select("case", F.lit(0).alias("rank"), "source", F.col("lines").cast("array<int>").alias("lines"), F.col("added").cast("int").alias("added")), of_case, seconds)
+
+
+def _attempted(todo: DataFrame, of_case: Callable[[list[dict], list[tuple]], None], seconds: float | None) -> DataFrame:
+    """What ``of_case`` appends for the rows of one case after another, each within ``seconds``; a rank that it did not come to has the reason."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _cases(batches):
             out: list[tuple] = []
@@ -243,7 +322,7 @@ def attempts(found: DataFrame, model: Callable[[list[dict]], list[list[str]]] =
             out += [(r["case"], r["rank"], None, None, reason) for r in rows if r["rank"] not in met]
             yield pd.DataFrame(out, columns=["case", "rank", "candidate", "origin", "reason"], dtype=object)
 
-    by_case = todo.select("case", "rank", "source").repartition("case").sortWithinPartitions("case", "rank")
+    by_case = todo.repartition("case").sortWithinPartitions("case", "rank")
     return by_case.mapInPandas(run, "case string, rank int, candidate string, origin string, reason string").distinct()
 
 
