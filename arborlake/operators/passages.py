@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
+
 #: Items of fewer than three words that are searched for in one pass.
 SHORT_ITEMS = 1000
 
@@ -16,7 +18,7 @@ def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     documents list their distinct words without their texts, an equi-join
     brings the two together, and the text is taken back for the whole item to
     be searched for. Items without an inner word are searched for in every
-    text, SHORT_ITEMS a pass.
+    text, some SHORT_ITEMS a pass. Ids are of any type.
 
     Null and empty items occur in nothing; null documents contain nothing.
     """
@@ -27,9 +29,10 @@ def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     named = texts.withColumn("text_id", F.xxhash64("text"))
     maybe = named.select("doc_id", "text_id", F.explode(F.array_distinct(words("text"))).alias("word")).join(keyed, "word").select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), "item_id", "item").distinct()
     met = named.join(maybe, named["doc_id"].eqNullSafe(maybe["__doc"]) & (named["text_id"] == maybe["__text"])).where(F.contains("text", "item")).select("doc_id", "item_id")
-    short = known.where("inner is null").select("item_id", "item").collect()
-    for lo in range(0, len(short), SHORT_ITEMS):
-        listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["item"]).alias("item")) for r in short[lo : lo + SHORT_ITEMS]])
-        hits = F.filter(listed, lambda x: F.contains(F.col("text"), x["item"]))
-        met = met.unionByName(texts.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", F.col("hit.item_id").alias("item_id")))
+    short = materialise(known.where("inner is null").select("item_id", "item"), "short")
+    passes = -(-short.count() // SHORT_ITEMS)
+    for k in range(passes):
+        listed = short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == k).agg(F.collect_list(F.struct("item_id", "item")).alias("listed"))  # one row of some SHORT_ITEMS items
+        hits = F.filter("listed", lambda x: F.contains(F.col("text"), x["item"]))
+        met = met.unionByName(texts.join(F.broadcast(listed)).select("doc_id", F.explode(hits).alias("hit")).select("doc_id", F.col("hit.item_id").alias("item_id")))
     return met.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("hits"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import materialise
 from .diffs import parse_diff
 
 #: What the keys of a case's info files are called here.
@@ -177,17 +178,19 @@ def bug_numbers(lines: DataFrame) -> DataFrame:
 def test_scripts(failed: DataFrame, split: int) -> DataFrame:
     """(shard, script): commands for failed (case, file) rows in ``split`` runs of consecutive cases.
 
-    Runs differ by one row at most, the longer ones first. Cases are ranked by
-    counts of rows a case, so no task sees all rows.
+    Runs differ by one row at most, the longer ones first. Rows are sorted into
+    ranges of (case, file) and ranked by their place in a range and the totals
+    of the ranges before it, so no task sees all rows, or all of a large case.
     """
     from pyspark.sql import Window
 
-    per = failed.groupBy("case").agg(F.count("*").alias("n"))
-    before = per.withColumn("at", F.sum("n").over(Window.orderBy("case").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("case", "at")
-    total = failed.count()
-    rank = F.row_number().over(Window.partitionBy("case").orderBy("file")) - 1 + F.col("at")
+    ranged = materialise(failed.repartitionByRange("case", "file").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # a row for each task
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    total = ranged.count()
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("case", "file")) - 1 + F.col("at")
     long, size = total % split, total // split
     shard = F.when(F.col("rank") < long * (size + 1), F.expr(f"rank div {size + 1}")).otherwise(long + F.expr(f"(rank - {long * (size + 1)}) div {max(size, 1)}"))
-    ordered = failed.join(before, "case").withColumn("rank", rank).withColumn("shard", shard.cast("int"))
+    ordered = ranged.join(starts, "range").withColumn("rank", rank).withColumn("shard", shard.cast("int"))
     command = F.concat(F.lit("pyenv global "), F.element_at(F.split("case", "/"), -1), F.lit("\npython test.py "), "case", F.lit(" "), "file")
     return ordered.groupBy("shard").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("case", "file", command.alias("c")))), lambda x: x["c"]), "\n").alias("script"))

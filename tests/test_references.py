@@ -133,6 +133,9 @@ def test_case_sources(spark):
     failed = spark.createDataFrame([(f"p/c-{k // 2}", f"f{k}.py") for k in range(7)], "case string, file string")
     scripts = {r["shard"]: r["script"].count("python test.py") for r in cases.test_scripts(failed, 3).collect()}
     assert scripts == {0: 3, 1: 2, 2: 2} and cases.test_scripts(failed.limit(0), 3).count() == 0
+    many = sorted([("p/hot", f"f{k:03}.py") for k in range(90)] + [(f"p/c-{k % 40:02}", f"g{k}.py") for k in range(110)])
+    got = {r["shard"]: [x.split()[2:] for x in r["script"].split("\n") if x.startswith("python")] for r in cases.test_scripts(spark.createDataFrame(many[::-1], "case string, file string").repartition(5), 7).collect()}
+    assert [tuple(x) for k in range(7) for x in got[k]] == many and [len(got[k]) for k in range(7)] == [29] * 4 + [28] * 3
 
 
 def test_masked_operations_stand_for_plain_expressions():

@@ -68,3 +68,12 @@ def test_containing_short_and_odd_items(spark):
     items = spark.createDataFrame([(1, "two three four"), (2, "e"), (3, ""), (4, None), (5, "o t")], "item_id long, text string")
     got = {r["doc_id"]: (r["item_id"], r["hits"]) for r in passages.containing(docs, items).collect()}
     assert got == {1: (1, 3), 4: (1, 3), 5: (2, 1)}
+
+
+def test_containing_goes_in_passes_and_takes_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SHORT_ITEMS", 2)
+    texts = {f"d{k}": " ".join(f"w{(k * j) % 11}" for j in range(1, k + 2)) for k in range(25)}
+    items = {f"i{k:02}": f"w{k}" for k in range(11)} | {f"j{k:02}": f"w{k} w{2 * k % 11}" for k in range(11)} | {"k": "w2 w4 w6"}
+    got = {r["doc_id"]: (r["item_id"], r["hits"]) for r in passages.containing(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), spark.createDataFrame(list(items.items()), "item_id string, text string")).collect()}
+    want = {d: [i for i, x in items.items() if x in t] for d, t in texts.items()}
+    assert got == {d: (min(own), len(own)) for d, own in want.items() if own}
