@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialise
 from .words import release
 
-#: Rows of a block: a 64th of all, within these bounds. Queries of a chunk.
-FEWEST_ROWS, MOST_ROWS = 8_192, 131_072
+#: Rows of a block: a 64th of all, not fewer than these, but with no more components than these. Queries of a chunk.
+FEWEST_ROWS, MOST_NUMBERS = 8_192, 2**23
 CHUNK_QUERIES = 512
 FIRST_DEPTH = 16
 #: Sums of products below this are exact in doubles.
@@ -97,8 +97,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     queries do, to every block, where each runs the threshold algorithm over
     the block's sorted lists. A chunk first visits one block; the k-th score it
     finds there is a bound that lets it stop early, or at once, in all others.
-    Blocks grow with the table up to 131,072 rows, as every block sees all
-    queries. A query's best of all blocks are merged.
+    Blocks grow with the table up to 8 million components (131,072 rows of 64,
+    10,922 of 768), as every block sees all queries. A query's best of all
+    blocks are merged.
 
     Null ids, null vectors and vectors with null, NaN or infinite components
     take no part. Repeated rows are candidates each, and one query; rows of the
@@ -110,11 +111,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     """
     rows = quantised(vectors, scale, id_col, vector_col)
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).collect()}
-    by_dim = lambda f: F.create_map(*[x for d, v in sizes.items() for x in (F.lit(d), F.lit(f(*v)))])[F.col("dim")] if sizes else F.lit(1)
-    n_blocks = lambda n, q: max(1, -(-n // min(MOST_ROWS, max(FEWEST_ROWS, n // 64))))
+    by_dim = lambda f: F.create_map(*[x for d, v in sizes.items() for x in (F.lit(d), F.lit(f(d, *v)))])[F.col("dim")] if sizes else F.lit(1)
+    n_blocks = lambda d, n, q: max(1, -(-n // max(1, min(MOST_NUMBERS // max(d, 1), max(FEWEST_ROWS, n // 64)))))
     blocks = by_dim(n_blocks)
-    tasks = min(16_384, sum(n_blocks(*v) for v in sizes.values()) or 1)  # a block is much work in few bytes: tasks are not merged by size
-    chunks = by_dim(lambda n, q: -(-q // CHUNK_QUERIES) or 1)
+    tasks = min(16_384, sum(n_blocks(d, *v) for d, v in sizes.items()) or 1)  # a block is much work in few bytes: tasks are not merged by size
+    chunks = by_dim(lambda _, n, q: -(-q // CHUNK_QUERIES) or 1)
     pool = materialise(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), blocks).cast("int")).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("m")).select("dim", "block", F.col("m.vec_id").alias("ids"), F.col("m.v").alias("vs")), "lists")
     asked = rows.where(F.col("vec_id") % every == 0).distinct().withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), chunks).cast("int"))
     ask = asked.groupBy("dim", "chunk").agg(F.collect_list(F.struct("vec_id", "v")).alias("m")).select("dim", "chunk", F.col("m.vec_id").alias("own"), F.col("m.v").alias("q"))

@@ -676,6 +676,20 @@ def test_top_k_over_blocks_and_large_components(spark, monkeypatch, scale):
     assert got == top_brute(rows) and max(s for v in got.values() for _, s in v) > 2**53
 
 
+def test_top_k_blocks_are_bounded_by_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FEWEST_ROWS", 40)
+    monkeypatch.setattr(topk, "MOST_NUMBERS", 120)
+    sizes = []
+    monkeypatch.setattr(topk, "materialise", lambda df, label: sizes.extend(r["n"] for r in df.selectExpr("size(ids) AS n").collect()) or df if label == "lists" else df)
+    rng = np.random.default_rng(16)
+    rows = [(k, np.float32(rng.normal(0, 1, d)).astype(float).tolist(), 0) for k, d in enumerate([12] * 200 + [200] * 3)]
+    got = {}
+    for r in sorted(topk.top_k(vectors(spark, rows)).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == top_brute(rows)
+    assert sum(sizes) == 203 and len(sizes) > 15 and max(sizes) <= 30
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(6)
     v = np.rint(rng.normal(0, 100, (3000, 2))).astype(np.int64)
