@@ -377,6 +377,17 @@ def test_lm_odd(spark):
     assert lm.score_texts(odd(spark).limit(0), steps=5).count() == 0
 
 
+def test_lm_null_ids_teach_nothing(spark):
+    rows = [(k, f"the cat {k}") for k in range(40)]
+    got = lm.score_texts(spark.createDataFrame([*rows, (None, "the new dog"), (None, None)], "doc_id long, text string"), words=3, shapes=3, common=4, steps=5).collect()
+    train = Counter(t for i, x in rows if zlib.crc32(str(i).encode()) % 10 for t in [*x.split(), " "])
+    n, v = sum(train.values()), len(train)
+    assert {r["train_tokens"] for r in got} == {n}
+    (r,) = [r for r in got if r["doc_id"] is None and r["n_tokens"] == 4]
+    base = sum(np.log10((train[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ("the", "new", "dog", " "))
+    assert (r["held_out"], r["n_known"]) == (False, 2) and r["base_score"] == pytest.approx(base)
+
+
 # -- 6 ----------------------------------------------------------------------------
 
 
