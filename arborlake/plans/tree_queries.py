@@ -96,6 +96,11 @@ def _changes(spark, sf_dir):
     return rows.withColumns({"before_source": _filled(_of_kind(1)), "after_source": _filled(_of_kind(2)), "content": _filled(_of_kind(3))})
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as a shuffle has: few bytes may be much work for a parser, so sizes alone do not deal it well."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query
 def tree_match(spark, sf_dir):
     """How many of the customers' changed sources of each kind hold each pattern, generalised from two snippets."""
@@ -109,10 +114,17 @@ def tree_match(spark, sf_dir):
 
 @query
 def anti_unify(spark, sf_dir):
-    """The least general pattern of each customer's changed source and that of the next customer of its kind."""
-    parsed = trees.with_tree(_changes(spark, sf_dir).select("case", "after_source"), "after_source").select("case", F.col("tree")["nodes"].alias("t"))
-    other = parsed.select((F.col("case") - len(KINDS)).alias("case"), F.col("t").alias("u"))
-    return parsed.join(other, "case").select("case", F.inline(trees.tree_generalise("t", "u"))).select("case", "dfs", "last", "type", "value")
+    """The least general pattern of each customer's changed source and that of the next customer of its kind; equal pairs of sources are generalised once.
+
+    Joins are by merging: what a tree takes in memory is many times the size
+    that Spark reckons for a source, so neither side may be broadcast.
+    """
+    own = _changes(spark, sf_dir).select("case", F.col("after_source").alias("one"))
+    other = own.select((F.col("case") - len(KINDS)).alias("case"), F.col("one").alias("other"))
+    pairs = materialise(own.join(other.hint("merge"), "case"), "pairs")
+    parsed = trees.with_tree(trees.with_tree(_dealt(pairs.select("one", "other").distinct()), "one", name="t"), "other", name="u")
+    patterns = materialise(parsed.select("one", "other", trees.tree_generalise(F.col("t")["nodes"], F.col("u")["nodes"]).alias("p")), "patterns")
+    return pairs.join(patterns.hint("merge"), ["one", "other"]).select("case", F.inline("p")).select("case", "dfs", "last", "type", "value")
 
 
 def _found(spark, sf_dir) -> DataFrame:
