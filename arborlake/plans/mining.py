@@ -105,10 +105,10 @@ def change_templates(hunks: DataFrame, sources: DataFrame, keys: list[str]) -> t
 SAME = ("action", "block", "fp_pattern", "fp_within", "fp_outer", "fp_ties")
 
 
-def merge_identical(templates: DataFrame) -> DataFrame:
-    """Templates that are equal in all their parts as one, with their number of instances: an aggregate by fingerprint."""
+def merge_identical(templates: DataFrame, copies: str | None = None) -> DataFrame:
+    """Templates that are equal in all their parts as one, with their number of instances: an aggregate by fingerprint. A row counts once, or as often as ``copies`` says."""
     sides = [F.min(s).alias(s) for s in (*SIDES, "places", "fp_shape", "fp_after", "fp_after_shape", "places_at")]
-    return templates.groupBy(*SAME).agg(F.count("*").alias("instances"), *sides)
+    return templates.groupBy(*SAME).agg((F.sum(copies) if copies else F.count("*")).alias("instances"), *sides)
 
 
 #: Steps in order: number, what is generalised, the actions it is for (None: all), the columns that members of a group share. Those without a column of shapes choose among all of a block.
@@ -298,12 +298,12 @@ def _mine_block(rows: list[dict], least: float) -> tuple[dict[str, dict], dict[s
 COLUMNS = ["id", "instances", *[c.split()[0] for c in TEMPLATE_SCHEMA.split(", ")]]
 
 
-def distinct_templates(templates: DataFrame) -> DataFrame:
+def distinct_templates(templates: DataFrame, copies: str | None = None) -> DataFrame:
     """(id, instances, …template columns) of the templates that differ, each under a digest of what it is."""
-    return merge_identical(templates).withColumn("id", F.concat(F.lit("o"), F.md5(F.concat_ws("~", *SAME)))).select(*COLUMNS)
+    return merge_identical(templates, copies).withColumn("id", F.concat(F.lit("o"), F.md5(F.concat_ws("~", *SAME)))).select(*COLUMNS)
 
 
-def mine(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int = 1000) -> DataFrame:
+def mine(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int = 1000, copies: str | None = None) -> DataFrame:
     """(template_id, parent_id, action, …sides, places, instances): the forest of generalised templates.
 
     Only templates of one action and block (which sides there are, and how many
@@ -319,9 +319,10 @@ def mine(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int
     task each. The state of larger ones is in tables, written once a round: the
     live templates, edges from child to parent, and which templates became one;
     their groups are compared in tiles, so no block or group is one task, until
-    few enough are left. The result does not depend on ``alone``.
+    few enough are left. The result does not depend on ``alone``. A row of
+    ``templates`` is an instance, or as many as its column ``copies`` says.
     """
-    return mine_distinct(distinct_templates(templates), least, alone, rounds).drop("block")
+    return mine_distinct(distinct_templates(templates, copies), least, alone, rounds).drop("block")
 
 
 def mine_distinct(templates: DataFrame, least: float = 0.0, alone: int = 512, rounds: int = 1000) -> DataFrame:

@@ -128,18 +128,21 @@ def anti_unify(spark, sf_dir):
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    """The templates of the customers' changes."""
-    rows = _changes(spark, sf_dir).withColumns({"before_path": F.lit("m.py"), "after_path": F.lit("m.py"), "loc": F.lit("")})
-    sources = rows.select("case", "before_path", "after_path", "before_source", "after_source")
-    hunks = rows.select("case", "before_path", "after_path", "loc", "content", _of_kind(4).alias("b_start"), _of_kind(5).alias("a_start"))
-    return mining.change_templates(hunks, sources, ["case"])[0]
+    """The templates of the customers' changes that differ in their code, with the number of customers of each as ``copies``."""
+    texts = ["before_source", "after_source", "content", "b_start", "a_start"]
+    every = _changes(spark, sf_dir).withColumns({"b_start": _of_kind(4), "a_start": _of_kind(5)})
+    some = materialise(_dealt(every.groupBy(*texts).agg(F.min("case").alias("case"), F.count("*").alias("copies"))), "changes")
+    rows = some.withColumns({"before_path": F.lit("m.py"), "after_path": F.lit("m.py"), "loc": F.lit("")})
+    sources = rows.select("case", "copies", "before_path", "after_path", "before_source", "after_source")
+    hunks = rows.select("case", "copies", "before_path", "after_path", "loc", "content", "b_start", "a_start")
+    return mining.change_templates(hunks, sources, ["case", "copies"])[0]
 
 
 @query
 def template_fixpoint(spark, sf_dir):
     """Templates mined from the customers' changes: the most general one of each shape that changes have, and the roots."""
     found = _found(spark, sf_dir)
-    forest = materialise(mining.mine(found), "forest")
+    forest = materialise(mining.mine(found, copies="copies"), "forest")
     shapes = found.select("action", "fp_shape").distinct()
     tops = patching.shaped(forest).join(shapes, ["action", "fp_shape"]).groupBy("action", "fp_shape").agg(F.max("instances").alias("instances"))
     roots = forest.where("parent_id is null").select(F.lit("root").alias("what"), "action", "instances")
@@ -149,7 +152,7 @@ def template_fixpoint(spark, sf_dir):
 @query
 def patch_rewrite(spark, sf_dir):
     """Code of suppliers patched by templates mined from customers' changes: the patches that are what a change of that kind makes."""
-    forest = materialise(mining.mine(_found(spark, sf_dir)), "forest")
+    forest = materialise(mining.mine(_found(spark, sf_dir), copies="copies"), "forest")
     rows = _named(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s")
     own = materialise(rows.select(F.col("case").cast("string").alias("case"), "kind", _filled(_of_kind(1)).alias("source"), F.regexp_replace(_filled(_of_kind(2)), r"\n\z", "").alias("fixed"), _of_kind(4).alias("line")), "suppliers")
     # a guard's second attribute is new, so it is a mask and no such patch

@@ -23,3 +23,12 @@ def twice(spark, tmp_path):
 def test_no_trees_are_broadcast(spark, twice):
     plan = tree_queries.anti_unify(spark, twice)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_equal_changes_are_mined_once(spark, twice):
+    found = tree_queries._found(spark, twice)
+    customers = spark.read.parquet(f"{twice}/customer.parquet").count()
+    assert found.count() <= customers // 2 and found.agg(F.sum("copies")).first()[0] == customers
+    each = found.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = lambda forest: sorted(map(repr, forest.select("template_id", "parent_id", "instances").collect()))
+    assert rows(mining.mine(found, copies="copies")) == rows(mining.mine(each))
