@@ -103,13 +103,14 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 @query
 def tree_match(spark, sf_dir):
-    """How many of the customers' changed sources of each kind hold each pattern, generalised from two snippets."""
-    sources = trees.with_tree(_changes(spark, sf_dir).select("kind", "after_source"), "after_source").select("kind", F.col("tree")["nodes"].alias("t"))
+    """How many of the customers' changed sources of each kind hold each pattern, generalised from two snippets; equal sources are parsed and tried once."""
+    texts = _dealt(_changes(spark, sf_dir).groupBy("kind", "after_source").agg(F.count("*").alias("n")))
+    sources = trees.with_tree(texts, "after_source").select("kind", "n", F.col("tree")["nodes"].alias("t"))
     snippets = spark.createDataFrame(PATTERNS, "pattern string, one string, other string")
     parsed = [trees.with_tree(snippets.select("pattern", c), c).select("pattern", F.col("tree")["nodes"].alias(c)) for c in ("one", "other")]
     patterns = parsed[0].join(parsed[1], "pattern").select("pattern", trees.tree_generalise("one", "other").alias("p"))
-    held = sources.join(F.broadcast(patterns)).select("pattern", "kind", trees.tree_matches("t", "p").alias("held"))  # as many patterns as PATTERNS
-    return held.groupBy("pattern", "kind").agg(F.count("*").alias("sources"), F.sum(F.col("held").cast("long")).alias("matches"))
+    held = sources.join(F.broadcast(patterns)).select("pattern", "kind", "n", trees.tree_matches("t", "p").alias("held"))  # as many patterns as PATTERNS
+    return held.groupBy("pattern", "kind").agg(F.sum("n").alias("sources"), F.sum(F.col("held").cast("long") * F.col("n")).alias("matches"))
 
 
 @query

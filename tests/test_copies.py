@@ -20,11 +20,6 @@ def twice(spark, tmp_path):
     shutil.rmtree(tmp_path, ignore_errors=True)
 
 
-def test_no_trees_are_broadcast(spark, twice):
-    plan = tree_queries.anti_unify(spark, twice)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan and "SortMergeJoin" in plan
-
-
 def test_equal_changes_are_mined_once(spark, twice):
     found = tree_queries._found(spark, twice)
     customers = spark.read.parquet(f"{twice}/customer.parquet").count()
@@ -32,3 +27,16 @@ def test_equal_changes_are_mined_once(spark, twice):
     each = found.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     rows = lambda forest: sorted(map(repr, forest.select("template_id", "parent_id", "instances").collect()))
     assert rows(mining.mine(found, copies="copies")) == rows(mining.mine(each))
+
+
+def test_equal_sources_are_tried_once(spark, twice):
+    df = tree_queries.tree_match(spark, twice)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [kind" in plan and "after_source" in plan[plan.index("Aggregate [kind") :].split("\n")[0]
+    n = spark.read.parquet(f"{twice}/customer.parquet").groupBy((F.col("c_custkey") % 5).alias("kind")).count()
+    assert {(r["kind"], r["sources"]) for r in df.collect()} == {(r["kind"], r["count"]) for r in n.collect()}
+
+
+def test_no_trees_are_broadcast(spark, twice):
+    plan = tree_queries.anti_unify(spark, twice)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
