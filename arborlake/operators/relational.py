@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..session import materialise
 
 
 # -- filters ---------------------------------------------------------------
@@ -88,24 +94,101 @@ def sharing_values(df: DataFrame, group: Sequence[str], key: str, values: Column
 def dice_pairs(df: DataFrame, key: str, items: str, block: Sequence[str], least: float) -> DataFrame:
     """(a, b, common, dice) for a < b of one block with Dice similarity 2 * common / (|a| + |b|) >= ``least`` > 0.
 
-    ``items`` are arrays without repeats. A pair that similar shares an item
-    among the rarest few of either side, so only those are joined (prefix
-    filtering); the pairs that meet are counted in full.
+    ``items`` are arrays without repeats. A set's sketch has a bit for each
+    bucket of hashes, set if the bucket holds an odd number of items: two
+    sketches differ in no more bits than the sets have items that only one of
+    them holds, so no pair is lost. Sets are dealt into bands of sizes, of which
+    only neighbours can be similar, and bands into tiles; sketches of two tiles
+    are compared at a time. Only the pairs that may be similar meet their items
+    and are counted in full, so what is shuffled does not grow with the pairs
+    that share an item.
     """
     sized = df.select(key, *block, items).withColumn("n", F.size(items)).where("n > 0")
-    each = sized.select(key, *block, "n", F.explode(items).alias("item"))
-    common = each.groupBy(*block, "item").agg(F.count("*").alias("f"))
-    place = Window.partitionBy(key, *block).orderBy("f", "item")
-    # |a & b| >= least / (2 - least) * max(|a|, |b|), so so many of the rarest must hold a shared one
-    rare = each.join(common, [*block, "item"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least / (2 - least)) - 1e-9) + 1)
-    left, right = (rare.select(*block, "item", F.col(key).alias(k), F.col("n").alias(n)) for k, n in (("a", "na"), ("b", "nb")))
-    near = (2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb"))) & (F.col("a") < F.col("b"))
-    met = left.join(right, [*block, "item"]).where(near).select(*block, "a", "b").distinct()
-    full = lambda k, s: sized.select(*block, F.col(key).alias(k), F.col(items).alias(s))
+    sized = reduce(DataFrame.where, (F.col(c).isNotNull() for c in (key, *block)), sized)
+    ratio = max((2 - least) / least * 1.001, 1.1)  # similar sets are in one band or the next
+    sketched = sized.select(key, *block, "n", F.floor(F.log("n") / math.log(ratio)).cast("int").alias("band"), F.transform(items, lambda x: F.xxhash64(x)).alias("h"))
+    kinds = {f.name: f.dataType for f in sketched.schema}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (key, *block, "n", "band")] + [T.StructField("sketch", T.BinaryType())])
+    sketched = materialise(sketched.mapInArrow(_sketches(ratio), schema), "sketches")
+    bits = F.least(F.greatest(F.pow(F.lit(ratio), F.col("band") + 1) * 2, F.lit(float(SKETCH[0]))), F.lit(float(SKETCH[1])))
+    dealt = sketched.join(sketched.groupBy(*block, "band").agg(F.count("*").alias("m")), [*block, "band"])
+    dealt = dealt.withColumn("tile", F.expr("xxhash64(" + f"`{key}`" + ")")).withColumn("tile", F.pmod("tile", F.ceil(F.col("m") * bits / TILE_BITS)).cast("int"))
+    tiles = materialise(dealt.groupBy(*block, "band", "tile").agg(F.collect_list(F.struct(F.col(key).alias("k"), "n", "sketch")).alias("sets")), "tiles")
+    other = lambda *more: tiles.select(*block, F.col("band").alias("band2"), F.col("tile").alias("tile2"), *more)
+    near = (F.col("band2") == F.col("band") + 1) | ((F.col("band2") == F.col("band")) & (F.col("tile2") >= F.col("tile")))
+    ids = tiles.select(*block, "band", "tile")
+    units = (ids.join(other(), list(block)) if block else ids.crossJoin(other())).where(near)
+    units = units.join(tiles.withColumnRenamed("sets", "l"), [*block, "band", "tile"]).join(other(F.col("sets").alias("r")), [*block, "band2", "tile2"]).select(*block, "l", "r")
+    pair = T.StructType([T.StructField(c, kinds[c]) for c in block] + [T.StructField(c, kinds[key]) for c in "xy"])
+    met = units.mapInArrow(_alike(len(block), least), pair).where("x <> y").select(*block, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = materialise(met, "met")
+    some = met.select(*block, F.col("a").alias(key)).union(met.select(*block, F.col("b").alias(key))).distinct()
+    kept = materialise(sized.join(some, [*block, key], "left_semi").select(*block, key, items), "sets")
+    full = lambda k, s: kept.select(*block, F.col(key).alias(k), F.col(items).alias(s))
     counted = met.join(full("a", "sa"), [*block, "a"]).join(full("b", "sb"), [*block, "b"]).withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return counted.withColumn("dice", 2 * F.col("common").cast("double") / (F.size("sa") + F.size("sb"))).where(F.col("dice") >= least).select(*block, "a", "b", "common", "dice")
 
 
+#: Fewest and most bits of a sketch: twice the items of its band, between these.
+SKETCH = (256, 1 << 16)
+#: Bits of all sketches of a tile, in the mean.
+TILE_BITS = 1 << 22
+
+
+def _width(ratio: float, band: int) -> int:
+    """Bits of a sketch, a power of two."""
+    return min(max(1 << math.ceil(math.log2(2 * ratio ** (band + 1))), SKETCH[0]), SKETCH[1])
+
+
+def _sketches(ratio: float):
+    """Rows whose last column, hashes, is made a sketch; the column before is the band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            flat, edges = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            out = []
+            for band, lo, hi in zip(b.column(b.num_columns - 2).to_pylist(), edges[:-1], edges[1:], strict=True):
+                bits = _width(ratio, band)
+                odd = np.bincount((flat[lo:hi] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], [*b.schema.names[:-1], "sketch"])
+
+    return run
+
+
+def _alike(blocks: int, least: float):
+    """(block, x, y) of pairs of sets that may be similar by their sizes and sketches, from rows (block, l, r) of two tiles."""
+
+    def side(sets: pa.StructArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        k, n, sketch = sets.flatten()
+        return k, n.to_numpy().astype(np.int64), np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(sets), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                (ka, na, sa), (kb, nb, sb) = (side(b.column(blocks + c)[at].values) for c in (0, 1))
+                width = min(sa.shape[1], sb.shape[1])  # folding a sketch gives that of fewer buckets
+                sa, sb = (np.bitwise_xor.reduce(s.reshape(len(s), -1, width), axis=1).T.copy() for s in (sa, sb))
+                found = []
+                for lo in range(0, len(na), 256):
+                    hi = min(lo + 256, len(na))
+                    differ = np.zeros((hi - lo, len(nb)), np.int32)
+                    for u, v in zip(sa[:, lo:hi], sb, strict=True):
+                        differ += np.bitwise_count(u[:, None] ^ v[None, :])
+                    total = na[lo:hi, None] + nb[None, :]
+                    close = (differ <= (1 - least) * total + 1e-6) & (2 * np.minimum(na[lo:hi, None], nb[None, :]) >= least * total - 1e-6)
+                    i, j = np.nonzero(close)
+                    found.append(np.stack([i + lo, j]))
+                    if sum(x.shape[1] for x in found) > 1 << 18 or hi == len(na):
+                        i, j = np.concatenate(found, axis=1)
+                        found = []
+                        own = [pa.repeat(b.column(c)[at], len(i)) for c in range(blocks)]
+                        yield pa.RecordBatch.from_arrays([*own, ka.take(pa.array(i)), kb.take(pa.array(j))], [*b.schema.names[:blocks], "x", "y"])
+
+    return run
+
+
 # -- aggregates and windows ----------------------------------------------------
 
 
@@ -144,8 +227,6 @@ def descendants(edges: DataFrame, parent: str, child: str, rounds: int = 1000) -
 
     Paths double in every round, so a chain of n takes log2 n joins.
     """
-    from ..session import materialise
-
     paths = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"), F.lit(1).cast("long").alias("distance"))
     paths, reach = materialise(paths, "closure"), 1
     for _ in range(rounds):
