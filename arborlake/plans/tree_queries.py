@@ -152,13 +152,16 @@ def template_fixpoint(spark, sf_dir):
 
 @query
 def patch_rewrite(spark, sf_dir):
-    """Code of suppliers patched by templates mined from customers' changes: the patches that are what a change of that kind makes."""
+    """Code of suppliers patched by templates mined from customers' changes: the patches that are what a change of that kind makes; equal code is patched once."""
     forest = materialise(mining.mine(_found(spark, sf_dir), copies="copies"), "forest")
     rows = _named(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey", "s")
     own = materialise(rows.select(F.col("case").cast("string").alias("case"), "kind", _filled(_of_kind(1)).alias("source"), F.regexp_replace(_filled(_of_kind(2)), r"\n\z", "").alias("fixed"), _of_kind(4).alias("line")), "suppliers")
+    code = ["kind", "source", "fixed", "line"]
+    some = materialise(_dealt(own.groupBy(*code).agg(F.min("case").alias("case"))), "code")
     # a guard's second attribute is new, so it is a mask and no such patch
-    made = patching.patches(own.select("case", "source", F.array("line").alias("lines"), (F.col("kind") == 3).alias("added")), forest)
-    return made.join(own.select("case", F.col("fixed").alias("source")), ["case", "source"]).select("case", "action", "source").distinct()
+    made = patching.patches(some.select("case", "source", F.array("line").alias("lines"), (F.col("kind") == 3).alias("added")), forest)
+    fixed = made.join(some.withColumn("before", F.col("source")).withColumn("source", F.col("fixed")), ["case", "source"]).select(*[F.col("before" if c == "source" else c).alias(c) for c in code], "action").distinct()
+    return own.join(fixed, code).select("case", "action", F.col("fixed").alias("source")).distinct()
 
 
 def _literal(x) -> str:

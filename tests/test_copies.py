@@ -40,3 +40,13 @@ def test_equal_sources_are_tried_once(spark, twice):
 def test_no_trees_are_broadcast(spark, twice):
     plan = tree_queries.anti_unify(spark, twice)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_equal_code_is_patched_once(spark, twice, monkeypatch):
+    seen = []
+    patches = patching.patches
+    monkeypatch.setattr(patching, "patches", lambda cases, forest: seen.append(cases) or patches(cases, forest))
+    got = tree_queries.patch_rewrite(spark, twice).collect()
+    assert seen[0].count() == seen[0].select("source").distinct().count() < spark.read.parquet(f"{twice}/supplier.parquet").count()
+    of = lambda far: {(int(r["case"]) % 105_000, r["action"], r["source"]) for r in got if (int(r["case"]) >= 105_000) == far}
+    assert of(True) == of(False) and len(of(True)) * 2 == len(got) > 4
