@@ -8,14 +8,17 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..functions import kernels
 from ..functions.trees import PACKED, Tree, exact_fingerprint, pack, parse, shape_fingerprint, unpack
 from ..session import materialise
 from .relational import dice_pairs
 
+#: Nodes or leaves that a task holds as Python objects before it hands them on, unless one tree has more.
+HELD = 4096
 NODE_FIELDS = ("dfs", "last", "parent", "depth", "role", "place", "kind", "type", "value", "vtype", "alias", "line", "end_line")
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
@@ -55,17 +58,37 @@ def parse_html(text: str | None) -> Tree | None:
 PARSERS: dict[str, Callable[[str | None], Tree | None]] = {"python": lambda s: parse(s) if s is not None else None, "html": parse_html}
 
 
+#: with_tree's struct in Arrow.
+TREE = pa.struct({"nodes": pa.list_(pa.struct({f: pa.int32() if f in ("dfs", "last", "parent", "depth", "place", "line", "end_line") else pa.string() for f in NODE_FIELDS})), "fp_exact": pa.string(), "fp_shape": pa.string()})
+
+
+def _arrays(rows: Iterator[tuple[object, int]], kind: pa.DataType) -> Iterator[pa.Array]:
+    """Arrow arrays of (value, size) rows, of some HELD in all each: Python objects of a whole batch would take gigabytes."""
+    held, size = [], 0
+    for value, n in rows:
+        held.append(value)
+        size += n + 1
+        if size > HELD:
+            yield pa.array(held, kind)
+            held, size = [], 0
+    if held:
+        yield pa.array(held, kind)
+
+
 def with_tree(df: DataFrame, source_col: str, language: str = "python", name: str = "tree") -> DataFrame:
     """Adds the packed tree of ``source_col`` and its two fingerprints; null where it does not parse."""
     parser = PARSERS[language]
 
-    @pandas_udf(f"struct<nodes: {PACKED}, fp_exact: string, fp_shape: string>")
-    def build(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            t = parser(text) if isinstance(text, str) else None
-            rows.append((None, None, None) if t is None else (pack(t), exact_fingerprint(t), shape_fingerprint(t)))
-        return pd.DataFrame(rows, columns=["nodes", "fp_exact", "fp_shape"])
+    @arrow_udf(f"struct<nodes: {PACKED}, fp_exact: string, fp_shape: string>")
+    def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def rows() -> Iterator[tuple[dict, int]]:
+            for b in batches:
+                for text in b:
+                    t = parser(text.as_py())
+                    row = dict.fromkeys(("nodes", "fp_exact", "fp_shape")) if t is None else {"nodes": pack(t), "fp_exact": exact_fingerprint(t), "fp_shape": shape_fingerprint(t)}
+                    yield row, len(row["nodes"] or ())
+
+        return _arrays(rows(), TREE)
 
     return df.withColumn(name, build(F.col(source_col)))
 
@@ -84,8 +107,8 @@ def paths(df: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame:
     """(…keys, dfs, path): each leaf's types from the root down, by one pass over the packed nodes."""
     packed = F.col(tree)["nodes"]
 
-    @pandas_udf("array<struct<dfs: int, path: string>>")
-    def climb(dfs: pd.Series, last: pd.Series, kind: pd.Series) -> pd.Series:
+    @arrow_udf("array<struct<dfs: int, path: string>>")
+    def climb(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         def listed(starts, ends, names) -> list[dict]:
             out, open_ = [], []
             for s, e, name in zip(starts, ends, names, strict=True):
@@ -96,7 +119,13 @@ def paths(df: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame:
                     out.append({"dfs": s, "path": open_[-1][1]})
             return out
 
-        return pd.Series([None if s is None else listed(s, e, n) for s, e, n in zip(dfs, last, kind, strict=True)])
+        def rows() -> Iterator[tuple[list[dict] | None, int]]:
+            for columns in batches:
+                for row in zip(*columns, strict=True):
+                    found = listed(*(x.as_py() for x in row)) if row[0].is_valid else None
+                    yield found, len(found or ())
+
+        return _arrays(rows(), pa.list_(pa.struct({"dfs": pa.int32(), "path": pa.string()})))
 
     return df.select(*keys, F.inline(climb(packed["dfs"], packed["last"], packed["type"])))
 
@@ -146,10 +175,9 @@ def tree_tokens(tree: Column, structural: bool = False) -> Column:
     ones with a probability of 1 - 2**-32.
     """
 
-    @pandas_udf("array<long>")
-    def run(trees: pd.Series) -> pd.Series:
-        def tokens(rows) -> list[int]:
-            rows = [dict(zip(NODE_FIELDS, r, strict=True)) if isinstance(r, tuple) else r for r in rows]
+    @arrow_udf("array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def tokens(rows: list[dict]) -> list[int]:
             wide = Counter((r["parent"], r["role"]) for r in rows)
             out: dict[int | None, bytes] = {None: b""}
             for r in rows:  # in pre-order
@@ -158,7 +186,13 @@ def tree_tokens(tree: Column, structural: bool = False) -> Column:
                 out[r["dfs"]] = hashlib.blake2b(out[r["parent"]] + own.encode(), digest_size=8).digest()
             return sorted(int.from_bytes(x, "little", signed=True) for k, x in out.items() if k is not None)
 
-        return pd.Series([None if t is None else tokens(t) for t in trees])
+        def rows() -> Iterator[tuple[list[int] | None, int]]:
+            for b in batches:
+                for x in b:
+                    found = tokens(x.as_py()) if x.is_valid else None
+                    yield found, len(found or ())
+
+        return _arrays(rows(), pa.list_(pa.int64()))
 
     return run(tree)
 
