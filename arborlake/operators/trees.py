@@ -208,8 +208,8 @@ def tree_classes(trees: DataFrame, key: str, tree: str = "tree", structural: boo
 def similar_trees(classes: DataFrame, key: str, least: float) -> DataFrame:
     """(a, b, na, nb, common, dice) for a < b: classes of trees (see tree_classes) with a Dice similarity of ``least`` or more from the root down.
 
-    A join of token sets by prefix filtering, so trees of unlike shape meet too,
-    and only trees that share one of their rarest tokens meet at all. Equal
+    A join of token sets by their sketches (relational.dice_pairs), so trees of
+    unlike shape meet too. Equal
     trees are one class with na or nb members: they never meet in pairs.
     """
     one = classes.groupBy("class").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
