@@ -23,36 +23,42 @@ NODE_FIELDS = ("dfs", "last", "parent", "depth", "role", "place", "kind", "type"
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
 
-def parse_html(text: str | None) -> Tree | None:
-    """A page as a tree of elements (kind Element, type the tag) with text leaves; unclosed elements end with their parent."""
-    if text is None:
-        return None
-    stack: list[tuple[str, list[Tree]]] = [("#root", [])]
+class _Page(HTMLParser):
+    """The elements that are open, with their children so far. It has no reference to itself, so a page's nodes go when its tree does."""
 
-    def close() -> None:
-        tag, children = stack.pop()
-        stack[-1][1].append(Tree("Element", tag, role="child", children=tuple(children)))
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, list[Tree]]] = [("#root", [])]
 
-    class Parser(HTMLParser):
-        def handle_starttag(self, tag, attrs):
-            stack.append((tag, []))
-            if tag in VOID:
-                close()
+    def end(self) -> None:
+        tag, children = self.open.pop()
+        self.open[-1][1].append(Tree("Element", tag, role="child", children=tuple(children)))
 
-        def handle_endtag(self, tag):
-            if any(t == tag for t, _ in stack[1:]):
-                while stack[-1][0] != tag:
-                    close()
-                close()
+    def handle_starttag(self, tag, attrs):
+        self.open.append((tag, []))
+        if tag in VOID:
+            self.end()
 
-        def handle_data(self, data):
-            if data.strip():
-                stack[-1][1].append(Tree("Text", "Text", data.strip(), role="child"))
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open[1:]):
+            while self.open[-1][0] != tag:
+                self.end()
+            self.end()
 
-    Parser(convert_charrefs=True).feed(text)
-    while len(stack) > 1:
-        close()
-    return Tree("Root", "Root", children=tuple(stack[0][1]))
+    def handle_data(self, data):
+        if data.strip():
+            self.open[-1][1].append(Tree("Text", "Text", data.strip(), role="child"))
+
+
+def parse_html(text: str | None) -> Tree | None:
+    """A page as a tree of elements (kind Element, type the tag) with text leaves; unclosed elements end with their parent."""
+    if text is None:
+        return None
+    page = _Page()
+    page.feed(text)
+    while len(page.open) > 1:
+        page.end()
+    return Tree("Root", "Root", children=tuple(page.open[0][1]))
 
 
 PARSERS: dict[str, Callable[[str | None], Tree | None]] = {"python": lambda s: parse(s) if s is not None else None, "html": parse_html}
@@ -75,6 +81,11 @@ def _arrays(rows: Iterator[tuple[object, int]], kind: pa.DataType) -> Iterator[p
         yield pa.array(held, kind)
 
 
+def _once(udf):
+    """``udf`` evaluated once a row: of a deterministic one, a filter on its result (as inline has one) gets a copy, and each task a second worker that parses everything again."""
+    return udf.asNondeterministic()
+
+
 def with_tree(df: DataFrame, source_col: str, language: str = "python", name: str = "tree") -> DataFrame:
     """Adds the packed tree of ``source_col`` and its two fingerprints; null where it does not parse."""
     parser = PARSERS[language]
@@ -175,31 +186,53 @@ def tree_tokens(tree: Column, structural: bool = False) -> Column:
     ones with a probability of 1 - 2**-32.
     """
 
+    return _tokens_of(lambda x: x, structural)(tree)
+
+
+def source_tokens(source: Column, language: str = "python", structural: bool = False) -> Column:
+    """The tree_tokens of a source's tree, which does not leave the task that parses it; null where it does not parse."""
+    parser = PARSERS[language]
+
+    def packed(text: str) -> list[dict] | None:
+        t = parser(text)
+        return None if t is None else pack(t)
+
+    return _tokens_of(packed, structural)(source)
+
+
+def _tokens_of(packed: Callable[[object], list[dict] | None], structural: bool):
+    """The column of tokens of what ``packed`` makes of a value."""
+
+    def tokens(rows: list[dict]) -> list[int]:
+        wide = Counter((r["parent"], r["role"]) for r in rows)
+        out: dict[int | None, bytes] = {None: b""}
+        for r in rows:  # in pre-order
+            label = Tree(r["kind"], r["type"]).type_class if structural else repr((r["kind"], r["type"], r["value"], r["vtype"]))
+            own = repr((label, r["role"], r["place"], wide[r["parent"], r["role"]]) if r["parent"] is not None else label)
+            out[r["dfs"]] = hashlib.blake2b(out[r["parent"]] + own.encode(), digest_size=8).digest()
+        return sorted(int.from_bytes(x, "little", signed=True) for k, x in out.items() if k is not None)
+
     @arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        def tokens(rows: list[dict]) -> list[int]:
-            wide = Counter((r["parent"], r["role"]) for r in rows)
-            out: dict[int | None, bytes] = {None: b""}
-            for r in rows:  # in pre-order
-                label = Tree(r["kind"], r["type"]).type_class if structural else repr((r["kind"], r["type"], r["value"], r["vtype"]))
-                own = repr((label, r["role"], r["place"], wide[r["parent"], r["role"]]) if r["parent"] is not None else label)
-                out[r["dfs"]] = hashlib.blake2b(out[r["parent"]] + own.encode(), digest_size=8).digest()
-            return sorted(int.from_bytes(x, "little", signed=True) for k, x in out.items() if k is not None)
-
         def rows() -> Iterator[tuple[list[int] | None, int]]:
             for b in batches:
                 for x in b:
-                    found = tokens(x.as_py()) if x.is_valid else None
-                    yield found, len(found or ())
+                    nodes = packed(x.as_py()) if x.is_valid else None
+                    yield (None, 0) if nodes is None else (tokens(nodes), len(nodes))
 
         return _arrays(rows(), pa.list_(pa.int64()))
 
-    return run(tree)
+    return _once(run)
 
 
 def tree_classes(trees: DataFrame, key: str, tree: str = "tree", structural: bool = False) -> DataFrame:
     """(key, class, tokens): trees with equal tokens are a class, named by its least key."""
-    told = trees.select(key, tree_tokens(F.col(tree)["nodes"], structural).alias("tokens")).where("tokens is not null").withColumn("same", F.sha2(F.array_join("tokens", ","), 256))
+    return token_classes(trees.select(key, tree_tokens(F.col(tree)["nodes"], structural).alias("tokens")), key)
+
+
+def token_classes(told: DataFrame, key: str) -> DataFrame:
+    """tree_classes of (key, tokens) from tree_tokens or source_tokens."""
+    told = told.where("tokens is not null").withColumn("same", F.sha2(F.array_join("tokens", ","), 256))
     told = materialise(told, "tokens")
     names = told.groupBy("same").agg(F.min(key).alias("class"))
     return told.join(names, "same").select(key, "class", "tokens")

@@ -52,6 +52,11 @@ def _pages(spark, sf_dir):
     return trees.with_tree(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "html").drop("html")
 
 
+def _classes(spark, sf_dir):
+    """(page_id, class, tokens) of the pages' shapes."""
+    return trees.token_classes(table(spark, sf_dir, "pages").select("page_id", trees.source_tokens(F.col("html"), "html", structural=True).alias("tokens")), "page_id")
+
+
 @query
 def html_tree_nodes(spark, sf_dir):
     return trees.nodes(_pages(spark, sf_dir), ["page_id"]).select("page_id", "dfs", "last", "parent", "depth", "kind", "type")
@@ -65,13 +70,13 @@ def html_leaf_paths(spark, sf_dir):
 @query
 def html_tree_classes(spark, sf_dir):
     """Pages whose trees have one shape, texts and attributes apart: the class of each page."""
-    return trees.tree_classes(_pages(spark, sf_dir), "page_id", structural=True).select("page_id", "class")
+    return _classes(spark, sf_dir).select("page_id", "class")
 
 
 @query
 def html_tree_dice(spark, sf_dir):
     """Similarity of page shapes from the root down, 0.8 or more: pairs of classes, with the number of pages of each."""
-    return trees.similar_trees(trees.tree_classes(_pages(spark, sf_dir), "page_id", structural=True), "page_id", 0.8)
+    return trees.similar_trees(_classes(spark, sf_dir), "page_id", 0.8)
 
 
 def _filled(text: Column) -> Column:

@@ -1,8 +1,12 @@
 """Trees leave a task in arrays of bounded size, however many rows a batch has."""
 
+import gc
+import weakref
+
 import pyarrow as pa
 
 from arborlake.operators import trees
+from arborlake.plans import tree_queries
 
 
 def test_batches_are_cut(spark):
@@ -18,3 +22,31 @@ def test_batches_are_cut(spark):
     assert trees.nodes(tree, ["page_id"]).groupBy("page_id").count().select("count").distinct().collect()[0][0] == 1002
     assert {r["count"] for r in trees.paths(tree, ["page_id"]).groupBy("page_id").count().collect()} == {500}
     assert trees.tree_classes(tree, "page_id").where("class = 1").count() == 51
+
+
+def test_a_parsed_page_leaves_no_cycles():
+    gc.collect()
+    gc.disable()
+    try:
+        page = trees.parse_html("<div><p>x</p></div>")
+        gone = weakref.ref(page)
+        del page
+        assert gone() is None and gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_classes_parse_a_page_once_in_one_worker(spark, tmp_path, monkeypatch):
+    pages = [(1, "<p>a</p>"), (2, "<p>b</p>"), (3, "<p><b>a</b></p>"), (4, None), (5, ""), (6, "<p>a</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plans = []
+    monkeypatch.setattr(trees, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    tree_queries.html_tree_classes(spark, str(tmp_path))
+    assert plans[0].count("ArrowEvalPython") == 1
+    monkeypatch.undo()
+    df = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    for structural, want in ((True, {1: 1, 2: 1, 3: 3, 5: 5, 6: 1}), (False, {1: 1, 2: 2, 3: 3, 5: 5, 6: 1})):
+        told = trees.token_classes(df.select("page_id", trees.source_tokens(df["html"], "html", structural).alias("tokens")), "page_id")
+        by_trees = trees.tree_classes(trees.with_tree(df, "html", "html"), "page_id", structural=structural)
+        assert {tuple(r) for r in told.selectExpr("page_id", "class", "array_join(tokens, ',')").collect()} == {tuple(r) for r in by_trees.selectExpr("page_id", "class", "array_join(tokens, ',')").collect()}
+        assert {r["page_id"]: r["class"] for r in told.collect()} == want
