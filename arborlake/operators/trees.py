@@ -17,8 +17,8 @@ from ..functions.trees import PACKED, Tree, exact_fingerprint, pack, parse, shap
 from ..session import materialise
 from .relational import dice_pairs
 
-#: Nodes or leaves that a task holds as Python objects before it hands them on, unless one tree has more.
-HELD = 4096
+#: Nodes or leaves that a task holds as Python objects before it hands them on, unless one tree has more; so many characters count as one.
+HELD, CHARACTERS = 4096, 64
 NODE_FIELDS = ("dfs", "last", "parent", "depth", "role", "place", "kind", "type", "value", "vtype", "alias", "line", "end_line")
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
@@ -86,22 +86,28 @@ def _once(udf):
     return udf.asNondeterministic()
 
 
+def _built(batches: Iterator[pa.Array], parser: Callable[[str | None], Tree | None]) -> Iterator[pa.Array]:
+    """with_tree's structs of batches of sources."""
+
+    def rows() -> Iterator[tuple[dict, int]]:
+        for b in batches:
+            for x in b:
+                t = parser(text := x.as_py())
+                row = dict.fromkeys(("nodes", "fp_exact", "fp_shape")) if t is None else {"nodes": pack(t), "fp_exact": exact_fingerprint(t), "fp_shape": shape_fingerprint(t)}
+                yield row, len(row["nodes"] or ()) + len(text or "") // CHARACTERS
+
+    return _arrays(rows(), TREE)
+
+
 def with_tree(df: DataFrame, source_col: str, language: str = "python", name: str = "tree") -> DataFrame:
     """Adds the packed tree of ``source_col`` and its two fingerprints; null where it does not parse."""
     parser = PARSERS[language]
 
     @arrow_udf(f"struct<nodes: {PACKED}, fp_exact: string, fp_shape: string>")
     def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        def rows() -> Iterator[tuple[dict, int]]:
-            for b in batches:
-                for text in b:
-                    t = parser(text.as_py())
-                    row = dict.fromkeys(("nodes", "fp_exact", "fp_shape")) if t is None else {"nodes": pack(t), "fp_exact": exact_fingerprint(t), "fp_shape": shape_fingerprint(t)}
-                    yield row, len(row["nodes"] or ())
-
-        return _arrays(rows(), TREE)
+        return _built(batches, parser)
 
-    return df.withColumn(name, build(F.col(source_col)))
+    return df.withColumn(name, _once(build)(F.col(source_col)))
 
 
 def nodes(df: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame:
@@ -134,7 +140,7 @@ def paths(df: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame:
             for columns in batches:
                 for row in zip(*columns, strict=True):
                     found = listed(*(x.as_py() for x in row)) if row[0].is_valid else None
-                    yield found, len(found or ())
+                    yield found, sum(1 + len(x["path"]) // CHARACTERS for x in found or ())
 
         return _arrays(rows(), pa.list_(pa.struct({"dfs": pa.int32(), "path": pa.string()})))
 

@@ -50,3 +50,17 @@ def test_classes_parse_a_page_once_in_one_worker(spark, tmp_path, monkeypatch):
         by_trees = trees.tree_classes(trees.with_tree(df, "html", "html"), "page_id", structural=structural)
         assert {tuple(r) for r in told.selectExpr("page_id", "class", "array_join(tokens, ',')").collect()} == {tuple(r) for r in by_trees.selectExpr("page_id", "class", "array_join(tokens, ',')").collect()}
         assert {r["page_id"]: r["class"] for r in told.collect()} == want
+
+
+def test_long_texts_leave_a_task_early():
+    page = f"<p>{'word ' * 8000}</p>"
+    made = list(trees._built(iter([pa.array([page] * 300 + [None])]), trees.PARSERS["html"]))
+    assert sum(map(len, made)) == 301 and made[-1][-1]["nodes"].as_py() is None
+    assert max(a.nbytes for a in made) < 2 * 64 * trees.HELD and {len(x["nodes"]) for a in made for x in a.to_pylist()[:-1]} == {3}
+
+
+def test_nodes_parse_a_page_once(spark, tmp_path):
+    spark.createDataFrame([(1, "<p>a</p>"), (2, None), (3, "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = tree_queries.html_tree_nodes(spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["page_id"], r["dfs"], r["kind"]) for r in df.collect()) == [(1, 0, "Root"), (1, 1, "Element"), (1, 2, "Text"), (3, 0, "Root")]
